@@ -1,0 +1,28 @@
+"""Registered spatial queries over sky positions derived from the table keys."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from skylattice.operators.spatial import nearest, sky, zone_pairs
+from skylattice.registry import Registry, table
+
+R = Registry()
+
+SKY = "(mod({k}*7919, 36000)/100.0)::DOUBLE AS ra, (mod({k}*104729, 17000)/100.0 - 85.0)::DOUBLE AS dec"
+CTE = f"""WITH c AS (SELECT c_custkey AS id, {SKY.format(k='c_custkey')} FROM customer),
+s AS (SELECT s_suppkey AS id, {SKY.format(k='s_suppkey')} FROM supplier),
+p AS (SELECT c.id AS probe_id, s.id AS cat_id, degrees(2*asin(sqrt(least(1.0, pow(sin(radians(s.dec-c.dec)/2),2)+cos(radians(c.dec))*cos(radians(s.dec))*pow(sin(radians(s.ra-c.ra)/2),2))))) AS dist FROM c, s)
+"""
+
+
+def _catalogs(spark, d):
+    c = sky(table(spark, d, "customer").withColumnRenamed("c_custkey", "id"), "id").select("id", "ra", "dec")
+    s = sky(table(spark, d, "supplier").withColumnRenamed("s_suppkey", "id"), "id").select("id", "ra", "dec")
+    return c, s
+
+
+@R.query("match_nearest", CTE + "SELECT probe_id, arg_min(cat_id, (dist, cat_id)) AS cat_id, round(min(dist), 9) AS dist, count(*) AS n_match FROM p WHERE dist <= 5.0 GROUP BY probe_id")
+def match_nearest(spark, d):
+    c, s = _catalogs(spark, d)
+    return nearest(zone_pairs(c, s, 5.0)).withColumn("dist", F.round("dist", 9))
