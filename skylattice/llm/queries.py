@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from skylattice.llm import decision_list, decontaminate
-from skylattice.llm.common import table
+import uuid
+
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from skylattice.llm import bpe, decision_list, decontaminate, pii, secrets, warc
+from skylattice.llm.common import shared_dir, table
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -14,12 +19,35 @@ def _query(fn):
     return fn
 
 
+@_query
+def op1_warc_boundary_chain(spark, d):
+    path = f"{shared_dir(spark)}/skylattice-warc-{uuid.uuid4().hex}"
+    warc.write_warc(table(spark, d, "pages"), path)
+    return warc.read_warc(spark, [path]).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @_query
 def op4_quality_rules(spark, d):
     docs = table(spark, d, "documents")
     return decision_list.verdicts(docs, decision_list.fit(docs, table(spark, d, "labels")))
 
 
+@_query
+def op5_secret_ownership(spark, d):
+    docs = table(spark, d, "documents")
+    return secrets.scan_secrets(docs, owner=F.col("source"), repository=F.col("lang"))
+
+
+@_query
+def op7_pii_anchors(spark, d):
+    return pii.find_pii(table(spark, d, "documents"))
+
+
+@_query
+def op8_bpe_tree(spark, d):
+    return bpe.encode_decode(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 @_query
 def op9_benchmark_decontamination(spark, d):
     hits = decontaminate.score_contamination(table(spark, d, "documents"), table(spark, d, "benchmark"))
