@@ -110,7 +110,8 @@ def fragments(spark: SparkSession, paths: list[str], keep_raw: bool) -> DataFram
                 skip = len(MAGIC) if opening and value.startswith(MAGIC.encode()) else 0
                 start = rel if opening else rel - len(MAGIC)
                 stop = value.find(b"\r\n\r\n", skip)
-                head = parse_header(value[skip:stop]) if stop >= 0 and (skip or not opening) else None
+                stop = len(value) if stop < 0 else stop  # then the payload itself begins with a magic
+                head = parse_header(value[skip:stop]) if skip or not opening else None
                 row = dict.fromkeys(out)
                 row |= {"file": file, "block": block, "rel": rel, "size": len(value) + len(SEP), "start": start, "complete": False, "raw": value if keep_raw else None}
                 if head is not None:
@@ -148,13 +149,17 @@ def reachable(links: DataFrame) -> DataFrame:
     return state.where("reached").select("file", "start")
 
 
-def read_warc(spark: SparkSession, paths: list[str], with_payload: bool = False) -> DataFrame:
-    """Records of the archives: page_id, url, record_type, refers_to, payload_bytes, payload_digest, digest_ok (and payload)."""
-    f = store(fragments(spark, paths, with_payload), "warc-fragments")
+def placed(f: DataFrame) -> DataFrame:
+    """Stored fragments with ``start`` and ``succ`` counted from the start of the file: the sizes of the splits before are added."""
     blocks = f.groupBy("file", "block").agg(F.sum("size").alias("bytes"))
     before = F.sum("bytes").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
     blocks = blocks.select("file", "block", F.coalesce(before, F.lit(0)).alias("base"))
-    f = f.join(blocks, ["file", "block"]).withColumn("start", F.col("start") + F.col("base")).withColumn("succ", F.col("succ") + F.col("base"))
+    return f.join(blocks, ["file", "block"]).withColumn("start", F.col("start") + F.col("base")).withColumn("succ", F.col("succ") + F.col("base"))
+
+
+def read_warc(spark: SparkSession, paths: list[str], with_payload: bool = False) -> DataFrame:
+    """Records of the archives: page_id, url, record_type, refers_to, payload_bytes, payload_digest, digest_ok (and payload)."""
+    f = placed(store(fragments(spark, paths, with_payload), "warc-fragments"))
     true = reachable(f.where("succ is not null").select("file", "start", "succ"))
     true = store(f.join(true, ["file", "start"], "left_semi"), "warc-records")
     parts = true.where("not complete").select("file").distinct().limit(1).count()
@@ -173,12 +178,12 @@ RECORD = ("record_type", "page_id", "url", "refers_to", "claimed", "claimed_byte
 def stitched(spark: SparkSession, true: DataFrame, f: DataFrame, with_payload: bool) -> DataFrame:
     """Records whose payload holds magics: only their files are read again, only their stretches put together."""
     files = [r["file"] for r in true.where("not complete").select("file").distinct().collect()]
-    inside = f.join(true.select("file", "start"), ["file", "start"], "left_anti").select("file", "block", "rel", "start", F.lit(False).alias("own"))
-    pieces = true.where("not complete").select("file", "block", "rel", "start", F.lit(True).alias("own")).unionByName(inside.where(F.col("file").isin(files)))
+    inside = f.join(true.select("file", "start"), ["file", "start"], "left_anti").select("file", "start", F.lit(False).alias("own"))
+    pieces = true.where("not complete").select("file", "start", F.lit(True).alias("own")).unionByName(inside.where(F.col("file").isin(files)))
     owner = F.last(F.when(F.col("own"), F.col("start")), True).over(Window.partitionBy("file").orderBy("start"))
     pieces = pieces.withColumn("owner", owner).where("owner is not null")
-    raw = fragments(spark, files, True).select("file", "block", "rel", "raw")
-    got = raw.join(pieces, ["file", "block", "rel"]).groupBy("file", "owner").agg(F.array_sort(F.collect_list(F.struct("start", "raw"))).alias("pieces"))
+    raw = placed(store(fragments(spark, files, True), "warc-pieces")).select("file", "start", "raw")  # splits may differ from those of the first reading
+    got = raw.join(pieces, ["file", "start"]).groupBy("file", "owner").agg(F.array_sort(F.collect_list(F.struct("start", "raw"))).alias("pieces"))
     head = true.where("not complete").select("file", F.col("start").alias("owner"), "body_at", *RECORD)
     schema = "record_type string, page_id long, url string, refers_to long, claimed string, claimed_bytes long, digest string, body_bytes long" + (", payload binary" if with_payload else "")
 
