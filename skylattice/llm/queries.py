@@ -7,8 +7,8 @@ import uuid
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from skylattice.llm import bpe, decision_list, decontaminate, pii, secrets, warc
-from skylattice.llm.common import shared_dir, table
+from skylattice.llm import bpe, decision_list, decontaminate, nbsvm, pii, secrets, warc
+from skylattice.llm.common import crc_mod, shared_dir, table
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -26,6 +26,14 @@ def op1_warc_boundary_chain(spark, d):
     return warc.read_warc(spark, [path]).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@_query
+def op3_quality_nbsvm(spark, d):
+    docs = table(spark, d, "documents")
+    held_out = F.coalesce(crc_mod(F.col("doc_id"), 5) == 0, F.lit(False))
+    scores = nbsvm.score(docs, nbsvm.fit(docs, table(spark, d, "labels"), ~held_out))
+    return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 @_query
 def op4_quality_rules(spark, d):
     docs = table(spark, d, "documents")
