@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from skylattice.llm import bpe, decision_list, decontaminate, nbsvm, pii, secrets, warc
+from skylattice.llm import bpe, decision_list, decontaminate, nbsvm, pii, secrets, toxicity, warc
 from skylattice.llm.common import crc_mod, shared_dir, table
 
 QUERIES: dict = {}
@@ -62,4 +62,12 @@ def op9_benchmark_decontamination(spark, d):
     return hits.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+@_query
+def op10_toxicity_gru(spark, d):
+    docs = table(spark, d, "documents")
+    held_out = F.coalesce(crc_mod(F.col("doc_id"), 3) == 1, F.lit(False))
+    scores = toxicity.score(docs, toxicity.fit(docs, table(spark, d, "labels"), ~held_out))
+    return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 ORACLE["op9_benchmark_decontamination"] = decontaminate.ORACLE
