@@ -79,3 +79,16 @@ def labelled(labels: DataFrame, label: str, usable: Column, max_labels: int) ->
 def crc_mod(column: Column, m: int) -> Column:
     """crc32 of a value as text, modulo m (null: null)."""
     return F.crc32(F.encode(column.cast("string"), "UTF-8")) % m
+
+
+def attach_wide(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, spread: Column, salts: int = 64) -> DataFrame:
+    """Inner join with a ``right`` of wide rows (unique ``key``).
+
+    ``hot`` (column ``key``, fewer than HOT_PARTS rows) names the keys that
+    hold many left rows: their right rows are copied to ``salts`` places and
+    the left rows dealt over them by ``spread``.  Only those few ids are broadcast.
+    """
+    mark = F.broadcast(hot.select(F.col(key).alias("__hot")))
+    a = left.join(mark, F.col(key) == F.col("__hot"), "left").withColumn("__salt", F.when(F.col("__hot").isNull(), 0).otherwise(F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))).drop("__hot")
+    b = right.join(mark, F.col(key) == F.col("__hot"), "left").withColumn("__salt", F.explode(F.when(F.col("__hot").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(salts - 1))))).drop("__hot")
+    return a.join(b, [key, "__salt"]).drop("__salt")

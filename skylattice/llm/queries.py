@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from skylattice.llm import bpe, decision_list, decontaminate, nbsvm, pii, secrets, toxicity, warc
+from skylattice.llm import bpe, decision_list, decontaminate, minhash, nbsvm, pii, secrets, toxicity, warc
 from skylattice.llm.common import crc_mod, shared_dir, table
 
 QUERIES: dict = {}
@@ -26,6 +26,11 @@ def op1_warc_boundary_chain(spark, d):
     return warc.read_warc(spark, [path]).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@_query
+def op2_near_duplicates(spark, d):
+    return minhash.per_row(minhash.near_duplicates(table(spark, d, "documents")))
+
+
 @_query
 def op3_quality_nbsvm(spark, d):
     docs = table(spark, d, "documents")
