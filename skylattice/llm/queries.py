@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import uuid
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from skylattice.llm import bpe, decision_list, decontaminate, minhash, nbsvm, pii, secrets, toxicity, warc
+from skylattice.llm import bpe, decision_list, decontaminate, line_suffix, minhash, nbsvm, pii, secrets, toxicity, warc
 from skylattice.llm.common import crc_mod, shared_dir, table
 
 QUERIES: dict = {}
@@ -51,6 +52,12 @@ def op5_secret_ownership(spark, d):
     return secrets.scan_secrets(docs, owner=F.col("source"), repository=F.col("lang"))
 
 
+@_query
+def op6_line_suffix_array(spark, d):
+    out = line_suffix.without_copies(table(spark, d, "documents"))
+    return out.select("doc_id", "text", F.col("__removed").alias("n_removed"))
+
+
 @_query
 def op7_pii_anchors(spark, d):
     return pii.find_pii(table(spark, d, "documents"))
@@ -75,4 +82,9 @@ def op10_toxicity_gru(spark, d):
     return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+@_query
+def pipeline(spark, d):
+    return corpus_pipeline.run(spark, d)
+
+
 ORACLE["op9_benchmark_decontamination"] = decontaminate.ORACLE
