@@ -50,3 +50,97 @@ def nearest(pairs: DataFrame) -> DataFrame:
     """Nearest catalog row and number of matches per probe; ties go to the smaller id."""
     best = F.min(F.struct("dist", "cat_id"))
     return pairs.groupBy("probe_id").agg(best.alias("b"), F.count("*").alias("n_match")).select("probe_id", F.col("b.cat_id").alias("cat_id"), F.col("b.dist").alias("dist"), "n_match")
+
+
+def cone(df: DataFrame, ra0: float, dec0: float, radius: float, inclusive: bool = True) -> DataFrame:
+    """Rows within a radius of one position (degrees), with their distance.
+
+    The latitude band comes first: it is a plain comparison of a stored column
+    that Parquet statistics can use.
+    """
+    d = df.where(F.col("dec").between(dec0 - radius, dec0 + radius))
+    dist = F.degrees(haversine(F.radians("ra"), F.radians("dec"), F.lit(math.radians(ra0)), F.lit(math.radians(dec0))))
+    d = d.withColumn("dist", dist)
+    return d.where(F.col("dist") <= radius if inclusive else F.col("dist") < radius)
+
+
+def unmatched(df: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
+    """Rows without a partner; side is probe_id or cat_id."""
+    return df.join(pairs.select(F.col(side).alias("__p")).distinct(), F.col("id") == F.col("__p"), "left_anti")
+
+
+def with_neighbours(df: DataFrame, radius: float) -> DataFrame:
+    """Every row with the number of other rows within a radius and a flag."""
+    n = zone_pairs(df, df, radius).where("probe_id <> cat_id").groupBy("probe_id").agg(F.count("*").alias("n_near"))
+    out = df.join(n, F.col("id") == F.col("probe_id"), "left").drop("probe_id")
+    return out.withColumn("n_near", F.coalesce("n_near", F.lit(0))).withColumn("has_neighbour", F.col("n_near") > 0)
+
+
+def in_polygon(lon: Column, lat: Column, corners: list[tuple[float, float]]) -> Column:
+    """Strictly inside a convex spherical polygon (degrees): on the inner side of every edge's great circle."""
+    unit = lambda a, b: (math.cos(math.radians(b)) * math.cos(math.radians(a)), math.cos(math.radians(b)) * math.sin(math.radians(a)), math.sin(math.radians(b)))
+    v = [unit(*c) for c in corners]
+    x, y, z = F.cos(F.radians(lat)) * F.cos(F.radians(lon)), F.cos(F.radians(lat)) * F.sin(F.radians(lon)), F.sin(F.radians(lat))
+    mid = [sum(c) for c in zip(*v, strict=True)]
+    out = F.lit(True)
+    for a, b in zip(v, v[1:] + v[:1], strict=True):
+        n = (a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0])
+        sign = 1.0 if sum(p * q for p, q in zip(n, mid, strict=True)) > 0 else -1.0
+        out = out & ((x * n[0] + y * n[1] + z * n[2]) * sign > 0)
+    return out
+
+
+def in_plane_polygon(x: Column, y: Column, corners: list[tuple[float, float]]) -> Column:
+    """Inside a polygon of the plane: an odd number of edges crosses the ray to the right."""
+    odd = F.lit(0)
+    for (x1, y1), (x2, y2) in zip(corners, corners[1:] + corners[:1], strict=True):
+        if y1 != y2:
+            crosses = ((F.lit(y1) > y) != (F.lit(y2) > y)) & (x < (x2 - x1) * (y - y1) / (y2 - y1) + x1)
+            odd = odd + crosses.cast("int")
+    return odd % 2 == 1
+
+
+def in_box(lon: Column, lat: Column, lon0: float, lat0: float, width: float, height: float) -> Column:
+    """Offsets from the centre (longitude scaled by cos of latitude) within half the size."""
+    d = F.pmod(lon - lon0 + 180, F.lit(360.0)) - 180
+    return (F.abs(d * F.cos(F.radians(lat))) <= width / 2) & (F.abs(lat - lat0) <= height / 2)
+
+
+def plane_pairs(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
+    """All pairs of planar points (id, x, y) within a radius, met in grid cells."""
+    p = a.select(F.col("id").alias("probe_id"), F.col("x").alias("px"), F.col("y").alias("py"))
+    p = p.withColumn("cx", F.explode(F.array(*[F.floor(F.col("px") / radius) + i for i in (-1, 0, 1)]))).withColumn("cy", F.explode(F.array(*[F.floor(F.col("py") / radius) + i for i in (-1, 0, 1)])))
+    c = b.select(F.col("id").alias("cat_id"), F.col("x").alias("qx"), F.col("y").alias("qy"), F.floor(F.col("x") / radius).alias("cx"), F.floor(F.col("y") / radius).alias("cy"))
+    dist = F.sqrt((F.col("px") - F.col("qx")) * (F.col("px") - F.col("qx")) + (F.col("py") - F.col("qy")) * (F.col("py") - F.col("qy")))
+    return p.join(c, ["cx", "cy"]).withColumn("dist", dist).where(F.col("dist") <= radius).select("probe_id", "cat_id", "dist")
+
+
+def best_shift(a: DataFrame, b: DataFrame, max_shift: float, step: float) -> DataFrame:
+    """The most frequent offset between two planar lists, from the differences of pairs within max_shift."""
+    far = max_shift * math.sqrt(2)
+    j = plane_pairs(a, b, far).join(a.select(F.col("id").alias("probe_id"), F.col("x").alias("px"), F.col("y").alias("py")), "probe_id").join(b.select(F.col("id").alias("cat_id"), F.col("x").alias("qx"), F.col("y").alias("qy")), "cat_id")
+    h = j.groupBy(F.round((F.col("qx") - F.col("px")) / step).cast("bigint").alias("ix"), F.round((F.col("qy") - F.col("py")) / step).cast("bigint").alias("iy")).agg(F.count("*").alias("n"))
+    return h.agg(F.max(F.struct("n", (-F.col("ix")).alias("jx"), (-F.col("iy")).alias("jy"))).alias("m")).select((-F.col("m.jx") * step).alias("dx"), (-F.col("m.jy") * step).alias("dy"), F.col("m.n").alias("n"))
+
+
+def unify(epochs: list[DataFrame], radius: float) -> DataFrame:
+    """One list of positions over epochs: of every epoch the rows without a partner among those already listed are added.
+
+    Checkpointed after every epoch, so the plan does not grow with their number.
+    """
+    out = None
+    for i, e in enumerate(epochs):
+        e = e.select("id", "ra", "dec").withColumn("epoch", F.lit(i))
+        out = (e if out is None else out.unionByName(unmatched(e, zone_pairs(e, out, radius), "probe_id"))).checkpoint()
+    return out
+
+
+def zone_cells(dec0: float, radius: float, height: float) -> list[int]:
+    """Latitude zones that a cone touches: the partitions of a stored catalog to read."""
+    return list(range(math.floor((dec0 - radius + 90) / height), math.floor((dec0 + radius + 90) / height) + 1))
+
+
+def surface_density(df: DataFrame, x: str, y: str) -> DataFrame:
+    """Rows per area of the bounding box."""
+    a = df.agg(F.count("*").alias("n"), ((F.max(x) - F.min(x)) * (F.max(y) - F.min(y))).alias("area"))
+    return a.select((F.col("n") / F.col("area")).alias("density"), "area")

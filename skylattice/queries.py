@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skylattice.operators import spatial_queries
+from skylattice.plans import spatial_queries
 
 _ALL = (spatial_queries,)
 
