@@ -8,20 +8,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def bad_times(events: DataFrame, t: str, min_bin: float = 30.0) -> DataFrame:
-    """Bad [lo, hi] bins: equal bins of max(min_bin, 100 range / n) whose count is over median + 4 sqrt(median).
+def bad_times(events: DataFrame, t: str, min_bin: float = 30.0, n_sigma: float = 4.0) -> DataFrame:
+    """Bad [lo, hi] bins: equal bins of max(min_bin, 100 range / n) whose count is over median + n_sigma sqrt(median).
 
     Empty bins count as 0; a trailing part of a bin is none.  Only the counts
     of bins are gathered, events are combined before the shuffle.
     """
     r = events.agg(F.min(t).alias("t0"), F.max(t).alias("t1"), F.count(t).alias("n"))
-    r = r.select("t0", F.greatest(F.lit(min_bin), 100 * (F.col("t1") - F.col("t0")) / F.col("n")).alias("step"), "t1").withColumn("bins", F.floor((F.col("t1") - F.col("t0")) / F.col("step")).cast("bigint"))
+    r = r.select("t0", F.greatest(F.lit(min_bin), F.try_divide(100 * (F.col("t1") - F.col("t0")), F.col("n"))).alias("step"), "t1").withColumn("bins", F.floor((F.col("t1") - F.col("t0")) / F.col("step")).cast("bigint"))
     e = events.select(t).join(F.broadcast(r)).withColumn("bin", F.floor((F.col(t) - F.col("t0")) / F.col("step")).cast("bigint"))
     c = e.where("bin < bins").groupBy("bin").agg(F.count("*").alias("c"))
     every = r.where("bins > 0").select("t0", "step", F.explode(F.sequence(F.lit(0), F.col("bins") - 1)).alias("bin"))
     full = every.join(c, "bin", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     m = full.agg(F.median("c").alias("med"))
-    return full.join(F.broadcast(m)).where(F.col("c") > F.col("med") + 4 * F.sqrt("med")).select((F.col("t0") + F.col("bin") * F.col("step")).alias("lo"), (F.col("t0") + (F.col("bin") + 1) * F.col("step")).alias("hi"), F.col("c").alias("n"))
+    return full.join(F.broadcast(m)).where(F.col("c") > F.col("med") + n_sigma * F.sqrt("med")).select((F.col("t0") + F.col("bin") * F.col("step")).alias("lo"), (F.col("t0") + (F.col("bin") + 1) * F.col("step")).alias("hi"), F.col("c").alias("n"))
 
 
 def select_energy(energy: Column, ranges: Sequence[tuple[float, float]]) -> Column:

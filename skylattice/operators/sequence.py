@@ -42,7 +42,7 @@ def running_mean(value: str, half: int, w: Window) -> Column:
 def running_z(value: str, half: int, w: Window) -> Column:
     """Value minus the mean of the rows around it, in their deviations."""
     around = w.rowsBetween(-half, half)
-    return (F.col(value) - F.avg(value).over(around)) / F.stddev_samp(value).over(around)
+    return F.try_divide(F.col(value) - F.avg(value).over(around), F.stddev_samp(value).over(around))
 
 
 def von_neumann(df: DataFrame, t: str, value: str, by: Sequence[str]) -> DataFrame:
@@ -74,7 +74,7 @@ def local_extrema(df: DataFrame, x: str, y: str, by: Sequence[str]) -> DataFrame
     d = d.withColumn("kind", kind).where("kind is not null")
     a, b = F.col(x) - F.col("x0"), F.col(x) - F.col("x2")
     fa, fb = F.col(y) - F.col("y2"), F.col(y) - F.col("y0")
-    return d.select(*by, x, y, "kind", (F.col(x) - 0.5 * (a * a * fa - b * b * fb) / (a * fa - b * fb)).alias("vertex"))
+    return d.select(*by, x, y, "kind", (F.col(x) - 0.5 * F.try_divide(a * a * fa - b * b * fb, a * fa - b * fb)).alias("vertex"))
 
 
 def zero_crossings(df: DataFrame, x: str, y: str, by: Sequence[str]) -> DataFrame:
@@ -98,7 +98,7 @@ def fill_linear(df: DataFrame, x: str, y: str, by: Sequence[str]) -> DataFrame:
     w = Window.partitionBy(*by).orderBy(x)
     known = F.when(F.col(y).isNotNull(), F.struct(F.col(x).alias("x"), F.col(y).alias("y")))
     d = df.withColumn("a", F.last(known, True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("b", F.first(known, True).over(w.rowsBetween(0, Window.unboundedFollowing)))
-    line = F.col("a.y") + (F.col("b.y") - F.col("a.y")) * (F.col(x) - F.col("a.x")) / (F.col("b.x") - F.col("a.x"))
+    line = F.when(F.col("b.x").isNotNull(), F.col("a.y") + F.coalesce(F.try_divide((F.col("b.y") - F.col("a.y")) * (F.col(x) - F.col("a.x")), F.col("b.x") - F.col("a.x")), F.lit(0.0)))
     return d.withColumn("filled", F.coalesce(y, line)).drop("a", "b")
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skylattice.functions.sphere import haversine
+from skylattice.plans.storage import checkpointed
 
 
 def sky(df: DataFrame, key: str) -> DataFrame:
@@ -131,7 +132,7 @@ def unify(epochs: list[DataFrame], radius: float) -> DataFrame:
     out = None
     for i, e in enumerate(epochs):
         e = e.select("id", "ra", "dec").withColumn("epoch", F.lit(i))
-        out = (e if out is None else out.unionByName(unmatched(e, zone_pairs(e, out, radius), "probe_id"))).checkpoint()
+        out = checkpointed(e if out is None else out.unionByName(unmatched(e, zone_pairs(e, out, radius), "probe_id")))
     return out
 
 

@@ -158,7 +158,7 @@ def bootstrap_mean(df: DataFrame, key: str, value: str, by: Sequence[str], n_sim
         weight = F.when(u > total, F.lit(k)).otherwise(weight)
         mass /= k
     d = df.select(key, *by, value).withColumn("sim", F.explode(F.sequence(F.lit(1), F.lit(n_sim)))).withColumn("w", weight)
-    m = d.groupBy(*by, "sim").agg((F.sum(F.col(value) * F.col("w")) / F.sum("w")).alias("m"))
+    m = d.groupBy(*by, "sim").agg(F.try_divide(F.sum(F.col(value) * F.col("w")), F.sum("w")).alias("m"))
     return m.groupBy(*by).agg(F.avg("m").alias("boot_mean"), F.stddev_samp("m").alias("boot_std"))
 
 

@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skylattice.plans.storage import checkpointed
+
 
 def phase(t: Column, t0: Column | float, period: float) -> Column:
     """Phase in [0, 1)."""
@@ -43,7 +45,7 @@ def periodogram(df: DataFrame, t: str, value: str, by: Sequence[str], freqs: Seq
     d = with_frequencies(centred(df, value, by), freqs)
     a = 2 * math.pi * F.col("freq") * F.col(t)
     s = d.groupBy(*by, "freq").agg(F.sum(F.col("m") * F.cos(a)).alias("c"), F.sum(F.col("m") * F.sin(a)).alias("s"), F.first("n").alias("n"), F.first("var").alias("var"))
-    return s.select(*by, "freq", ((F.col("c") * F.col("c") + F.col("s") * F.col("s")) / F.col("n") / F.col("var")).alias("power"))
+    return s.select(*by, "freq", F.try_divide((F.col("c") * F.col("c") + F.col("s") * F.col("s")) / F.col("n"), F.col("var")).alias("power"))
 
 
 def scargle(df: DataFrame, t: str, value: str, by: Sequence[str], freqs: Sequence[float]) -> DataFrame:
@@ -53,8 +55,8 @@ def scargle(df: DataFrame, t: str, value: str, by: Sequence[str], freqs: Sequenc
     tau = d.groupBy(*by, "freq").agg((F.atan2(F.sum(F.sin(2 * w * F.col(t))), F.sum(F.cos(2 * w * F.col(t)))) / (2 * w)).alias("tau"))
     j = d.join(tau, [*by, "freq"])
     c, s = F.cos(w * (F.col(t) - F.col("tau"))), F.sin(w * (F.col(t) - F.col("tau")))
-    a = j.groupBy(*by, "freq").agg((F.pow(F.sum(F.col("m") * c), 2) / F.sum(c * c)).alias("pc"), (F.pow(F.sum(F.col("m") * s), 2) / F.sum(s * s)).alias("ps"), F.first("var").alias("var"))
-    return a.select(*by, "freq", (0.5 * (F.col("pc") + F.col("ps")) / F.col("var")).alias("power"))
+    a = j.groupBy(*by, "freq").agg(F.coalesce(F.try_divide(F.pow(F.sum(F.col("m") * c), F.lit(2)), F.sum(c * c)), F.lit(0.0)).alias("pc"), F.coalesce(F.try_divide(F.pow(F.sum(F.col("m") * s), F.lit(2)), F.sum(s * s)), F.lit(0.0)).alias("ps"), F.first("var").alias("var"))
+    return a.select(*by, "freq", F.try_divide(0.5 * (F.col("pc") + F.col("ps")), F.col("var")).alias("power"))
 
 
 def pdm(df: DataFrame, t: str, value: str, by: Sequence[str], freqs: Sequence[float], n_bin: int) -> DataFrame:
@@ -79,7 +81,7 @@ def string_length(df: DataFrame, t: str, value: str, by: Sequence[str], freqs: S
     """Length of the folded curve."""
     d = with_frequencies(df, freqs).withColumn("ph", phase(F.col(t) * F.col("freq"), F.lit(0.0), 1.0))
     w = Window.partitionBy(*by, "freq").orderBy("ph", value)
-    d = d.withColumn("l", F.sqrt(F.pow(F.col("ph") - F.lag("ph").over(w), 2) + F.pow(F.col(value) - F.lag(value).over(w), 2)))
+    d = d.withColumn("l", F.sqrt(F.pow(F.col("ph") - F.lag("ph").over(w), F.lit(2)) + F.pow(F.col(value) - F.lag(value).over(w), F.lit(2))))
     return d.groupBy(*by, "freq").agg(F.sum("l").alias("length"))
 
 
@@ -89,8 +91,8 @@ def dcf(a: DataFrame, b: DataFrame, t: str, value: str, bin_size: float, max_lag
     x = a.select(F.col(t).alias("ta"), F.col(value).alias("va"), F.floor(F.col(t) / max_lag).alias("k"))
     y = b.select(F.col(t).alias("tb"), F.col(value).alias("vb"), F.explode(F.array(*[F.floor(F.col(t) / max_lag) + i for i in (-1, 0, 1)])).alias("k"))
     j = x.join(y, "k").where(F.abs(F.col("tb") - F.col("ta")) <= max_lag).join(F.broadcast(means(a, "a"))).join(F.broadcast(means(b, "b")))
-    j = j.withColumn("lag_bin", F.round((F.col("tb") - F.col("ta")) / bin_size).cast("bigint")).withColumn("u", (F.col("va") - F.col("am")) * (F.col("vb") - F.col("bm")) / (F.col("as") * F.col("bs")))
-    return j.groupBy("lag_bin").agg(F.avg("u").alias("dcf"), (F.stddev_samp("u") / F.sqrt(F.count("*"))).alias("dcf_err"), F.avg(F.pow(F.col("vb") - F.col("va"), 2)).alias("sf"), F.count("*").alias("n_pairs"))
+    j = j.withColumn("lag_bin", F.round((F.col("tb") - F.col("ta")) / bin_size).cast("bigint")).withColumn("u", F.try_divide((F.col("va") - F.col("am")) * (F.col("vb") - F.col("bm")), F.col("as") * F.col("bs")))
+    return j.groupBy("lag_bin").agg(F.avg("u").alias("dcf"), (F.stddev_samp("u") / F.sqrt(F.count("*"))).alias("dcf_err"), F.avg(F.pow(F.col("vb") - F.col("va"), F.lit(2))).alias("sf"), F.count("*").alias("n_pairs"))
 
 
 def orphans(df: DataFrame, by: str, epoch: str, max_epochs: int) -> DataFrame:
@@ -116,8 +118,8 @@ def relative_photometry(df: DataFrame, source: str, epoch: str, mag: str, rounds
     means = df.groupBy(source).agg(F.avg(mag).alias("mean"))
     zps = None
     for _ in range(rounds):
-        zps = df.join(means, source).groupBy(epoch).agg(F.avg(F.col(mag) - F.col("mean")).alias("zp")).checkpoint()
-        means = df.join(zps, epoch).groupBy(source).agg(F.avg(F.col(mag) - F.col("zp")).alias("mean")).checkpoint()
+        zps = checkpointed(df.join(means, source).groupBy(epoch).agg(F.avg(F.col(mag) - F.col("mean")).alias("zp")))
+        means = checkpointed(df.join(zps, epoch).groupBy(source).agg(F.avg(F.col(mag) - F.col("zp")).alias("mean")))
     return zps, means
 
 
@@ -127,8 +129,8 @@ def sysrem(df: DataFrame, source: str, epoch: str, resid: str, sigma: str, round
     a = df.select(epoch).distinct().withColumn("a", F.lit(1.0))
     c = None
     for _ in range(rounds):
-        c = df.join(a, epoch).groupBy(source).agg((F.sum(F.col(resid) * F.col("a") * w) / F.sum(F.col("a") * F.col("a") * w)).alias("c")).checkpoint()
-        a = df.join(c, source).groupBy(epoch).agg((F.sum(F.col(resid) * F.col("c") * w) / F.sum(F.col("c") * F.col("c") * w)).alias("a")).checkpoint()
+        c = checkpointed(df.join(a, epoch).groupBy(source).agg(F.try_divide(F.sum(F.col(resid) * F.col("a") * w), F.sum(F.col("a") * F.col("a") * w)).alias("c")))
+        a = checkpointed(df.join(c, source).groupBy(epoch).agg(F.try_divide(F.sum(F.col(resid) * F.col("c") * w), F.sum(F.col("c") * F.col("c") * w)).alias("a")))
     return df.join(c, source).join(a, epoch).withColumn("clean", F.col(resid) - F.col("c") * F.col("a")).drop("c", "a")
 
 
@@ -149,7 +151,7 @@ def structure_function(df: DataFrame, t: str, value: str, by: Sequence[str], bin
     a = df.select(*by, F.col(t).alias("ta"), F.col(value).alias("va"), F.floor(F.col(t) / max_lag).alias("k"))
     b = df.select(*by, F.col(t).alias("tb"), F.col(value).alias("vb"), F.explode(F.array(F.floor(F.col(t) / max_lag), F.floor(F.col(t) / max_lag) - 1)).alias("k"))
     j = a.join(b, [*by, "k"]).where((F.col("tb") > F.col("ta")) & (F.col("tb") - F.col("ta") <= max_lag))
-    return j.groupBy(F.floor((F.col("tb") - F.col("ta")) / bin_size).alias("lag_bin")).agg(F.avg(F.pow(F.col("vb") - F.col("va"), 2)).alias("sf"), F.count("*").alias("n_pairs"))
+    return j.groupBy(F.floor((F.col("tb") - F.col("ta")) / bin_size).alias("lag_bin")).agg(F.avg(F.pow(F.col("vb") - F.col("va"), F.lit(2))).alias("sf"), F.count("*").alias("n_pairs"))
 
 
 def stat_summary(df: DataFrame, source: str, value: str) -> DataFrame:
