@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Largest estimated size (bytes) of a join side that is sent to every executor.
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 16 << 20
 #: A key that holds more than 1/HOT_PARTS of the rows is hot; there are fewer than HOT_PARTS such keys.
 HOT_PARTS = 1024
 

@@ -6,8 +6,9 @@ shingles a text; bands of ROWS samples make buckets; candidates are verified by
 their exact weighted Jaccard similarity, and verified links make classes.
 
 No bucket is expanded into all its pairs: its members are first compared with
-its smallest member, and only members that are still in different classes
-afterwards are compared with each other, in blocks.
+the member that shares most buckets; members that are still in different
+classes afterwards meet in blocks of bounded size, where only links that join
+classes leave the task.
 
 Defined results: words are lower-case runs of letters, digits and non-ASCII
 characters; a text of fewer than five words is one shingle; all texts without
@@ -36,8 +37,8 @@ SAMPLES = BANDS * ROWS
 LEAST_EQUAL = 0.5
 #: Word frequencies are counted by bucket of the word's hash.
 FREQ_BITS = 16
-#: Members of a bucket that one task compares with each other.
-BLOCK = 256
+#: Members of a bucket, and bytes of their shingles, that one task compares with each other at a time.
+BLOCK, BLOCK_BYTES = 256, 8 << 20
 
 _RNG = np.random.default_rng(77)
 SEEDS = _RNG.integers(1, 1 << 63, SAMPLES, dtype=np.uint64)
@@ -168,18 +169,29 @@ def could_match(share: float, wa: float, wb: float) -> bool:
 
 
 def bucket_rows(nodes: DataFrame) -> DataFrame:
-    """(bucket, node) for every band of every node with a sample."""
+    """(bucket, band, node) for every band of every node with a sample."""
     bands = F.array(*[F.xxhash64(F.substring("sample", 4 * ROWS * b + 1, 4 * ROWS), F.lit(b)) for b in range(BANDS)])
-    return nodes.where("sample is not null").select("node", F.explode(bands).alias("bucket"))
+    return nodes.where("sample is not null").select("node", F.posexplode(bands).alias("band", "bucket"))
 
 
 def hub_candidates(rows: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pairs leader-member that could match, stored; hubs bucket-leader-size of buckets with several members, stored)."""
-    hubs = store(rows.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("size")).where("size > 1"), "hubs")
-    size = hubs.agg(F.count("*").alias("k"), F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()
-    r = rows_and_attach(rows, hubs, "bucket", "size", size["k"], size["n"], 48, F.xxhash64("node", F.lit(5)))
-    pairs = store(r.where("leader < node").select("leader", F.col("node").alias("member")).distinct(), "hub-pairs")
-    return could_match_pairs(pairs, nodes), hubs
+    """(pairs leader-member that could match, stored; rows of buckets with several members, stored with leader and size).
+
+    The leader of a bucket is the member that meets most others over all its
+    buckets: of copies of one text that differ from each other, that text.
+    """
+    several = store(rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
+    size = several.agg(F.count("*").alias("k"), F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()
+    salt = F.xxhash64("node", F.lit(5))
+    r = rows_and_attach(rows, several.withColumn("met", F.col("size")), "bucket", "size", size["k"], size["n"], 48, salt)
+    r = store(r.where("met is not null"), "bucket-rows")
+    meets = store(r.groupBy("node").agg(F.sum("met").alias("meets")), "meets")
+    r = r.join(meets, "node")
+    hubs = store(r.groupBy("bucket").agg(F.min_by("node", F.struct(-F.col("meets"), F.col("node"))).alias("leader"), F.count("*").alias("size")), "hubs")
+    r = rows_and_attach(r.drop("met", "meets"), hubs, "bucket", "size", size["k"], size["n"], 48, salt)
+    r = store(r, "bucket-leaders")
+    pairs = store(r.where("leader <> node").select("leader", F.col("node").alias("member")).distinct(), "hub-pairs")
+    return could_match_pairs(pairs, nodes), r
 
 
 def hot_keys(pairs: DataFrame, key: str) -> DataFrame:
@@ -202,23 +214,27 @@ def could_match_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return store(map_batches(j.select("leader", "member", "ls", "ms", "lw", "mw"), make, "leader long, member long"), "candidates")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, idf) -> DataFrame:
-    """Stored: the pairs whose exact weighted Jaccard similarity is at least SIMILAR.  Only texts of nodes in pairs are moved."""
-    needed = pairs.select(F.explode(F.array("leader", "member")).alias("node")).distinct().join(nodes.select("node", "first_id", "key_a", "key_b"), "node")
-    needed = store(needed, "needed")
+def texts_of(docs: DataFrame, wanted: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Stored: node and text of the wanted nodes; no other text is moved."""
+    needed = store(wanted.select("node").distinct().join(nodes.select("node", "first_id", "key_a", "key_b"), "node"), "needed")
     ids = needed.select(F.col("first_id").alias("__id")).distinct()
     ids = F.broadcast(ids) if needed.count() * 16 <= BROADCAST_BYTES else ids
     d = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
 
-    def make_keys():
+    def make():
         def fn(c: dict[str, list]) -> dict[str, list]:
             keys = [text_key(h) for h in words_of(c["text"])]
             return {"key_a": [k[0] for k in keys], "key_b": [k[1] for k in keys], "text": c["text"]}
 
         return fn
 
-    texts = map_batches(d, make_keys, "key_a long, key_b long, text string").join(needed, ["key_a", "key_b"]).select("node", "text")
-    texts = store(texts.groupBy("node").agg(F.min("text").alias("text")), "candidate-texts")
+    texts = map_batches(d, make, "key_a long, key_b long, text string").join(needed, ["key_a", "key_b"])
+    return store(texts.groupBy("node").agg(F.min("text").alias("text")), "candidate-texts")
+
+
+def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, idf) -> DataFrame:
+    """Stored: the pairs whose exact weighted Jaccard similarity is at least SIMILAR."""
+    texts = texts_of(docs, pairs.select(F.explode(F.array("leader", "member")).alias("node")), nodes)
     side = lambda c, p: texts.select(F.col("node").alias(c), F.col("text").alias(p))
     j = attach_wide(pairs, side("leader", "lt"), "leader", hot_keys(pairs, "leader"), F.col("member")).join(side("member", "mt"), "member")
 
@@ -273,41 +289,88 @@ def components(links: DataFrame) -> DataFrame:
         labels = labels.drop("old")
 
 
-def leftover_pairs(rows: DataFrame, hubs: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs in one bucket but not yet in one class that could match; the leader has been compared already.
+def open_pairs(sample: np.ndarray, weight: np.ndarray, label: np.ndarray, own: np.ndarray, band: int, inside: bool, a: int) -> np.ndarray:
+    """Members after ``a`` of a block (pair) that could match it, are in another class, and do not meet it in an earlier band."""
+    same = sample[a] == sample[a + 1 :]
+    ok = (same.mean(1) >= LEAST_EQUAL) & (np.minimum(weight[a], weight[a + 1 :]) >= SIMILAR * np.maximum(weight[a], weight[a + 1 :]) * 0.9999) & (label[a + 1 :] != label[a])
+    if not inside:
+        ok &= own[a + 1 :] != own[a]
+    if band and ok.any():
+        ok &= ~same[:, : band * ROWS].reshape(len(same), band, ROWS).all(2).any(1)
+    return np.flatnonzero(ok) + a + 1
+
+
+def block_members(m: list[dict]) -> tuple[np.ndarray, ...]:
+    m.sort(key=lambda x: x["node"])
+    return np.array([np.frombuffer(x["sample"], np.uint32) for x in m]), *(np.array([x[k] for x in m]) for k in ("weight", "label", "own", "node"))
 
-    Members of a large bucket are dealt to blocks, and every pair of blocks is a group of its own.
+
+def leftover_blocks(rows: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Stored: rows (bucket, band, i, j, own, node, label) of blocks, only of members that could match one of another class there.
+
+    A bucket whose members are all in one class is done.  Members of others
+    are dealt to blocks; every pair of blocks is a group of its own.
     """
-    size = hubs.agg(F.count("*").alias("k"), F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()
-    r = rows_and_attach(rows, hubs.where("size > 2"), "bucket", "size", size["k"], size["n"], 48, F.xxhash64("node", F.lit(5)))
-    r = r.where("leader is not null and leader <> node").select("bucket", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    r = store(r, "bucket-members")
-    live = store(r.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("bucket", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "live-buckets")
+    salt = F.xxhash64("node", F.lit(5))
+    r = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).join(nodes.select("node", "weight"), "node")
+    r = store(r.select("bucket", "band", "node", "label", "weight"), "bucket-members")
+    live = r.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("weight").alias("w"), F.min("label").alias("a"), F.max("label").alias("b")).where("n > 2 and a < b")
+    # every word weighs 1 at least, so 12 bytes a unit of weight bound the shingles
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("w") * 12 / BLOCK_BYTES)).cast("int")
+    live = store(live.select("bucket", "n", blocks.alias("blocks")), "live-buckets")
     size = live.agg(F.count("*").alias("k"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-    r = rows_and_attach(r, live, "bucket", "n", size["k"], size["n"], 48, F.xxhash64("node", F.lit(5))).where("blocks is not null")
+    r = rows_and_attach(r, live, "bucket", "n", size["k"], size["n"], 48, salt).where("blocks is not null")
     own = F.pmod(F.xxhash64("node", F.lit(13)), F.col("blocks")).cast("int")
     r = r.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    r = r.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label").join(nodes.select("node", "sample", "weight"), "node")
-    grouped = r.groupBy("bucket", "i", "j").agg(F.collect_list(F.struct("own", "node", "label", "sample", "weight")).alias("m"))
+    r = r.select("bucket", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "weight").join(nodes.select("node", "sample"), "node")
+    grouped = r.groupBy("bucket", "band", "i", "j").agg(F.collect_list(F.struct("own", "node", "label", "sample", "weight")).alias("m"))
 
     def make():
         def fn(c: dict[str, list]) -> dict[str, list]:
-            out: dict[str, list] = {"leader": [], "member": []}
-            for i, j, m in zip(c["i"], c["j"], c["m"], strict=True):
-                s = np.array([np.frombuffer(x["sample"], np.uint32) for x in m])
-                own, node, label, weight = (np.array([x[k] for x in m]) for k in ("own", "node", "label", "weight"))
+            out: dict[str, list] = {k: [] for k in ("bucket", "band", "i", "j", "own", "node", "label")}
+            for bucket, band, i, j, m in zip(c["bucket"], c["band"], c["i"], c["j"], c["m"], strict=True):
+                sample, weight, label, own, node = block_members(m)
+                hit = np.zeros(len(m), bool)
                 for a in range(len(m)):
-                    share = (s[a] == s).mean(1)
-                    ok = (share >= LEAST_EQUAL) & (np.minimum(weight[a], weight) >= SIMILAR * np.maximum(weight[a], weight) * 0.9999) & (label != label[a]) & (node > node[a])
-                    if i != j:
-                        ok &= own != own[a]
-                    out["leader"] += [int(node[a])] * int(ok.sum())
-                    out["member"] += node[ok].tolist()
+                    near = open_pairs(sample, weight, label, own, band, i == j, a)
+                    hit[near] = True
+                    hit[a] |= len(near) > 0
+                for k in np.flatnonzero(hit):
+                    for name, v in zip(out, (bucket, band, i, j, int(own[k]), int(node[k]), int(label[k])), strict=True):
+                        out[name].append(v)
+            return out
+
+        return fn
+
+    return store(map_batches(grouped, make, "bucket long, band int, i int, j int, own int, node long, label long"), "leftovers")
+
+
+def leftover_links(docs: DataFrame, blocks: DataFrame, nodes: DataFrame, idf) -> DataFrame:
+    """Stored: verified links between classes that meet in a block; each block gives a spanning forest of them, not all pairs."""
+    texts = texts_of(docs, blocks, nodes)
+    r = blocks.join(nodes.select("node", "sample", "weight"), "node").join(texts, "node")
+    grouped = r.groupBy("bucket", "band", "i", "j").agg(F.collect_list(F.struct("own", "node", "label", "sample", "weight", "text")).alias("m"))
+
+    def make():
+        table = idf.value
+
+        def fn(c: dict[str, list]) -> dict[str, list]:
+            out: dict[str, list] = {"leader": [], "member": []}
+            for band, i, j, m in zip(c["band"], c["i"], c["j"], c["m"], strict=True):
+                sample, weight, label, own, node = block_members(m)
+                near = [(float((sample[a] == sample[b]).mean()), a, int(b)) for a in range(len(m)) for b in open_pairs(sample, weight, label, own, band, i == j, a)]
+                near.sort(key=lambda x: (-x[0], x[1], x[2]))
+                sets = [shingles(h, table) for h in words_of([x["text"] for x in m])]
+                for _, a, b in near:  # the likeliest first; classes joined on the way need no further link
+                    if label[a] != label[b] and weighted_jaccard(*sets[a], *sets[b]) >= SIMILAR:
+                        out["leader"].append(int(node[a]))
+                        out["member"].append(int(node[b]))
+                        label[label == label[b]] = label[a]
             return out
 
         return fn
 
-    return store(map_batches(grouped.select("i", "j", "m"), make, "leader long, member long").distinct(), "leftovers")
+    return store(map_batches(grouped.select("band", "i", "j", "m"), make, "leader long, member long"), "leftover-links")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -317,12 +380,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nodes = sig.groupBy("key_a", "key_b").agg(F.min("rid").alias("node"), F.min("doc_id").alias("first_id"), F.min(F.struct("weight", "sample")).alias("s"))
     nodes = store(nodes.select("key_a", "key_b", "node", "first_id", "s.weight", "s.sample"), "nodes")
     rows = bucket_rows(nodes)
-    pairs, hubs = hub_candidates(rows, nodes)
+    pairs, met = hub_candidates(rows, nodes)
     links = verified(docs, pairs, nodes, idf)
     labels = components(links)
-    rest = leftover_pairs(rows, hubs, labels, nodes)
+    rest = leftover_blocks(met, labels, nodes)
     if rest.limit(1).count():
-        more = verified(docs, rest, nodes, idf)
+        more = leftover_links(docs, rest, nodes, idf)
         if more.limit(1).count():
             labels = components(links.unionByName(more))
     classes = nodes.join(labels, "node", "left").select("key_a", "key_b", "first_id", F.coalesce("label", "node").alias("label"))
