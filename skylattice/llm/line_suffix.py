@@ -160,3 +160,17 @@ def without_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     text = F.when(F.col("__cuts").isNull(), docs["text"]).otherwise(F.array_join(spared, "\n"))
     removed = F.when(F.col("__cuts").isNull(), F.lit(0)).otherwise(F.size(lines) - F.size(spared))
     return j.select(*[text.alias("text") if c == "text" else docs[c] for c in docs.columns], removed.cast("bigint").alias("__removed"))
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS raw FROM documents),
+l AS (SELECT doc_id, i, trim(raw[i]) AS line, len(string_split_regex(trim(raw[i]), '\s+')) AS nw FROM (SELECT doc_id, raw, unnest(range(1, len(raw)+1)) AS i FROM d) WHERE trim(raw[i]) <> ''),
+q AS (SELECT *, row_number() OVER w AS p, sum(nw) OVER w AS c FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+s AS (SELECT doc_id, list(line ORDER BY p) AS lines, list(i ORDER BY p) AS place, list(c ORDER BY p) AS cum FROM q GROUP BY doc_id),
+r AS (SELECT a.doc_id, a.p AS p, min(b.p) AS e FROM q a JOIN q b ON a.doc_id = b.doc_id AND b.p >= a.p AND b.c - a.c + a.nw >= 50 GROUP BY 1, 2
+  UNION SELECT b.doc_id, max(a.p), b.p FROM q a JOIN q b ON a.doc_id = b.doc_id AND b.p >= a.p AND b.c - a.c + a.nw >= 50 GROUP BY 1, b.p),
+n AS (SELECT r.doc_id, p, e, place[p] AS i0, place[e] AS i1, lines[p:e] AS run FROM r JOIN s USING (doc_id)),
+f AS (SELECT *, min((doc_id, p)) OVER (PARTITION BY run) AS f FROM n),
+x AS (SELECT doc_id, list(DISTINCT j) AS gone FROM (SELECT doc_id, unnest(range(i0, i1+1)) AS j FROM f WHERE f <> (doc_id, p)) GROUP BY doc_id)
+SELECT doc_id, CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_filter(raw, lambda y, j: NOT list_contains(gone, j)), chr(10)) END AS text, coalesce(len(gone), 0) AS n_removed FROM d LEFT JOIN x USING (doc_id)
+"""

@@ -87,4 +87,4 @@ def pipeline(spark, d):
     return corpus_pipeline.run(spark, d)
 
 
-ORACLE["op9_benchmark_decontamination"] = decontaminate.ORACLE
+ORACLE |= {"op1_warc_boundary_chain": warc.ORACLE, "op5_secret_ownership": secrets.ORACLE, "op6_line_suffix_array": line_suffix.ORACLE, "op9_benchmark_decontamination": decontaminate.ORACLE}

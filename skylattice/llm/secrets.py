@@ -92,3 +92,22 @@ def scan_secrets(docs: DataFrame, owner: Column, repository: Column, min_owners:
     base = joined(F.filter("spans", lambda x: x["kind"] < 3))
     out = a.join(c, "rid", "left")
     return out.select("doc_id", kind(0), kind(1), kind(2), F.sha2(base, 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), F.coalesce("n_example", F.lit(0)).alias("n_example"), F.coalesce("n_live", F.lit(0)).alias("n_live"))
+
+
+def _spans_sql(kind: int, pattern: str, group: int, least: int) -> str:
+    p = pattern.replace("'", "''")
+    return f"""SELECT rid, {kind} AS kind, unnest(list_transform(range(1, len(m)+1), lambda k: {{'s': coalesce(list_sum(list_transform(g[1:k], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:k-1], lambda x: length(x))), 0), 'n': length(m[k]), 'v': v[k]}})) AS x, {least} AS least
+FROM (SELECT rid, regexp_extract_all(t, '{p}') AS m, regexp_split_to_array(t, '{p}') AS g, regexp_extract_all(t, '{p}', {group}) AS v FROM d) WHERE len(m) > 0"""
+
+
+_NAME = str(list(KINDS)) + "[kind+1] || ':' || s || ':' || e"
+
+ORACLE = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, lang, coalesce(text, '') AS t FROM documents),
+c AS (SELECT rid, kind, x.s AS s, x.s + x.n AS e, x.v AS v FROM ({" UNION ALL ".join(_spans_sql(*x) for x in ((0, ASSIGN, 2, 6), (1, ACCESS, 0, 1), (2, HEX, 0, 1), (3, ISSUED, 0, 1)))}) WHERE length(x.v) >= least),
+o AS (SELECT v, count(DISTINCT coalesce(source, '')) AS owners FROM c JOIN d USING (rid) GROUP BY v),
+n AS (SELECT rid, string_agg({_NAME}, ',' ORDER BY s, kind) AS spans, string_agg({_NAME}, ',' ORDER BY s, kind) FILTER (kind < 3) AS base,
+  count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, count(*) FILTER (owners >= 3) AS n_example,
+  count(*) FILTER (owners = 1 AND length(v) >= 16 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND len(list_distinct(string_split(v, ''))) >= 8) AS n_live FROM c JOIN o USING (v) GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_example, 0) AS n_example, coalesce(n_live, 0) AS n_live FROM d LEFT JOIN n USING (rid)
+"""

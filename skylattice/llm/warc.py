@@ -197,3 +197,13 @@ def stitched(spark: SparkSession, true: DataFrame, f: DataFrame, with_payload: b
         return fn
 
     return map_batches(head.join(got, ["file", "owner"]).drop("file", "owner"), make, schema)
+
+
+ORACLE = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first_id FROM p)
+SELECT page_id, strlen(body)::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, 5*(k//4)::INT + 1, 5))::INT >> (15 - 5*(k%4))::INT) & 31) + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM f
+"""
