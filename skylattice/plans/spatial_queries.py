@@ -128,7 +128,7 @@ def match_plane(spark, d):
     return rounded(sp.plane_pairs(_plane(spark, d, "p_size <= 10"), _plane(spark, d, "p_size > 40"), 1.55), "dist")
 
 
-@R.query("shift_pairs", f"WITH t AS (SELECT p_partkey AS id, {PART}, p_size FROM part), h AS (SELECT round((b.x+1.5-a.x)/0.5)::BIGINT AS ix, round((b.y-1.0-a.y)/0.5)::BIGINT AS iy, count(*) AS n FROM t a, t b WHERE a.p_size <= 10 AND b.p_size <= 10 AND sqrt(pow(b.x+1.5-a.x,2)+pow(b.y-1.0-a.y,2)) <= 3.0*sqrt(2.0) GROUP BY ALL) SELECT ix*0.5 AS dx, iy*0.5 AS dy, n FROM h ORDER BY n DESC, ix, iy LIMIT 1")
+@R.query("shift_pairs", f"WITH t AS (SELECT p_partkey AS id, {PART}, p_size FROM part), h AS (SELECT round((b.x+1.5-a.x)/0.5)::BIGINT AS ix, round((b.y-1.0-a.y)/0.5)::BIGINT AS iy, count(*) AS n FROM t a, t b WHERE a.p_size <= 10 AND b.p_size <= 10 AND sqrt(pow(b.x+1.5-a.x,2)+pow(b.y-1.0-a.y,2)) <= 3.0*sqrt(2.0) GROUP BY ALL) SELECT (ix*0.5)::DOUBLE AS dx, (iy*0.5)::DOUBLE AS dy, n FROM h ORDER BY n DESC, ix, iy LIMIT 1")
 def shift_pairs(spark, d):
     a = _plane(spark, d, "p_size <= 10")
     return sp.best_shift(a, a.withColumn("x", F.col("x") + 1.5).withColumn("y", F.col("y") - 1.0), 3.0, 0.5)

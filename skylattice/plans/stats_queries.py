@@ -102,7 +102,7 @@ def binning(spark, d):
     return rounded(st.binning(_li(spark, d), "l_quantity", "v", 0.0, 60.0, 7.0), "mid", "mean", "std", digits=5)
 
 
-@R.query("binning_fast", LI + "SELECT b.bin, round((b.bin-0.5)*7.0, 6) AS mid, coalesce(n, 0) AS n, round(coalesce(mean, 0.0), 5) AS mean, round(std, 5) AS std FROM (SELECT unnest(range(1, 9)) AS bin) b LEFT JOIN (SELECT ceil(l_quantity/7.0)::BIGINT AS bin, count(v) AS n, avg(v) AS mean, stddev_samp(v) AS std FROM t GROUP BY 1) USING (bin)")
+@R.query("binning_fast", LI + "SELECT b.bin, round((b.bin-0.5)*7.0, 6)::DOUBLE AS mid, coalesce(n, 0) AS n, round(coalesce(mean, 0.0), 5) AS mean, round(std, 5) AS std FROM (SELECT unnest(range(1, 9)) AS bin) b LEFT JOIN (SELECT ceil(l_quantity/7.0)::BIGINT AS bin, count(v) AS n, avg(v) AS mean, stddev_samp(v) AS std FROM t GROUP BY 1) USING (bin)")
 def binning_fast(spark, d):
     return rounded(st.binning(_li(spark, d), "l_quantity", "v", 0.0, 60.0, 7.0, rescale=False, fill=0.0), "mid", "mean", "std", digits=5)
 

@@ -133,7 +133,7 @@ def unique_count(spark, d):
 @R.query("dictionary_codes", "SELECT DISTINCT p_type, dense_rank() OVER (ORDER BY p_type) AS code FROM part")
 def dictionary_codes(spark, d):
     # the ranking is over the distinct values only, after they have been combined
-    return table(spark, d, "part").select("p_type").distinct().withColumn("code", F.row_number().over(Window.orderBy("p_type")))
+    return table(spark, d, "part").select("p_type").distinct().withColumn("code", F.row_number().over(Window.orderBy("p_type")).cast("bigint"))
 
 
 @R.query("get_val_alias", "SELECT e.event_id, coalesce(CASE WHEN event_type = 'click' THEN value END, CASE WHEN event_type = 'view' THEN value*2 END, -1.0) AS v FROM events e")
