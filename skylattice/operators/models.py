@@ -19,12 +19,11 @@ def per_series(df: DataFrame, by: str, columns: Sequence[str], fn: Callable[[pd.
     kind = df.schema[by].dataType.simpleString()
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        clean = g.dropna(subset=list(columns)).sort_values(list(columns))
-        out = pd.DataFrame(fn(clean)) if len(clean) else pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
+        out = pd.DataFrame(fn(g.sort_values(list(columns))))
         out.insert(0, by, g[by].iloc[0])
         return out
 
-    return df.select(by, *columns).groupBy(by).applyInPandas(run, f"{by} {kind}, {schema}")
+    return df.select(by, *columns).dropna(subset=list(columns)).groupBy(by).applyInPandas(run, f"{by} {kind}, {schema}")
 
 
 def polynomial(df: DataFrame, by: str, t: str, v: str, degree: int) -> DataFrame:
