@@ -191,6 +191,11 @@ def proper_motion(lon: Column, lat: Column, pm_lon: Column, pm_lat: Column, year
     return move(lon, lat, F.sqrt(dx * dx + dy * dy), F.atan2(dx, dy))
 
 
+def aberrated(lon: Column, lat: Column, velocity: tuple[float, float, float]) -> tuple[Column, Column]:
+    """Apparent position for an observer's velocity in units of the speed of light (first order in it)."""
+    return from_unit_vector(*[x + v for x, v in zip(unit_vector(lon, lat), velocity, strict=True)])
+
+
 def plane_dist(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     return F.sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1))
 

@@ -18,6 +18,12 @@ def design_matrix(df: DataFrame, key: str, terms: Sequence[Column], y: str) -> D
     return df.select(key, *[t.alias(f"h{i}") for i, t in enumerate(terms)], F.col(y).alias("y"))
 
 
+def indicator_design(df: DataFrame, key: str, source: str, epoch: str) -> DataFrame:
+    """Sparse design matrix of mag = zp(epoch) + mean(source): (key, name of the column, 1) for both unknowns of every row."""
+    names = F.array(F.concat(F.lit("zp_"), F.col(epoch).cast("string")), F.concat(F.lit("mean_"), F.col(source).cast("string")))
+    return df.select(key, F.explode(names).alias("column")).withColumn("h", F.lit(1.0))
+
+
 def summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Count, mean and extremes of columns, one row each, in one pass."""
     one = df.agg(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("n", F.count), ("m", F.avg), ("lo", F.min), ("hi", F.max))])

@@ -74,6 +74,20 @@ def fft_power(df: DataFrame, by: str, t: str, v: str) -> DataFrame:
     return per_series(df, by, [t, v], fn, "freq double, power double")
 
 
+def lag_correlation(df: DataFrame, by: str, t: str, v1: str, v2: str, max_lag: int) -> DataFrame:
+    """Correlation of two evenly spaced columns of a series at every lag up to max_lag, by FFT."""
+
+    def fn(g):
+        a, b = (g[c].to_numpy(float) - g[c].mean() for c in (v1, v2))
+        n = 2 * len(a)
+        c = np.fft.irfft(np.conj(np.fft.rfft(a, n)) * np.fft.rfft(b, n), n)
+        norm = len(a) * np.std(a) * np.std(b)
+        lags = np.arange(-min(max_lag, len(a) - 1), min(max_lag, len(a) - 1) + 1)
+        return {"lag": lags, "corr": c[lags] / norm if norm else np.zeros(len(lags))}
+
+    return per_series(df, by, [t, v1, v2], fn, "lag long, corr double")
+
+
 def gaussian_process(df: DataFrame, by: str, t: str, v: str, grid: Sequence[float], length: float, noise: float) -> DataFrame:
     """Gaussian-process interpolation with a squared-exponential kernel at fixed times."""
     at = np.asarray(grid, float)

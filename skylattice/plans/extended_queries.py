@@ -129,3 +129,30 @@ def file_name_fields(spark, d):
     n = filenames.compose(F.lit("LAST"), F.lit("t"), F.lit("r"), F.lit("f"), F.col("s_suppkey").cast("string"), F.lit("1"), F.lit("c"), F.lit("sci"), F.lit("raw"), F.lit("Image"), F.lit("1"))
     d2 = table(spark, d, "supplier").select("s_suppkey", n.alias("name"))
     return d2.select("s_suppkey", filenames.field(F.col("name"), "project").alias("project"), filenames.field(F.col("name"), "counter").alias("counter"), "name")
+
+
+@R.query("rotation_scale")
+def rotation_scale(spark, d):
+    import math
+
+    from skylattice.operators.registration import rotation_and_scale
+
+    a = _plane(spark, d, "p_size <= 5")
+    c, s, k = math.cos(math.radians(30)), math.sin(math.radians(30)), 1.2
+    b = a.select("id", (k * (c * F.col("x") - s * F.col("y"))).alias("x"), (k * (s * F.col("x") + c * F.col("y"))).alias("y"))
+    return rounded(rotation_and_scale(a, b, 10.0), "angle", "scale")
+
+
+@R.query("indicator_design", LC + "SELECT id, 'zp_' || floor(t/365)::BIGINT AS column, 1.0::DOUBLE AS h FROM lc WHERE source <= 5 UNION ALL SELECT id, 'mean_' || source, 1.0 FROM lc WHERE source <= 5")
+def indicator_design(spark, d):
+    from skylattice.operators.catalogs import indicator_design as design
+
+    return design(light_curve(spark, d).where("source <= 5").withColumn("e", F.floor(F.col("t") / 365)), "id", "source", "e")
+
+
+@R.query("lag_correlation")
+def lag_correlation(spark, d):
+    from skylattice.operators.models import lag_correlation as lags
+
+    m = light_curve(spark, d).groupBy("source", F.floor(F.col("t") / 30).alias("e")).agg(F.avg("flux").alias("a"), F.avg("err").alias("b"))
+    return lags(m, "source", "e", "a", "b", 5)

@@ -77,3 +77,17 @@ def test_hash_numbers_are_uniform_and_repeatable(spark):
     r = u.agg(F.avg("u").alias("m"), F.stddev("z").alias("s"), F.avg("z").alias("zm")).first()
     assert abs(r.m - 0.5) < 0.01 and abs(r.s - 1) < 0.03 and abs(r.zm) < 0.03
     assert u.exceptAll(u).count() == 0
+
+
+def test_registration_finds_rotation_and_scale(spark):
+    import math
+
+    from skylattice.operators.registration import rotation_and_scale
+
+    rng = np.random.default_rng(2)
+    p = rng.uniform(0, 100, (120, 2))
+    a = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(p)], "id long, x double, y double")
+    c, s = math.cos(math.radians(40)), math.sin(math.radians(40))
+    b = spark.createDataFrame([(i, float(1.25 * (c * x - s * y)) + 7, float(1.25 * (s * x + c * y)) - 3) for i, (x, y) in enumerate(p)], "id long, x double, y double")
+    r = rotation_and_scale(a, b, 25.0).first()
+    assert abs(r.angle - 40) <= 1 and abs(r.scale - 1.25) < 0.03
