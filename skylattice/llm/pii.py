@@ -25,6 +25,7 @@ PHONE = DIGITS | set(" ().-")
 SCHEMES = ("http://", "https://", "ftp://")
 CUES = ("account", "acct", "iban", "passport", "ssn")
 URL_END = frozenset(" \t\r\n\"'<>|)]}")
+SEPARATORS = frozenset(" :#=.-")
 
 
 def run(text: str, at: int, allowed: frozenset | set) -> int:
@@ -93,29 +94,31 @@ def phone(text: str, at: int) -> tuple[int, bool] | None:
     return end, 9 <= sum(c in DIGITS for c in text[at:end]) <= 15
 
 
-def url(text: str, at: int, scheme_end: int) -> int | None:
-    """End of a URL that carries a user part or a query, else None."""
-    end = scheme_end
-    while end < len(text) and text[end] not in URL_END:
-        end += 1
-    while end > scheme_end and text[end - 1] in ".,;:!":
+def url_run(text: str, at: int) -> tuple[int, int, int]:
+    """Of the run of URL characters from ``at``: its end, its end without closing punctuation, the last @ or ? (or -1)."""
+    stop = at
+    while stop < len(text) and text[stop] not in URL_END:
+        stop += 1
+    end = stop
+    while end > at and text[end - 1] in ".,;:!":
         end -= 1
-    body = text[scheme_end:end]
-    return end if "@" in body or "?" in body else None
+    return stop, end, max(text.rfind("@", at, end), text.rfind("?", at, end))
 
 
 def account(text: str, cue_end: int) -> tuple[int, int] | None:
-    """The identifier after a cue: up to two separators or short words, then 6-34 capitals and digits with 3 digits at least."""
+    """The identifier after a cue: up to three separators or short words, then 6-34 capitals and digits with 3 digits at least."""
     at = cue_end
     for _ in range(3):
-        at = run(text, at, frozenset(" :#=.-"))
+        at = run(text, at, SEPARATORS)
         for word in ("number", "no", "id"):
             if text[at : at + len(word)].lower() == word:
                 at += len(word)
                 break
         else:
             break
-    end = run(text, at, ALNUM)
+    end = at
+    while end < len(text) and end - at <= 34 and text[end] in ALNUM:
+        end += 1
     token = text[at:end]
     if at > cue_end and 6 <= len(token) <= 34 and token == token.upper() and sum(c in DIGITS for c in token) >= 3:
         return at, end
@@ -139,6 +142,7 @@ def find(text: str, anchors: ahocorasick.Automaton) -> list[tuple[int, int, int]
     """(kind, start, end) of every span, by kind and then start."""
     out: list[tuple[int, int, int]] = []
     low = [0] * len(KINDS)
+    stop, url_end, mark = 0, 0, -1  # of the run of URL characters met last: nested schemes share it
     for last, (what, size) in anchors.iter(text):
         at = last - size + 1
         if what == "@":
@@ -151,9 +155,11 @@ def find(text: str, anchors: ahocorasick.Automaton) -> list[tuple[int, int, int]
                 if hit[1]:
                     out.append((3, at, hit[0]))
         elif what == "scheme":
-            if at >= low[4] and (end := url(text, at, at + size)):
-                low[4] = end
-                out.append((4, at, end))
+            if at >= stop:
+                stop, url_end, mark = url_run(text, at)
+            if at >= low[4] and mark >= at + size:  # a URL with a user part or a query
+                low[4] = url_end
+                out.append((4, at, url_end))
         elif what == "cue":
             if at >= low[5] and (hit := account(text, at + size)):
                 low[5] = hit[1]

@@ -353,6 +353,13 @@ def test_pii_spans():
         assert [x for x in pii.find(s, anchors) if x[0] < 4] == brute_pii(s)
 
 
+def test_pii_time_is_linear():
+    anchors = pii.automaton()
+    for unit in ("http://", "ssn", "@", "a@", "+1", "1.", "1 ", "http://!", "account "):
+        pii.find(unit * 50_000, anchors)
+    assert pii.find("see https://u:p@h.org/x?y=1, and account no: AB123456.", anchors) == [(0, 14, 21), (4, 4, 27), (5, 45, 53)]
+
+
 def test_pii_rows(spark):
     r = pii.find_pii(odd(spark)).collect()
     assert len(r) == 7 and next(x for x in r if x.doc_id == 1).base_sha256 == sha("") and next(x for x in r if x.doc_id is None).n_email == 9
