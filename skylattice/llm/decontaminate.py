@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from skylattice.llm.common import BROADCAST_BYTES, let, store
 
 WINDOW = 13
+#: Copies of a benchmark window where the benchmark is not broadcast.
+SALTS = 16
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -38,6 +40,19 @@ def benchmark_grams(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return g.groupBy(F.xxhash64("gram", "len").alias("gram_hash"), F.col("len").alias("gram_len"), "gram").agg(F.collect_set("item_id").alias("items"))
 
 
+def n_windows(n: Column, k: int) -> Column:
+    return F.greatest(n - (k - 1), F.lit(0))
+
+
+def place(lens: list[int], n: Column) -> Column:
+    """Word position of hash number ``at``: after the marker, the windows of each length follow one another."""
+    start, before = F.lit(None).cast("int"), F.lit(1)
+    for k in lens:
+        start = F.when(F.col("gram_len") == k, F.col("at") - before).otherwise(start)
+        before = before + n_windows(n, k)
+    return start
+
+
 def window_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row per distinct (doc_id, text): n_rows of it, n_words, spans [{pos, len}] of verified windows, items.
 
@@ -48,29 +63,45 @@ def window_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
     size = grams.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length(F.array_join("gram", " ")) + 8 * F.size("items") + 64), F.lit(0)).alias("b"), F.collect_set("gram_len").alias("lens")).first()
     lens = sorted(size["lens"], reverse=True) or [window]
     n = F.size("w")
-    count = lambda length: F.greatest(n - (length - 1), F.lit(0))
 
     def hashes(k: int) -> Column:
-        return F.when(n >= k, F.transform(F.sequence(F.lit(1), count(k)), lambda i: F.xxhash64(F.slice("w", i, k), F.lit(k)))).otherwise(F.array().cast("array<bigint>"))
+        return F.when(n >= k, F.transform(F.sequence(F.lit(1), n_windows(n, k)), lambda i: F.xxhash64(F.slice("w", i, k), F.lit(k)))).otherwise(F.array().cast("array<bigint>"))
 
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t")).select("doc_id", F.xxhash64("t").alias("kid"), normal_words(F.col("t")).alias("w"))
     d = d.select("doc_id", "kid", "w", F.concat(F.array(F.lit(0).cast("bigint")), *map(hashes, lens)).alias("hashes"))
+    if size["b"] > BROADCAST_BYTES:
+        return spread_hits(d, grams, lens)
     # the outer form: from the plain one Catalyst infers a filter that computes the words again
     d = d.select("doc_id", "kid", "w", F.posexplode_outer("hashes").alias("at", "gram_hash"))
-    small = size["b"] <= BROADCAST_BYTES
-    j = d.join(F.broadcast(grams) if small else grams, "gram_hash", "left")
-    start, before = F.lit(None).cast("int"), F.lit(1)
-    for k in lens:  # windows of each length follow one another
-        start = F.when(F.col("gram_len") == k, F.col("at") - before).otherwise(start)
-        before = before + count(k)
-    j = j.withColumn("pos", F.when(F.col("at") == 0, F.lit(-1)).otherwise(start))
-    true = (F.col("pos") >= 0) & (F.slice("w", F.greatest(F.col("pos"), F.lit(0)) + 1, F.coalesce("gram_len", F.lit(1))) == F.col("gram"))
-    j = j.where((F.col("at") == 0) | true)
+    j = d.join(F.broadcast(grams), "gram_hash", "left")
     mark = F.col("at") == 0
+    j = j.withColumn("pos", F.when(mark, F.lit(-1)).otherwise(place(lens, n)))
+    true = (F.col("pos") >= 0) & (F.slice("w", F.greatest(F.col("pos"), F.lit(0)) + 1, F.coalesce("gram_len", F.lit(1))) == F.col("gram"))
+    j = j.where(mark | true)
     j = j.select("doc_id", "kid", mark.alias("mark"), F.when(mark, n).alias("n"), F.when(~mark, F.struct("pos", F.col("gram_len").alias("len"))).alias("span"), F.when(~mark, F.col("items")).alias("items"))
     return j.groupBy("doc_id", "kid").agg(F.count_if("mark").alias("n_rows"), F.max("n").cast("bigint").alias("n_words"), F.array_sort(F.collect_set("span")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
 
 
+def spread_hits(d: DataFrame, grams: DataFrame, lens: list[int]) -> DataFrame:
+    """window_hits for a benchmark too large to broadcast.
+
+    Only hashes go through the equi-join, without the words; each window of
+    the benchmark is copied to SALTS places, so that one that many documents
+    hold is met by several tasks.  Hits are verified where the words are.
+    """
+    salt = F.pmod(F.xxhash64("doc_id", "kid"), F.lit(SALTS)).cast("int")
+    h = d.select("doc_id", "kid", salt.alias("salt"), F.size("w").alias("n"), F.posexplode_outer("hashes").alias("at", "gram_hash")).where("at > 0")
+    g = grams.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = h.join(g, ["gram_hash", "salt"]).select("doc_id", "kid", F.struct(place(lens, F.col("n")).alias("pos"), F.col("gram_len").alias("len"), "gram", "items").alias("x"))
+    met = met.groupBy("doc_id", "kid").agg(F.collect_set("x").alias("met")).select(F.col("doc_id").alias("__d"), F.col("kid").alias("__k"), "met")
+    one = d.groupBy("doc_id", "kid").agg(F.count("*").alias("n_rows"), F.first("w").alias("w"))
+    j = one.join(met, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("kid") == F.col("__k")), "left")
+    true = F.filter(F.coalesce("met", F.array().cast(met.schema["met"].dataType)), lambda x: F.slice("w", x["pos"] + 1, x["len"]) == x["gram"])
+    j = j.select("doc_id", "kid", "n_rows", F.size("w").cast("bigint").alias("n_words"), true.alias("true"))
+    spans = F.array_sort(F.array_distinct(F.transform("true", lambda x: F.struct(x["pos"].alias("pos"), x["len"].alias("len")))))
+    return j.select("doc_id", "kid", "n_rows", "n_words", spans.alias("spans"), F.array_distinct(F.flatten(F.transform("true", lambda x: x["items"]))).alias("items"))
+
+
 def covered(spans: Column) -> Column:
     """Words inside at least one span; spans sorted by position."""
     step = lambda a, s: F.struct(F.greatest(a["end"], s["pos"] + s["len"]).alias("end"), (a["n"] + F.greatest(F.lit(0), s["pos"] + s["len"] - F.greatest(a["end"], s["pos"]))).cast("bigint").alias("n"))

@@ -426,7 +426,9 @@ def test_contamination(spark, monkeypatch, limit):
     assert {r.doc_id for r in decontaminate.drop_contaminated(docs_of(spark, texts), b).collect()} == set(range(len(texts))) - bad
 
 
-def test_contamination_of_odd_and_empty_tables(spark):
+@pytest.mark.parametrize("limit", [0, 1 << 24])
+def test_contamination_of_odd_and_empty_tables(spark, monkeypatch, limit):
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", limit)
     d, b = odd(spark), spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     assert decontaminate.score_contamination(d, b).where("contaminated").count() == 2
     assert decontaminate.score_contamination(d, b.limit(0)).where("contaminated").count() == 0
