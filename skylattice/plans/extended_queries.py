@@ -156,3 +156,10 @@ def lag_correlation(spark, d):
 
     m = light_curve(spark, d).groupBy("source", F.floor(F.col("t") / 30).alias("e")).agg(F.avg("flux").alias("a"), F.avg("err").alias("b"))
     return lags(m, "source", "e", "a", "b", 5)
+
+
+@R.query("cadence_weight", "SELECT c_custkey, round(CASE WHEN w < 0.7 THEN 1.1/(1+exp(-(w-0.7)/0.5)) ELSE 1.0+(1.1-1.0)*exp(-(w-0.7)/2.0) END, 9) AS weight FROM (SELECT c_custkey, abs(c_acctbal)/1000 AS w FROM customer)")
+def cadence_weight(spark, d):
+    from skylattice.functions.schedule import cadence_weight as weight
+
+    return table(spark, d, "customer").select("c_custkey", F.round(weight(F.abs("c_acctbal") / 1000), 9).alias("weight"))

@@ -137,3 +137,11 @@ def test_image_neighbours(spark):
     assert (2, 2) in {(x.r, x.c) for x in cubes.local_maxima(im).collect()}
     s = cubes.correlate(im, [[0, 0, 0], [0, 1, 0], [0, 0, 0]])
     assert s.join(im.withColumnRenamed("v", "w"), ["r", "c"]).where("v <> w").count() == 0
+
+
+def test_cadence_weight(spark):
+    from skylattice.functions.schedule import cadence_weight
+
+    d = spark.createDataFrame([(0, 0.7), (1, 100.0), (2, None), (3, -1000.0)], "id int, w double")
+    got = {r.id: r.x for r in d.select("id", cadence_weight(F.col("w")).alias("x")).collect()}
+    assert abs(got[0] - 1.1) < 1e-12 and abs(got[1] - 1.0) < 1e-9 and got[2] is None and got[3] == 0
