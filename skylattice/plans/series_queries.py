@@ -116,29 +116,51 @@ def _few(spark, d):
     return light_curve(spark, d).where("source <= 20")
 
 
+def all_sources(registry: Registry, fn, *cuts: str) -> None:
+    """Register NAME_all: a query whose SQL holds a subset of the sources, over every source; its SQL is the same without the cuts."""
+    sql = registry.oracle[fn.__name__]
+    for cut in cuts:
+        if cut not in sql:
+            raise ValueError(f"{fn.__name__}: no {cut!r} in its SQL")
+        sql = sql.replace(cut, "")
+    registry.query(f"{fn.__name__}_all", sql)(lambda spark, d: fn(spark, d, light_curve))
+
+
 @R.query("periodogram", CENTRED + "SELECT source, round(freq, 4) AS freq, round((pow(sum(m*cos(2*pi()*freq*t)),2)+pow(sum(m*sin(2*pi()*freq*t)),2))/any_value(n)/any_value(var), 5) AS power FROM f JOIN st USING (source) GROUP BY source, freq")
-def periodogram(spark, d):
-    return ts.periodogram(_few(spark, d), "t", "flux", ["source"], FREQS).select("source", F.round("freq", 4).alias("freq"), F.round("power", 5).alias("power"))
+def periodogram(spark, d, lc=_few):
+    return ts.periodogram(lc(spark, d), "t", "flux", ["source"], FREQS).select("source", F.round("freq", 4).alias("freq"), F.round("power", 5).alias("power"))
+
+
+all_sources(R, periodogram, " WHERE source <= 20")
 
 
 @R.query("scargle", CENTRED + ", tau AS (SELECT source, freq, atan2(sum(sin(4*pi()*freq*t)), sum(cos(4*pi()*freq*t)))/(4*pi()*freq) AS tau FROM f GROUP BY source, freq) SELECT source, round(freq, 4) AS freq, round(0.5*(pow(sum(m*cos(2*pi()*freq*(t-tau))),2)/sum(pow(cos(2*pi()*freq*(t-tau)),2)) + pow(sum(m*sin(2*pi()*freq*(t-tau))),2)/sum(pow(sin(2*pi()*freq*(t-tau)),2)))/any_value(var), 5) AS power FROM f JOIN tau USING (source, freq) JOIN st USING (source) GROUP BY source, freq")
-def scargle(spark, d):
-    return ts.scargle(_few(spark, d), "t", "flux", ["source"], FREQS).select("source", F.round("freq", 4).alias("freq"), F.round("power", 5).alias("power"))
+def scargle(spark, d, lc=_few):
+    return ts.scargle(lc(spark, d), "t", "flux", ["source"], FREQS).select("source", F.round("freq", 4).alias("freq"), F.round("power", 5).alias("power"))
+
+
+all_sources(R, scargle, " WHERE source <= 20")
 
 
 @R.query("pdm", CENTRED + ", b AS (SELECT source, freq, floor((t*freq - floor(t*freq))*8) AS b, flux FROM f), w AS (SELECT source, freq, b, count(*) AS n, coalesce(var_samp(flux), 0) AS v FROM b GROUP BY ALL) SELECT source, round(freq, 4) AS freq, round(sum((n-1)*v)/(any_value(var)*(sum(n)-1)), 5) AS theta FROM w JOIN (SELECT source, var FROM st) USING (source) GROUP BY source, freq")
-def pdm(spark, d):
-    return ts.pdm(_few(spark, d), "t", "flux", ["source"], FREQS, 8).select("source", F.round("freq", 4).alias("freq"), F.round("theta", 5).alias("theta"))
+def pdm(spark, d, lc=_few):
+    return ts.pdm(lc(spark, d), "t", "flux", ["source"], FREQS, 8).select("source", F.round("freq", 4).alias("freq"), F.round("theta", 5).alias("theta"))
+
+
+all_sources(R, pdm, " WHERE source <= 20")
 
 
 @R.query("phase_entropy", LC + f", r AS (SELECT source, min(flux) AS lo, max(flux) AS hi, count(*) AS n FROM lc WHERE source <= 20 GROUP BY 1), c AS (SELECT source, freq, count(*)/any_value(n) AS p FROM (SELECT source, freq, n, floor((t*freq-floor(t*freq))*5) AS i, least(4, floor((flux-lo)/(hi-lo)*5)) AS j FROM lc JOIN r USING (source), {FSQL}) GROUP BY source, freq, i, j) SELECT source, round(freq, 4) AS freq, round(-sum(p*ln(p)), 6) AS entropy FROM c GROUP BY source, freq")
-def phase_entropy(spark, d):
-    return ts.phase_entropy(_few(spark, d), "t", "flux", ["source"], FREQS, 5).select("source", F.round("freq", 4).alias("freq"), F.round("entropy", 6).alias("entropy"))
+def phase_entropy(spark, d, lc=_few):
+    return ts.phase_entropy(lc(spark, d), "t", "flux", ["source"], FREQS, 5).select("source", F.round("freq", 4).alias("freq"), F.round("entropy", 6).alias("entropy"))
+
+
+all_sources(R, phase_entropy, " WHERE source <= 20")
 
 
 @R.query("string_length")
 def string_length(spark, d):
-    return rounded(ts.string_length(_few(spark, d), "t", "flux", ["source"], FREQS[:4]), "freq", "length", digits=3)
+    return rounded(ts.string_length(light_curve(spark, d), "t", "flux", ["source"], FREQS), "freq", "length", digits=3)
 
 
 AB = LC + ", a AS (SELECT t, flux FROM lc WHERE source = 1), b AS (SELECT t, flux FROM lc WHERE source = 2) "
@@ -209,8 +231,11 @@ def fit_motion(spark, d):
 
 
 @R.query("detrend", LC + "SELECT id, round(flux - y - b*(t - x), 3) AS resid FROM lc JOIN (SELECT source, regr_slope(flux, t) AS b, avg(flux) AS y, avg(t) AS x FROM lc GROUP BY source) USING (source) WHERE source <= 20")
-def detrend(spark, d):
-    return ts.detrend(_few(spark, d), "t", "flux", ["source"]).select("id", F.round("resid", 3).alias("resid"))
+def detrend(spark, d, lc=_few):
+    return ts.detrend(lc(spark, d), "t", "flux", ["source"]).select("id", F.round("resid", 3).alias("resid"))
+
+
+all_sources(R, detrend, " WHERE source <= 20")
 
 
 @R.query("relative_photometry")
