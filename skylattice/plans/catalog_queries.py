@@ -10,7 +10,7 @@ from skylattice.operators import catalogs as ca
 from skylattice.operators import models as mo
 from skylattice.operators import spatial as sp
 from skylattice.plans.common import LC_SQL, day, light_curve, rounded
-from skylattice.plans.series_queries import MAG, _mags
+from skylattice.plans.series_queries import MAG, _few, _five, _mags, all_sources
 from skylattice.plans.spatial_queries import CS, DIST, PAIRS, PART, _cs, _plane
 from skylattice.registry import Registry, table
 
@@ -30,8 +30,11 @@ def not_nan_epochs(spark, d):
 
 
 @R.query("design_matrix", LC + "SELECT id, 1.0::DOUBLE AS h0, t AS h1, t*t AS h2, flux AS y FROM lc WHERE " + FEW)
-def design_matrix(spark, d):
-    return ca.design_matrix(light_curve(spark, d).where(FEW), "id", [F.lit(1.0), F.col("t"), F.col("t") * F.col("t")], "flux")
+def design_matrix(spark, d, lc=_few):
+    return ca.design_matrix(lc(spark, d), "id", [F.lit(1.0), F.col("t"), F.col("t") * F.col("t")], "flux")
+
+
+all_sources(R, design_matrix, " WHERE source <= 20")
 
 
 @R.query("column_summary", "SELECT 'p_size' AS name, count(p_size) AS n, avg(p_size) AS mean, min(p_size)::DOUBLE AS lo, max(p_size)::DOUBLE AS hi FROM part UNION ALL SELECT 'p_retailprice', count(p_retailprice), round(avg(p_retailprice), 8), min(p_retailprice), max(p_retailprice) FROM part")
@@ -163,8 +166,11 @@ def split_sections(spark, d):
 
 
 @R.query("kernel_mean", LC + "SELECT a.id, round(sum(b.flux*(1-abs(b.t-a.t)/20.0))/sum(1-abs(b.t-a.t)/20.0), 7) AS smooth FROM lc a JOIN lc b ON a.source = b.source AND abs(b.t-a.t) < 20.0 WHERE a.source <= 5 GROUP BY a.id")
-def kernel_mean(spark, d):
-    return rounded(ca.kernel_mean(light_curve(spark, d).where("source <= 5"), "id", "t", "flux", ["source"], 20.0), "smooth", digits=7)
+def kernel_mean(spark, d, lc=_five):
+    return rounded(ca.kernel_mean(lc(spark, d), "id", "t", "flux", ["source"], 20.0), "smooth", digits=7)
+
+
+all_sources(R, kernel_mean, " WHERE a.source <= 5")
 
 
 @R.query("integral_percentile", LC + ", w AS (SELECT source, t, flux, sum(flux) OVER (PARTITION BY source ORDER BY t, id)/sum(flux) OVER (PARTITION BY source) AS c FROM lc) SELECT source, min(t) FILTER (c >= 0.05) AS left_limit, min(t) FILTER (c >= 0.95) AS right_limit FROM w GROUP BY source")
@@ -231,28 +237,24 @@ def running_z(spark, d):
 
 # fits without a built-in form: rows only
 
-def _few(spark, d):
-    return light_curve(spark, d).where(FEW)
-
-
 @R.query("poly_fit")
 def poly_fit(spark, d):
-    return mo.polynomial(_few(spark, d), "source", "t", "flux", 2)
+    return mo.polynomial(light_curve(spark, d), "source", "t", "flux", 2)
 
 
 @R.query("poly_hypothesis")
 def poly_hypothesis(spark, d):
-    return mo.polynomial_hypothesis(_few(spark, d), "source", "t", "flux", 1000.0)
+    return mo.polynomial_hypothesis(light_curve(spark, d), "source", "t", "flux", 1000.0)
 
 
 @R.query("harmonic_fit")
 def harmonic_fit(spark, d):
-    return mo.harmonics(_few(spark, d), "source", "t", "flux", 0.05)
+    return mo.harmonics(light_curve(spark, d), "source", "t", "flux", 0.05)
 
 
 @R.query("fft_power")
 def fft_power(spark, d):
-    return mo.fft_power(_few(spark, d), "source", "t", "flux")
+    return mo.fft_power(light_curve(spark, d), "source", "t", "flux")
 
 
 @R.query("gp_interpolation")
@@ -262,17 +264,17 @@ def gp_interpolation(spark, d):
 
 @R.query("savitzky_golay")
 def savitzky_golay(spark, d):
-    return mo.savitzky_golay(_few(spark, d), "source", "t", "flux", 60.0)
+    return mo.savitzky_golay(light_curve(spark, d), "source", "t", "flux", 60.0)
 
 
 @R.query("ransac_line")
 def ransac_line(spark, d):
-    return mo.ransac_line(_few(spark, d), "source", "t", "flux", 5000.0)
+    return mo.ransac_line(light_curve(spark, d), "source", "t", "flux", 5000.0)
 
 
 @R.query("matched_filter")
 def matched_filter(spark, d):
-    return mo.matched_filter(_few(spark, d), "source", "t", "flux", [0, 1, 2, 1, 0])
+    return mo.matched_filter(light_curve(spark, d), "source", "t", "flux", [0, 1, 2, 1, 0])
 
 
 @R.query("kepler_residual", "SELECT p_partkey, true AS solved FROM part")

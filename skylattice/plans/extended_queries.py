@@ -9,6 +9,7 @@ from skylattice.operators import imaging as im
 from skylattice.operators import movers as mv
 from skylattice.operators import significance as sg
 from skylattice.plans.common import LC_SQL, light_curve, rounded
+from skylattice.plans.series_queries import _five, all_sources
 from skylattice.plans.spatial_queries import CS, DIST, PART, _cs, _plane
 from skylattice.registry import Registry, table
 
@@ -144,10 +145,13 @@ def rotation_scale(spark, d):
 
 
 @R.query("indicator_design", LC + "SELECT id, 'zp_' || floor(t/365)::BIGINT AS column, 1.0::DOUBLE AS h FROM lc WHERE source <= 5 UNION ALL SELECT id, 'mean_' || source, 1.0 FROM lc WHERE source <= 5")
-def indicator_design(spark, d):
+def indicator_design(spark, d, lc=_five):
     from skylattice.operators.catalogs import indicator_design as design
 
-    return design(light_curve(spark, d).where("source <= 5").withColumn("e", F.floor(F.col("t") / 365)), "id", "source", "e")
+    return design(lc(spark, d).withColumn("e", F.floor(F.col("t") / 365)), "id", "source", "e")
+
+
+all_sources(R, indicator_design, " WHERE source <= 5")
 
 
 @R.query("lag_correlation")

@@ -97,23 +97,16 @@ def asof_nearest(spark, d):
     return sq.asof(e, o, "t", ["k"], "o_orderkey").select("event_id", "o_orderkey")
 
 
-@R.query("fold_phase", LC + "SELECT id, round(x - floor(x), 6) AS phase FROM (SELECT id, (t - m)/37.3 AS x FROM lc JOIN (SELECT source, median(t) AS m FROM lc GROUP BY source) USING (source) WHERE source <= 10)")
-def fold_phase(spark, d):
-    return ts.fold(light_curve(spark, d).where("source <= 10"), "t", 37.3, ["source"]).select("id", F.round("phase", 6).alias("phase"))
+def _few(spark, d):
+    return light_curve(spark, d).where("source <= 20")
 
 
-@R.query("extract_phase", LC + "SELECT id FROM (SELECT id, (t - 0.5)/37.3 - floor((t - 0.5)/37.3) AS p FROM lc) WHERE p >= 0.9003 OR p <= 0.1003")
-def extract_phase(spark, d):
-    return ts.extract_phase(light_curve(spark, d), "t", 0.5, 37.3, 0.9003, 0.1003).select("id")
+def _ten(spark, d):
+    return light_curve(spark, d).where("source <= 10")
 
 
-FREQS = [0.01 * k for k in range(1, 21)]
-FSQL = "(VALUES " + ", ".join(f"({f!r}::DOUBLE)" for f in FREQS) + ") q(freq)"
-CENTRED = LC + f", c AS (SELECT source, t, flux, flux - avg(flux) OVER (PARTITION BY source) AS m FROM lc WHERE source <= 20), st AS (SELECT source, var_samp(flux) AS var, count(*) AS n FROM c GROUP BY source), f AS (SELECT * FROM c, {FSQL}) "
-
-
-def _few(spark, d):
-    return light_curve(spark, d).where("source <= 20")
+def _five(spark, d):
+    return light_curve(spark, d).where("source <= 5")
 
 
 def all_sources(registry: Registry, fn, *cuts: str) -> None:
@@ -126,6 +119,24 @@ def all_sources(registry: Registry, fn, *cuts: str) -> None:
     registry.query(f"{fn.__name__}_all", sql)(lambda spark, d: fn(spark, d, light_curve))
 
 
+@R.query("fold_phase", LC + "SELECT id, round(x - floor(x), 6) AS phase FROM (SELECT id, (t - m)/37.3 AS x FROM lc JOIN (SELECT source, median(t) AS m FROM lc GROUP BY source) USING (source) WHERE source <= 10)")
+def fold_phase(spark, d, lc=_ten):
+    return ts.fold(lc(spark, d), "t", 37.3, ["source"]).select("id", F.round("phase", 6).alias("phase"))
+
+
+all_sources(R, fold_phase, " WHERE source <= 10")
+
+
+@R.query("extract_phase", LC + "SELECT id FROM (SELECT id, (t - 0.5)/37.3 - floor((t - 0.5)/37.3) AS p FROM lc) WHERE p >= 0.9003 OR p <= 0.1003")
+def extract_phase(spark, d):
+    return ts.extract_phase(light_curve(spark, d), "t", 0.5, 37.3, 0.9003, 0.1003).select("id")
+
+
+FREQS = [0.01 * k for k in range(1, 21)]
+FSQL = "(VALUES " + ", ".join(f"({f!r}::DOUBLE)" for f in FREQS) + ") q(freq)"
+CENTRED = LC + f", c AS (SELECT source, t, flux, flux - avg(flux) OVER (PARTITION BY source) AS m FROM lc WHERE source <= 20), st AS (SELECT source, var_samp(flux) AS var, count(*) AS n FROM c GROUP BY source), f AS (SELECT * FROM c, {FSQL}) "
+
+
 @R.query("periodogram", CENTRED + "SELECT source, round(freq, 4) AS freq, round((pow(sum(m*cos(2*pi()*freq*t)),2)+pow(sum(m*sin(2*pi()*freq*t)),2))/any_value(n)/any_value(var), 5) AS power FROM f JOIN st USING (source) GROUP BY source, freq")
 def periodogram(spark, d, lc=_few):
     return ts.periodogram(lc(spark, d), "t", "flux", ["source"], FREQS).select("source", F.round("freq", 4).alias("freq"), F.round("power", 5).alias("power"))
@@ -252,11 +263,14 @@ def sysrem(spark, d):
 
 
 @R.query("structure_function", LC + "SELECT floor((b.t-a.t)/20.0)::BIGINT AS lag_bin, round(avg(pow(b.flux-a.flux, 2)), 0) AS sf, count(*) AS n_pairs FROM lc a JOIN lc b ON a.source = b.source AND b.t > a.t AND b.t - a.t <= 100.0 WHERE a.source <= 5 GROUP BY 1")
-def structure_function(spark, d):
-    s = ts.structure_function(light_curve(spark, d).where("source <= 5"), "t", "flux", ["source"], 20.0, 100.0)
+def structure_function(spark, d, lc=_five):
+    s = ts.structure_function(lc(spark, d), "t", "flux", ["source"], 20.0, 100.0)
     return rounded(s, "sf", digits=0)
 
 
+all_sources(R, structure_function, " WHERE a.source <= 5")
+
+
 # events
 
 @R.query("bad_times", EV + ", r AS (SELECT min(s) AS t0, max(s) AS t1, greatest(30.0, 100*(max(s)-min(s))/count(*)) AS step FROM ev), c AS (SELECT floor((s-t0)/step)::BIGINT AS bin, count(*) AS c FROM ev, r GROUP BY 1), f AS (SELECT b.bin, coalesce(c, 0) AS c FROM (SELECT unnest(range(0, (SELECT floor((t1-t0)/step)::BIGINT FROM r))) AS bin) b LEFT JOIN c USING (bin)) SELECT round(t0+bin*step, 3) AS lo, round(t0+(bin+1)*step, 3) AS hi, c AS n FROM f, r WHERE c > (SELECT median(c) + 1.0*sqrt(median(c)) FROM f)")

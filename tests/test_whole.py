@@ -29,3 +29,14 @@ def test_string_length_of_every_source_and_frequency(spark):
             p = sorted((t * f - math.floor(t * f), v) for t, v in series[source])
             want = sum(math.hypot(b[0] - a[0], b[1] - a[1]) for a, b in zip(p, p[1:], strict=False))
             assert math.isclose(got[source, round(f, 3)], want, rel_tol=1e-6)
+
+
+@pytest.mark.parametrize("name", ["design_matrix", "fold_phase", "indicator_design", "kernel_mean", "structure_function"])
+def test_series_queries_over_every_source(spark, name):
+    compare(spark, QUERIES[f"{name}_all"], ORACLE[f"{name}_all"], SF)
+
+
+@pytest.mark.parametrize("name", ["poly_fit", "poly_hypothesis", "harmonic_fit", "fft_power", "savitzky_golay", "ransac_line", "matched_filter"])
+def test_fits_return_every_source(spark, name):
+    sources = {r[0] for r in connect(SF).sql("SELECT DISTINCT l_suppkey FROM lineitem").fetchall()}
+    assert len(sources) > 21 and {r.source for r in QUERIES[name](spark, SF).select("source").distinct().collect()} == sources
