@@ -47,3 +47,9 @@ def folded_chi2(events: DataFrame, t: str, period: float, n_bin: int) -> DataFra
     b = F.floor(F.pmod(F.col(t) / period, F.lit(1.0)) * n_bin)
     c = events.groupBy(b.alias("b")).agg(F.count("*").alias("c"))
     return c.agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("cc")).select((F.col("cc") * n_bin / F.col("n") - F.col("n")).alias("chi2"), F.lit(n_bin - 1).alias("dof"))
+
+
+def united(starts: DataFrame, s: str, length: float) -> DataFrame:
+    """Intervals (lo, hi) that cover what those of one length from each start cover; at most one for each length of time."""
+    near = F.floor(F.col(s) / length)  # two starts of a bucket are less than a length apart, so their intervals overlap
+    return starts.groupBy(near.alias("__k")).agg(F.min(s).alias("lo"), (F.max(s) + length).alias("hi")).drop("__k")

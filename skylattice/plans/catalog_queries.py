@@ -10,7 +10,7 @@ from skylattice.operators import catalogs as ca
 from skylattice.operators import models as mo
 from skylattice.operators import spatial as sp
 from skylattice.plans.common import LC_SQL, day, light_curve, rounded
-from skylattice.plans.series_queries import MAG, _few, _five, _mags, all_sources
+from skylattice.plans.series_queries import MAG, _few, _five, _mags, whole_table
 from skylattice.plans.spatial_queries import CS, DIST, PAIRS, PART, _cs, _plane
 from skylattice.registry import Registry, table
 
@@ -34,7 +34,7 @@ def design_matrix(spark, d, lc=_few):
     return ca.design_matrix(lc(spark, d), "id", [F.lit(1.0), F.col("t"), F.col("t") * F.col("t")], "flux")
 
 
-all_sources(R, design_matrix, " WHERE source <= 20")
+whole_table(R, design_matrix, " WHERE source <= 20")
 
 
 @R.query("column_summary", "SELECT 'p_size' AS name, count(p_size) AS n, avg(p_size) AS mean, min(p_size)::DOUBLE AS lo, max(p_size)::DOUBLE AS hi FROM part UNION ALL SELECT 'p_retailprice', count(p_retailprice), round(avg(p_retailprice), 8), min(p_retailprice), max(p_retailprice) FROM part")
@@ -43,8 +43,11 @@ def column_summary(spark, d):
 
 
 @R.query("keyed_insert", "SELECT s_name, 'K' || s_suppkey AS rec FROM supplier WHERE s_suppkey % 2 = 0")
-def keyed_insert(spark, d):
-    return ca.with_key(table(spark, d, "supplier").where("s_suppkey % 2 = 0"), "rec", F.concat(F.lit("K"), F.col("s_suppkey").cast("string"))).select("s_name", "rec")
+def keyed_insert(spark, d, where="s_suppkey % 2 = 0"):
+    return ca.with_key(table(spark, d, "supplier").where(where), "rec", F.concat(F.lit("K"), F.col("s_suppkey").cast("string"))).select("s_name", "rec")
+
+
+whole_table(R, keyed_insert, " WHERE s_suppkey % 2 = 0", take="true")
 
 
 @R.query("array_round_trip", "SELECT p_partkey, p_size::DOUBLE AS a, p_retailprice AS b FROM part")
@@ -73,9 +76,12 @@ def match_residuals(spark, d):
 
 
 @R.query("external_orphans", PAIRS + "SELECT id FROM c WHERE id NOT IN (SELECT probe_id FROM p WHERE dist <= 3.0) AND id % 3 = 0")
-def external_orphans(spark, d):
+def external_orphans(spark, d, where="id % 3 = 0"):
     c, s = _cs(spark, d)
-    return sp.unmatched(c.where("id % 3 = 0"), sp.zone_pairs(c, s, 3.0), "probe_id").select("id")
+    return sp.unmatched(c.where(where), sp.zone_pairs(c, s, 3.0), "probe_id").select("id")
+
+
+whole_table(R, external_orphans, " AND id % 3 = 0", take="true")
 
 
 @R.query("half_space", f"WITH {CS} SELECT id FROM c WHERE 0.6*cos(radians(dec))*cos(radians(ra)) - 0.64*cos(radians(dec))*sin(radians(ra)) + 0.48*sin(radians(dec)) > 0.3001")
@@ -170,7 +176,7 @@ def kernel_mean(spark, d, lc=_five):
     return rounded(ca.kernel_mean(lc(spark, d), "id", "t", "flux", ["source"], 20.0), "smooth", digits=7)
 
 
-all_sources(R, kernel_mean, " WHERE a.source <= 5")
+whole_table(R, kernel_mean, " WHERE a.source <= 5")
 
 
 @R.query("integral_percentile", LC + ", w AS (SELECT source, t, flux, sum(flux) OVER (PARTITION BY source ORDER BY t, id)/sum(flux) OVER (PARTITION BY source) AS c FROM lc) SELECT source, min(t) FILTER (c >= 0.05) AS left_limit, min(t) FILTER (c >= 0.95) AS right_limit FROM w GROUP BY source")
@@ -213,11 +219,14 @@ def residual_flags(spark, d):
 
 
 @R.query("order_history", "SELECT o_custkey, count(*) AS n, min(o_orderdate) AS first_date, max(o_orderdate) AS last_date FROM orders WHERE o_custkey BETWEEN 10 AND 200 GROUP BY o_custkey HAVING count(*) > 5")
-def order_history(spark, d):
-    o = table(spark, d, "orders").where(F.col("o_custkey").between(10, 200))
+def order_history(spark, d, where="o_custkey BETWEEN 10 AND 200"):
+    o = table(spark, d, "orders").where(where)
     return o.groupBy("o_custkey").agg(F.count("*").alias("n"), F.min("o_orderdate").alias("first_date"), F.max("o_orderdate").alias("last_date")).where("n > 5")
 
 
+whole_table(R, order_history, " WHERE o_custkey BETWEEN 10 AND 200", take="true")
+
+
 @R.query("continuous_longitude", f"WITH {CS}, g AS (SELECT id, id % 200 AS k, radians(mod(ra, 40) + CASE WHEN id % 3 = 0 THEN 320 ELSE 0 END) AS lon FROM c), w AS (SELECT *, min(lon) OVER p < pi()/2 AND max(lon) OVER p > 3*pi()/2 AS x, avg(lon) OVER p > pi() AS up FROM g WINDOW p AS (PARTITION BY k)) SELECT id, round(CASE WHEN x AND up AND lon < pi() THEN lon + 2*pi() WHEN x AND NOT up AND lon > pi() THEN lon - 2*pi() ELSE lon END, 6) AS lon FROM w")
 def continuous_longitude(spark, d):
     from skylattice.operators.sequence import continuous_longitude as fix

@@ -9,7 +9,7 @@ from skylattice.operators import imaging as im
 from skylattice.operators import movers as mv
 from skylattice.operators import significance as sg
 from skylattice.plans.common import LC_SQL, light_curve, rounded
-from skylattice.plans.series_queries import _five, all_sources
+from skylattice.plans.series_queries import _five, whole_table
 from skylattice.plans.spatial_queries import CS, DIST, PART, _cs, _plane
 from skylattice.registry import Registry, table
 
@@ -21,15 +21,23 @@ MOVE = "SELECT s.id, t, mod(ra + 0.3*t/cos(radians(dec)) + 3600, 360) AS ra, dec
 
 
 def _objects(spark, d):
-    return _cs(spark, d)[1].where("id % 5 = 0").withColumn("pm_ra", F.lit(0.3)).withColumn("pm_dec", F.lit(0.1)), spark.createDataFrame([(t,) for t in TIMES], "t double")
+    return _cs(spark, d)[1].withColumn("pm_ra", F.lit(0.3)).withColumn("pm_dec", F.lit(0.1)), spark.createDataFrame([(t,) for t in TIMES], "t double")
 
 
-@R.query("match_moving", f"WITH {CS}, o AS ({MOVE}) SELECT o.id AS obj_id, o.t, c.id AS cat_id, round({DIST.format(a='o.', b='c.')}, 6) AS dist FROM o, c WHERE {DIST.format(a='o.', b='c.')} <= 3.0")
-def match_moving(spark, d):
+def _fifth(spark, d):
     o, t = _objects(spark, d)
+    return o.where("id % 5 = 0"), t
+
+
+@R.query("match_moving", f"WITH {CS}, o AS ({MOVE}) SELECT o.id AS obj_id, o.t, c.id AS cat_id, round({DIST.format(a='o.', b='c.')}, 6) AS dist FROM o, c WHERE {DIST.format(a='o.', b='c.')} <= 3.0")
+def match_moving(spark, d, objects=_fifth):
+    o, t = objects(spark, d)
     return rounded(mv.match_moving(o, t, _cs(spark, d)[0], 3.0), "dist")
 
 
+whole_table(R, match_moving, " WHERE s.id % 5 = 0", take=_objects)
+
+
 @R.query("conjunctions")
 def conjunctions(spark, d):
     o, t = _objects(spark, d)
@@ -151,7 +159,7 @@ def indicator_design(spark, d, lc=_five):
     return design(lc(spark, d).withColumn("e", F.floor(F.col("t") / 365)), "id", "source", "e")
 
 
-all_sources(R, indicator_design, " WHERE source <= 5")
+whole_table(R, indicator_design, " WHERE source <= 5")
 
 
 @R.query("lag_correlation")

@@ -109,14 +109,14 @@ def _five(spark, d):
     return light_curve(spark, d).where("source <= 5")
 
 
-def all_sources(registry: Registry, fn, *cuts: str) -> None:
-    """Register NAME_all: a query whose SQL holds a subset of the sources, over every source; its SQL is the same without the cuts."""
+def whole_table(registry: Registry, fn, *cuts: str, take=light_curve) -> None:
+    """Register NAME_all: a query whose SQL keeps a subset of the rows, over every row; its SQL is the same without the cuts."""
     sql = registry.oracle[fn.__name__]
     for cut in cuts:
         if cut not in sql:
             raise ValueError(f"{fn.__name__}: no {cut!r} in its SQL")
         sql = sql.replace(cut, "")
-    registry.query(f"{fn.__name__}_all", sql)(lambda spark, d: fn(spark, d, light_curve))
+    registry.query(f"{fn.__name__}_all", sql)(lambda spark, d: fn(spark, d, take))
 
 
 @R.query("fold_phase", LC + "SELECT id, round(x - floor(x), 6) AS phase FROM (SELECT id, (t - m)/37.3 AS x FROM lc JOIN (SELECT source, median(t) AS m FROM lc GROUP BY source) USING (source) WHERE source <= 10)")
@@ -124,7 +124,7 @@ def fold_phase(spark, d, lc=_ten):
     return ts.fold(lc(spark, d), "t", 37.3, ["source"]).select("id", F.round("phase", 6).alias("phase"))
 
 
-all_sources(R, fold_phase, " WHERE source <= 10")
+whole_table(R, fold_phase, " WHERE source <= 10")
 
 
 @R.query("extract_phase", LC + "SELECT id FROM (SELECT id, (t - 0.5)/37.3 - floor((t - 0.5)/37.3) AS p FROM lc) WHERE p >= 0.9003 OR p <= 0.1003")
@@ -142,7 +142,7 @@ def periodogram(spark, d, lc=_few):
     return ts.periodogram(lc(spark, d), "t", "flux", ["source"], FREQS).select("source", F.round("freq", 4).alias("freq"), F.round("power", 5).alias("power"))
 
 
-all_sources(R, periodogram, " WHERE source <= 20")
+whole_table(R, periodogram, " WHERE source <= 20")
 
 
 @R.query("scargle", CENTRED + ", tau AS (SELECT source, freq, atan2(sum(sin(4*pi()*freq*t)), sum(cos(4*pi()*freq*t)))/(4*pi()*freq) AS tau FROM f GROUP BY source, freq) SELECT source, round(freq, 4) AS freq, round(0.5*(pow(sum(m*cos(2*pi()*freq*(t-tau))),2)/sum(pow(cos(2*pi()*freq*(t-tau)),2)) + pow(sum(m*sin(2*pi()*freq*(t-tau))),2)/sum(pow(sin(2*pi()*freq*(t-tau)),2)))/any_value(var), 5) AS power FROM f JOIN tau USING (source, freq) JOIN st USING (source) GROUP BY source, freq")
@@ -150,7 +150,7 @@ def scargle(spark, d, lc=_few):
     return ts.scargle(lc(spark, d), "t", "flux", ["source"], FREQS).select("source", F.round("freq", 4).alias("freq"), F.round("power", 5).alias("power"))
 
 
-all_sources(R, scargle, " WHERE source <= 20")
+whole_table(R, scargle, " WHERE source <= 20")
 
 
 @R.query("pdm", CENTRED + ", b AS (SELECT source, freq, floor((t*freq - floor(t*freq))*8) AS b, flux FROM f), w AS (SELECT source, freq, b, count(*) AS n, coalesce(var_samp(flux), 0) AS v FROM b GROUP BY ALL) SELECT source, round(freq, 4) AS freq, round(sum((n-1)*v)/(any_value(var)*(sum(n)-1)), 5) AS theta FROM w JOIN (SELECT source, var FROM st) USING (source) GROUP BY source, freq")
@@ -158,7 +158,7 @@ def pdm(spark, d, lc=_few):
     return ts.pdm(lc(spark, d), "t", "flux", ["source"], FREQS, 8).select("source", F.round("freq", 4).alias("freq"), F.round("theta", 5).alias("theta"))
 
 
-all_sources(R, pdm, " WHERE source <= 20")
+whole_table(R, pdm, " WHERE source <= 20")
 
 
 @R.query("phase_entropy", LC + f", r AS (SELECT source, min(flux) AS lo, max(flux) AS hi, count(*) AS n FROM lc WHERE source <= 20 GROUP BY 1), c AS (SELECT source, freq, count(*)/any_value(n) AS p FROM (SELECT source, freq, n, floor((t*freq-floor(t*freq))*5) AS i, least(4, floor((flux-lo)/(hi-lo)*5)) AS j FROM lc JOIN r USING (source), {FSQL}) GROUP BY source, freq, i, j) SELECT source, round(freq, 4) AS freq, round(-sum(p*ln(p)), 6) AS entropy FROM c GROUP BY source, freq")
@@ -166,7 +166,7 @@ def phase_entropy(spark, d, lc=_few):
     return ts.phase_entropy(lc(spark, d), "t", "flux", ["source"], FREQS, 5).select("source", F.round("freq", 4).alias("freq"), F.round("entropy", 6).alias("entropy"))
 
 
-all_sources(R, phase_entropy, " WHERE source <= 20")
+whole_table(R, phase_entropy, " WHERE source <= 20")
 
 
 @R.query("string_length")
@@ -246,7 +246,7 @@ def detrend(spark, d, lc=_few):
     return ts.detrend(lc(spark, d), "t", "flux", ["source"]).select("id", F.round("resid", 3).alias("resid"))
 
 
-all_sources(R, detrend, " WHERE source <= 20")
+whole_table(R, detrend, " WHERE source <= 20")
 
 
 @R.query("relative_photometry")
@@ -268,7 +268,7 @@ def structure_function(spark, d, lc=_five):
     return rounded(s, "sf", digits=0)
 
 
-all_sources(R, structure_function, " WHERE a.source <= 5")
+whole_table(R, structure_function, " WHERE a.source <= 5")
 
 
 # events
@@ -279,13 +279,16 @@ def bad_times(spark, d):
 
 
 @R.query("remove_bad_times", EV + "SELECT event_id FROM ev WHERE NOT EXISTS (SELECT 1 FROM (SELECT s AS lo, s + 600.0 AS hi FROM ev WHERE event_type = 'error' AND event_id % 50 = 0) b WHERE ev.s BETWEEN lo AND hi)")
-def remove_bad_times(spark, d):
+def remove_bad_times(spark, d, errors="event_id % 50 = 0"):
     e = event_times(spark, d)
-    bad = e.where("event_type = 'error' and event_id % 50 = 0").select(F.col("s").alias("lo"), (F.col("s") + 600.0).alias("hi"))
+    bad = ev.united(e.where("event_type = 'error'").where(errors), "s", 600.0)
     hit = sq.interval_join(e, bad, "s", "lo", "hi", 600.0).select("event_id").distinct()
     return e.join(hit, "event_id", "left_anti").select("event_id")
 
 
+whole_table(R, remove_bad_times, " AND event_id % 50 = 0", take="true")
+
+
 @R.query("select_energy", EV + "SELECT event_id FROM ev WHERE (value > 1.0 AND value < 5.0) OR (value > 20.0 AND value < 22.5)")
 def select_energy(spark, d):
     return event_times(spark, d).where(ev.select_energy(F.col("value"), [(1.0, 5.0), (20.0, 22.5)])).select("event_id")

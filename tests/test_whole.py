@@ -40,3 +40,30 @@ def test_series_queries_over_every_source(spark, name):
 def test_fits_return_every_source(spark, name):
     sources = {r[0] for r in connect(SF).sql("SELECT DISTINCT l_suppkey FROM lineitem").fetchall()}
     assert len(sources) > 21 and {r.source for r in QUERIES[name](spark, SF).select("source").distinct().collect()} == sources
+
+
+@pytest.mark.parametrize("name", ["external_orphans", "match_moving", "remove_bad_times", "keyed_insert", "order_history"])
+def test_queries_over_every_object(spark, name):
+    compare(spark, QUERIES[f"{name}_all"], ORACLE[f"{name}_all"], SF)
+
+
+def test_conjunctions_of_every_object(spark):
+    at = {}
+    for i in [r[0] for r in connect(SF).sql("SELECT s_suppkey FROM supplier").fetchall()]:
+        ra, dec = i * 7919 % 36000 / 100.0, i * 104729 % 17000 / 100.0 - 85.0
+        for k, (pra, pdec) in enumerate([(0.3, 0.1), (-0.6, 0.4)]):
+            at[k, i] = [((ra + pra * t / math.cos(math.radians(dec))) % 360, dec + pdec * t) for t in (0.0, 5.0, 10.0, 15.0, 20.0)]
+
+    def far(p, q):
+        (a, b), (c, d) = [tuple(map(math.radians, x)) for x in (p, q)]
+        return math.degrees(2 * math.asin(math.sqrt(math.sin((d - b) / 2) ** 2 + math.cos(b) * math.cos(d) * math.sin((c - a) / 2) ** 2)))
+
+    want = {}
+    for k, i in at:
+        for m, j in at:
+            if (k, m) == (0, 1):
+                s = [far(p, q) for p, q in zip(at[0, i], at[1, j], strict=True)]
+                want |= {(i, j, 5.0 * n): s[n] for n in (1, 2, 3) if s[n] <= 30 and s[n] < s[n - 1] and s[n] < s[n + 1]}
+    assert any(i % 5 for i, *_ in want)
+    got = {(r.id1, r.id2, r.t): r.dist for r in QUERIES["conjunctions"](spark, SF).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=2e-6) for k in want)
