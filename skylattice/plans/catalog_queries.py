@@ -268,7 +268,10 @@ def fft_power(spark, d):
 
 @R.query("gp_interpolation")
 def gp_interpolation(spark, d):
-    return mo.gaussian_process(_mags(spark, d).withColumn("e", F.col("e").cast("double")), "source", "e", "mag", [22.5, 23.5, 24.5], 1.5, 0.05)
+    m = _mags(spark, d).withColumn("e", F.col("e").cast("double"))
+    lo, hi = m.agg(F.min("e"), F.max("e")).first()
+    grid = [] if lo is None else [lo + k + 0.5 for k in range(int(hi - lo))] or [lo]
+    return mo.gaussian_process(m, "source", "e", "mag", grid, 1.5, 0.05)
 
 
 @R.query("savitzky_golay")

@@ -207,6 +207,12 @@ def zp_meddiff(spark, d):
     return rounded(ts.zero_points(_mags(spark, d), "source", "e", "mag", 24), "zp")
 
 
+@R.query("zp_meddiff_all", R.oracle["zp_meddiff"].replace("r.e = 24", "r.e = (SELECT min(e) FROM m)"))
+def zp_meddiff_all(spark, d):
+    m = _mags(spark, d)
+    return rounded(ts.zero_points(m, "source", "e", "mag", m.agg(F.min("e")).first()[0]), "zp")
+
+
 @R.query("apply_zp", MAG + ", z AS (SELECT e, avg(mag) AS zp FROM m GROUP BY e) SELECT source, e, round(mag - zp, 6) AS mag FROM m JOIN z USING (e)")
 def apply_zp(spark, d):
     m = _mags(spark, d)
@@ -235,6 +241,12 @@ def matched2matrix(spark, d):
     return _mags(spark, d).withColumn("mag", F.round("mag", 6)).groupBy("source").pivot("e", [23, 24, 25]).agg(F.max("mag"))
 
 
+@R.query("matched2matrix_all")
+def matched2matrix_all(spark, d):
+    m = _mags(spark, d).withColumn("mag", F.round("mag", 6))
+    return m.groupBy("source").pivot("e", sorted(r.e for r in m.select("e").dropna().distinct().collect())).agg(F.max("mag"))
+
+
 @R.query("fit_motion", LC + "SELECT source, round(regr_slope(flux, t), 6) AS rate, round(avg(flux), 4) AS mean, count(*) AS n, round(pow(regr_sxy(flux, t), 2)/regr_sxx(flux, t)/1e6, 3) AS d_chi2 FROM lc GROUP BY source HAVING count(*) >= 3")
 def fit_motion(spark, d):
     m = ts.fit_motion(light_curve(spark, d), "source", "t", "flux", 1000.0)

@@ -67,3 +67,22 @@ def test_conjunctions_of_every_object(spark):
     assert any(i % 5 for i, *_ in want)
     got = {(r.id1, r.id2, r.t): r.dist for r in QUERIES["conjunctions"](spark, SF).collect()}
     assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=2e-6) for k in want)
+
+
+EPOCHS = "SELECT l_suppkey AS source, floor(epoch_us(l_shipdate)/86400000000.0/365)::BIGINT AS e, round(avg(25-2.5*log10(l_extendedprice)), 6) AS mag FROM lineitem GROUP BY 1, 2"
+
+
+def test_zero_points_from_an_epoch_that_is_there(spark):
+    assert QUERIES["zp_meddiff_all"](spark, SF).count() > 0
+    compare(spark, QUERIES["zp_meddiff_all"], ORACLE["zp_meddiff_all"], SF)
+
+
+def test_matrix_has_every_epoch(spark):
+    want = {(s, str(e)): m for s, e, m in connect(SF).sql(EPOCHS).fetchall()}
+    got = {(r.source, c): r[c] for r in QUERIES["matched2matrix_all"](spark, SF).collect() for c in r.asDict() if c != "source" and r[c] is not None}
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=2e-6) for k in want)
+
+
+def test_interpolation_grid_lies_within_the_epochs(spark):
+    present = {e for _, e, _ in connect(SF).sql(EPOCHS).fetchall()}
+    assert {r.t_new for r in QUERIES["gp_interpolation"](spark, SF).collect()} == {e + 0.5 for e in range(min(present), max(present))}
