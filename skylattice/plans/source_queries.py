@@ -46,15 +46,15 @@ def _events(spark, d):
 
 @R.query("stream_tumbling")
 def stream_tumbling(spark, d):
-    s = stream.tumbling(_events(spark, d), "1 hour", "10 minutes", "event_type")
-    out = stream.run_to_end(s, work_dir(spark, "stream"), work_dir(spark, "stream-state"))
+    s = stream.tumbling(_events(spark, d), "1 hour", None, "event_type")
+    out = stream.run_whole(s, work_dir(spark, "stream"), work_dir(spark, "stream-state"))
     return out.select("event_type", F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("w"), "n", F.round("v", 4).alias("v"))
 
 
 @R.query("stream_sessions")
 def stream_sessions(spark, d):
-    s = stream.sessions(_events(spark, d), "30 minutes", "10 minutes", "user_id")
-    return stream.run_to_end(s, work_dir(spark, "stream"), work_dir(spark, "stream-state")).select("user_id", F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("w"), "n")
+    s = stream.sessions(_events(spark, d), "30 minutes", None, "user_id")
+    return stream.run_whole(s, work_dir(spark, "stream"), work_dir(spark, "stream-state")).select("user_id", F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("w"), "n")
 
 
 @R.query("stream_dedup", "SELECT count(*) AS n, count(DISTINCT event_id) AS n_ids FROM events")

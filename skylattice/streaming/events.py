@@ -14,17 +14,21 @@ def folder_stream(spark: SparkSession, folder: str, schema: StructType, glob: st
     return spark.readStream.schema(schema).option("pathGlobFilter", glob).option("maxFilesPerTrigger", files_at_a_time).parquet(folder)
 
 
-def tumbling(events: DataFrame, size: str, late: str, by: str) -> DataFrame:
-    """Count and sum of value by key and window; state is dropped ``late`` after the window."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", size), by).agg(F.count("*").alias("n"), F.sum("value").alias("v"))
+def _until(events: DataFrame, late: str | None) -> DataFrame:
+    return events if late is None else events.withWatermark("ts", late)
+
+
+def tumbling(events: DataFrame, size: str, late: str | None, by: str) -> DataFrame:
+    """Count and sum of value by key and window; state is dropped ``late`` after the window (None: never, and no row is too late)."""
+    return _until(events, late).groupBy(F.window("ts", size), by).agg(F.count("*").alias("n"), F.sum("value").alias("v"))
 
 
 def sliding(events: DataFrame, size: str, slide: str, late: str, by: str) -> DataFrame:
     return events.withWatermark("ts", late).groupBy(F.window("ts", size, slide), by).agg(F.count("*").alias("n"), F.sum("value").alias("v"))
 
 
-def sessions(events: DataFrame, gap: str, late: str, by: str) -> DataFrame:
-    return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("window"), by).agg(F.count("*").alias("n"))
+def sessions(events: DataFrame, gap: str, late: str | None, by: str) -> DataFrame:
+    return _until(events, late).groupBy(F.session_window("ts", gap).alias("window"), by).agg(F.count("*").alias("n"))
 
 
 def deduplicated(events: DataFrame, late: str, keys: list[str]) -> DataFrame:
@@ -39,6 +43,19 @@ def run_to_end(stream: DataFrame, out: str, checkpoint: str, mode: str = "append
     return stream.sparkSession.read.schema(stream.schema).parquet(out)
 
 
+def run_whole(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
+    """Process all that is there and return what a batch would: every key with its last value, open windows and sessions too.
+
+    Complete mode keeps one state row for each row of the result and writes
+    the result again after every batch of files.  Aggregations take no
+    watermark here, since that would drop rows of an earlier time in later files.
+    """
+    stream.sparkSession.createDataFrame([], stream.schema).write.mode("ignore").parquet(out)
+    q = stream.writeStream.outputMode("complete").foreachBatch(lambda b, _: b.write.mode("overwrite").parquet(out))
+    q.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(out)
+
+
 def ingest(stream: DataFrame, process: Callable[[DataFrame, int], None], checkpoint: str) -> None:
     """Hand every batch of new files to a callback; a batch that fails is handed over again at the next start."""
     stream.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -65,6 +65,20 @@ def test_stream_equals_batch(spark, tmp_path):
     assert key(out) == key(batch)
 
 
+def test_whole_stream_equals_unfiltered_batch(spark, tmp_path):
+    schema = "event_id long, ts timestamp, event_type string, value double"
+    rows = lambda day, n: [(i, f"{day} 00:{i % 60:02d}:00", ("a", "b")[i % 2], float(i)) for i in range(n)]
+    for day in ("2024-01-03", "2024-01-01"):  # the second file is earlier by days
+        d = spark.createDataFrame(rows(day, 200), "event_id long, ts string, event_type string, value double").withColumn("ts", F.to_timestamp("ts"))
+        d.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    d = spark.read.schema(schema).parquet(str(tmp_path / "in"))
+    key = lambda x: sorted((str(r.window.start), str(r.window.end), r.event_type, r.n) for r in x.collect())
+    for k, f in enumerate((lambda x: stream.tumbling(x, "10 minutes", None, "event_type"), lambda x: stream.sessions(x, "5 minutes", None, "event_type"))):
+        files = stream.folder_stream(spark, str(tmp_path / "in"), d.schema, files_at_a_time=1)
+        out = stream.run_whole(f(files), str(tmp_path / f"out{k}"), str(tmp_path / f"ck{k}"))
+        assert key(out) == key(f(d)) and out.count() > 0
+
+
 def test_ingest_processes_each_file_once(spark, tmp_path):
     d = spark.range(10).withColumn("ts", F.current_timestamp())
     d.write.parquet(str(tmp_path / "in"))

@@ -5,8 +5,10 @@ from collections import defaultdict
 
 import pytest
 from oracle import compare, connect
+from pyspark.sql import functions as F
 
 from skylattice.queries import ORACLE, QUERIES
+from skylattice.registry import table
 
 SF = "/root/testdata/sf0.01"
 
@@ -86,3 +88,10 @@ def test_matrix_has_every_epoch(spark):
 def test_interpolation_grid_lies_within_the_epochs(spark):
     present = {e for _, e, _ in connect(SF).sql(EPOCHS).fetchall()}
     assert {r.t_new for r in QUERIES["gp_interpolation"](spark, SF).collect()} == {e + 0.5 for e in range(min(present), max(present))}
+
+
+def test_stream_queries_return_what_batch_returns(spark):
+    rows = lambda name: sorted(tuple(r) for r in QUERIES[name](spark, SF).collect())
+    assert rows("stream_tumbling") == rows("tumbling_windows")
+    batch = table(spark, SF, "events").groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count("*").alias("n"))
+    assert rows("stream_sessions") == sorted(tuple(r) for r in batch.select("user_id", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss"), "n").collect())
