@@ -23,10 +23,15 @@ def match_moving(objects: DataFrame, times: DataFrame, catalog: DataFrame, radiu
 
 
 def conjunctions(a: DataFrame, b: DataFrame, min_sep: float) -> DataFrame:
-    """Local minima of the distance of two moving lists (id, t, ra, dec) at common times, below min_sep degrees."""
+    """Local minima of the distance of two moving lists (id, t, ra, dec) at common times, below min_sep degrees.
+
+    Only pairs within reach at some time meet; the tracks of those pairs are
+    then joined to them, for the distances before and after.
+    """
+    near = zone_pairs(a, b, min_sep, also=["t"]).select(F.col("probe_id").alias("id1"), F.col("cat_id").alias("id2")).distinct()
     x = a.select(F.col("id").alias("id1"), "t", F.radians("ra").alias("r1"), F.radians("dec").alias("d1"))
     y = b.select(F.col("id").alias("id2"), "t", F.radians("ra").alias("r2"), F.radians("dec").alias("d2"))
-    d = x.join(y, "t").withColumn("dist", F.degrees(haversine(F.col("r1"), F.col("d1"), F.col("r2"), F.col("d2"))))
+    d = near.join(x, "id1").join(y, ["id2", "t"]).withColumn("dist", F.degrees(haversine(F.col("r1"), F.col("d1"), F.col("r2"), F.col("d2"))))
     w = Window.partitionBy("id1", "id2").orderBy("t")
     d = d.withColumn("before", F.lag("dist").over(w)).withColumn("after", F.lead("dist").over(w))
     return d.where((F.col("dist") <= min_sep) & (F.col("dist") < F.col("before")) & (F.col("dist") < F.col("after"))).select("id1", "id2", "t", "dist")

@@ -8,6 +8,7 @@ the three zones around it, so Spark sees an equi-join with a residual filter.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,18 +23,19 @@ def sky(df: DataFrame, key: str) -> DataFrame:
     return df.withColumn("ra", F.pmod(k * 7919, F.lit(36000)) / 100.0).withColumn("dec", F.pmod(k * 104729, F.lit(17000)) / 100.0 - 85.0)
 
 
-def zone_pairs(probe: DataFrame, catalog: DataFrame, radius_deg: float, inclusive: bool = True) -> DataFrame:
+def zone_pairs(probe: DataFrame, catalog: DataFrame, radius_deg: float, inclusive: bool = True, also: Sequence[str] = ()) -> DataFrame:
     """All (probe, catalog) pairs within a radius.
 
     Both sides need ``id, ra, dec`` in degrees; the result has ``probe_id,
     cat_id, dist`` (degrees).  Rows whose position is null match nothing.
     Longitude is cut into cells widened by 1/cos(lat) of the zone, so that a
-    dense zone is spread over many keys as well.
+    dense zone is spread over many keys as well.  Pairs agree in the columns
+    ``also``, which the result has first.
     """
     height = max(radius_deg, 1e-6)
     zone = lambda c: F.floor((c + 90.0) / height).cast("long")
-    p = probe.where("ra is not null and dec is not null").select(F.col("id").alias("probe_id"), F.col("ra").alias("p_ra"), F.col("dec").alias("p_dec"), F.explode(F.array(*[zone(F.col("dec")) + d for d in (-1, 0, 1)])).alias("zone"))
-    c = catalog.where("ra is not null and dec is not null").select(F.col("id").alias("cat_id"), F.col("ra").alias("c_ra"), F.col("dec").alias("c_dec"), zone(F.col("dec")).alias("zone"))
+    p = probe.where("ra is not null and dec is not null").select(*also, F.col("id").alias("probe_id"), F.col("ra").alias("p_ra"), F.col("dec").alias("p_dec"), F.explode(F.array(*[zone(F.col("dec")) + d for d in (-1, 0, 1)])).alias("zone"))
+    c = catalog.where("ra is not null and dec is not null").select(*also, F.col("id").alias("cat_id"), F.col("ra").alias("c_ra"), F.col("dec").alias("c_dec"), zone(F.col("dec")).alias("zone"))
     # the cell width depends on the zone alone, so that both sides agree on it
     edge = F.greatest(F.abs(F.col("zone") * height - 90.0), F.abs((F.col("zone") + 1) * height - 90.0)) + height
     cells = F.when(edge >= 89.0, F.lit(1)).otherwise(F.greatest(F.lit(1), F.floor(360.0 * F.cos(F.radians(edge)) / (height * 1.0001)))).cast("long")
@@ -44,7 +46,7 @@ def zone_pairs(probe: DataFrame, catalog: DataFrame, radius_deg: float, inclusiv
     c = c.withColumn("cell", F.least(cells - 1, F.floor(F.pmod(F.col("c_ra"), F.lit(360.0)) / 360.0 * cells).cast("long")))
     dist = F.degrees(haversine(F.radians("p_ra"), F.radians("p_dec"), F.radians("c_ra"), F.radians("c_dec")))
     near = (F.col("dist") <= radius_deg) if inclusive else (F.col("dist") < radius_deg)
-    return p.join(c, ["zone", "cell"]).withColumn("dist", dist).where(near).select("probe_id", "cat_id", "dist")
+    return p.join(c, [*also, "zone", "cell"]).withColumn("dist", dist).where(near).select(*also, "probe_id", "cat_id", "dist")
 
 
 def nearest(pairs: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from skylattice.operators import spatial as sp
@@ -68,3 +69,28 @@ def test_join_is_an_equi_join(spark):
     a = points(spark, [(i, 0) for i in range(10)])
     plan = sp.zone_pairs(a, a, 1.0)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_conjunctions_meet_within_reach_only(spark):
+    from skylattice.operators import movers
+
+    rng = np.random.default_rng(4)
+    lists = []
+    for _ in range(2):
+        ra, dec, va, vd = rng.uniform(0, 360, 60), rng.uniform(-80, 80, 60), rng.uniform(-1, 1, 60), rng.uniform(-0.3, 0.3, 60)
+        lists.append({(i, t): (float((ra[i] + va[i] * t) % 360), float(dec[i] + vd[i] * t)) for i in range(60) for t in range(12) if (i + t) % 7})
+    frames = [spark.createDataFrame([(i, float(t), r, d) for (i, t), (r, d) in x.items()], "id long, t double, ra double, dec double") for x in lists]
+
+    def far(p, q):
+        (a, b), (c, d) = np.radians(p), np.radians(q)
+        return np.degrees(2 * np.arcsin(np.sqrt(np.sin((d - b) / 2) ** 2 + np.cos(b) * np.cos(d) * np.sin((c - a) / 2) ** 2)))
+
+    want = set()
+    for i in range(60):
+        for j in range(60):
+            times = [t for t in range(12) if (i, t) in lists[0] and (j, t) in lists[1]]
+            s = [far(lists[0][i, t], lists[1][j, t]) for t in times]
+            want |= {(i, j, times[k]) for k in range(1, len(s) - 1) if s[k] <= 6 and s[k] < s[k - 1] and s[k] < s[k + 1]}
+    out = movers.conjunctions(*frames, 6.0)
+    assert want and {(r.id1, r.id2, r.t) for r in out.collect()} == want
+    assert "cell" in out._jdf.queryExecution().optimizedPlan().toString()  # the lists meet through cells, not on the time alone
