@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows of a range of hashes that one task numbers.
+PER_RANGE = 1 << 16
+
 
 def uniform(seed: int, *keys: Column | str) -> Column:
     """A number in (0, 1) from a hash of keys: the same at every run, on every machine."""
@@ -18,15 +21,32 @@ def normal(seed: int, *keys: Column | str) -> Column:
     return F.sqrt(-2 * F.log(uniform(seed, *keys))) * F.cos(6.283185307179586 * uniform(seed + 1, *keys))
 
 
+def shuffled_ranks(df: DataFrame, by: Sequence[str], key: str, n: int, seed: int) -> DataFrame:
+    """Number the n rows of every group from 1 (``__n``) in the order of a hash of group and unique key.
+
+    Ranges of the hash hold about PER_RANGE rows each; a row's number is that
+    within its range after the rows of the ranges before, so no task gets a
+    whole group.
+    """
+    ranges = max(1, n // PER_RANGE)
+    d = df.withColumn("__h", F.pmod(F.xxhash64(*by, key, F.lit(seed)), F.lit(1 << 40))).withColumn("__g", F.floor(F.col("__h") / (1 << 40) * ranges))
+    size = d.groupBy(*by, "__g").agg(F.count("*").alias("__c"))
+    first = size.withColumn("__o", F.sum("__c").over(Window.partitionBy(*by).orderBy("__g")) - F.col("__c")).drop("__c")
+    d = d.withColumn("__r", F.row_number().over(Window.partitionBy(*by, "__g").orderBy("__h", key)))
+    return d.join(first, [*by, "__g"]).withColumn("__n", F.col("__o") + F.col("__r")).drop("__h", "__g", "__r", "__o")
+
+
 def correlation_significance(df: DataFrame, key: str, x: str, y: str, n_sim: int, seed: int = 1) -> DataFrame:
     """Correlation and the share of shuffles of y that correlate as strongly.
 
-    Every simulation ranks the rows by a hash and pairs equal ranks; it is one
-    group, so simulations spread over the tasks.
+    Rows are numbered by a hash once for x and anew in every simulation for y,
+    and equal numbers are paired.
     """
-    d = df.select(key, x, y).dropna().withColumn("sim", F.explode(F.sequence(F.lit(1), F.lit(n_sim))))
-    a = d.withColumn("__n", F.row_number().over(Window.partitionBy("sim").orderBy(key))).select("sim", "__n", x)
-    b = d.withColumn("__n", F.row_number().over(Window.partitionBy("sim").orderBy(F.xxhash64(key, "sim", F.lit(seed)), key))).select("sim", "__n", y)
+    d = df.select(key, x, y).dropna()
+    n = d.count()
+    sims = F.explode(F.sequence(F.lit(1), F.lit(n_sim))).alias("sim")
+    a = shuffled_ranks(d.withColumn("__all", F.lit(0)), ["__all"], key, n, seed + 1).select(sims, "__n", x)
+    b = shuffled_ranks(d.select(key, y, sims), ["sim"], key, n, seed).select("sim", "__n", y)
     sims = a.join(b, ["sim", "__n"]).groupBy("sim").agg(F.corr(x, y).alias("r"))
     true = df.agg(F.corr(x, y).alias("corr"), F.count_if(F.col(x).isNotNull() & F.col(y).isNotNull()).alias("n"))
     return sims.join(F.broadcast(true)).groupBy("corr", "n").agg(F.avg((F.abs("r") >= F.abs("corr")).cast("double")).alias("prob"))

@@ -145,3 +145,18 @@ def test_cadence_weight(spark):
     d = spark.createDataFrame([(0, 0.7), (1, 100.0), (2, None), (3, -1000.0)], "id int, w double")
     got = {r.id: r.x for r in d.select("id", cadence_weight(F.col("w")).alias("x")).collect()}
     assert abs(got[0] - 1.1) < 1e-12 and abs(got[1] - 1.0) < 1e-9 and got[2] is None and got[3] == 0
+
+
+def test_shuffles_are_numbered_in_ranges(spark, monkeypatch):
+    from skylattice.operators import significance
+
+    monkeypatch.setattr(significance, "PER_RANGE", 50)
+    d = spark.range(1000).select(F.col("id").alias("k"), F.explode(F.array(F.lit(1), F.lit(2))).alias("sim"))
+    h = F.pmod(F.xxhash64("sim", "k", F.lit(5)), F.lit(1 << 40))
+    want = {(r.sim, r.k): r.w for r in d.withColumn("w", F.row_number().over(Window.partitionBy("sim").orderBy(h, "k"))).collect()}
+    assert {(r.sim, r.k): r["__n"] for r in significance.shuffled_ranks(d, ["sim"], "k", 1000, 5).collect()} == want
+    rng = np.random.default_rng(2)
+    rows = [(i, float(v), float(v + e), float(e)) for i, (v, e) in enumerate(rng.normal(size=(400, 2)))]
+    c = spark.createDataFrame(rows, "k long, x double, y double, z double")
+    near, none = (significance.correlation_significance(c, "k", "x", y, 30).first() for y in ("y", "z"))
+    assert near.n == 400 and near.prob == 0 and none.prob > 0
