@@ -289,18 +289,47 @@ def train(texts: list[str], y: np.ndarray, epochs: int = 6, seed: int = 11) -> N
     return net
 
 
+def choose(size: list[int], y: list[int], bound: int) -> list[int]:
+    """Places of the texts to fit on, in order, of at most ``bound`` characters together.
+
+    A text over a sixteenth of the bound, or over what is left of it, is
+    passed over and the next one tried.  Each class first gets up to half of
+    the bound; the rest goes to whoever comes next.  A class that has only
+    long texts keeps its shortest one if that fits its half.
+    """
+    kept: set[int] = set()
+    total = 0
+    for c in (0, 1):
+        own, used = [i for i in range(len(size)) if y[i] == c], 0
+        small = [i for i in own if size[i] <= bound // 16] or sorted(own, key=lambda i: size[i])[:1]
+        for i in small:
+            if used + size[i] <= bound // 2:
+                used += size[i]
+                kept.add(i)
+        total += used
+    for i in range(len(size)):
+        if i not in kept and size[i] <= bound // 16 and total + size[i] <= bound:
+            total += size[i]
+            kept.add(i)
+    return sorted(kept)
+
+
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, max_labels: int = 3000, max_chars: int = 8_000_000) -> Network:
-    """Network from a bounded sample: ``max_labels`` usable labelled rows, in hash order until ``max_chars`` characters are reached."""
+    """Network from a bounded sample: ``max_labels`` usable labelled rows, of which those that ``choose`` takes in hash order.
+
+    Lengths come to the driver first, the texts of the chosen rows only then.
+    """
     ids = labelled(labels.select("doc_id", "toxic"), "toxic", usable, max_labels)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id").toArrow().to_pydict()
-    order = sorted(range(len(rows["y"])), key=lambda i: (rows["doc_id"][i] * 2654435761 % 4294967296, rows["text"][i]))
-    kept, size = [], 0
-    for i in order:
-        size += len(rows["text"][i])
-        if kept and size > max_chars:
-            break
-        kept.append(i)
-    return train([rows["text"][i] for i in kept], np.array([rows["y"][i] for i in kept]))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    part = rows.join(F.broadcast(ids), "doc_id").select("doc_id", "y", "text", F.length("text").alias("size"), F.xxhash64("text").alias("h"))
+    seen = part.select("doc_id", "y", "size", "h").distinct().collect()
+    seen.sort(key=lambda r: (r.doc_id * 2654435761 % 4294967296, r.h))
+    keys = [(seen[i].doc_id, seen[i].h) for i in choose([r.size for r in seen], [r.y for r in seen], max_chars)]
+    chosen = docs.sparkSession.createDataFrame(keys, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, h long")
+    got = part.join(F.broadcast(chosen), ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).select("doc_id", "h", "y", "text").toArrow().to_pydict()
+    place = {k: i for i, k in enumerate(keys)}
+    order = sorted(range(len(got["y"])), key=lambda i: place[got["doc_id"][i], got["h"][i]])
+    return train([got["text"][i] for i in order], np.array([got["y"][i] for i in order]))
 
 
 def score(docs: DataFrame, net: Network) -> DataFrame:

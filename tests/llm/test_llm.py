@@ -173,6 +173,21 @@ def test_classifiers_take_odd_rows(spark):
     assert toxicity.train(["x"], np.array([1])).scores([None])[0] > 0.5
 
 
+def test_sample_passes_over_long_texts(spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, y: taken.append((texts, y.tolist())))
+    order = sorted(range(40), key=lambda i: i * 2654435761 % 4294967296)
+    text = {i: f"text {i} " + "x" * (5000 if i in (order[0], order[3]) else 10) for i in range(40)}
+    docs = spark.createDataFrame([*text.items(), (order[1], text[order[1]])], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(40)], "doc_id long, toxic int")
+    toxicity.fit(docs, labels, toxicity.F.lit(True), max_chars=4000)
+    want = [i for i in order if i not in (order[0], order[3])]
+    assert taken == [([text[i] for i in want], [int(i % 4 == 0) for i in want])]
+    assert toxicity.choose([9, 9, 900, 700], [0, 0, 1, 1], 1600) == [0, 1, 3]
+    many = toxicity.choose([10] * 500, [0] * 480 + [1] * 20, 1000)
+    assert len(many) == 100 and sum(i >= 480 for i in many) == 20
+
+
 def test_network_gradients():
     net = toxicity.Network.fresh()
     t = toxicity.tokenize(b"one two three two four ", np.array([0, 1 << 40]))
