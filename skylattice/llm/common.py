@@ -76,6 +76,12 @@ def labelled(labels: DataFrame, label: str, usable: Column, max_labels: int) ->
     return clean
 
 
+def one_text_each(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, y, text) of sampled ids (doc_id, y; few enough to be broadcast): of an id with several rows, the text of the least hash."""
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    return rows.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+
+
 def crc_mod(column: Column, m: int) -> Column:
     """crc32 of a value as text, modulo m (null: null)."""
     return F.crc32(F.encode(column.cast("string"), "UTF-8")) % m

@@ -1,12 +1,15 @@
 """Quality rules: a decision list learned by sequential covering.
 
 Text statistics are DataFrame expressions; from labelled ones, rules (threshold
-conjunctions that mark bad text) are grown by FOIL gain, pruned on held-back
-rows, and emitted as one ordered CASE expression.
+conjunctions that mark good or bad text) are grown by FOIL gain, pruned on
+held-back rows, and emitted as one ordered CASE expression: the first rule that
+holds decides, so a rule for good text shields what it covers from later rules
+for bad text.
 
 Defined results: null text counts as empty; an empty text fails the base test;
 repeated rows each get their row; with no usable labels the list is empty and
-only the base test decides.
+only the base test decides; what no rule covers is kept, unless nearly all
+labelled rows left over are bad.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skylattice.llm.common import labelled, let
+from skylattice.llm.common import labelled, let, one_text_each
 
 SPACES = r"[\x20\x09-\x0D]+"
 #: Statistics that rules may test; every one is a ratio or a mean, so texts of all lengths compare.
@@ -111,55 +114,78 @@ def worth(rule: list[Condition], x: np.ndarray, bad: np.ndarray) -> tuple[float,
     return (p + 1) / (p + n + 2), p
 
 
-def learn(x: np.ndarray, bad: np.ndarray, max_rules: int = 12, max_conditions: int = 4, precision: float = 0.85, min_cover: int = 4) -> list[list[Condition]]:
-    """Sequential covering: grow on two thirds, prune on one, remove what the rule covers, go on."""
-    rules: list[list[Condition]] = []
-    part = np.random.default_rng(7).permutation(len(x)) % 3 == 0
+@dataclass(frozen=True)
+class DecisionList:
+    """Ordered (conditions, kept) rules and the verdict where none holds."""
+
+    rules: tuple[tuple[tuple[Condition, ...], bool], ...] = ()
+    otherwise: bool = True
+
+
+def best_rule(x: np.ndarray, wanted: np.ndarray, part: np.ndarray, cuts: list[np.ndarray], max_conditions: int) -> tuple[list[Condition], float, int]:
+    """A rule for the wanted rows, grown outside ``part`` and pruned on it; its worth there, and the wanted rows it covers in all."""
+    rule = grow(x[~part], wanted[~part], cuts, max_conditions)
+    if not rule:
+        return rule, 0.0, 0
+    rule = max((rule[:k] for k in range(len(rule), 0, -1)), key=lambda r: worth(r, x[part], wanted[part])[0])
+    return rule, worth(rule, x[part], wanted[part])[0], worth(rule, x, wanted)[1]
+
+
+def learn(x: np.ndarray, bad: np.ndarray, max_rules: int = 16, max_conditions: int = 4, precision: float = 0.85, min_cover: int = 4) -> DecisionList:
+    """Sequential covering: grow on two thirds, prune on one, remove what the rule covers, go on.
+
+    In every round one rule is grown for bad and one for good text.  Their
+    gain over the share of their class in the rows that are left decides
+    between them, so neither class wins by being frequent.
+    """
     if not len(x):
-        return rules
+        return DecisionList()
+    part = np.random.default_rng(7).permutation(len(x)) % 3 == 0
     cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, 129)[1:-1])) for f in range(x.shape[1])]
+    rules: list[tuple[tuple[Condition, ...], bool]] = []
     left = np.ones(len(x), bool)
-    while len(rules) < max_rules and (bad & left).any():
-        g, p = left & ~part, left & part
-        rule = grow(x[g], bad[g], cuts, max_conditions)
-        if not rule:
-            break
-        rule = max((rule[:k] for k in range(len(rule), 0, -1)), key=lambda r: worth(r, x[p], bad[p])[0])
-        if worth(rule, x[p], bad[p])[0] < precision or worth(rule, x[left], bad[left])[1] < min_cover:
+    while len(rules) < max_rules and len(set(bad[left].tolist())) == 2:
+        found = []
+        for kept in (False, True):
+            wanted = bad[left] != kept
+            rule, pure, cover = best_rule(x[left], wanted, part[left], cuts, max_conditions)
+            prior = float(wanted.mean())
+            if rule and cover >= min_cover and pure >= max(precision, (1 + prior) / 2):
+                found.append((cover * np.log2(pure / prior), kept, rule))
+        if not found:
             break
-        rules.append(rule)
+        _, kept, rule = max(found, key=lambda r: r[0])
+        rules.append((tuple(rule), kept))
         inside = left.copy()
         for c in rule:
             inside &= c.mask(x)
         left &= ~inside
-    return rules
+    return DecisionList(tuple(rules), worth([], x[left], bad[left])[0] < precision)
 
 
-def as_column(rules: list[list[Condition]], values: dict[str, Column]) -> Column:
-    """The ordered rules as one CASE: false where the first matching rule rejects, else true."""
+def as_column(rules: DecisionList, values: dict[str, Column]) -> Column:
+    """The ordered rules as one CASE: the verdict of the first rule that holds."""
     out = None
-    for rule in rules:
-        test = None
+    for rule, kept in rules.rules:
+        test = F.lit(True)
         for c in rule:
             v = values[FEATURES[c.feature]]
-            one = v > c.threshold if c.above else v <= c.threshold
-            test = one if test is None else test & one
-        out = F.when(test, F.lit(False)) if out is None else out.when(test, F.lit(False))
-    return F.lit(True) if out is None else out.otherwise(F.lit(True))
+            test = test & (v > c.threshold if c.above else v <= c.threshold)
+        out = F.when(test, F.lit(kept)) if out is None else out.when(test, F.lit(kept))
+    return F.lit(rules.otherwise) if out is None else out.otherwise(F.lit(rules.otherwise))
 
 
 def base_failed(s: Column) -> Column:
     return (s["n_words"] < 50) | (100 * s["n_repeat_words"] > 50 * s["n_words"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labels: int = 6000) -> list[list[Condition]]:
+def fit(docs: DataFrame, labels: DataFrame, max_labels: int = 6000) -> DecisionList:
     """Rules from a bounded sample of labelled rows (``max_labels``); label 0 is bad.
 
-    The sampled ids are few enough to be broadcast; only their statistics come
-    to the driver.
+    Only the statistics of the sample come to the driver, one row an id.
     """
     ids = labelled(labels.select("doc_id", "quality"), "quality", F.lit(True), max_labels)
-    s = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "y", text_stats(F.col("text")).alias("s"))
+    s = one_text_each(docs, ids).select("doc_id", "y", text_stats(F.col("text")).alias("s"))
     rows = s.select("doc_id", "y", base_failed(F.col("s")).alias("out"), *[v.alias(k) for k, v in features(F.col("s")).items()]).collect()
     rows = [r for r in rows if not r["out"]]
     rows.sort(key=lambda r: (r["doc_id"], r["y"], *[r[f] for f in FEATURES]))
@@ -167,7 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = 6000) -> list[list
     return learn(x, np.array([r["y"] == 0 for r in rows], bool))
 
 
-def verdicts(docs: DataFrame, rules: list[list[Condition]]) -> DataFrame:
+def verdicts(docs: DataFrame, rules: DecisionList) -> DataFrame:
     """doc_id, the base statistics, base_failed and kept for every row of docs."""
     d = docs.select("doc_id", text_stats(F.col("text")).alias("s"))
     s = F.col("s")
@@ -175,6 +201,6 @@ def verdicts(docs: DataFrame, rules: list[list[Condition]]) -> DataFrame:
     return d.select("doc_id", *base, base_failed(s).alias("base_failed"), (~base_failed(s) & as_column(rules, features(s))).alias("kept"))
 
 
-def keep_good(docs: DataFrame, rules: list[list[Condition]]) -> DataFrame:
+def keep_good(docs: DataFrame, rules: DecisionList) -> DataFrame:
     """docs without the rejected documents, columns unchanged."""
     return docs.where(let(text_stats(docs["text"]), lambda s: ~base_failed(s) & as_column(rules, features(s))))

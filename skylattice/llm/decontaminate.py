@@ -96,7 +96,9 @@ def spread_hits(d: DataFrame, grams: DataFrame, lens: list[int]) -> DataFrame:
     met = met.groupBy("doc_id", "kid").agg(F.collect_set("x").alias("met")).select(F.col("doc_id").alias("__d"), F.col("kid").alias("__k"), "met")
     one = d.groupBy("doc_id", "kid").agg(F.count("*").alias("n_rows"), F.first("w").alias("w"))
     j = one.join(met, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("kid") == F.col("__k")), "left")
-    true = F.filter(F.coalesce("met", F.array().cast(met.schema["met"].dataType)), lambda x: F.slice("w", x["pos"] + 1, x["len"]) == x["gram"])
+    hits = F.coalesce("met", F.array().cast(met.schema["met"].dataType))
+    # a slice of an array as it comes from a shuffle reads all of it; of one made here, only the slice
+    true = let(F.transform("w", lambda x: x), lambda w: F.filter(hits, lambda x: F.slice(w, x["pos"] + 1, x["len"]) == x["gram"]))
     j = j.select("doc_id", "kid", "n_rows", F.size("w").cast("bigint").alias("n_words"), true.alias("true"))
     spans = F.array_sort(F.array_distinct(F.transform("true", lambda x: F.struct(x["pos"].alias("pos"), x["len"].alias("len")))))
     return j.select("doc_id", "kid", "n_rows", "n_words", spans.alias("spans"), F.array_distinct(F.flatten(F.transform("true", lambda x: x["items"]))).alias("items"))

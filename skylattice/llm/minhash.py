@@ -1,7 +1,7 @@
 """Near-duplicates by consistent weighted sampling.
 
-Five-word shingles are weighted by their count times the mean inverse document
-frequency of their words.  Improved consistent weighted sampling draws SAMPLES
+Five-word shingles are weighted by their count in the text times their inverse
+document frequency.  Improved consistent weighted sampling draws SAMPLES
 shingles a text; bands of ROWS samples make buckets; candidates are verified by
 their exact weighted Jaccard similarity, and verified links make classes.
 
@@ -35,8 +35,8 @@ BANDS, ROWS = 16, 3
 SAMPLES = BANDS * ROWS
 #: Candidates below this share of equal samples are dropped; at similarity 0.8 that is over 5 deviations away.
 LEAST_EQUAL = 0.5
-#: Word frequencies are counted by bucket of the word's hash.
-FREQ_BITS = 16
+#: Document frequencies are counted by bucket of the shingle's hash.
+FREQ_BITS = 18
 #: Members of a bucket, and bytes of their shingles, that one task compares with each other at a time.
 BLOCK, BLOCK_BYTES = 256, 8 << 20
 
@@ -81,19 +81,26 @@ def draw(e: np.ndarray, ln_w: np.ndarray) -> np.ndarray:
     return (value >> np.uint64(32)).astype(np.uint32)
 
 
-def shingles(h: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of a text's word hashes, sorted, and their weights."""
+def bucket_of(e: np.ndarray) -> np.ndarray:
+    return (e >> np.uint64(64 - FREQ_BITS)).astype(np.int64)
+
+
+def shingle_hashes(h: np.ndarray) -> np.ndarray:
+    """Hashes of the shingles of a text's word hashes, in order."""
     if not len(h):
-        return h, np.zeros(0, np.float32)
+        return h
     k = min(SHINGLE, len(h))
     n = len(h) - k + 1
-    f = idf[(h >> np.uint64(64 - FREQ_BITS)).astype(np.int64)]
-    s, w = np.zeros(n, np.uint64), np.zeros(n, np.float32)
+    s = np.zeros(n, np.uint64)
     for i in range(k):
         s += h[i : i + n] * STEPS[i]
-        w += f[i : i + n]
-    e, first, count = np.unique(mix(s), return_index=True, return_counts=True)
-    return e, (count * w[first] / np.float32(k)).astype(np.float32)
+    return mix(s)
+
+
+def shingles(h: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of a text's word hashes, sorted, and their weights."""
+    e, count = np.unique(shingle_hashes(h), return_counts=True)
+    return e, (count * idf[bucket_of(e)]).astype(np.float32)
 
 
 def words_of(texts: list[str | None]) -> Iterator[np.ndarray]:
@@ -112,27 +119,29 @@ def text_key(h: np.ndarray) -> tuple[int, int]:
     return int(np.uint64(a).astype(np.int64)), int(np.uint64(b).astype(np.int64))
 
 
-def word_idf(docs: DataFrame) -> np.ndarray:
-    """Smoothed inverse document frequency by word bucket, counted over all texts; a task sends one row a bucket at most."""
+def shingle_idf(docs: DataFrame) -> np.ndarray:
+    """Smoothed inverse document frequency by bucket of shingles, counted over all texts; a task sends one row a bucket at most.
+
+    As in hashed term frequencies, shingles of one bucket share a count: its
+    table stays a few megabytes at any corpus size, and the frequency of a
+    bucket without a common shingle is about the same for all of them.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(1 << FREQ_BITS, np.int64), 0
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 for h in words_of(batch.slice(at, SLICE).column(0).to_pylist()):
-                    total[np.unique((h >> np.uint64(64 - FREQ_BITS)).astype(np.int64))] += 1
+                    total[np.unique(bucket_of(shingle_hashes(h)))] += 1
                     n += 1
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"bucket": np.append(used, -1), "n": np.append(total[used], n)}, schema=pa.schema([("bucket", pa.int64()), ("n", pa.int64())]))
 
-    got = docs.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow().to_pydict()
+    got = docs.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    bucket, count_of = got["bucket"].to_numpy(), got["n"].to_numpy()
     freq = np.zeros(1 << FREQ_BITS)
-    n = 0
-    for b, k in zip(got["bucket"], got["n"], strict=True):
-        if b < 0:
-            n = k
-        else:
-            freq[b] = k
+    freq[bucket[bucket >= 0]] = count_of[bucket >= 0]
+    n = count_of[bucket < 0].sum()
     return (1 + np.log((n + 1) / (freq + 1))).astype(np.float32)
 
 
@@ -315,7 +324,7 @@ def leftover_blocks(rows: DataFrame, labels: DataFrame, nodes: DataFrame) -> Dat
     r = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).join(nodes.select("node", "weight"), "node")
     r = store(r.select("bucket", "band", "node", "label", "weight"), "bucket-members")
     live = r.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("weight").alias("w"), F.min("label").alias("a"), F.max("label").alias("b")).where("n > 2 and a < b")
-    # every word weighs 1 at least, so 12 bytes a unit of weight bound the shingles
+    # every shingle weighs 1 at least, so 12 bytes a unit of weight bound the shingles
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("w") * 12 / BLOCK_BYTES)).cast("int")
     live = store(live.select("bucket", "n", blocks.alias("blocks")), "live-buckets")
     size = live.agg(F.count("*").alias("k"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
@@ -375,7 +384,7 @@ def leftover_links(docs: DataFrame, blocks: DataFrame, nodes: DataFrame, idf) ->
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, class_id, kept (one row of each class), text_hash, same_rows (rows with this id and text)."""
-    idf = docs.sparkSession.sparkContext.broadcast(word_idf(docs))
+    idf = docs.sparkSession.sparkContext.broadcast(shingle_idf(docs))
     sig = signatures(docs, idf)
     nodes = sig.groupBy("key_a", "key_b").agg(F.min("rid").alias("node"), F.min("doc_id").alias("first_id"), F.min(F.struct("weight", "sample")).alias("s"))
     nodes = store(nodes.select("key_a", "key_b", "node", "first_id", "s.weight", "s.sample"), "nodes")

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skylattice.llm.arrow import map_batches
-from skylattice.llm.common import labelled
+from skylattice.llm.common import labelled, one_text_each
 from skylattice.llm.textkit import SOLID, groups, mix, word_hashes
 
 #: Indicators: 2^16 for four character classes in a row (those that would begin with a 15th class: for three
@@ -140,7 +140,7 @@ def fit_rows(rows: list[np.ndarray], y: np.ndarray, smooth: float = 1.0, cost: f
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, max_labels: int = 4000) -> Model:
     """Model from a bounded sample (``max_labels``) of the usable labelled rows: their indicators come to the driver, 4 bytes each."""
     ids = labelled(labels.select("doc_id", "quality"), "quality", usable, max_labels)
-    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "y", "text")
+    sample = one_text_each(docs, ids).select("doc_id", "y", "text")
 
     def make():
         return lambda c: {"doc_id": c["doc_id"], "y": c["y"], "active": [r.astype(np.int32).tobytes() for r in indicators(c["text"])]}

@@ -5,7 +5,9 @@ mean of hashed vectors of its character trigrams, with the highest ratio of
 its character four-grams.  Two gated recurrent passes
 and an attention pool turn a window of words into one probability; all
 overlapping windows of a whole text are scored and the highest one counts.
-Training is plain numpy on a bounded sample of labelled texts.
+Training is plain numpy on a bounded sample of labelled texts.  The ratios are
+two of the inputs of a word; with them set to zero the network still learns
+from the vectors alone (a test), but needs more labelled texts for it.
 
 Defined results: null and empty texts have one empty window; repeated rows each
 get their row; with labels of one class only or none every score is the
@@ -21,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skylattice.llm.arrow import map_batches
-from skylattice.llm.common import labelled
+from skylattice.llm.common import labelled, one_text_each, store
 from skylattice.llm.nbsvm import platt
 from skylattice.llm.textkit import LETTERS, groups, word_hashes
 
@@ -317,18 +319,18 @@ def choose(size: list[int], y: list[int], bound: int) -> list[int]:
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, max_labels: int = 3000, max_chars: int = 8_000_000) -> Network:
     """Network from a bounded sample: ``max_labels`` usable labelled rows, of which those that ``choose`` takes in hash order.
 
-    Lengths come to the driver first, the texts of the chosen rows only then.
+    Lengths come to the driver first, one an id, the texts of the chosen rows
+    only then.
     """
     ids = labelled(labels.select("doc_id", "toxic"), "toxic", usable, max_labels)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    part = rows.join(F.broadcast(ids), "doc_id").select("doc_id", "y", "text", F.length("text").alias("size"), F.xxhash64("text").alias("h"))
-    seen = part.select("doc_id", "y", "size", "h").distinct().collect()
-    seen.sort(key=lambda r: (r.doc_id * 2654435761 % 4294967296, r.h))
-    keys = [(seen[i].doc_id, seen[i].h) for i in choose([r.size for r in seen], [r.y for r in seen], max_chars)]
-    chosen = docs.sparkSession.createDataFrame(keys, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, h long")
-    got = part.join(F.broadcast(chosen), ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).select("doc_id", "h", "y", "text").toArrow().to_pydict()
-    place = {k: i for i, k in enumerate(keys)}
-    order = sorted(range(len(got["y"])), key=lambda i: place[got["doc_id"][i], got["h"][i]])
+    part = store(one_text_each(docs, ids).select("doc_id", "y", F.coalesce("text", F.lit("")).alias("text")), "toxicity-sample")
+    seen = part.select("doc_id", "y", F.length("text").alias("size")).collect()
+    seen.sort(key=lambda r: (r.doc_id * 2654435761 % 4294967296, r.doc_id))
+    keys = [(seen[i].doc_id,) for i in choose([r.size for r in seen], [r.y for r in seen], max_chars)]
+    chosen = docs.sparkSession.createDataFrame(keys, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}")
+    got = part.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text").toArrow().to_pydict()
+    place = {k[0]: i for i, k in enumerate(keys)}
+    order = sorted(range(len(got["y"])), key=lambda i: place[got["doc_id"][i]])
     return train([got["text"][i] for i in order], np.array([got["y"][i] for i in order]))
 
 

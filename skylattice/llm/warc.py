@@ -24,7 +24,7 @@ from skylattice.llm.arrow import map_batches
 from skylattice.llm.common import rows_and_attach, store
 
 # Fixed values of the format.
-MAGIC, END = "WARC/1.0\r\n", "\r\n\r\n"
+MAGIC, VERSION, END = "WARC/1.", "0\r\n", "\r\n\r\n"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 SEP = END + MAGIC
 BAD_URL = {"\r": "%0D", "\n": "%0A"}
@@ -60,7 +60,7 @@ def write_warc(pages: DataFrame, path: str, min_payload: int = 0) -> None:
     page_name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(">"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     head = F.concat(
-        F.lit(MAGIC), line("WARC-Type", F.when(again, F.lit("revisit")).otherwise(F.lit("response"))), line("WARC-Record-ID", page_name("page_id")), line("WARC-Target-URI", url),
+        F.lit(MAGIC + VERSION), line("WARC-Type", F.when(again, F.lit("revisit")).otherwise(F.lit("response"))), line("WARC-Record-ID", page_name("page_id")), line("WARC-Target-URI", url),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
         F.when(again, F.concat(line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), line("WARC-Refers-To", page_name("first_id")), line("X-Payload-Bytes", F.col("n").cast("string")))).otherwise(F.lit("")),
         line("Content-Type", F.lit("text/html; charset=utf-8")), line("Content-Length", F.when(again, F.lit("0")).otherwise(F.col("n").cast("string"))), F.lit("\r\n"),
@@ -70,9 +70,10 @@ def write_warc(pages: DataFrame, path: str, min_payload: int = 0) -> None:
 
 
 def parse_header(raw: bytes) -> dict[str, str] | None:
-    """Fields of a record header (lower-case names), or None if it is none."""
+    """Fields of a record header after the magic (lower-case names), or None if it is none."""
+    version, _, raw = raw.partition(b"\r\n")
     fields = {}
-    for line in raw.split(b"\r\n"):
+    for line in raw.split(b"\r\n") if version in (b"0", b"1") else (b"",):
         name, colon, value = line.partition(b":")
         if not colon:
             return None
@@ -129,13 +130,25 @@ def fragments(spark: SparkSession, paths: list[str], keep_raw: bool) -> DataFram
     return map_batches(lines, make, FRAGMENT)
 
 
-def reachable(links: DataFrame) -> DataFrame:
-    """Pointer jumping: the (file, start) of ``links`` (file, start, succ) on the chain from start 0 of each file.
+def split_chains(links: DataFrame) -> DataFrame:
+    """Stored: one row per input split (file, block) with its candidates ``s`` [{start, succ}] by start; a split bounds how many they are."""
+    one = links.groupBy("file", "block").agg(F.array_sort(F.collect_list(F.struct("start", "succ"))).alias("s"))
+    return store(one, "warc-splits")
 
-    A round doubles the reach, so n records take about log2(n) rounds; every
-    round is written to the shared folder.
-    """
-    state = store(links.select("file", "start", F.col("succ").alias("jump"), (F.col("start") == 0).alias("reached")), "warc-chain")
+
+def exits(s: list[dict]) -> list[int | None]:
+    """Where the chain from each candidate of a split leaves it; null if it ends at a place inside that is no candidate."""
+    at, last = {x["start"]: i for i, x in enumerate(s)}, s[-1]["start"]
+    out: list[int | None] = [None] * len(s)
+    for i in range(len(s) - 1, -1, -1):
+        succ = s[i]["succ"]
+        out[i] = out[at[succ]] if succ in at else succ if succ > last else None
+    return out
+
+
+def jumped(state: DataFrame) -> DataFrame:
+    """Pointer jumping over (file, start, jump, reached): what is reached marks where it jumps to; a round doubles the reach and is written to the shared folder."""
+    state = store(state, "warc-chain")
     known = state.where("reached").count()
     while known:
         b = state.select(F.col("file").alias("bf"), F.col("start").alias("bs"), F.col("jump").alias("bj"))
@@ -149,6 +162,52 @@ def reachable(links: DataFrame) -> DataFrame:
     return state.where("reached").select("file", "start")
 
 
+def reachable(links: DataFrame) -> DataFrame:
+    """The (file, start) of ``links`` (file, block, start, succ) on the chain from start 0 of each file.
+
+    Chains are contracted inside each input split first, so pointer jumping
+    goes over the few candidates at which some chain enters a split, and takes
+    about log2(splits of a file) rounds.  The chains from the entries that it
+    reaches are then followed inside their splits.
+    """
+    splits = split_chains(links)
+
+    def contract():
+        def fn(c: dict[str, list]) -> dict[str, list]:
+            out: dict[str, list] = {k: [] for k in ("file", "start", "jump")}
+            for file, s in zip(c["file"], c["s"], strict=True):
+                out["file"] += [file] * len(s)
+                out["start"] += [x["start"] for x in s]
+                out["jump"] += exits(s)
+            return out
+
+        return fn
+
+    ways = store(map_batches(splits.select("file", "s"), contract, "file string, start long, jump long"), "warc-ways")
+    targets = ways.where("jump is not null").select("file", F.col("jump").alias("start")).distinct()
+    entries = ways.join(targets, ["file", "start"], "left_semi").where("start > 0").unionByName(ways.where("start = 0"))
+    found = jumped(entries.select("file", "start", "jump", (F.col("start") == 0).alias("reached")))
+    # an entry lies in the split whose candidates it is among
+    of_split = links.select("file", "block", "start").join(found, ["file", "start"], "left_semi").groupBy("file", "block").agg(F.collect_list("start").alias("entries"))
+
+    def follow():
+        def fn(c: dict[str, list]) -> dict[str, list]:
+            out: dict[str, list] = {k: [] for k in ("file", "start")}
+            for file, s, entries in zip(c["file"], c["s"], c["entries"], strict=True):
+                succ, seen = {x["start"]: x["succ"] for x in s}, set()
+                for at in entries:
+                    while at in succ and at not in seen:
+                        seen.add(at)
+                        at = succ[at]
+                out["file"] += [file] * len(seen)
+                out["start"] += seen
+            return out
+
+        return fn
+
+    return map_batches(splits.join(of_split, ["file", "block"]).select("file", "s", "entries"), follow, "file string, start long")
+
+
 def placed(f: DataFrame) -> DataFrame:
     """Stored fragments with ``start`` and ``succ`` counted from the start of the file: the sizes of the splits before are added."""
     blocks = f.groupBy("file", "block").agg(F.sum("size").alias("bytes"))
@@ -160,13 +219,13 @@ def placed(f: DataFrame) -> DataFrame:
 def read_warc(spark: SparkSession, paths: list[str], with_payload: bool = False) -> DataFrame:
     """Records of the archives: page_id, url, record_type, refers_to, payload_bytes, payload_digest, digest_ok (and payload)."""
     f = placed(store(fragments(spark, paths, with_payload), "warc-fragments"))
-    true = reachable(f.where("succ is not null").select("file", "start", "succ"))
+    true = reachable(f.where("succ is not null").select("file", "block", "start", "succ"))
     true = store(f.join(true, ["file", "start"], "left_semi"), "warc-records")
     parts = true.where("not complete").select("file").distinct().limit(1).count()
     payload = F.expr("substring(raw, body_at + 1, cast(body_bytes as int))").alias("payload")
     out = true.where("complete").select(*RECORD, *([payload] if with_payload else []))
     if parts:
-        out = out.unionByName(stitched(spark, true, f, with_payload))
+        out = out.unionByName(stitched(spark, paths, true, f, with_payload))
     revisit = F.col("record_type") == "revisit"
     digest = F.when(revisit, F.col("claimed")).otherwise(F.col("digest"))
     return out.select("page_id", "url", "record_type", F.when(revisit, F.col("refers_to")).alias("refers_to"), F.when(revisit, F.col("claimed_bytes")).otherwise(F.col("body_bytes")).alias("payload_bytes"), digest.alias("payload_digest"), (digest == F.col("claimed")).alias("digest_ok"), *(["payload"] if with_payload else []))
@@ -175,14 +234,20 @@ def read_warc(spark: SparkSession, paths: list[str], with_payload: bool = False)
 RECORD = ("record_type", "page_id", "url", "refers_to", "claimed", "claimed_bytes", "digest", "body_bytes")
 
 
-def stitched(spark: SparkSession, true: DataFrame, f: DataFrame, with_payload: bool) -> DataFrame:
-    """Records whose payload holds magics: only their files are read again, only their stretches put together."""
-    files = [r["file"] for r in true.where("not complete").select("file").distinct().collect()]
+#: Files that may be named one by one to be read again; beyond that all are read and those needed are picked by a join.
+NAMED_FILES = 1000
+
+
+def stitched(spark: SparkSession, paths: list[str], true: DataFrame, f: DataFrame, with_payload: bool) -> DataFrame:
+    """Records whose payload holds magics: their files are read again, only their stretches put together."""
+    needed = store(true.where("not complete").select("file").distinct(), "warc-again")
+    named = [r["file"] for r in needed.limit(NAMED_FILES + 1).collect()]
+    again = named if len(named) <= NAMED_FILES else paths
     inside = f.join(true.select("file", "start"), ["file", "start"], "left_anti").select("file", "start", F.lit(False).alias("own"))
-    pieces = true.where("not complete").select("file", "start", F.lit(True).alias("own")).unionByName(inside.where(F.col("file").isin(files)))
+    pieces = true.where("not complete").select("file", "start", F.lit(True).alias("own")).unionByName(inside.join(needed, "file", "left_semi"))
     owner = F.last(F.when(F.col("own"), F.col("start")), True).over(Window.partitionBy("file").orderBy("start"))
     pieces = pieces.withColumn("owner", owner).where("owner is not null")
-    raw = placed(store(fragments(spark, files, True), "warc-pieces")).select("file", "start", "raw")  # splits may differ from those of the first reading
+    raw = placed(store(fragments(spark, again, True), "warc-pieces")).select("file", "start", "raw")  # splits may differ from those of the first reading
     got = raw.join(pieces, ["file", "start"]).groupBy("file", "owner").agg(F.array_sort(F.collect_list(F.struct("start", "raw"))).alias("pieces"))
     head = true.where("not complete").select("file", F.col("start").alias("owner"), "body_at", *RECORD)
     schema = "record_type string, page_id long, url string, refers_to long, claimed string, claimed_bytes long, digest string, body_bytes long" + (", payload binary" if with_payload else "")

@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -66,6 +67,32 @@ def test_warc_round_trip(spark, tmp_path, split):
         assert not response or bytes(r.payload) == body
 
 
+def test_warc_chains_over_splits(spark):
+    """Contracted chains against a walk: candidates off the chain, chains that end at no candidate, entries in the midst of splits."""
+    rnd, rows, want = random.Random(3), [], set()
+    for f in range(6):
+        starts = sorted({0, *rnd.sample(range(1, 4000), 300)})
+        succ = {s: rnd.choice([x for x in (*starts[k + 1 : k + 6], 4000)] + ([s + 1] if rnd.random() < 0.01 else [])) for k, s in enumerate(starts)}
+        rows += [(f"f{f}", s // 500, s, succ[s]) for s in starts]
+        at = 0
+        while at in succ:
+            want.add((f"f{f}", at))
+            at = succ[at]
+    rows += [("none", 0, 7, 9), ("none", 0, 9, 12)]
+    got = warc.reachable(spark.createDataFrame(rows, "file string, block long, start long, succ long").repartition(5)).collect()
+    assert len(got) == len(want) and {(r.file, r.start) for r in got} == want
+
+
+def test_warc_of_version_1_1_and_many_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "NAMED_FILES", 1)
+    inner = "\r\n\r\nWARC/1.1\r\nnot a header\r\n\r\n"
+    record = lambda i, body: f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{i}>\r\nContent-Length: {len(body)}\r\n\r\n{body}\r\n\r\n"
+    for i in range(3):
+        (tmp_path / f"{i}.warc").write_bytes((record(2 * i, f"a{i}{inner}") + record(2 * i + 1, "tail")).encode())
+    got = {r.page_id: bytes(r.payload).decode() for r in warc.read_warc(spark, [str(tmp_path)], with_payload=True).collect()}
+    assert got == {**{2 * i: f"a{i}{inner}" for i in range(3)}, **{2 * i + 1: "tail" for i in range(3)}}
+
+
 def test_warc_small_payloads_stay_and_empty_table(spark, tmp_path):
     pages = spark.createDataFrame([(1, None, "ab"), (2, None, "ab"), (2, None, "ab"), (3, None, "abcd"), (4, None, "abcd")], "page_id long, url string, html string")
     warc.write_warc(pages, str(tmp_path / "w"), min_payload=3)
@@ -111,7 +138,7 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, small):
             texts.append(" ".join(walk))
     texts += [" ".join(rnd.choice(vocabulary) for _ in range(60)) for _ in range(20)]
     d = docs_of(spark, texts).repartition(3)
-    idf = minhash.word_idf(d)
+    idf = minhash.shingle_idf(d)
     words = list(minhash.words_of(texts))
     sets, keys = [minhash.shingles(h, idf) for h in words], [minhash.text_key(h) for h in words]
     parent = list(range(len(texts)))
@@ -133,6 +160,35 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, small):
     assert minhash.keep_one(d, found).count() == len(want)
 
 
+def test_near_duplicate_recall(spark):
+    """Of all pairs of sf0.001 texts at or over the similarity (by brute force), the share in one class."""
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = d.select("doc_id", "text").collect()
+    idf = minhash.shingle_idf(d)
+    sets = [minhash.shingles(h, idf) for h in minhash.words_of([r.text for r in rows])]
+    of = {r.doc_id: r.class_id for r in minhash.per_row(minhash.near_duplicates(d)).collect()}
+    near = [of[rows[a].doc_id] == of[rows[b].doc_id] for a, b in itertools.combinations(range(len(rows)), 2) if min(s[1].sum() for s in (sets[a], sets[b])) >= 0.79 * max(s[1].sum() for s in (sets[a], sets[b])) and minhash.weighted_jaccard(*sets[a], *sets[b]) >= 0.8]
+    assert len(near) > 10 and np.mean(near) >= 0.99
+
+
+def test_shingle_frequencies(spark):
+    """Inverse document frequencies by brute force; a shingle of every text weighs least."""
+    texts = [f"the same five words here and then word{i} word{i + 1} tail{i}" for i in range(50)] + [None, "a b"]
+    idf, freq = minhash.shingle_idf(docs_of(spark, texts)), Counter()
+    for h in minhash.words_of(texts):
+        freq.update(set(minhash.bucket_of(minhash.shingle_hashes(h)).tolist()))
+    assert all(abs(idf[b] - (1 + np.log(53 / (n + 1)))) < 1e-5 for b, n in freq.items())
+    assert minhash.shingle_idf(docs_of(spark, texts).limit(0)).max() == 1
+
+
+def test_near_duplicates_of_long_texts(spark):
+    rnd = random.Random(7)
+    a = [f"w{rnd.randrange(50_000)}" for _ in range(150_000)]
+    b = a[:70_000] + ["x"] * 10 + a[70_010:]
+    got = {r.doc_id: r.class_id for r in minhash.per_row(minhash.near_duplicates(docs_of(spark, [" ".join(a), " ".join(b), "z" * 1_000_000]))).collect()}
+    assert got == {0: 0, 1: 0, 2: 2}
+
+
 def test_near_duplicates_of_odd_and_empty_tables(spark):
     d = odd(spark)
     found, got, rows = near_classes(spark, d)
@@ -154,6 +210,110 @@ def test_quality_scores(spark):
     assert np.mean([a == b for a, b in held]) >= 0.8
 
 
+def test_quality_scores_equal_plain_python(spark):
+    """The same model, one indicator and one dual variable at a time."""
+    rnd = random.Random(12)
+    texts = [" ".join(rnd.choice(["alpha", "beta", "##", "Gamma", "7", "!"] if k % 2 else ["delta", "eps", "zeta", "one", "two"]) for _ in range(rnd.randint(3, 25))) for k in range(60)]
+    rows, y = nbsvm.indicators(texts), np.array([k % 2 for k in range(60)])
+    m = nbsvm.fit_rows(rows, y)
+    pos, neg = Counter(), Counter()
+    for r, v in zip(rows, y, strict=True):
+        (pos if v else neg).update(r.tolist())
+    np_, nn = sum(pos.values()) + nbsvm.SIZE, sum(neg.values()) + nbsvm.SIZE
+    ratio = lambda j: np.log((pos[j] + 1) / np_) - np.log((neg[j] + 1) / nn)
+    x = []
+    for r in rows:
+        v = {j: ratio(j) for j in r.tolist()}
+        size = sum(a * a for a in v.values()) ** 0.5
+        x.append({j: a / size for j, a in v.items()})
+    w, bias, alpha, rng = defaultdict(float), 0.0, [0.0] * 60, np.random.default_rng(5)
+    for _ in range(12):
+        for i in rng.permutation(60):
+            s = 1.0 if y[i] else -1.0
+            g = s * (sum(w[j] * a for j, a in x[i].items()) + bias) - 1
+            new = min(max(alpha[i] - g / (sum(a * a for a in x[i].values()) + 1.0), 0.0), 4.0)  # both classes are equally frequent
+            for j, a in x[i].items():
+                w[j] += (new - alpha[i]) * s * a
+            bias += (new - alpha[i]) * s
+            alpha[i] = new
+    margin = [sum(w[j] * a for j, a in v.items()) + bias for v in x]
+    assert np.allclose(m.margins(rows), margin, atol=1e-9)
+    got = {r.doc_id: r.score for r in nbsvm.score(docs_of(spark, texts), m).collect()}
+    assert all(abs(got[i] - 1 / (1 + np.exp(-(m.slope * margin[i] + m.offset)))) < 1e-9 for i in range(60))
+
+
+def plain_logit(net, text):
+    """The highest window logit of a text, one word, one gate at a time."""
+    words = re.findall("[a-z]+", text)
+    p, h = net.p, toxicity.HIDDEN
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    best = -np.inf
+    for at in toxicity.windows(len(words)).tolist():
+        inputs = []
+        for word in words[at : at + toxicity.WINDOW]:
+            t = toxicity.tokenize(word.encode() + b" ", np.array([0, 1 << 40]))
+            inputs.append(np.concatenate([p["word"][int(t.hashes[0]) % toxicity.WORDS], [net.ratio[0][int(t.hashes[0]) >> (64 - toxicity.RATIO_BITS)], max(net.ratio[1][f] for f in t.fours)], np.mean([p["char"][k] for k in t.trigrams], axis=0)]))
+        state = {}
+        for side, order in (("f", range(len(inputs))), ("b", range(len(inputs) - 1, -1, -1))):
+            now = np.zeros(h)
+            for k in order:
+                a, u = inputs[k] @ p[f"in_{side}"] + p[f"in_b_{side}"], now @ p[f"rec_{side}"]
+                z, r = sig(a[:h] + u[:h]), sig(a[h : 2 * h] + u[h : 2 * h])
+                now = z * now + (1 - z) * np.tanh(a[2 * h :] + r * (u[2 * h :] + p[f"rec_b_{side}"]))
+                state[side, k] = now
+        both = [np.concatenate([state["f", k], state["b", k]]) for k in range(len(inputs))]
+        e = np.array([np.tanh(v @ p["att"]) @ p["att_v"] for v in both])
+        share = np.exp(e - e.max()) / np.exp(e - e.max()).sum()
+        best = max(best, float(sum(s * v for s, v in zip(share, both, strict=True)) @ p["out"] + p["out_b"][0]))
+    return best
+
+
+def test_toxicity_scores_equal_a_plain_network(spark):
+    rnd = random.Random(2)
+    texts = [" ".join(rnd.choice(["vile", "kind", "word", "trash", "tree", "sun"]) for _ in range(n)) for n in (1, 2, 23, 24, 25, 60, 41)]
+    net = toxicity.train([" ".join(rnd.choice(["vile", "trash"] if k % 3 == 0 else ["kind", "tree", "sun"]) for _ in range(30)) for k in range(60)], np.array([int(k % 3 == 0) for k in range(60)]), epochs=2)
+    got = {r.doc_id: r.score for r in toxicity.score(docs_of(spark, texts), net).collect()}
+    for i, t in enumerate(texts):
+        assert abs(got[i] - 1 / (1 + np.exp(-(net.slope * plain_logit(net, t) + net.offset)))) < 1e-4
+
+
+def test_toxicity_query_keeps_its_contract(spark):
+    """On sf0.1, which has 3,980 labels: held-out rows by remainder, threshold 0.7, held-out accuracy of both classes."""
+    sf = "/root/testdata/sf0.1"
+    out = QUERIES["op10_toxicity_gru"](spark, sf).collect()
+    y = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    assert len(out) == spark.read.parquet(f"{sf}/documents.parquet").count()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in out)
+    held = [(y[r.doc_id], r.predicted) for r in out if r.held_out and r.doc_id in y]
+    for c in (0, 1):
+        assert np.mean([p == c for v, p in held if v == c]) >= (0.97 if c == 0 else 0.8)
+
+
+def test_network_without_ratios_still_learns(monkeypatch):
+    monkeypatch.setattr(toxicity, "log_ratios", lambda tokens, y: (np.zeros(1 << toxicity.RATIO_BITS, np.float32),) * 2)
+    rnd = random.Random(4)
+    text = lambda bad: " ".join(rnd.sample([rnd.choice(["tree", "sun", "word", "kind", "path"]) for _ in range(12)] + ([rnd.choice(["vile", "scumlet"]) for _ in range(4)] if bad else []), 12))
+    y = np.array([int(k % 3 == 0) for k in range(900)])
+    net = toxicity.train([text(v) for v in y], y)
+    scores = np.array(net.scores([text(k % 2) for k in range(100)]))
+    assert np.mean([a > b for a in scores[1::2] for b in scores[::2]]) > 0.9
+
+
+def test_classifiers_of_empty_repeated_and_long_rows(spark):
+    d = docs_of(spark, ["good text here " * 9, "bad ## text !! " * 9] * 20)
+    d = d.union(d)  # repeated rows count once in the fit
+    labels = spark.createDataFrame([(i, (i + 1) % 2, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    assert common.one_text_each(d, labels.select("doc_id", F.col("quality").alias("y"))).count() == 40
+    m, net = nbsvm.fit(d, labels, F.lit(True)), toxicity.fit(d, labels, F.lit(True))
+    long = docs_of(spark, ["good text " * 100_000, "x" * 1_000_000, None])
+    for score, model in ((nbsvm.score, m), (toxicity.score, net)):
+        assert score(d.limit(0), model).count() == 0
+        assert len([r for r in score(long, model).collect() if 0 <= r.score <= 1]) == 3
+    none = labels.limit(0)
+    assert nbsvm.score(d, nbsvm.fit(d, none, F.lit(True))).where("score > 0 and score < 1").count() == 80
+    assert toxicity.score(d, toxicity.fit(d, none, F.lit(True))).where("score > 0 and score < 1").count() == 80
+
+
 def test_dual_descent_separates():
     rng = np.random.default_rng(0)
     rows = [np.unique(np.append(rng.integers(10, 500, 30), k % 2)) for k in range(120)]
@@ -195,7 +355,7 @@ def test_network_gradients():
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
     z, cache = net.forward(x, ids, True)
     g, d_x = net.backward(x, ids, cache, np.ones(1))
-    for name in ("in_f", "rec_b", "rec_b_f", "att", "att_v", "out"):
+    for name in sorted(set(net.p) - {"word", "char"}):
         p = net.p[name].reshape(-1)
         for k in (0, len(p) // 2):
             old, eps = p[k], 1e-3
@@ -246,7 +406,7 @@ def brute_stats(t):
 def test_text_statistics(spark):
     rnd = random.Random(1)
     texts = ["".join(rnd.choice(["a", "b ", "c\n", "é ", "# ", "\x0b", "日本", "$|", "\n", "\x1c"]) for _ in range(rnd.randint(0, 150))) for _ in range(300)] + [None, ""]
-    for r in decision_list.verdicts(docs_of(spark, texts), []).collect():
+    for r in decision_list.verdicts(docs_of(spark, texts), decision_list.DecisionList()).collect():
         s = brute_stats(texts[r.doc_id])
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == s
         assert r.base_failed == (s[0] < 50 or 100 * s[4] > 50 * s[0]) and r.kept == (not r.base_failed)
@@ -261,14 +421,41 @@ def test_rules_are_learned_and_emitted(spark):
     d = spark.createDataFrame([tuple(map(float, r)) for r in x], list(decision_list.FEATURES))
     kept = [r.k for r in d.select(decision_list.as_column(rules, {f: F.col(f) for f in decision_list.FEATURES}).alias("k")).collect()]
     assert np.mean(np.array(kept) == ~bad) > 0.97
-    assert decision_list.learn(np.zeros((0, 9)), np.zeros(0, bool)) == []
+    assert decision_list.learn(np.zeros((0, 9)), np.zeros(0, bool)) == decision_list.DecisionList()
+
+
+def test_rules_of_both_verdicts_in_order(spark):
+    """The rarer class gets the rules; the first rule that holds decides, so the order of a list matters."""
+    rng = np.random.default_rng(8)
+    x = rng.uniform(0, 1, (3000, len(decision_list.FEATURES)))
+    rare = (x[:, 2] > 0.7) & (x[:, 5] <= 0.6)
+    d = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], ["i", *decision_list.FEATURES])
+    values = {f: F.col(f) for f in decision_list.FEATURES}
+    kept = lambda rules: np.array([r.k for r in sorted(d.select("i", decision_list.as_column(rules, values).alias("k")).collect())])
+    bad_rare, good_rare = decision_list.learn(x[:2000], rare[:2000]), decision_list.learn(x[:2000], ~rare[:2000])
+    assert [v for _, v in good_rare.rules][0] and not good_rare.otherwise and not [v for _, v in bad_rare.rules][0] and bad_rare.otherwise
+    assert np.mean(kept(bad_rare) == ~rare) > 0.97 and np.mean(kept(good_rare) == rare) > 0.97
+    shield, wide = ((decision_list.Condition(5, True, 0.4),), True), ((decision_list.Condition(2, True, 0.3),), False)
+    assert (kept(decision_list.DecisionList((shield, wide))) == ((x[:, 5] > 0.4) | (x[:, 2] <= 0.3))).all()
+    assert (kept(decision_list.DecisionList((wide, shield))) == (x[:, 2] <= 0.3)).all()
+
+
+def test_rules_on_held_out_rows(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    y = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    rules = decision_list.fit(d, y.where("crc32(encode(cast(doc_id as string), 'utf-8')) % 3 <> 0"))
+    got = decision_list.verdicts(d, rules).join(y, "doc_id").where("crc32(encode(cast(doc_id as string), 'utf-8')) % 3 = 0 and not base_failed").collect()
+    assert len(got) > 80 and np.mean([r.kept for r in got if r.quality == 1]) > 0.97 and np.mean([r.kept == (r.quality == 1) for r in got]) > 0.95
 
 
 def test_rules_on_odd_tables(spark):
     d, empty = odd(spark), spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    assert decision_list.fit(d, empty) == []
-    assert decision_list.verdicts(d, []).count() == 7
-    assert decision_list.keep_good(d, []).columns == d.columns
+    none = decision_list.DecisionList()
+    assert decision_list.fit(d, empty) == none
+    assert decision_list.verdicts(d, none).count() == 7 and decision_list.verdicts(d.limit(0), none).count() == 0
+    assert decision_list.keep_good(d, none).columns == d.columns
+    long = decision_list.verdicts(docs_of(spark, ["word " * 200_000, "x" * 1_000_000]), none).collect()
+    assert [(r.n_words, r.n_repeat_words) for r in sorted(long)] == [(200_000, 200_000), (1, 0)]
 
 
 # 5: secrets
@@ -298,6 +485,23 @@ def test_secret_ownership(spark, monkeypatch, limit):
     r = {x.doc_id: (x.n_example, x.n_live) for x in secrets.scan_secrets(d, F.when(F.col("doc_id") >= 10, "me").otherwise(F.col("source")), F.col("lang")).collect()}
     assert r[0] == (1, 0) and r[10] == r[11] == (0, 1)
     assert secrets.scan_secrets(odd(spark), F.col("source"), F.col("lang")).count() == 7
+    assert secrets.scan_secrets(d.limit(0), F.col("source"), F.col("lang")).count() == 0
+
+
+def test_secret_repositories(spark):
+    """Random-looking values of one owner: in 1 repository live, in 3 neither, in 5 an example."""
+    value = {1: "token = aB3dE5fG7hJ9kL1mN", 3: "token = pQ2rS4tU6vW8xY0zA", 5: "token = cD4eF6gH8jK0lM2nP"}
+    rows = [(100 * n + i, v, f"repo{i}", "me", 0) for n, v in value.items() for i in range(n)]
+    d = spark.createDataFrame(rows, DOC)
+    got = {x.doc_id: (x.n_example, x.n_live, x.max_owners, x.max_repos) for x in secrets.scan_secrets(d, F.col("source"), F.col("lang")).collect()}
+    assert got[100] == (0, 1, 1, 1) and got[300] == (0, 0, 1, 3) and got[500] == (1, 0, 1, 5)
+
+
+def test_secrets_of_a_long_text(spark):
+    for n in (127, 128, 129, 20_000):
+        text = "é token = abcdef1 " * n
+        r = secrets.scan_secrets(docs_of(spark, [text]), F.col("source"), F.col("lang")).first()
+        assert r.n_assign == n and r.base_sha256 == sha(",".join(f"assign:{a}:{b}" for a, _, b in brute_secrets(text)))
 
 
 # 6: lines
@@ -332,6 +536,13 @@ def test_line_runs(spark, monkeypatch, limit):
     assert got[150] is None
 
 
+def test_lines_of_long_texts(spark):
+    part = [f"line {i} of a long shared passage" for i in range(3000)]
+    texts = ["\n".join(part), "own start\n" + "\n".join(part[500:2500]) + "\nown end", "x" * 1_000_000]
+    got = {r.doc_id: r.text for r in line_suffix.without_copies(docs_of(spark, texts)).collect()}
+    assert got == {0: texts[0], 1: "own start\nown end", 2: texts[2]}
+
+
 def test_lines_of_odd_tables(spark):
     d = odd(spark)
     out = line_suffix.without_copies(d)
@@ -371,11 +582,17 @@ def test_pii_spans():
 def test_pii_time_is_linear():
     anchors = pii.automaton()
     for unit in ("http://", "ssn", "@", "a@", "+1", "1.", "1 ", "http://!", "account "):
-        pii.find(unit * 50_000, anchors)
+        took = []
+        for n in (25_000, 100_000):
+            began = time.perf_counter()
+            pii.find(unit * n, anchors)
+            took.append(time.perf_counter() - began)
+        assert took[1] < 12 * took[0] + 0.2  # 4 where linear, 16 where quadratic
     assert pii.find("see https://u:p@h.org/x?y=1, and account no: AB123456.", anchors) == [(0, 14, 21), (4, 4, 27), (5, 45, 53)]
 
 
 def test_pii_rows(spark):
+    assert pii.find_pii(odd(spark).limit(0)).count() == 0
     r = pii.find_pii(odd(spark)).collect()
     assert len(r) == 7 and next(x for x in r if x.doc_id == 1).base_sha256 == sha("") and next(x for x in r if x.doc_id is None).n_email == 9
 
@@ -402,7 +619,7 @@ def test_bpe_of_long_texts_in_pieces(spark):
         ids = t.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
         assert r.ids == ids and r.n_tokens == len(ids) and r.ids_sha256 == sha(",".join(map(str, ids))) and r.decoded == (texts[r.doc_id] or "")
     assert bpe.decode(spark.createDataFrame(out).select("doc_id", "ids"), TOKENIZER).where("doc_id = 1").first().decoded == texts[1]
-    assert bpe.encode_decode(odd(spark), TOKENIZER).count() == 7
+    assert bpe.encode_decode(odd(spark), TOKENIZER).count() == 7 and bpe.encode_decode(odd(spark).limit(0), TOKENIZER).count() == 0
 
 
 # 9: decontamination
@@ -449,6 +666,9 @@ def test_contamination_of_odd_and_empty_tables(spark, monkeypatch, limit):
     assert decontaminate.score_contamination(d, b.limit(0)).where("contaminated").count() == 0
     assert decontaminate.drop_contaminated(d, b).columns == d.columns
     assert {r.text for r in decontaminate.cut_spans(d, b).where("doc_id = 3").collect()} == {""}
+    assert decontaminate.score_contamination(d.limit(0), b).count() == 0 and decontaminate.drop_contaminated(d.limit(0), b).count() == 0
+    long = decontaminate.score_contamination(docs_of(spark, ["a b c d " * 50_000, "x" * 1_000_000]), b).collect()
+    assert [(r.n_words, r.n_hit) for r in sorted(long)] == [(200_000, 150_000), (1, 0)]
 
 
 # queries and pipeline
@@ -467,6 +687,7 @@ def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     before = docs
     for name, stage in corpus_pipeline.STAGES:
+        docs_in = before
         after = common.store(stage(spark, before, SF), "test-stage")
         if name != "tokenization":
             assert after.columns == docs.columns
@@ -483,5 +704,9 @@ def test_pipeline_stages(spark):
             bad = {r.doc_id for r in decontaminate.score_contamination(before, spark.read.parquet(f"{SF}/benchmark.parquet")).where("contaminated").collect()}
             assert {r.doc_id for r in after.collect()} == {r.doc_id for r in before.collect()} - bad
         before = after
+        if name == "tokenization":
+            t = Tokenizer.from_file(TOKENIZER)
+            want = {r.doc_id: t.encode(r.text or "", add_special_tokens=False).ids for r in docs_in.collect()}
+            assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in after.collect()} == {i: (len(x), sha(",".join(map(str, x))), sha(t.decode(x, skip_special_tokens=False))) for i, x in want.items()}
     last = {r.doc_id: r.n_tokens for r in before.collect()}
     assert {r.doc_id: r.n_tokens for r in corpus_pipeline.run(spark, SF).collect()} == last
