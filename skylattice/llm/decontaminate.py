@@ -32,12 +32,21 @@ def normal_words(text: Column) -> Column:
     return F.array_remove(F.split(small, BREAK, -1), "")
 
 
+def gram_hash(word_hashes: Column, at: Column | int, k: Column | int) -> Column:
+    """Hash of k words from their own hashes: every word is hashed once, not once for each window that holds it."""
+    return F.xxhash64(F.slice(word_hashes, at, k), F.lit(k) if isinstance(k, int) else k)
+
+
+def hashed(words: Column) -> Column:
+    return F.transform(words, lambda x: F.xxhash64(x))
+
+
 def benchmark_grams(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Distinct windows: gram_hash, gram_len, gram (words), items (distinct ids holding it)."""
     w = benchmark.select("item_id", normal_words(F.col("text")).alias("w")).where(F.size("w") > 0)
     w = w.withColumn("len", F.least(F.lit(window), F.size("w")))
     g = w.select("item_id", "len", F.explode_outer(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("len") + 1), lambda i: F.slice("w", i, F.col("len")))).alias("gram"))
-    return g.groupBy(F.xxhash64("gram", "len").alias("gram_hash"), F.col("len").alias("gram_len"), "gram").agg(F.collect_set("item_id").alias("items"))
+    return g.groupBy(gram_hash(hashed(F.col("gram")), 1, F.col("len")).alias("gram_hash"), F.col("len").alias("gram_len"), "gram").agg(F.collect_set("item_id").alias("items"))
 
 
 def n_windows(n: Column, k: int) -> Column:
@@ -64,11 +73,11 @@ def window_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
     lens = sorted(size["lens"], reverse=True) or [window]
     n = F.size("w")
 
-    def hashes(k: int) -> Column:
-        return F.when(n >= k, F.transform(F.sequence(F.lit(1), n_windows(n, k)), lambda i: F.xxhash64(F.slice("w", i, k), F.lit(k)))).otherwise(F.array().cast("array<bigint>"))
+    def hashes(g: Column, k: int) -> Column:
+        return F.when(n >= k, F.transform(F.sequence(F.lit(1), n_windows(n, k)), lambda i: gram_hash(g, i, k))).otherwise(F.array().cast("array<bigint>"))
 
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t")).select("doc_id", F.xxhash64("t").alias("kid"), normal_words(F.col("t")).alias("w"))
-    d = d.select("doc_id", "kid", "w", F.concat(F.array(F.lit(0).cast("bigint")), *map(hashes, lens)).alias("hashes"))
+    d = d.select("doc_id", "kid", "w", let(hashed(F.col("w")), lambda g: F.concat(F.array(F.lit(0).cast("bigint")), *[hashes(g, k) for k in lens])).alias("hashes"))
     if size["b"] > BROADCAST_BYTES:
         return spread_hits(d, grams, lens)
     # the outer form: from the plain one Catalyst infers a filter that computes the words again
