@@ -91,3 +91,19 @@ def brightest_per_cell(df: DataFrame, x: str, y: str, mag: str, key: str, size:
     w = Window.partitionBy("gx", "gy").orderBy(mag, key)
     d = df.withColumn("gx", F.floor(F.col(x) / size)).withColumn("gy", F.floor(F.col(y) / size)).withColumn("__n", F.row_number().over(w))
     return d.where(F.col("__n") <= keep).drop("__n", "gx", "gy")
+
+
+def convolved(pixels: DataFrame, kernel: list[list[float]]) -> DataFrame:
+    """2-D convolution of the same size of images (img, r, c, v), zero outside and where a pixel is missing or null.
+
+    Every pixel is added to those around it by a generated list of offsets, so
+    no task holds an image; for kernels of a few dozen elements.
+    """
+    ny, nx = len(kernel), len(kernel[0])
+    near = [(i - (ny - 1) // 2, j - (nx - 1) // 2, float(kernel[i][j])) for i in range(ny) for j in range(nx) if kernel[i][j]]
+    offsets = F.explode(F.array(*[F.struct(F.lit(y).alias("y"), F.lit(x).alias("x"), F.lit(w).alias("w")) for y, x, w in near]))
+    size = pixels.groupBy("img").agg(F.max("r").alias("__r"), F.max("c").alias("__c"))
+    shape = size.select("img", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__r").cast("long"))).alias("r"), "__c").select("img", "r", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__c").cast("long"))).alias("c"))
+    parts = pixels.where("v is not null").select("img", "r", "c", "v", offsets.alias("o")).select("img", (F.col("r") + F.col("o.y")).cast("long").alias("r"), (F.col("c") + F.col("o.x")).cast("long").alias("c"), (F.col("v") * F.col("o.w")).alias("v"))
+    sums = parts.groupBy("img", "r", "c").agg(F.sum("v").alias("v"))
+    return shape.join(sums, ["img", "r", "c"], "left").withColumn("v", F.coalesce("v", F.lit(0.0)))

@@ -1,17 +1,22 @@
 """Small fits per series: polynomials, harmonics, interpolators, filters.
 
-One series is one group; every function takes and returns a group of rows and
-runs under applyInPandas with numpy, because these have no built-in form.
+Least-squares fits need only sums, which Spark combines before the shuffle;
+the small systems of those sums are solved with numpy, one row a series.
+Running filters are windows or joins through time buckets.  What has neither
+form (a transform, an interpolator, a consensus line) takes a series as a group.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import math
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import _parse_datatype_string
 
 
 def per_series(df: DataFrame, by: str, columns: Sequence[str], fn: Callable[[pd.DataFrame], dict[str, np.ndarray]], schema: str) -> DataFrame:
@@ -26,40 +31,81 @@ def per_series(df: DataFrame, by: str, columns: Sequence[str], fn: Callable[[pd.
     return df.select(by, *columns).dropna(subset=list(columns)).groupBy(by).applyInPandas(run, f"{by} {kind}, {schema}")
 
 
+def solved(sums: DataFrame, by: str, fn: Callable[[dict], list[dict]], schema: str) -> DataFrame:
+    """Rows that a numpy function makes of each row of sums (key ``__key``); the key is named ``by``."""
+    kind = sums.schema["__key"].dataType.simpleString()
+    names = [f.name for f in _parse_datatype_string(schema).fields]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in batches:
+            rows = [(key, *[x[n] for n in names]) for key, row in zip(g["__key"], g.to_dict("records"), strict=True) for x in fn(row)]
+            yield pd.DataFrame(rows, columns=[by, *names])
+
+    return sums.mapInPandas(run, f"{by} {kind}, {schema}")
+
+
+def moments(df: DataFrame, by: str, t: str, v: str, degree: int) -> DataFrame:
+    """Sums of powers of the scaled time u = (t - mean) / deviation: s0.., y0.. (times v - mean), yy, and what scales them back."""
+    d = df.select(F.col(by).alias("__key"), F.col(t).cast("double").alias("t"), F.col(v).cast("double").alias("v")).dropna(subset=["t", "v"])
+    scale = d.groupBy("__key").agg(F.avg("t").alias("tm"), F.stddev_pop("t").alias("ts"), F.avg("v").alias("vm"), F.count("*").alias("n"), F.count_distinct("t").alias("times"))
+    u, y = F.coalesce(F.try_divide(F.col("t") - F.col("tm"), F.col("ts")), F.lit(0.0)), F.col("v") - F.col("vm")
+    power = lambda k: F.pow(u, F.lit(k))
+    sums = [F.sum(power(k)).alias(f"s{k}") for k in range(2 * degree + 1)] + [F.sum(power(k) * y).alias(f"y{k}") for k in range(degree + 1)]
+    return d.join(scale, "__key").groupBy("__key", "tm", "ts", "vm", "n", "times").agg(*sums, F.sum(y * y).alias("yy"))
+
+
+def fitted(row: dict, degree: int) -> tuple[np.ndarray, float]:
+    """Coefficients (lowest first, in scaled time) and chi-square of one degree."""
+    a = np.array([[row[f"s{i + j}"] for j in range(degree + 1)] for i in range(degree + 1)])
+    y = np.array([row[f"y{i}"] for i in range(degree + 1)])
+    c = np.linalg.solve(a, y)
+    return c, max(0.0, float(row["yy"] - c @ y))
+
+
 def polynomial(df: DataFrame, by: str, t: str, v: str, degree: int) -> DataFrame:
-    """Least-squares polynomial about the mean time: coefficients from the highest, chi-square, count."""
+    """Least-squares polynomial about the mean time: coefficients from the highest, chi-square, count.
 
-    def fn(g):
-        x, y = g[t].to_numpy(), g[v].to_numpy()
-        k = min(degree, len(np.unique(x)) - 1)
-        c = np.polyfit(x - x.mean(), y, k)
-        return {"coef": [c.tolist()], "chi2": [float(((y - np.polyval(c, x - x.mean())) ** 2).sum())], "n": [len(x)]}
+    A series with too few different times gets the highest degree they allow.
+    """
+
+    def fn(row: dict) -> list[dict]:
+        c, chi2 = fitted(row, min(degree, int(row["times"]) - 1))
+        c = c / np.power(row["ts"] or 1.0, np.arange(len(c)))
+        c[0] += row["vm"]
+        return [{"coef": c[::-1].tolist(), "chi2": chi2, "n": int(row["n"])}]
 
-    return per_series(df, by, [t, v], fn, "coef array<double>, chi2 double, n long")
+    return solved(moments(df, by, t, v, degree), by, fn, "coef array<double>, chi2 double, n long")
 
 
 def polynomial_hypothesis(df: DataFrame, by: str, t: str, v: str, err: float, degree: int = 2) -> DataFrame:
     """Gain in chi-square of each polynomial degree over a constant."""
 
-    def fn(g):
-        x, y = g[t].to_numpy(), g[v].to_numpy()
-        x = x - x.mean()
-        chi = [float((((y - np.polyval(np.polyfit(x, y, k), x)) / err) ** 2).sum()) for k in range(min(degree, len(np.unique(x)) - 1) + 1)]
-        return {"degree": list(range(len(chi))), "d_chi2": [chi[0] - c for c in chi]}
+    def fn(row: dict) -> list[dict]:
+        chi = [fitted(row, k)[1] / err**2 for k in range(min(degree, int(row["times"]) - 1) + 1)]
+        return [{"degree": k, "d_chi2": chi[0] - c} for k, c in enumerate(chi)]
 
-    return per_series(df, by, [t, v], fn, "degree long, d_chi2 double")
+    return solved(moments(df, by, t, v, degree), by, fn, "degree long, d_chi2 double")
 
 
 def harmonics(df: DataFrame, by: str, t: str, v: str, freq: float, n: int = 2) -> DataFrame:
-    """Fit of a constant and n harmonics of a frequency: amplitudes and residual deviation."""
-
-    def fn(g):
-        x, y = g[t].to_numpy(), g[v].to_numpy()
-        a = np.column_stack([np.ones(len(x)), *[f(2 * np.pi * freq * k * x) for k in range(1, n + 1) for f in (np.cos, np.sin)]])
-        p = np.linalg.lstsq(a, y, rcond=None)[0]
-        return {"amplitude": [np.hypot(p[1::2], p[2::2]).tolist()], "resid_std": [float(np.std(y - a @ p))]}
-
-    return per_series(df, by, [t, v], fn, "amplitude array<double>, resid_std double")
+    """Fit of a constant and n harmonics of a frequency: amplitudes and residual deviation, from the sums of products of its terms."""
+    d = df.select(F.col(by).alias("__key"), F.col(t).alias("t"), F.col(v).cast("double").alias("v")).dropna(subset=["t", "v"])
+    terms = [F.lit(1.0), *[f(2 * math.pi * freq * k * F.col("t")) for k in range(1, n + 1) for f in (F.cos, F.sin)]]
+    size = len(terms)
+    mean = d.groupBy("__key").agg(F.avg("v").alias("vm"))
+    y = F.col("v") - F.col("vm")
+    sums = [F.sum(terms[i] * terms[j]).alias(f"a{i}_{j}") for i in range(size) for j in range(i + 1)]
+    sums += [F.sum(terms[i] * y).alias(f"y{i}") for i in range(size)] + [F.sum(y * y).alias("yy"), F.count("*").alias("n")]
+
+    def fn(row: dict) -> list[dict]:
+        a = np.array([[row[f"a{max(i, j)}_{min(i, j)}"] for j in range(size)] for i in range(size)])
+        b = np.array([row[f"y{i}"] for i in range(size)])
+        p = np.linalg.lstsq(a, b, rcond=1e-12)[0]
+        left = max(0.0, row["yy"] - 2 * p @ b + p @ a @ p) / row["n"]
+        # the terms hold a constant, so residuals have no mean but what rounding leaves
+        return [{"amplitude": np.hypot(p[1::2], p[2::2]).tolist(), "resid_std": float(np.sqrt(left))}]
+
+    return solved(d.join(mean, "__key").groupBy("__key").agg(*sums), by, fn, "amplitude array<double>, resid_std double")
 
 
 def fft_power(df: DataFrame, by: str, t: str, v: str) -> DataFrame:
@@ -75,17 +121,15 @@ def fft_power(df: DataFrame, by: str, t: str, v: str) -> DataFrame:
 
 
 def lag_correlation(df: DataFrame, by: str, t: str, v1: str, v2: str, max_lag: int) -> DataFrame:
-    """Correlation of two evenly spaced columns of a series at every lag up to max_lag, by FFT."""
-
-    def fn(g):
-        a, b = (g[c].to_numpy(float) - g[c].mean() for c in (v1, v2))
-        n = 2 * len(a)
-        c = np.fft.irfft(np.conj(np.fft.rfft(a, n)) * np.fft.rfft(b, n), n)
-        norm = len(a) * np.std(a) * np.std(b)
-        lags = np.arange(-min(max_lag, len(a) - 1), min(max_lag, len(a) - 1) + 1)
-        return {"lag": lags, "corr": c[lags] / norm if norm else np.zeros(len(lags))}
-
-    return per_series(df, by, [t, v1, v2], fn, "lag long, corr double")
+    """Correlation of two evenly spaced columns of a series at every lag up to max_lag; 0 where one of them is constant."""
+    d = df.select(F.col(by).alias("__key"), F.col(t).alias("t"), F.col(v1).cast("double").alias("a"), F.col(v2).cast("double").alias("b")).dropna()
+    m = d.groupBy("__key").agg(F.avg("a").alias("am"), F.avg("b").alias("bm"), F.count("*").alias("n"))
+    d = d.join(m, "__key").withColumn("a", F.col("a") - F.col("am")).withColumn("b", F.col("b") - F.col("bm"))
+    w, lags = Window.partitionBy("__key").orderBy("t"), list(range(-max_lag, max_lag + 1))
+    d = d.select("__key", "n", "a", "b", *[F.lead("b", k).over(w).alias(f"b{i}") for i, k in enumerate(lags)])
+    s = d.groupBy("__key", "n").agg(F.sqrt(F.sum(F.col("a") * F.col("a")) * F.sum(F.col("b") * F.col("b"))).alias("norm"), *[F.coalesce(F.sum(F.col("a") * F.col(f"b{i}")), F.lit(0.0)).alias(f"c{i}") for i in range(len(lags))])
+    rows = F.array(*[F.struct(F.lit(k).cast("long").alias("lag"), F.coalesce(F.try_divide(F.col(f"c{i}"), F.col("norm")), F.lit(0.0)).alias("corr")) for i, k in enumerate(lags)])
+    return s.select("__key", "n", F.explode(rows).alias("r")).where(F.abs("r.lag") < F.col("n")).select(F.col("__key").alias(by), "r.lag", "r.corr")
 
 
 def gaussian_process(df: DataFrame, by: str, t: str, v: str, grid: Sequence[float], length: float, noise: float) -> DataFrame:
@@ -101,19 +145,27 @@ def gaussian_process(df: DataFrame, by: str, t: str, v: str, grid: Sequence[floa
     return per_series(df, by, [t, v], fn, "t_new double, value double")
 
 
-def savitzky_golay(df: DataFrame, by: str, t: str, v: str, frame: float, degree: int = 2) -> DataFrame:
-    """Local polynomial at every time from the rows within half a frame, also for uneven spacing."""
-
-    def fn(g):
-        x, y = g[t].to_numpy(), g[v].to_numpy()
-        out = np.empty(len(x))
-        lo, hi = np.searchsorted(x, x - frame / 2, "left"), np.searchsorted(x, x + frame / 2, "right")
-        for i in range(len(x)):
-            near, val = x[lo[i] : hi[i]] - x[i], y[lo[i] : hi[i]]
-            out[i] = np.polyfit(near, val, min(degree, len(np.unique(near)) - 1))[-1]
-        return {"t": x, "smooth": out}
-
-    return per_series(df, by, [t, v], fn, "t double, smooth double")
+def savitzky_golay(df: DataFrame, by: str, t: str, v: str, frame: float) -> DataFrame:
+    """Local parabola at every row from the rows within half a frame, also for uneven spacing.
+
+    Rows meet through time buckets of half a frame; a frame with fewer than
+    three different times gives the line or the mean that they allow.
+    """
+    half = frame / 2
+    d = df.select(F.col(by).alias("__key"), F.col(t).cast("double").alias("t"), F.col(v).cast("double").alias("v")).dropna(subset=["t", "v"])
+    bucket = F.floor(F.col("t") / half)
+    a = d.groupBy("__key", F.col("t").alias("ta")).agg(F.count("*").alias("rows"), F.first(bucket).alias("k")).withColumn("k", F.explode(F.array(*[F.col("k") + i for i in (-1, 0, 1)])))
+    j = a.join(d.withColumn("k", bucket), ["__key", "k"]).withColumn("u", (F.col("t") - F.col("ta")) / half).where(F.abs("u") <= 1)
+    u = F.col("u")
+    sums = [F.sum(F.pow(u, F.lit(k))).alias(f"s{k}") for k in range(5)] + [F.sum(F.pow(u, F.lit(k)) * F.col("v")).alias(f"y{k}") for k in range(3)]
+    m = j.groupBy("__key", "ta", "rows").agg(*sums, F.size(F.collect_set("t")).alias("times"))
+    s0, s1, s2, s3, s4, y0, y1, y2 = (F.col(c) for c in ("s0", "s1", "s2", "s3", "s4", "y0", "y1", "y2"))
+    minor = s2 * s4 - s3 * s3
+    parabola = (y0 * minor - y1 * (s1 * s4 - s2 * s3) + y2 * (s1 * s3 - s2 * s2)) / (s0 * minor - s1 * (s1 * s4 - s2 * s3) + s2 * (s1 * s3 - s2 * s2))
+    line = (s2 * y0 - s1 * y1) / (s0 * s2 - s1 * s1)
+    smooth = F.when(F.col("times") > 2, parabola).when(F.col("times") == 2, line).otherwise(y0 / s0)
+    out = m.select(F.col("__key").alias(by), F.col("ta").alias("t"), smooth.alias("smooth"), F.explode(F.sequence(F.lit(1), F.col("rows"))).alias("copy"))
+    return out.drop("copy")
 
 
 def ransac_line(df: DataFrame, by: str, t: str, v: str, tolerance: float, n_sim: int = 100, seed: int = 1) -> DataFrame:
@@ -137,17 +189,17 @@ def ransac_line(df: DataFrame, by: str, t: str, v: str, tolerance: float, n_sim:
 
 
 def matched_filter(df: DataFrame, by: str, t: str, v: str, template: Sequence[float]) -> DataFrame:
-    """Highest correlation of a series with a unit-energy template, in deviations of the series."""
+    """Highest correlation of a series with a unit-energy template, in deviations of the series, and its place from 0 (the first of equal ones)."""
     w = np.asarray(template, float)
     w = (w - w.mean()) / np.linalg.norm(w - w.mean())
-
-    def fn(g):
-        y = g[v].to_numpy()
-        s = np.std(y) or 1.0
-        c = np.correlate((y - y.mean()) / s, w, "valid") if len(y) >= len(w) else np.zeros(1)
-        return {"best": [float(c.max())], "at": [int(c.argmax())]}
-
-    return per_series(df, by, [t, v], fn, "best double, at long")
+    d = df.select(F.col(by).alias("__key"), F.col(t).alias("t"), F.col(v).cast("double").alias("v")).dropna(subset=["t", "v"])
+    m = d.groupBy("__key").agg(F.avg("v").alias("vm"), F.stddev_pop("v").alias("vs"))
+    d = d.join(m, "__key").withColumn("y", F.coalesce(F.try_divide(F.col("v") - F.col("vm"), F.col("vs")), F.lit(0.0)))
+    over = Window.partitionBy("__key").orderBy("t", "v")
+    corr = reduce(lambda a, b: a + b, [F.lead("y", k).over(over) * float(x) if k else F.col("y") * float(x) for k, x in enumerate(w)])
+    c = d.select("__key", corr.alias("c"), (F.row_number().over(over) - 1).cast("long").alias("i"))
+    best = c.groupBy("__key").agg(F.max("c").alias("best"), F.min_by("i", F.struct(F.col("c").isNull(), -F.col("c"), F.col("i"))).alias("at"))
+    return best.select(F.col("__key").alias(by), F.coalesce("best", F.lit(0.0)).alias("best"), F.when(F.col("best").isNotNull(), F.col("at")).otherwise(F.lit(0)).alias("at"))
 
 
 def kepler(mean_anomaly: Column, eccentricity: Column) -> Column:

@@ -143,6 +143,19 @@ def header_table(headers: DataFrame, keys: Sequence[str]) -> DataFrame:
     return headers.where(F.col("key").isin(list(keys))).groupBy("file").agg(*[F.max(F.when(F.col("key") == k, F.col("value"))).alias(k) for k in keys])
 
 
+def dense_codes(df: DataFrame, value: str, name: str) -> DataFrame:
+    """Distinct values with their rank from 1 in sorted order.
+
+    Range partitions number their own values; counts of the partitions before
+    are added, so no task gets all values.
+    """
+    d = df.select(value).distinct().repartitionByRange(F.col(value)).sortWithinPartitions(value)
+    # ids count up from 2^33 times the number of the partition
+    d = d.withColumn("__id", F.monotonically_increasing_id()).withColumn("__p", F.shiftright("__id", 33)).withColumn("__i", F.col("__id").bitwiseAND((1 << 33) - 1))
+    first = d.groupBy("__p").agg(F.count("*").alias("__c")).withColumn("__o", F.sum("__c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)))
+    return d.join(F.broadcast(first), "__p").select(value, (F.coalesce("__o", F.lit(0)) + F.col("__i") + 1).alias(name))
+
+
 def alias_value(names: Sequence[str]) -> Column:
     """The first non-null of several alias columns."""
     return F.coalesce(*[F.col(n) for n in names])

@@ -7,16 +7,16 @@ from pyspark.sql import functions as F
 
 from skylattice.functions import sphere
 from skylattice.operators import catalogs as ca
+from skylattice.operators import imaging as im
 from skylattice.operators import models as mo
 from skylattice.operators import spatial as sp
 from skylattice.plans.common import LC_SQL, day, light_curve, rounded
-from skylattice.plans.series_queries import MAG, _few, _five, _mags, whole_table
+from skylattice.plans.series_queries import MAG, _mags
 from skylattice.plans.spatial_queries import CS, DIST, PAIRS, PART, _cs, _plane
 from skylattice.registry import Registry, table
 
 R = Registry()
 LC = f"WITH {LC_SQL} "
-FEW = "source <= 20"
 
 
 @R.query("light_curve_of_source", LC + "SELECT id, t, flux FROM lc WHERE source IN (3, 7) ORDER BY source, t, id")
@@ -29,12 +29,9 @@ def not_nan_epochs(spark, d):
     return _mags(spark, d).groupBy("e").agg(F.bool_and(F.col("mag") < 11.9).alias("complete"), F.count("*").alias("n"))
 
 
-@R.query("design_matrix", LC + "SELECT id, 1.0::DOUBLE AS h0, t AS h1, t*t AS h2, flux AS y FROM lc WHERE " + FEW)
-def design_matrix(spark, d, lc=_few):
-    return ca.design_matrix(lc(spark, d), "id", [F.lit(1.0), F.col("t"), F.col("t") * F.col("t")], "flux")
-
-
-whole_table(R, design_matrix, " WHERE source <= 20")
+@R.query("design_matrix", LC + "SELECT id, 1.0::DOUBLE AS h0, t AS h1, t*t AS h2, flux AS y FROM lc")
+def design_matrix(spark, d):
+    return ca.design_matrix(light_curve(spark, d), "id", [F.lit(1.0), F.col("t"), F.col("t") * F.col("t")], "flux")
 
 
 @R.query("column_summary", "SELECT 'p_size' AS name, count(p_size) AS n, avg(p_size) AS mean, min(p_size)::DOUBLE AS lo, max(p_size)::DOUBLE AS hi FROM part UNION ALL SELECT 'p_retailprice', count(p_retailprice), round(avg(p_retailprice), 8), min(p_retailprice), max(p_retailprice) FROM part")
@@ -42,12 +39,9 @@ def column_summary(spark, d):
     return ca.summary(table(spark, d, "part"), ["p_size", "p_retailprice"]).withColumn("mean", F.round("mean", 8))
 
 
-@R.query("keyed_insert", "SELECT s_name, 'K' || s_suppkey AS rec FROM supplier WHERE s_suppkey % 2 = 0")
-def keyed_insert(spark, d, where="s_suppkey % 2 = 0"):
-    return ca.with_key(table(spark, d, "supplier").where(where), "rec", F.concat(F.lit("K"), F.col("s_suppkey").cast("string"))).select("s_name", "rec")
-
-
-whole_table(R, keyed_insert, " WHERE s_suppkey % 2 = 0", take="true")
+@R.query("keyed_insert", "SELECT s_name, 'K' || s_suppkey AS rec FROM supplier")
+def keyed_insert(spark, d):
+    return ca.with_key(table(spark, d, "supplier"), "rec", F.concat(F.lit("K"), F.col("s_suppkey").cast("string"))).select("s_name", "rec")
 
 
 @R.query("array_round_trip", "SELECT p_partkey, p_size::DOUBLE AS a, p_retailprice AS b FROM part")
@@ -68,20 +62,17 @@ def merge_catalogs(spark, d):
     return rounded(e.groupBy("source").agg(F.avg("f").alias("mean"), F.median("f").alias("median"), F.count("*").alias("n_obs"), (F.max("f") - F.min("f")).alias("range")), "mean", "median", "range", digits=5)
 
 
-@R.query("match_residuals", f"WITH t AS (SELECT p_partkey AS id, {PART}, p_size FROM part), p AS (SELECT a.id AS probe_id, b.id AS cat_id, sqrt(pow(a.x-b.x-0.2,2)+pow(a.y-b.y+0.3,2)) AS dist, b.x-(a.x-0.2) AS dx, b.y-(a.y+0.3) AS dy FROM t a, t b WHERE a.p_size <= 10 AND b.p_size <= 10), n AS (SELECT probe_id, arg_min(dx, (dist, cat_id)) AS dx, arg_min(dy, (dist, cat_id)) AS dy FROM p WHERE dist <= 1.03 GROUP BY probe_id) SELECT count(*) AS n, round(avg(dx), 5) AS mean_dx, round(avg(dy), 5) AS mean_dy, round(stddev_samp(dx), 5) AS std_dx FROM n")
+@R.query("match_residuals", f"WITH t AS (SELECT p_partkey AS id, {PART}, p_size FROM part), p AS (SELECT a.id AS probe_id, b.id AS cat_id, sqrt(pow(a.x-b.x-0.2,2)+pow(a.y-b.y+0.3,2)) AS dist, b.x-(a.x-0.2) AS dx, b.y-(a.y+0.3) AS dy FROM t a, t b), n AS (SELECT probe_id, arg_min(dx, (dist, cat_id)) AS dx, arg_min(dy, (dist, cat_id)) AS dy FROM p WHERE dist <= 1.03 GROUP BY probe_id) SELECT count(*) AS n, round(avg(dx), 5) AS mean_dx, round(avg(dy), 5) AS mean_dy, round(stddev_samp(dx), 5) AS std_dx FROM n")
 def match_residuals(spark, d):
-    b = _plane(spark, d, "p_size <= 10")
+    b = _plane(spark, d)
     a = b.withColumn("x", F.col("x") - 0.2).withColumn("y", F.col("y") + 0.3)
     return rounded(ca.residuals(a, b, 1.03), "mean_dx", "mean_dy", "std_dx", digits=5)
 
 
-@R.query("external_orphans", PAIRS + "SELECT id FROM c WHERE id NOT IN (SELECT probe_id FROM p WHERE dist <= 3.0) AND id % 3 = 0")
-def external_orphans(spark, d, where="id % 3 = 0"):
+@R.query("external_orphans", PAIRS + "SELECT id FROM c WHERE id NOT IN (SELECT probe_id FROM p WHERE dist <= 3.0)")
+def external_orphans(spark, d):
     c, s = _cs(spark, d)
-    return sp.unmatched(c.where(where), sp.zone_pairs(c, s, 3.0), "probe_id").select("id")
-
-
-whole_table(R, external_orphans, " AND id % 3 = 0", take="true")
+    return sp.unmatched(c, sp.zone_pairs(c, s, 3.0), "probe_id").select("id")
 
 
 @R.query("half_space", f"WITH {CS} SELECT id FROM c WHERE 0.6*cos(radians(dec))*cos(radians(ra)) - 0.64*cos(radians(dec))*sin(radians(ra)) + 0.48*sin(radians(dec)) > 0.3001")
@@ -171,12 +162,9 @@ def split_sections(spark, d):
     return g.where(F.col("t_end") - F.col("t_start") >= 100).select("source", "t_start", "t_end", "n")
 
 
-@R.query("kernel_mean", LC + "SELECT a.id, round(sum(b.flux*(1-abs(b.t-a.t)/20.0))/sum(1-abs(b.t-a.t)/20.0), 7) AS smooth FROM lc a JOIN lc b ON a.source = b.source AND abs(b.t-a.t) < 20.0 WHERE a.source <= 5 GROUP BY a.id")
-def kernel_mean(spark, d, lc=_five):
-    return rounded(ca.kernel_mean(lc(spark, d), "id", "t", "flux", ["source"], 20.0), "smooth", digits=7)
-
-
-whole_table(R, kernel_mean, " WHERE a.source <= 5")
+@R.query("kernel_mean", LC + "SELECT a.id, round(sum(b.flux*(1-abs(b.t-a.t)/20.0))/sum(1-abs(b.t-a.t)/20.0), 7) AS smooth FROM lc a JOIN lc b ON a.source = b.source AND abs(b.t-a.t) < 20.0 GROUP BY a.id")
+def kernel_mean(spark, d):
+    return rounded(ca.kernel_mean(light_curve(spark, d), "id", "t", "flux", ["source"], 20.0), "smooth", digits=7)
 
 
 @R.query("integral_percentile", LC + ", w AS (SELECT source, t, flux, sum(flux) OVER (PARTITION BY source ORDER BY t, id)/sum(flux) OVER (PARTITION BY source) AS c FROM lc) SELECT source, min(t) FILTER (c >= 0.05) AS left_limit, min(t) FILTER (c >= 0.95) AS right_limit FROM w GROUP BY source")
@@ -218,15 +206,12 @@ def residual_flags(spark, d):
     return ca.residual_outliers(_mags(spark, d), "source", "mag", 0.1, 3.0).select("source", "e", "outlier")
 
 
-@R.query("order_history", "SELECT o_custkey, count(*) AS n, min(o_orderdate) AS first_date, max(o_orderdate) AS last_date FROM orders WHERE o_custkey BETWEEN 10 AND 200 GROUP BY o_custkey HAVING count(*) > 5")
-def order_history(spark, d, where="o_custkey BETWEEN 10 AND 200"):
-    o = table(spark, d, "orders").where(where)
+@R.query("order_history", "SELECT o_custkey, count(*) AS n, min(o_orderdate) AS first_date, max(o_orderdate) AS last_date FROM orders GROUP BY o_custkey HAVING count(*) > 5")
+def order_history(spark, d):
+    o = table(spark, d, "orders")
     return o.groupBy("o_custkey").agg(F.count("*").alias("n"), F.min("o_orderdate").alias("first_date"), F.max("o_orderdate").alias("last_date")).where("n > 5")
 
 
-whole_table(R, order_history, " WHERE o_custkey BETWEEN 10 AND 200", take="true")
-
-
 @R.query("continuous_longitude", f"WITH {CS}, g AS (SELECT id, id % 200 AS k, radians(mod(ra, 40) + CASE WHEN id % 3 = 0 THEN 320 ELSE 0 END) AS lon FROM c), w AS (SELECT *, min(lon) OVER p < pi()/2 AND max(lon) OVER p > 3*pi()/2 AS x, avg(lon) OVER p > pi() AS up FROM g WINDOW p AS (PARTITION BY k)) SELECT id, round(CASE WHEN x AND up AND lon < pi() THEN lon + 2*pi() WHEN x AND NOT up AND lon > pi() THEN lon - 2*pi() ELSE lon END, 6) AS lon FROM w")
 def continuous_longitude(spark, d):
     from skylattice.operators.sequence import continuous_longitude as fix
@@ -244,18 +229,25 @@ def running_z(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.round(z("o_totalprice", 3, w), 5).alias("z"))
 
 
-# fits without a built-in form: rows only
+# fits
+
+#: Orthogonal parabola about the mean time: p2 = u^2 - a u - b.
+FIT = LC + ", k AS (SELECT source, avg(t) AS tm, avg(flux) AS vm, count(*) AS n FROM lc GROUP BY source), u AS (SELECT source, n, vm, t-tm AS u, flux-vm AS y FROM lc JOIN k USING (source)), s AS (SELECT source, any_value(n) AS n, any_value(vm) AS vm, sum(u*u) AS s2, sum(u*u*u)/sum(u*u) AS a, sum(u*u)/any_value(n) AS b, sum(u*y)/sum(u*u) AS l, sum(y*y) AS yy FROM u GROUP BY source), q AS (SELECT source, sum((u*u-a*u-b)*y) AS qy, sum(pow(u*u-a*u-b, 2)) AS qq FROM u JOIN s USING (source) GROUP BY source) "
+
 
-@R.query("poly_fit")
+@R.query("poly_fit", FIT + "SELECT source, round(qy/qq, 6) AS c2, round(l - a*qy/qq, 4) AS c1, round(vm - b*qy/qq, 2) AS c0, round((yy - l*l*s2 - qy*qy/qq)/1e9, 4) AS chi2, n FROM s JOIN q USING (source)")
 def poly_fit(spark, d):
-    return mo.polynomial(light_curve(spark, d), "source", "t", "flux", 2)
+    p, c = mo.polynomial(light_curve(spark, d), "source", "t", "flux", 2), F.col("coef")
+    return p.select("source", F.round(c[0], 6).alias("c2"), F.round(c[1], 4).alias("c1"), F.round(c[2], 2).alias("c0"), F.round(F.col("chi2") / 1e9, 4).alias("chi2"), "n")
 
 
-@R.query("poly_hypothesis")
+@R.query("poly_hypothesis", FIT + "SELECT source, degree, round(CASE degree WHEN 0 THEN 0 WHEN 1 THEN l*l*s2 ELSE l*l*s2 + qy*qy/qq END/1e6, 4) AS d_chi2 FROM s JOIN q USING (source), (SELECT unnest(range(0, 3)) AS degree)")
 def poly_hypothesis(spark, d):
-    return mo.polynomial_hypothesis(light_curve(spark, d), "source", "t", "flux", 1000.0)
+    return rounded(mo.polynomial_hypothesis(light_curve(spark, d), "source", "t", "flux", 1000.0), "d_chi2", digits=4)
 
 
+# fits that SQL cannot say: tests compare them with numpy
+
 @R.query("harmonic_fit")
 def harmonic_fit(spark, d):
     return mo.harmonics(light_curve(spark, d), "source", "t", "flux", 0.05)
@@ -274,9 +266,9 @@ def gp_interpolation(spark, d):
     return mo.gaussian_process(m, "source", "e", "mag", grid, 1.5, 0.05)
 
 
-@R.query("savitzky_golay")
+@R.query("savitzky_golay", LC + ", j AS (SELECT a.source, a.t AS ta, (b.t-a.t)/30.0 AS u, b.flux AS y, b.t FROM (SELECT DISTINCT source, t FROM lc) a JOIN lc b ON a.source = b.source AND abs(b.t-a.t) <= 30.0), m AS (SELECT source, ta, count(*)::DOUBLE AS s0, sum(u) AS s1, sum(u*u) AS s2, sum(u*u*u) AS s3, sum(u*u*u*u) AS s4, sum(y) AS y0, sum(u*y) AS y1, sum(u*u*y) AS y2, count(DISTINCT t) AS k FROM j GROUP BY source, ta), f AS (SELECT source, ta, CASE WHEN k > 2 THEN (y0*(s2*s4-s3*s3)-y1*(s1*s4-s2*s3)+y2*(s1*s3-s2*s2))/(s0*(s2*s4-s3*s3)-s1*(s1*s4-s2*s3)+s2*(s1*s3-s2*s2)) WHEN k = 2 THEN (s2*y0-s1*y1)/(s0*s2-s1*s1) ELSE y0/s0 END AS smooth FROM m) SELECT lc.source, lc.t, round(smooth, 2) AS smooth FROM lc JOIN f ON f.source = lc.source AND f.ta = lc.t")
 def savitzky_golay(spark, d):
-    return mo.savitzky_golay(light_curve(spark, d), "source", "t", "flux", 60.0)
+    return rounded(mo.savitzky_golay(light_curve(spark, d), "source", "t", "flux", 60.0), "smooth", digits=2)
 
 
 @R.query("ransac_line")
@@ -284,9 +276,12 @@ def ransac_line(spark, d):
     return mo.ransac_line(light_curve(spark, d), "source", "t", "flux", 5000.0)
 
 
-@R.query("matched_filter")
+TAPS = "(-0.8*y + 0.2*lead(y, 1) OVER w + 1.2*lead(y, 2) OVER w + 0.2*lead(y, 3) OVER w - 0.8*lead(y, 4) OVER w)/sqrt(2.8)"
+
+
+@R.query("matched_filter", LC + f", y AS (SELECT source, t, flux, (flux - avg(flux) OVER s)/stddev_pop(flux) OVER s AS y FROM lc WINDOW s AS (PARTITION BY source)), c AS (SELECT source, {TAPS} AS c, row_number() OVER w - 1 AS i FROM y WINDOW w AS (PARTITION BY source ORDER BY t, flux)) SELECT source, round(max(c), 6) AS best, arg_min(i, (-c, i)) AS at FROM c WHERE c IS NOT NULL GROUP BY source")
 def matched_filter(spark, d):
-    return mo.matched_filter(light_curve(spark, d), "source", "t", "flux", [0, 1, 2, 1, 0])
+    return rounded(mo.matched_filter(light_curve(spark, d), "source", "t", "flux", [0, 1, 2, 1, 0]), "best")
 
 
 @R.query("kepler_residual", "SELECT p_partkey, true AS solved FROM part")
@@ -296,9 +291,7 @@ def kepler_residual(spark, d):
     return x.select("p_partkey", (F.abs(F.col("x") - F.col("e") * F.sin("x") - F.col("m")) < 1e-9).alias("solved"))
 
 
-@R.query("image_convolution")
+@R.query("image_convolution", "WITH p AS (SELECT l_linenumber AS img, l_suppkey % 10 AS r, l_partkey % 10 AS c, sum(l_quantity) AS v FROM lineitem GROUP BY ALL), g AS (SELECT img, r, unnest(range(0, mc+1)) AS c FROM (SELECT img, mc, unnest(range(0, mr+1)) AS r FROM (SELECT img, max(r) AS mr, max(c) AS mc FROM p GROUP BY img))) SELECT g.img::BIGINT AS img, g.r, g.c, round(coalesce(sum(v), 0)/9, 6) AS v FROM g LEFT JOIN p ON p.img = g.img AND abs(p.r-g.r) <= 1 AND abs(p.c-g.c) <= 1 GROUP BY g.img, g.r, g.c")
 def image_convolution(spark, d):
-    import numpy as np
-
-    p = table(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("img"), (F.col("l_suppkey") % 10).alias("r"), (F.col("l_partkey") % 10).alias("c")).agg(F.sum("l_quantity").alias("v"))
-    return mo.per_image(p, lambda a: mo.convolve(a, np.ones((3, 3)) / 9))
+    p = table(spark, d, "lineitem").groupBy(F.col("l_linenumber").cast("long").alias("img"), (F.col("l_suppkey") % 10).alias("r"), (F.col("l_partkey") % 10).alias("c")).agg(F.sum("l_quantity").alias("v"))
+    return rounded(im.convolved(p, [[1 / 9] * 3] * 3), "v")

@@ -9,7 +9,6 @@ from skylattice.operators import imaging as im
 from skylattice.operators import movers as mv
 from skylattice.operators import significance as sg
 from skylattice.plans.common import LC_SQL, light_curve, rounded
-from skylattice.plans.series_queries import _five, whole_table
 from skylattice.plans.spatial_queries import CS, DIST, PART, _cs, _plane
 from skylattice.registry import Registry, table
 
@@ -17,28 +16,24 @@ R = Registry()
 LC = f"WITH {LC_SQL} "
 TIMES = [0.0, 5.0, 10.0, 15.0, 20.0]
 TSQL = "(VALUES " + ", ".join(f"({t!r}::DOUBLE)" for t in TIMES) + ") w(t)"
-MOVE = "SELECT s.id, t, mod(ra + 0.3*t/cos(radians(dec)) + 3600, 360) AS ra, dec + 0.1*t AS dec FROM s, " + TSQL + " WHERE s.id % 5 = 0"
+MOVE = "SELECT s.id, t, mod(ra + 0.3*t/cos(radians(dec)) + 3600, 360) AS ra, dec + 0.1*t AS dec FROM s, " + TSQL
 
 
 def _objects(spark, d):
     return _cs(spark, d)[1].withColumn("pm_ra", F.lit(0.3)).withColumn("pm_dec", F.lit(0.1)), spark.createDataFrame([(t,) for t in TIMES], "t double")
 
 
-def _fifth(spark, d):
-    o, t = _objects(spark, d)
-    return o.where("id % 5 = 0"), t
-
-
 @R.query("match_moving", f"WITH {CS}, o AS ({MOVE}) SELECT o.id AS obj_id, o.t, c.id AS cat_id, round({DIST.format(a='o.', b='c.')}, 6) AS dist FROM o, c WHERE {DIST.format(a='o.', b='c.')} <= 3.0")
-def match_moving(spark, d, objects=_fifth):
-    o, t = objects(spark, d)
+def match_moving(spark, d):
+    o, t = _objects(spark, d)
     return rounded(mv.match_moving(o, t, _cs(spark, d)[0], 3.0), "dist")
 
 
-whole_table(R, match_moving, " WHERE s.id % 5 = 0", take=_objects)
+def _track_sql(name, pm_ra, pm_dec):
+    return f"{name} AS (SELECT s.id, t, mod(ra + ({pm_ra})*t/cos(radians(dec)) + 3600, 360) AS ra, dec + ({pm_dec})*t AS dec FROM s, {TSQL})"
 
 
-@R.query("conjunctions")
+@R.query("conjunctions", f"WITH {CS}, {_track_sql('a', 0.3, 0.1)}, {_track_sql('b', -0.6, 0.4)}, p AS (SELECT a.id AS id1, b.id AS id2, a.t, {DIST.format(a='a.', b='b.')} AS dist FROM a JOIN b ON a.t = b.t), w AS (SELECT *, lag(dist) OVER o AS before, lead(dist) OVER o AS after FROM p WINDOW o AS (PARTITION BY id1, id2 ORDER BY t)) SELECT id1, id2, t, round(dist, 6) AS dist FROM w WHERE dist <= 30.0 AND dist < before AND dist < after")
 def conjunctions(spark, d):
     o, t = _objects(spark, d)
     p = mv.predicted(o, t)
@@ -133,9 +128,9 @@ def error_ensemble(spark, d):
     return sg.error_ensemble(s, "s_suppkey", "v", "e", F.log, 100)
 
 
-@R.query("file_name_fields", "SELECT s_suppkey, 'LAST' AS project, s_suppkey::VARCHAR AS counter, 'LAST_t_r_f_' || s_suppkey || '_1_c_sci_raw_Image_1.fits' AS name FROM supplier")
+@R.query("file_name_fields", "SELECT s_suppkey, 'SKY' AS project, s_suppkey::VARCHAR AS counter, 'SKY_t_r_f_' || s_suppkey || '_1_c_sci_raw_Image_1.fits' AS name FROM supplier")
 def file_name_fields(spark, d):
-    n = filenames.compose(F.lit("LAST"), F.lit("t"), F.lit("r"), F.lit("f"), F.col("s_suppkey").cast("string"), F.lit("1"), F.lit("c"), F.lit("sci"), F.lit("raw"), F.lit("Image"), F.lit("1"))
+    n = filenames.compose(F.lit("SKY"), F.lit("t"), F.lit("r"), F.lit("f"), F.col("s_suppkey").cast("string"), F.lit("1"), F.lit("c"), F.lit("sci"), F.lit("raw"), F.lit("Image"), F.lit("1"))
     d2 = table(spark, d, "supplier").select("s_suppkey", n.alias("name"))
     return d2.select("s_suppkey", filenames.field(F.col("name"), "project").alias("project"), filenames.field(F.col("name"), "counter").alias("counter"), "name")
 
@@ -146,28 +141,25 @@ def rotation_scale(spark, d):
 
     from skylattice.operators.registration import rotation_and_scale
 
-    a = _plane(spark, d, "p_size <= 5")
+    a = _plane(spark, d)
     c, s, k = math.cos(math.radians(30)), math.sin(math.radians(30)), 1.2
     b = a.select("id", (k * (c * F.col("x") - s * F.col("y"))).alias("x"), (k * (s * F.col("x") + c * F.col("y"))).alias("y"))
     return rounded(rotation_and_scale(a, b, 10.0), "angle", "scale")
 
 
-@R.query("indicator_design", LC + "SELECT id, 'zp_' || floor(t/365)::BIGINT AS column, 1.0::DOUBLE AS h FROM lc WHERE source <= 5 UNION ALL SELECT id, 'mean_' || source, 1.0 FROM lc WHERE source <= 5")
-def indicator_design(spark, d, lc=_five):
+@R.query("indicator_design", LC + "SELECT id, 'zp_' || floor(t/365)::BIGINT AS column, 1.0::DOUBLE AS h FROM lc UNION ALL SELECT id, 'mean_' || source, 1.0 FROM lc")
+def indicator_design(spark, d):
     from skylattice.operators.catalogs import indicator_design as design
 
-    return design(lc(spark, d).withColumn("e", F.floor(F.col("t") / 365)), "id", "source", "e")
-
-
-whole_table(R, indicator_design, " WHERE source <= 5")
+    return design(light_curve(spark, d).withColumn("e", F.floor(F.col("t") / 365)), "id", "source", "e")
 
 
-@R.query("lag_correlation")
+@R.query("lag_correlation", LC + ", m AS (SELECT source, floor(t/30) AS e, avg(flux) AS a, avg(err) AS b FROM lc GROUP BY 1, 2), c AS (SELECT source, e, a - avg(a) OVER s AS a, b - avg(b) OVER s AS b, row_number() OVER (PARTITION BY source ORDER BY e) AS i FROM m WINDOW s AS (PARTITION BY source)), n AS (SELECT source, sqrt(sum(a*a)*sum(b*b)) AS norm, count(*) AS k FROM c GROUP BY source), g AS (SELECT source, norm, unnest(range(-least(5, k-1), least(5, k-1)+1)) AS lag FROM n) SELECT g.source, g.lag, round(coalesce(sum(x.a*y.b), 0)/any_value(norm), 6) AS corr FROM g LEFT JOIN c x ON x.source = g.source LEFT JOIN c y ON y.source = g.source AND y.i = x.i + g.lag GROUP BY g.source, g.lag")
 def lag_correlation(spark, d):
     from skylattice.operators.models import lag_correlation as lags
 
     m = light_curve(spark, d).groupBy("source", F.floor(F.col("t") / 30).alias("e")).agg(F.avg("flux").alias("a"), F.avg("err").alias("b"))
-    return lags(m, "source", "e", "a", "b", 5)
+    return rounded(lags(m, "source", "e", "a", "b", 5), "corr")
 
 
 @R.query("cadence_weight", "SELECT c_custkey, round(CASE WHEN w < 0.7 THEN 1.1/(1+exp(-(w-0.7)/0.5)) ELSE 1.0+(1.1-1.0)*exp(-(w-0.7)/2.0) END, 9) AS weight FROM (SELECT c_custkey, abs(c_acctbal)/1000 AS w FROM customer)")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from skylattice.operators import events as ev
 from skylattice.operators import sequence as sq
 from skylattice.operators import timeseries as ts
-from skylattice.plans.common import EV_SQL, LC_SQL, event_times, light_curve, rounded
+from skylattice.plans.common import DAY_SQL, EV_SQL, LC_SQL, day, event_times, light_curve, rounded
 from skylattice.registry import Registry, table
 
 R = Registry()
@@ -83,11 +83,11 @@ def interp_nan(spark, d):
     return sq.fill_linear(m, "e", "f", ["source"]).select("source", "e", F.round("filled", 7).alias("f"))
 
 
-@R.query("uniform_resample")
+@R.query("uniform_resample", DAILY + ", g AS (SELECT source, unnest(range(ceil(min(e)/2.0)::BIGINT, floor(max(e)/2.0)::BIGINT + 1))*2 + 0.5 AS x FROM dd GROUP BY source), p AS (SELECT g.source, g.x, a.e AS ea, a.f AS fa FROM g ASOF LEFT JOIN dd a ON g.source = a.source AND g.x >= a.e), q AS (SELECT p.*, b.e AS eb, b.f AS fb FROM p ASOF LEFT JOIN dd b ON p.source = b.source AND p.x <= b.e) SELECT source, x::DOUBLE AS e, round(fa + (fb-fa)*(x-ea)/(eb-ea), 7) AS f FROM q")
 def uniform_resample(spark, d):
     e = _epochs(spark, d).select("source", F.col("e").cast("double").alias("e"), "f")
     grid = e.groupBy("source").agg(F.min("e").alias("a"), F.max("e").alias("b")).select("source", F.explode(F.sequence(F.ceil(F.col("a") / 2), F.floor(F.col("b") / 2))).alias("k")).select("source", (F.col("k") * 2 + 0.5).alias("e"))
-    return rounded(sq.interpolate_at(e, grid, "e", "f", ["source"]), "f", digits=4)
+    return rounded(sq.interpolate_at(e, grid, "e", "f", ["source"]), "f", digits=7)
 
 
 @R.query("asof_nearest", "SELECT e.event_id, o.o_orderkey FROM (SELECT event_id, user_id, ts FROM events) e ASOF LEFT JOIN (SELECT o_custkey, o_orderdate, max(o_orderkey) AS o_orderkey FROM orders GROUP BY 1, 2) o ON e.user_id = o.o_custkey AND e.ts >= o.o_orderdate")
@@ -97,34 +97,9 @@ def asof_nearest(spark, d):
     return sq.asof(e, o, "t", ["k"], "o_orderkey").select("event_id", "o_orderkey")
 
 
-def _few(spark, d):
-    return light_curve(spark, d).where("source <= 20")
-
-
-def _ten(spark, d):
-    return light_curve(spark, d).where("source <= 10")
-
-
-def _five(spark, d):
-    return light_curve(spark, d).where("source <= 5")
-
-
-def whole_table(registry: Registry, fn, *cuts: str, take=light_curve) -> None:
-    """Register NAME_all: a query whose SQL keeps a subset of the rows, over every row; its SQL is the same without the cuts."""
-    sql = registry.oracle[fn.__name__]
-    for cut in cuts:
-        if cut not in sql:
-            raise ValueError(f"{fn.__name__}: no {cut!r} in its SQL")
-        sql = sql.replace(cut, "")
-    registry.query(f"{fn.__name__}_all", sql)(lambda spark, d: fn(spark, d, take))
-
-
-@R.query("fold_phase", LC + "SELECT id, round(x - floor(x), 6) AS phase FROM (SELECT id, (t - m)/37.3 AS x FROM lc JOIN (SELECT source, median(t) AS m FROM lc GROUP BY source) USING (source) WHERE source <= 10)")
-def fold_phase(spark, d, lc=_ten):
-    return ts.fold(lc(spark, d), "t", 37.3, ["source"]).select("id", F.round("phase", 6).alias("phase"))
-
-
-whole_table(R, fold_phase, " WHERE source <= 10")
+@R.query("fold_phase", LC + "SELECT id, round(x - floor(x), 6) AS phase FROM (SELECT id, (t - m)/37.3 AS x FROM lc JOIN (SELECT source, median(t) AS m FROM lc GROUP BY source) USING (source))")
+def fold_phase(spark, d):
+    return ts.fold(light_curve(spark, d), "t", 37.3, ["source"]).select("id", F.round("phase", 6).alias("phase"))
 
 
 @R.query("extract_phase", LC + "SELECT id FROM (SELECT id, (t - 0.5)/37.3 - floor((t - 0.5)/37.3) AS p FROM lc) WHERE p >= 0.9003 OR p <= 0.1003")
@@ -134,54 +109,45 @@ def extract_phase(spark, d):
 
 FREQS = [0.01 * k for k in range(1, 21)]
 FSQL = "(VALUES " + ", ".join(f"({f!r}::DOUBLE)" for f in FREQS) + ") q(freq)"
-CENTRED = LC + f", c AS (SELECT source, t, flux, flux - avg(flux) OVER (PARTITION BY source) AS m FROM lc WHERE source <= 20), st AS (SELECT source, var_samp(flux) AS var, count(*) AS n FROM c GROUP BY source), f AS (SELECT * FROM c, {FSQL}) "
+CENTRED = LC + f", c AS (SELECT source, t, flux, flux - avg(flux) OVER (PARTITION BY source) AS m FROM lc), st AS (SELECT source, var_samp(flux) AS var, count(*) AS n FROM c GROUP BY source), f AS (SELECT * FROM c, {FSQL}) "
 
 
 @R.query("periodogram", CENTRED + "SELECT source, round(freq, 4) AS freq, round((pow(sum(m*cos(2*pi()*freq*t)),2)+pow(sum(m*sin(2*pi()*freq*t)),2))/any_value(n)/any_value(var), 5) AS power FROM f JOIN st USING (source) GROUP BY source, freq")
-def periodogram(spark, d, lc=_few):
-    return ts.periodogram(lc(spark, d), "t", "flux", ["source"], FREQS).select("source", F.round("freq", 4).alias("freq"), F.round("power", 5).alias("power"))
-
-
-whole_table(R, periodogram, " WHERE source <= 20")
+def periodogram(spark, d):
+    return ts.periodogram(light_curve(spark, d), "t", "flux", ["source"], FREQS).select("source", F.round("freq", 4).alias("freq"), F.round("power", 5).alias("power"))
 
 
 @R.query("scargle", CENTRED + ", tau AS (SELECT source, freq, atan2(sum(sin(4*pi()*freq*t)), sum(cos(4*pi()*freq*t)))/(4*pi()*freq) AS tau FROM f GROUP BY source, freq) SELECT source, round(freq, 4) AS freq, round(0.5*(pow(sum(m*cos(2*pi()*freq*(t-tau))),2)/sum(pow(cos(2*pi()*freq*(t-tau)),2)) + pow(sum(m*sin(2*pi()*freq*(t-tau))),2)/sum(pow(sin(2*pi()*freq*(t-tau)),2)))/any_value(var), 5) AS power FROM f JOIN tau USING (source, freq) JOIN st USING (source) GROUP BY source, freq")
-def scargle(spark, d, lc=_few):
-    return ts.scargle(lc(spark, d), "t", "flux", ["source"], FREQS).select("source", F.round("freq", 4).alias("freq"), F.round("power", 5).alias("power"))
-
-
-whole_table(R, scargle, " WHERE source <= 20")
+def scargle(spark, d):
+    return ts.scargle(light_curve(spark, d), "t", "flux", ["source"], FREQS).select("source", F.round("freq", 4).alias("freq"), F.round("power", 5).alias("power"))
 
 
 @R.query("pdm", CENTRED + ", b AS (SELECT source, freq, floor((t*freq - floor(t*freq))*8) AS b, flux FROM f), w AS (SELECT source, freq, b, count(*) AS n, coalesce(var_samp(flux), 0) AS v FROM b GROUP BY ALL) SELECT source, round(freq, 4) AS freq, round(sum((n-1)*v)/(any_value(var)*(sum(n)-1)), 5) AS theta FROM w JOIN (SELECT source, var FROM st) USING (source) GROUP BY source, freq")
-def pdm(spark, d, lc=_few):
-    return ts.pdm(lc(spark, d), "t", "flux", ["source"], FREQS, 8).select("source", F.round("freq", 4).alias("freq"), F.round("theta", 5).alias("theta"))
-
+def pdm(spark, d):
+    return ts.pdm(light_curve(spark, d), "t", "flux", ["source"], FREQS, 8).select("source", F.round("freq", 4).alias("freq"), F.round("theta", 5).alias("theta"))
 
-whole_table(R, pdm, " WHERE source <= 20")
 
+@R.query("phase_entropy", LC + f", r AS (SELECT source, min(flux) AS lo, max(flux) AS hi, count(*) AS n FROM lc GROUP BY 1), c AS (SELECT source, freq, count(*)/any_value(n) AS p FROM (SELECT source, freq, n, floor((t*freq-floor(t*freq))*5) AS i, least(4, floor((flux-lo)/(hi-lo)*5)) AS j FROM lc JOIN r USING (source), {FSQL}) GROUP BY source, freq, i, j) SELECT source, round(freq, 4) AS freq, round(-sum(p*ln(p)), 6) AS entropy FROM c GROUP BY source, freq")
+def phase_entropy(spark, d):
+    return ts.phase_entropy(light_curve(spark, d), "t", "flux", ["source"], FREQS, 5).select("source", F.round("freq", 4).alias("freq"), F.round("entropy", 6).alias("entropy"))
 
-@R.query("phase_entropy", LC + f", r AS (SELECT source, min(flux) AS lo, max(flux) AS hi, count(*) AS n FROM lc WHERE source <= 20 GROUP BY 1), c AS (SELECT source, freq, count(*)/any_value(n) AS p FROM (SELECT source, freq, n, floor((t*freq-floor(t*freq))*5) AS i, least(4, floor((flux-lo)/(hi-lo)*5)) AS j FROM lc JOIN r USING (source), {FSQL}) GROUP BY source, freq, i, j) SELECT source, round(freq, 4) AS freq, round(-sum(p*ln(p)), 6) AS entropy FROM c GROUP BY source, freq")
-def phase_entropy(spark, d, lc=_few):
-    return ts.phase_entropy(lc(spark, d), "t", "flux", ["source"], FREQS, 5).select("source", F.round("freq", 4).alias("freq"), F.round("entropy", 6).alias("entropy"))
 
-
-whole_table(R, phase_entropy, " WHERE source <= 20")
-
-
-@R.query("string_length")
+@R.query("string_length", LC + f", p AS (SELECT source, freq, t*freq - floor(t*freq) AS ph, flux FROM lc, {FSQL}) SELECT source, round(freq, 3) AS freq, round(sum(l), 1) AS length FROM (SELECT source, freq, sqrt(pow(ph - lag(ph) OVER w, 2) + pow(flux - lag(flux) OVER w, 2)) AS l FROM p WINDOW w AS (PARTITION BY source, freq ORDER BY ph, flux)) GROUP BY source, freq")
 def string_length(spark, d):
-    return rounded(ts.string_length(light_curve(spark, d), "t", "flux", ["source"], FREQS), "freq", "length", digits=3)
+    s = ts.string_length(light_curve(spark, d), "t", "flux", ["source"], FREQS)
+    return s.select("source", F.round("freq", 3).alias("freq"), F.round("length", 1).alias("length"))
 
 
-AB = LC + ", a AS (SELECT t, flux FROM lc WHERE source = 1), b AS (SELECT t, flux FROM lc WHERE source = 2) "
+DAYS = f"WITH a AS (SELECT {DAY_SQL.format(c='o_orderdate')} AS t, avg(o_totalprice) AS flux FROM orders GROUP BY 1), b AS (SELECT {DAY_SQL.format(c='l_shipdate')} AS t, avg(l_extendedprice) AS flux FROM lineitem GROUP BY 1)"
 
 
-@R.query("ccf_pairs", AB + ", s AS (SELECT (SELECT avg(flux) FROM a) AS am, (SELECT stddev_pop(flux) FROM a) AS sa, (SELECT avg(flux) FROM b) AS bm, (SELECT stddev_pop(flux) FROM b) AS sb) SELECT round((b.t-a.t)/10.0)::BIGINT AS lag_bin, round(avg((a.flux-am)*(b.flux-bm)/(sa*sb)), 6) AS dcf, round(avg(pow(b.flux-a.flux, 2)), 1) AS sf, count(*) AS n_pairs FROM a, b, s WHERE abs(b.t-a.t) <= 95.3 GROUP BY 1")
+@R.query("ccf_pairs", DAYS + ", s AS (SELECT (SELECT avg(flux) FROM a) AS am, (SELECT stddev_pop(flux) FROM a) AS sa, (SELECT avg(flux) FROM b) AS bm, (SELECT stddev_pop(flux) FROM b) AS sb) SELECT round((b.t-a.t)/10.0)::BIGINT AS lag_bin, round(avg((a.flux-am)*(b.flux-bm)/(sa*sb)), 6) AS dcf, round(avg(pow((b.flux-a.flux)/1000, 2)), 3) AS sf, count(*) AS n_pairs FROM a, b, s WHERE abs(b.t-a.t) <= 95.3 GROUP BY 1")
 def ccf_pairs(spark, d):
-    lc = light_curve(spark, d)
-    c = ts.dcf(lc.where("source = 1"), lc.where("source = 2"), "t", "flux", 10.0, 95.3)
-    return c.select("lag_bin", F.round("dcf", 6).alias("dcf"), F.round("sf", 1).alias("sf"), "n_pairs")
+    """Daily means of the orders and of the shipments."""
+    a = table(spark, d, "orders").groupBy(day("o_orderdate").alias("t")).agg(F.avg("o_totalprice").alias("flux"))
+    b = table(spark, d, "lineitem").groupBy(day("l_shipdate").alias("t")).agg(F.avg("l_extendedprice").alias("flux"))
+    c = ts.dcf(a, b, "t", "flux", 10.0, 95.3)
+    return c.select("lag_bin", F.round("dcf", 6).alias("dcf"), F.round(F.col("sf") / 1e6, 3).alias("sf"), "n_pairs")
 
 
 @R.query("orphans", LC + "SELECT source, count(DISTINCT floor(t/365)) AS n_det FROM lc WHERE flux > 80000 GROUP BY source HAVING count(DISTINCT floor(t/365)) BETWEEN 1 AND 5")
@@ -202,13 +168,8 @@ def _mags(spark, d):
     return light_curve(spark, d).groupBy("source", F.floor(F.col("t") / 365).alias("e")).agg(F.avg(25 - 2.5 * F.log10("flux")).alias("mag"))
 
 
-@R.query("zp_meddiff", MAG + "SELECT m.e, round(median(m.mag - r.mag), 6) AS zp, count(*) AS n FROM m JOIN m r ON r.source = m.source AND r.e = 24 GROUP BY m.e")
+@R.query("zp_meddiff", MAG + "SELECT m.e, round(median(m.mag - r.mag), 6) AS zp, count(*) AS n FROM m JOIN m r ON r.source = m.source AND r.e = (SELECT min(e) FROM m) GROUP BY m.e")
 def zp_meddiff(spark, d):
-    return rounded(ts.zero_points(_mags(spark, d), "source", "e", "mag", 24), "zp")
-
-
-@R.query("zp_meddiff_all", R.oracle["zp_meddiff"].replace("r.e = 24", "r.e = (SELECT min(e) FROM m)"))
-def zp_meddiff_all(spark, d):
     m = _mags(spark, d)
     return rounded(ts.zero_points(m, "source", "e", "mag", m.agg(F.min("e")).first()[0]), "zp")
 
@@ -236,13 +197,9 @@ def not_nan_sources(spark, d):
     return light_curve(spark, d).groupBy("source").agg(F.bool_and(v.isNotNull()).alias("complete"))
 
 
-@R.query("matched2matrix", MAG + "SELECT source, max(CASE WHEN e = 23 THEN round(mag, 6) END) AS \"23\", max(CASE WHEN e = 24 THEN round(mag, 6) END) AS \"24\", max(CASE WHEN e = 25 THEN round(mag, 6) END) AS \"25\" FROM m GROUP BY source")
+@R.query("matched2matrix", "PIVOT (" + MAG + "SELECT source, e, round(mag, 6) AS mag FROM m) ON e USING max(mag) GROUP BY source")
 def matched2matrix(spark, d):
-    return _mags(spark, d).withColumn("mag", F.round("mag", 6)).groupBy("source").pivot("e", [23, 24, 25]).agg(F.max("mag"))
-
-
-@R.query("matched2matrix_all")
-def matched2matrix_all(spark, d):
+    """A column for every epoch present."""
     m = _mags(spark, d).withColumn("mag", F.round("mag", 6))
     return m.groupBy("source").pivot("e", sorted(r.e for r in m.select("e").dropna().distinct().collect())).agg(F.max("mag"))
 
@@ -253,36 +210,43 @@ def fit_motion(spark, d):
     return m.select("source", F.round("rate", 6).alias("rate"), F.round("mean", 4).alias("mean"), "n", F.round("d_chi2", 3).alias("d_chi2"))
 
 
-@R.query("detrend", LC + "SELECT id, round(flux - y - b*(t - x), 3) AS resid FROM lc JOIN (SELECT source, regr_slope(flux, t) AS b, avg(flux) AS y, avg(t) AS x FROM lc GROUP BY source) USING (source) WHERE source <= 20")
-def detrend(spark, d, lc=_few):
-    return ts.detrend(lc(spark, d), "t", "flux", ["source"]).select("id", F.round("resid", 3).alias("resid"))
+@R.query("detrend", LC + "SELECT id, round(flux - y - b*(t - x), 3) AS resid FROM lc JOIN (SELECT source, regr_slope(flux, t) AS b, avg(flux) AS y, avg(t) AS x FROM lc GROUP BY source) USING (source)")
+def detrend(spark, d):
+    return ts.detrend(light_curve(spark, d), "t", "flux", ["source"]).select("id", F.round("resid", 3).alias("resid"))
 
 
-whole_table(R, detrend, " WHERE source <= 20")
+ROUNDS = ["a0 AS (SELECT source, avg(mag) AS mean FROM m GROUP BY source)"]
+for _k in range(4):
+    ROUNDS.append(f"z{_k} AS (SELECT e, avg(mag - mean) AS zp FROM m JOIN a{_k} USING (source) GROUP BY e)")
+    ROUNDS.append(f"a{_k + 1} AS (SELECT source, avg(mag - zp) AS mean FROM m JOIN z{_k} USING (e) GROUP BY source)")
 
 
-@R.query("relative_photometry")
+@R.query("relative_photometry", MAG + ", " + ", ".join(ROUNDS) + " SELECT e, round(zp, 6) AS zp FROM z3")
 def relative_photometry(spark, d):
     zps, _ = ts.relative_photometry(_mags(spark, d), "source", "e", "mag")
     return rounded(zps, "zp")
 
 
-@R.query("sysrem")
+RANK_ONE = ["r AS (SELECT source, e, mag - (SELECT avg(mag) FROM m) AS r FROM m)", "k0 AS (SELECT DISTINCT e, 1.0::DOUBLE AS a FROM r)"]
+for _k in range(3):
+    RANK_ONE.append(f"c{_k} AS (SELECT source, sum(r*a)/nullif(sum(a*a), 0) AS c FROM r JOIN k{_k} USING (e) GROUP BY source)")
+    RANK_ONE.append(f"k{_k + 1} AS (SELECT e, sum(r*c)/nullif(sum(c*c), 0) AS a FROM r JOIN c{_k} USING (source) GROUP BY e)")
+
+
+@R.query("sysrem", MAG + ", " + ", ".join(RANK_ONE) + " SELECT source, e, round(r - c*a, 6) AS clean FROM r JOIN c2 USING (source) JOIN k3 USING (e)")
 def sysrem(spark, d):
     m = _mags(spark, d)
-    r = m.join(m.groupBy("source").agg(F.avg("mag").alias("a")), "source").select("source", "e", (F.col("mag") - F.col("a")).alias("resid"), F.lit(0.1).alias("sigma"))
+    # residuals of a mean that is the same for all: those of every source's own mean have no first part to find
+    r = m.join(F.broadcast(m.agg(F.avg("mag").alias("a")))).select("source", "e", (F.col("mag") - F.col("a")).alias("resid"), F.lit(0.1).alias("sigma"))
     return rounded(ts.sysrem(r, "source", "e", "resid", "sigma").select("source", "e", "clean"), "clean")
 
 
-@R.query("structure_function", LC + "SELECT floor((b.t-a.t)/20.0)::BIGINT AS lag_bin, round(avg(pow(b.flux-a.flux, 2)), 0) AS sf, count(*) AS n_pairs FROM lc a JOIN lc b ON a.source = b.source AND b.t > a.t AND b.t - a.t <= 100.0 WHERE a.source <= 5 GROUP BY 1")
-def structure_function(spark, d, lc=_five):
-    s = ts.structure_function(lc(spark, d), "t", "flux", ["source"], 20.0, 100.0)
+@R.query("structure_function", LC + "SELECT floor((b.t-a.t)/20.0)::BIGINT AS lag_bin, round(avg(pow(b.flux-a.flux, 2)), 0) AS sf, count(*) AS n_pairs FROM lc a JOIN lc b ON a.source = b.source AND b.t > a.t AND b.t - a.t <= 100.0 GROUP BY 1")
+def structure_function(spark, d):
+    s = ts.structure_function(light_curve(spark, d), "t", "flux", ["source"], 20.0, 100.0)
     return rounded(s, "sf", digits=0)
 
 
-whole_table(R, structure_function, " WHERE a.source <= 5")
-
-
 # events
 
 @R.query("bad_times", EV + ", r AS (SELECT min(s) AS t0, max(s) AS t1, greatest(30.0, 100*(max(s)-min(s))/count(*)) AS step FROM ev), c AS (SELECT floor((s-t0)/step)::BIGINT AS bin, count(*) AS c FROM ev, r GROUP BY 1), f AS (SELECT b.bin, coalesce(c, 0) AS c FROM (SELECT unnest(range(0, (SELECT floor((t1-t0)/step)::BIGINT FROM r))) AS bin) b LEFT JOIN c USING (bin)) SELECT round(t0+bin*step, 3) AS lo, round(t0+(bin+1)*step, 3) AS hi, c AS n FROM f, r WHERE c > (SELECT median(c) + 1.0*sqrt(median(c)) FROM f)")
@@ -290,17 +254,14 @@ def bad_times(spark, d):
     return rounded(ev.bad_times(event_times(spark, d), "s", n_sigma=1.0), "lo", "hi", digits=3)
 
 
-@R.query("remove_bad_times", EV + "SELECT event_id FROM ev WHERE NOT EXISTS (SELECT 1 FROM (SELECT s AS lo, s + 600.0 AS hi FROM ev WHERE event_type = 'error' AND event_id % 50 = 0) b WHERE ev.s BETWEEN lo AND hi)")
-def remove_bad_times(spark, d, errors="event_id % 50 = 0"):
+@R.query("remove_bad_times", EV + "SELECT event_id FROM ev WHERE NOT EXISTS (SELECT 1 FROM (SELECT s AS lo, s + 600.0 AS hi FROM ev WHERE event_type = 'error') b WHERE ev.s BETWEEN lo AND hi)")
+def remove_bad_times(spark, d):
     e = event_times(spark, d)
-    bad = ev.united(e.where("event_type = 'error'").where(errors), "s", 600.0)
+    bad = ev.united(e.where("event_type = 'error'"), "s", 600.0)
     hit = sq.interval_join(e, bad, "s", "lo", "hi", 600.0).select("event_id").distinct()
     return e.join(hit, "event_id", "left_anti").select("event_id")
 
 
-whole_table(R, remove_bad_times, " AND event_id % 50 = 0", take="true")
-
-
 @R.query("select_energy", EV + "SELECT event_id FROM ev WHERE (value > 1.0 AND value < 5.0) OR (value > 20.0 AND value < 22.5)")
 def select_energy(spark, d):
     return event_times(spark, d).where(ev.select_energy(F.col("value"), [(1.0, 5.0), (20.0, 22.5)])).select("event_id")
@@ -321,7 +282,10 @@ def period_events(spark, d):
     return rounded(ev.folded_chi2(event_times(spark, d), "s", 86400.0, 12), "chi2")
 
 
-@R.query("tumbling_windows", "SELECT event_type, strftime(time_bucket(INTERVAL '1 hour', ts), '%Y-%m-%d %H:%M') AS w, count(*) AS n, round(sum(value), 4) AS v FROM events GROUP BY ALL")
+ORACLE_TUMBLING = "SELECT event_type, strftime(time_bucket(INTERVAL '1 hour', ts), '%Y-%m-%d %H:%M') AS w, count(*) AS n, round(sum(value), 4) AS v FROM events GROUP BY ALL"
+
+
+@R.query("tumbling_windows", ORACLE_TUMBLING)
 def tumbling_windows(spark, d):
     e = table(spark, d, "events").groupBy("event_type", F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("v"))
     return e.select("event_type", F.date_format("w.start", "yyyy-MM-dd HH:mm").alias("w"), "n", "v")

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from skylattice.operators.spatial import sky
+from skylattice.plans import series_queries as series
 from skylattice.plans.common import rounded
 from skylattice.plans.spatial_queries import CS, DIST
 from skylattice.registry import Registry, table
@@ -44,21 +45,20 @@ def _events(spark, d):
     return stream.folder_stream(spark, d, schema, "events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-@R.query("stream_tumbling")
+@R.query("stream_tumbling", series.ORACLE_TUMBLING)
 def stream_tumbling(spark, d):
     s = stream.tumbling(_events(spark, d), "1 hour", None, "event_type")
     out = stream.run_whole(s, work_dir(spark, "stream"), work_dir(spark, "stream-state"))
     return out.select("event_type", F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("w"), "n", F.round("v", 4).alias("v"))
 
 
-@R.query("stream_sessions")
+@R.query("stream_sessions", "WITH g AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM (SELECT *, coalesce((epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= 1800000000)::INT, 0) AS new FROM events)) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS w, count(*) AS n FROM g GROUP BY user_id, g")
 def stream_sessions(spark, d):
     s = stream.sessions(_events(spark, d), "30 minutes", None, "user_id")
     return stream.run_whole(s, work_dir(spark, "stream"), work_dir(spark, "stream-state")).select("user_id", F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("w"), "n")
 
 
-@R.query("stream_dedup", "SELECT count(*) AS n, count(DISTINCT event_id) AS n_ids FROM events")
+@R.query("stream_dedup", "SELECT event_id, user_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY ts) = 1")
 def stream_dedup(spark, d):
     s = stream.deduplicated(_events(spark, d), "1 hour", ["event_id"])
-    out = stream.run_to_end(s, work_dir(spark, "stream"), work_dir(spark, "stream-state"))
-    return out.agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("n_ids"))
+    return stream.run_to_end(s, work_dir(spark, "stream"), work_dir(spark, "stream-state")).select("event_id", "user_id", "event_type", "value")

@@ -123,18 +123,21 @@ def box_search(spark, d):
     return _cs(spark, d)[0].where(sp.in_box(F.col("ra"), F.col("dec"), 5.0, 5.0, 30.006, 20.006)).select("id")
 
 
-@R.query("match_plane", f"WITH t AS (SELECT p_partkey AS id, {PART}, p_size FROM part) SELECT a.id AS probe_id, b.id AS cat_id, round(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)), 6) AS dist FROM t a, t b WHERE a.p_size <= 10 AND b.p_size > 40 AND sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) <= 1.55")
+@R.query("match_plane", f"WITH t AS (SELECT p_partkey AS id, {PART}, p_size FROM part) SELECT a.id AS probe_id, b.id AS cat_id, round(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)), 6) AS dist FROM t a, t b WHERE sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) <= 1.55")
 def match_plane(spark, d):
-    return rounded(sp.plane_pairs(_plane(spark, d, "p_size <= 10"), _plane(spark, d, "p_size > 40"), 1.55), "dist")
+    return rounded(sp.plane_pairs(_plane(spark, d), _plane(spark, d), 1.55), "dist")
 
 
-@R.query("shift_pairs", f"WITH t AS (SELECT p_partkey AS id, {PART}, p_size FROM part), h AS (SELECT round((b.x+1.5-a.x)/0.5)::BIGINT AS ix, round((b.y-1.0-a.y)/0.5)::BIGINT AS iy, count(*) AS n FROM t a, t b WHERE a.p_size <= 10 AND b.p_size <= 10 AND sqrt(pow(b.x+1.5-a.x,2)+pow(b.y-1.0-a.y,2)) <= 3.0*sqrt(2.0) GROUP BY ALL) SELECT (ix*0.5)::DOUBLE AS dx, (iy*0.5)::DOUBLE AS dy, n FROM h ORDER BY n DESC, ix, iy LIMIT 1")
+@R.query("shift_pairs", f"WITH t AS (SELECT p_partkey AS id, {PART}, p_size FROM part), h AS (SELECT round((b.x+1.5-a.x)/0.5)::BIGINT AS ix, round((b.y-1.0-a.y)/0.5)::BIGINT AS iy, count(*) AS n FROM t a, t b WHERE sqrt(pow(b.x+1.5-a.x,2)+pow(b.y-1.0-a.y,2)) <= 3.0*sqrt(2.0) GROUP BY ALL) SELECT (ix*0.5)::DOUBLE AS dx, (iy*0.5)::DOUBLE AS dy, n FROM h ORDER BY n DESC, ix, iy LIMIT 1")
 def shift_pairs(spark, d):
-    a = _plane(spark, d, "p_size <= 10")
+    a = _plane(spark, d)
     return sp.best_shift(a, a.withColumn("x", F.col("x") + 1.5).withColumn("y", F.col("y") - 1.0), 3.0, 0.5)
 
 
-@R.query("unify_epochs")
+NEAR = DIST.format(a="a.", b="b.")
+
+
+@R.query("unify_epochs", f"WITH {CS}, u1 AS (SELECT 0 AS epoch, * FROM s UNION ALL SELECT 1, * FROM c a WHERE id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM s b WHERE {NEAR} <= 1.0)), u2 AS (SELECT * FROM u1 UNION ALL SELECT 2, * FROM c a WHERE id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM u1 b WHERE {NEAR} <= 1.0)) SELECT epoch, id FROM u2")
 def unify_epochs(spark, d):
     c, s = _cs(spark, d)
     return sp.unify([s, c.where("id % 2 = 0"), c.where("id % 2 = 1")], 1.0).select("epoch", "id")

@@ -7,6 +7,8 @@ in a task.  Files are also built here (as bytes, one per group of rows).
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +20,9 @@ from pyspark.sql.types import _parse_datatype_string
 BLOCK, CARD = 2880, 80
 #: Fixed values of the format: pixel and column types.
 BITPIX = {8: ">u1", 16: ">i2", 32: ">i4", 64: ">i8", -32: ">f4", -64: ">f8"}
-TFORM = {"L": ("S1", "boolean"), "B": ("u1", "short"), "I": (">i2", "short"), "J": (">i4", "int"), "K": (">i8", "long"), "E": (">f4", "float"), "D": (">f8", "double"), "A": ("S", "string")}
+TFORM = {"L": ("S1", "boolean"), "X": ("u1", "boolean"), "B": ("u1", "short"), "I": (">i2", "short"), "J": (">i4", "int"), "K": (">i8", "long"), "E": (">f4", "float"), "D": (">f8", "double"), "A": ("S", "string"), "C": (">c8", "float"), "M": (">c16", "double"), "P": (">i4", ""), "Q": (">i8", "")}
+#: Fixed values of the format: the zero point that marks an unsigned (or signed byte) column, and the Spark type that holds it.
+UNSIGNED = {"B": (-128, "short"), "I": (1 << 15, "int"), "J": (1 << 31, "long"), "K": (1 << 63, "decimal(20,0)")}
 
 
 def parse_card(card: str) -> tuple[str, str | None, str]:
@@ -30,8 +34,10 @@ def parse_card(card: str) -> tuple[str, str | None, str]:
     if body.lstrip().startswith("'"):
         start = body.index("'") + 1
         end = start
-        while (end := body.index("'", end)) >= 0 and body[end : end + 2] == "''":
+        while (end := body.find("'", end)) >= 0 and body[end : end + 2] == "''":
             end += 2
+        if end < 0:  # a quote that is not closed: the rest is the value
+            return key, body[start:].replace("''", "'").rstrip(), ""
         return key, body[start:end].replace("''", "'").rstrip(), body[end + 1 :].partition("/")[2].strip()
     value, _, comment = body.partition("/")
     return key, value.strip(), comment.strip()
@@ -101,43 +107,123 @@ def read_images(spark: SparkSession, path: str, glob: str = "*.fits") -> DataFra
     return _map(files, fn, "file string, hdu int, r int, c int, v double")
 
 
-def table_columns(cards: list[tuple[str, str | None, str]]) -> list[tuple[str, str, str, int]]:
-    """(name, numpy type, Spark type, repeat) of the columns of a binary table."""
+@dataclass(frozen=True)
+class Field:
+    """A column of a binary table."""
+
+    name: str
+    letter: str
+    repeat: int
+    item: str
+    scale: float
+    zero: float
+    null: int | None
+
+    @property
+    def variable(self) -> bool:
+        return self.letter in "PQ"
+
+    @property
+    def dtype(self) -> tuple:
+        """Shape and numpy type of the cells as they are stored."""
+        kind = TFORM[self.letter][0]
+        if self.letter == "A":
+            return (f"V{self.repeat}",)
+        if self.letter == "X":
+            return (kind, (-(-self.repeat // 8),))
+        return (kind, (2,)) if self.variable else (kind, (self.repeat,))
+
+    @property
+    def spark_type(self) -> str:
+        letter = self.item if self.variable else self.letter
+        if letter == "A":
+            return "string"
+        of = TFORM[letter][1]
+        if letter in UNSIGNED and (self.scale, self.zero) == (1, UNSIGNED[letter][0]):
+            of = UNSIGNED[letter][1]
+        elif letter in "BIJKED" and (self.scale, self.zero) != (1, 0):
+            of = "double"
+        return f"array<{of}>" if self.variable or self.repeat != 1 or letter in "XCM" else of
+
+    def numbers(self, v: np.ndarray, letter: str) -> list:
+        """Physical values of stored ones; undefined integers and NaN are null."""
+        if letter == "L":
+            return [{b"T": True, b"F": False}.get(x) for x in v.tolist()]
+        if letter in "CM":
+            return v.view(v.real.dtype).tolist()
+        if letter in "ED":
+            v = v.astype(float) * self.scale + self.zero if (self.scale, self.zero) != (1, 0) else v
+            return [None if x != x else x for x in v.tolist()]
+        raw = v.tolist()
+        if (self.scale, self.zero) == (1, UNSIGNED[letter][0]):
+            wide = Decimal if letter == "K" else int
+            return [None if x == self.null else wide(x + int(self.zero)) for x in raw]
+        if (self.scale, self.zero) != (1, 0):
+            return [None if x == self.null else x * self.scale + self.zero for x in raw]
+        return [None if x == self.null else x for x in raw]
+
+    def cells(self, stored: np.ndarray, heap: bytes) -> list:
+        """Values of all rows."""
+        if self.variable:
+            kind = np.dtype(TFORM[self.item][0])
+            get = lambda n, at: heap[at : at + n].partition(b"\0")[0].decode("ascii", "replace").rstrip() if self.item == "A" else self.numbers(np.frombuffer(heap, kind, n, at), self.item)
+            return [get(int(n), int(at)) for n, at in stored]
+        if self.letter == "A":
+            return [x.tobytes().partition(b"\0")[0].decode("ascii", "replace").rstrip() for x in stored]
+        if self.letter == "X":
+            return [np.unpackbits(x)[: self.repeat].astype(bool).tolist() for x in stored]
+        flat = self.numbers(np.ascontiguousarray(stored).reshape(-1), self.letter)
+        n = self.repeat * (2 if self.letter in "CM" else 1)
+        return flat if n == 1 else [flat[i * n : (i + 1) * n] for i in range(len(stored))]
+
+
+def table_fields(cards: list[tuple[str, str | None, str]]) -> list[Field]:
     h = {k: v for k, v, _ in cards}
     out = []
     for i in range(1, int(h["TFIELDS"]) + 1):
         form = h[f"TFORM{i}"].strip()
-        repeat = int("".join(c for c in form if c.isdigit()) or 1)
-        kind, spark_type = TFORM[form.lstrip("0123456789")[0]]
-        if kind == "S":
-            kind, repeat = f"S{repeat}", 1
-        out.append((h.get(f"TTYPE{i}") or f"Var{i}", kind, spark_type if repeat == 1 else f"array<{spark_type}>", repeat))
+        digits = len(form) - len(form.lstrip("0123456789"))
+        letter, item = form[digits], form[digits + 1 : digits + 2]
+        null = h.get(f"TNULL{i}")
+        number = lambda key, other: float(str(h.get(key) or other).replace("D", "E"))
+        out.append(Field(h.get(f"TTYPE{i}") or f"Var{i}", letter, int(form[:digits] or 1), item, number(f"TSCAL{i}", 1), number(f"TZERO{i}", 0), int(null) if null else None))
     return out
 
 
+def table_of(content: bytes, hdu: int) -> tuple[dict, list[Field], int]:
+    """(header, fields, place of the data) of one unit."""
+    cards, at = next((c, at) for n, c, at, _ in hdus(content) if n == hdu)
+    return {k: v for k, v, _ in cards}, table_fields(cards), at
+
+
 def read_table(spark: SparkSession, path: str, hdu: int = 1, glob: str = "*.fits") -> DataFrame:
-    """Rows of one binary-table unit of all files, with a column ``file``; the columns are those of the first file."""
+    """Rows of one binary-table unit of all files, with a column ``file``.
+
+    The columns are those of the first file by name, whose headers are read in
+    a task; whatever lies before the table may be of any size.  Scaled columns
+    have their physical values, undefined integers and NaN are null, complex
+    numbers are arrays of real and imaginary parts, bits arrays of booleans.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
-    first = files.orderBy("path").select(F.substring("content", 1, 64 * BLOCK).alias("head")).first()
-    cards = next(c for n, c, _, _ in hdus(bytes(first["head"])) if n == hdu)
-    columns = table_columns(cards)
-    schema = "file string, " + ", ".join(f"`{name}` {t}" for name, _, t, _ in columns)
+    first = files.select("path").orderBy("path").first()["path"]
+    cards = "key string, value string, comment string"
+
+    def head(file, content):
+        rows = next(c for n, c, _, _ in hdus(content) if n == hdu)
+        yield dict(zip(("key", "value", "comment"), map(list, zip(*rows, strict=True)), strict=True))
+
+    # one file is one row, whose cards come in order
+    fields = table_fields([tuple(r) for r in _map(spark.read.format("binaryFile").load(first), head, cards).collect()])
+    schema = "file string, " + ", ".join(f"`{f.name}` {f.spark_type}" for f in fields)
 
     def fn(file, content):
-        n, cards, at, _ = next(x for x in hdus(content) if x[0] == hdu)
-        rows = int({k: v for k, v, _ in cards}["NAXIS2"])
-        a = np.frombuffer(content, np.dtype([(name, kind, (repeat,)) if repeat > 1 else (name, kind) for name, kind, _, repeat in table_columns(cards)]), rows, at)
-        out: dict[str, list] = {"file": [file] * rows}
-        for name, kind, _, _ in columns:
-            v = a[name]
-            if kind == "S1" or kind.startswith("S"):
-                text = [x.decode("ascii", "replace").rstrip() for x in v.tolist()]
-                out[name] = [x == "T" for x in text] if kind == "S1" else text
-            elif kind.startswith(">f") and v.ndim == 1:
-                out[name] = [None if x != x else x for x in v.tolist()]
-            else:
-                out[name] = v.tolist()
-        yield out
+        h, own, at = table_of(content, hdu)
+        rows, width = int(h["NAXIS2"]), int(h["NAXIS1"])
+        a = np.frombuffer(content, np.dtype([(f"c{i}", *f.dtype) for i, f in enumerate(own)]), rows, at)
+        start = at + int(h.get("THEAP") or rows * width)
+        heap = content[start : at + rows * width + int(h.get("PCOUNT") or 0)]
+        place = {f.name: i for i, f in enumerate(own)}
+        yield {"file": [file] * rows, **{f.name: own[place[f.name]].cells(a[f"c{place[f.name]}"], heap) for f in fields}}
 
     return _map(files, fn, schema)
 

@@ -33,14 +33,29 @@ def insert(rows: DataFrame, name: str, make_key: Callable[[DataFrame], DataFrame
 
 
 def replace(df: DataFrame, name: str) -> None:
-    """Put a result in the place of a table, partitioned as it was."""
+    """Put a result in the place of a table, partitioned as it was.
+
+    The old table is renamed first and dropped last: a failure in between
+    leaves it as NAME__old, and a rename that fails is taken back.
+    """
     spark = df.sparkSession
     parts = [c.name for c in spark.catalog.listColumns(name) if c.isPartition]
     df.write.mode("overwrite").partitionBy(*parts).saveAsTable(f"{name}__new")
-    spark.sql(f"DROP TABLE {name}")
-    spark.sql(f"ALTER TABLE {name}__new RENAME TO {name}")
-    if parts:
-        spark.catalog.recoverPartitions(name)
+    spark.sql(f"DROP TABLE IF EXISTS {name}__old")
+    rename(spark, name, f"{name}__old", bool(parts))
+    try:
+        rename(spark, f"{name}__new", name, bool(parts))
+    except Exception:
+        rename(spark, f"{name}__old", name, bool(parts))
+        raise
+    spark.sql(f"DROP TABLE {name}__old")
+
+
+def rename(spark: SparkSession, old: str, new: str, partitioned: bool) -> None:
+    """Rename a table; its partitions are looked up anew, since the catalog keeps their former places."""
+    spark.sql(f"ALTER TABLE {old} RENAME TO {new}")
+    if partitioned:
+        spark.sql(f"MSCK REPAIR TABLE {new} SYNC PARTITIONS")
 
 
 def updated(table: DataFrame, where: Column, values: dict[str, Column]) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Every registered query runs; those with SQL give the same rows as DuckDB."""
+"""Every registered query returns rows; those with SQL give the same rows as DuckDB."""
 
 import pytest
 from oracle import SF, compare
@@ -13,7 +13,7 @@ def test_same_rows_as_sql(spark, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_runs(spark, name):
-    assert QUERIES[name](spark, SF).count() >= 0
+    assert QUERIES[name](spark, SF).count() > 0
 
 
 def test_entry(spark):

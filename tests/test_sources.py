@@ -86,3 +86,29 @@ def test_ingest_processes_each_file_once(spark, tmp_path):
     for _ in range(2):
         stream.ingest(stream.folder_stream(spark, str(tmp_path / "in"), d.schema), lambda b, _: seen.append(b.count()), str(tmp_path / "ck"))
     assert sum(seen) == 10
+
+
+def unit(cards, data=b""):
+    return fits.padded(b"".join(fits.card(k, v) for k, v in cards) + b"END".ljust(fits.CARD), b" ") + fits.padded(data)
+
+
+def test_table_after_a_large_image_with_scaled_and_variable_columns(spark, tmp_path):
+    """A primary image of 200 x 200 doubles; unsigned, scaled, null, bit, complex and variable-length columns."""
+    image = np.arange(40000.0).reshape(200, 200)
+    kinds = [("U", "1I", ">i2"), ("S", "1J", ">i4"), ("N", "1I", ">i2"), ("B", "10X", ("u1", (2,))), ("C", "1C", ">c8"), ("P", "1PD(3)", (">i4", (2,))), ("T", "4A", "S4"), ("L", "1L", "S1"), ("K", "1K", ">i8")]
+    a = np.zeros(2, np.dtype([(n, *((k,) if isinstance(k, str) else k)) for n, _, k in kinds]))
+    a["U"], a["S"], a["N"] = [-32768, 32767], [10, 20], [7, -99]
+    a["B"], a["C"], a["P"] = [[0b10100000, 0b01000000], [255, 255]], [1 + 2j, 3 - 4j], [[3, 0], [1, 24]]
+    a["T"], a["L"], a["K"] = [b"ab", b"wxyz"], [b"T", b"F"], [-(1 << 63), (1 << 63) - 1]
+    heap = np.array([1.5, 2.5, 3.5, 4.5], ">f8").tobytes()
+    cards = [("XTENSION", "BINTABLE"), ("BITPIX", 8), ("NAXIS", 2), ("NAXIS1", a.dtype.itemsize), ("NAXIS2", 2), ("PCOUNT", len(heap)), ("GCOUNT", 1), ("TFIELDS", len(kinds))]
+    for i, (n, form, _) in enumerate(kinds, 1):
+        cards += [(f"TTYPE{i}", n), (f"TFORM{i}", form)]
+    cards += [("TZERO1", 32768), ("TSCAL2", 0.5), ("TZERO2", 100.0), ("TNULL3", -99), ("TZERO9", 1 << 63)]
+    (tmp_path / "a.fits").write_bytes(fits.image_bytes(image) + unit(cards, a.tobytes() + heap))
+    r = fits.read_table(spark, str(tmp_path)).orderBy("U").collect()
+    assert [x.U for x in r] == [0, 65535] and [x.S for x in r] == [105.0, 110.0] and [x.N for x in r] == [7, None]
+    assert r[0].B == [True, False, True, False, False, False, False, False, False, True] and r[1].B == [True] * 10
+    assert [x.C for x in r] == [[1.0, 2.0], [3.0, -4.0]] and [x.P for x in r] == [[1.5, 2.5, 3.5], [4.5]]
+    assert [x["T"] for x in r] == ["ab", "wxyz"] and [x.L for x in r] == [True, False] and [int(x.K) for x in r] == [0, 2**64 - 1]
+    assert fits.parse_card("KEY     = 'not closed") == ("KEY", "not closed", "")
