@@ -212,3 +212,23 @@ def line_dist(x: Column, y: Column, slope: float, intercept: float) -> Column:
 def affine(x: Column, y: Column, m: list[list[float]]) -> tuple[Column, Column]:
     """Affine transformation by a 2x3 matrix."""
     return m[0][0] * x + m[0][1] * y + m[0][2], m[1][0] * x + m[1][1] * y + m[1][2]
+
+
+def polygon_area(corners: list[tuple[Column, Column]]) -> Column:
+    """Solid angle of a convex spherical polygon of (longitude, latitude) corners: triangles from the first one."""
+    v = [unit_vector(*c) for c in corners]
+    return sum((triangle_area(v[0], v[i], v[i + 1]) for i in range(1, len(v) - 1)), F.lit(0.0))
+
+
+def observable(hour_angle: Column, dec: Column, latitude: float, min_alt: float, max_airmass: float, max_hour_angle: float) -> Column:
+    """High enough, with little enough air, near enough to the meridian."""
+    alt = altaz(hour_angle, dec, latitude)[1]
+    return (alt > min_alt) & (hardie_airmass(PI / 2 - alt) < max_airmass) & (F.abs(wrap_pi(hour_angle)) < max_hour_angle)
+
+
+def cone_meets_polygon(lon: Column, lat: Column, radius: float, poles: list[tuple[float, float]]) -> Column:
+    """A cone overlaps a polygon given by the poles of its sides: it is nearer than a quarter turn and its radius to each."""
+    out = F.lit(True)
+    for a, b in poles:
+        out = out & (sphere_dist(lon, lat, F.lit(a), F.lit(b)) < PI / 2 + radius)
+    return out

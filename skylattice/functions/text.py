@@ -56,3 +56,21 @@ def snake(name: str) -> str:
 def camel(name: str) -> str:
     """snake_case to CamelCase."""
     return "".join(p.capitalize() for p in name.split("_"))
+
+
+def lines(s: Column) -> Column:
+    return F.split(s, r"\r?\n")
+
+
+def clamped(lo: Column, hi: Column, size: int) -> tuple[Column, Column]:
+    """A range of positions brought inside 1..size."""
+    inside = lambda x: F.least(F.greatest(x, F.lit(1)), F.lit(size))
+    return inside(lo), inside(hi)
+
+
+def chebyshev(x: Column, order: int) -> Column:
+    """Chebyshev polynomial of the first kind by its recurrence."""
+    before, now = F.lit(1.0), x
+    for _ in range(order - 1):
+        before, now = now, 2 * x * now - before
+    return now if order else before

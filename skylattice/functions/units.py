@@ -62,3 +62,14 @@ def luptitude(flux: Column, flux0: float, softening: float = 1e-10) -> Column:
 def sum_mag(mag: Column) -> Column:
     """Aggregate: the magnitude of the summed fluxes (nulls skipped)."""
     return -2.5 * F.log10(F.sum(F.pow(F.lit(10.0), -0.4 * mag)))
+
+
+#: Cgs value of a jansky, speed of light in angstrom a second, zero point of AB magnitudes.
+JANSKY, LIGHT_ANGSTROM, AB_ZERO = 1e-23, 2.99792458e18, 48.6
+
+
+def flux_density(value: Column, source: str, target: str, wavelength: Column) -> Column:
+    """Between ``jy``, ``mjy``, ``hz`` (erg/s/cm^2/Hz), ``angstrom`` (erg/s/cm^2/A) and ``ab`` magnitudes; wavelength in angstrom."""
+    to_hz = {"jy": value * JANSKY, "mjy": value * JANSKY / 1000, "hz": value, "angstrom": value * wavelength * wavelength / LIGHT_ANGSTROM, "ab": F.pow(F.lit(10.0), -0.4 * (value + AB_ZERO))}
+    f = to_hz[source]
+    return {"jy": f / JANSKY, "mjy": f / JANSKY * 1000, "hz": f, "angstrom": f * LIGHT_ANGSTROM / (wavelength * wavelength), "ab": -2.5 * F.log10(f) - AB_ZERO}[target]

@@ -146,3 +146,15 @@ def residual_outliers(df: DataFrame, source: str, mag: str, step: float, sigma:
     d = df.join(m, source).withColumn("__r", F.col(mag) - F.col("__a")).withColumn("__b", F.ceil(F.col(mag) / step))
     s = d.groupBy("__b").agg(F.median("__r").alias("__med"), rstd("__r").alias("__sd"))
     return d.join(s, "__b").withColumn("outlier", F.abs(F.col("__r") - F.col("__med")) > sigma * F.greatest(F.col("__sd"), F.lit(0.001)))
+
+
+def robust_zero_point(df: DataFrame, diff: str, by: Sequence[str], sigma: float) -> DataFrame:
+    """Median, error of the mean and count of differences within sigma robust deviations of their median."""
+    c = df.groupBy(*by).agg(F.median(diff).alias("__m"), rstd(diff).alias("__s"))
+    good = df.join(c, list(by)).where(F.abs(F.col(diff) - F.col("__m")) <= sigma * F.col("__s"))
+    return good.groupBy(*by).agg(F.median(diff).alias("zp"), (F.coalesce(F.stddev_samp(diff), F.lit(0.0)) / F.sqrt(F.count("*"))).alias("zp_err"), F.count("*").alias("n"))
+
+
+def edges_below(value: Column, edges: Sequence[float]) -> Column:
+    """How many of the sorted edges are at or below a value."""
+    return reduce(lambda a, b: a + b, [(value >= e).cast("int") for e in edges])

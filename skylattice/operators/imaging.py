@@ -107,3 +107,25 @@ def convolved(pixels: DataFrame, kernel: list[list[float]]) -> DataFrame:
     parts = pixels.where("v is not null").select("img", "r", "c", "v", offsets.alias("o")).select("img", (F.col("r") + F.col("o.y")).cast("long").alias("r"), (F.col("c") + F.col("o.x")).cast("long").alias("c"), (F.col("v") * F.col("o.w")).alias("v"))
     sums = parts.groupBy("img", "r", "c").agg(F.sum("v").alias("v"))
     return shape.join(sums, ["img", "r", "c"], "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
+
+
+def mask_bits(mask: DataFrame, sources: DataFrame, half: int) -> DataFrame:
+    """Bits set in any and in all pixels of a mask (r, c, f) inside a stamp around each source (src, sr, sc)."""
+    near = F.explode(F.sequence(F.lit(-half), F.lit(half)))
+    stamps = sources.select("src", "sr", "sc", near.alias("y")).select("src", "sr", "sc", "y", near.alias("x")).select("src", (F.col("sr") + F.col("y")).alias("r"), (F.col("sc") + F.col("x")).alias("c"))
+    return stamps.join(mask, ["r", "c"]).groupBy("src").agg(F.bit_or("f").alias("any_bits"), F.bit_and("f").alias("all_bits"))
+
+
+def filter_snr(pixels: DataFrame, template: list[list[float]]) -> DataFrame:
+    """Correlation of images (img, r, c, v) with a symmetric template over its noise, at the pixels they have; background and noise are robust and of the whole image."""
+    s = pixels.groupBy("img").agg(F.median("v").alias("__m"), rstd("v").alias("__s"))
+    d = pixels.join(F.broadcast(s), "img").select("img", "r", "c", (F.col("v") - F.col("__m")).alias("v"))
+    noise = sum(x * x for row in template for x in row) ** 0.5
+    f = convolved(d, template).join(pixels.select("img", F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c")), ["img", "r", "c"], "left_semi")
+    return f.join(F.broadcast(s), "img").select("img", "r", "c", F.try_divide(F.col("v"), F.col("__s") * noise).alias("sn"))
+
+
+def propagate_unary(op: str, a: Column, var: Column) -> tuple[Column, Column]:
+    """Value and variance of a function of one value to first order."""
+    value, slope = {"log": (F.log(a), 1 / a), "log10": (F.log10(a), 1 / (a * 2.302585092994046)), "exp": (F.exp(a), F.exp(a)), "sqrt": (F.sqrt(a), 1 / (2 * F.sqrt(a))), "square": (a * a, 2 * a), "-": (-a, F.lit(-1.0))}[op]
+    return value, slope * slope * var

@@ -35,3 +35,12 @@ def conjunctions(a: DataFrame, b: DataFrame, min_sep: float) -> DataFrame:
     w = Window.partitionBy("id1", "id2").orderBy("t")
     d = d.withColumn("before", F.lag("dist").over(w)).withColumn("after", F.lead("dist").over(w))
     return d.where((F.col("dist") <= min_sep) & (F.col("dist") < F.col("before")) & (F.col("dist") < F.col("after"))).select("id1", "id2", "t", "dist")
+
+
+def match_tagged(objects: DataFrame, catalog: DataFrame, radius: float) -> DataFrame:
+    """Rows of a catalog (id, ra, dec, t) where an object (id, ra, dec, pm_ra, pm_dec) was at their times.
+
+    Objects are predicted for the times that the catalog has, and meet rows of
+    the same time through sky cells.
+    """
+    return zone_pairs(predicted(objects, catalog.select("t").distinct()), catalog, radius, also=["t"]).select(F.col("probe_id").alias("obj_id"), "cat_id", "dist")

@@ -39,6 +39,13 @@ def running_mean(value: str, half: int, w: Window) -> Column:
     return F.sum(value).over(w.rowsBetween(-half, half)) / (2 * half + 1)
 
 
+def running_median(value: str, around: Window) -> Column:
+    """Median of the rows of a short frame: the middle of their sorted list."""
+    v = F.array_sort(F.collect_list(value).over(around))
+    n = F.size(v)
+    return (F.get(v, F.floor((n - 1) / 2).cast("int")) + F.get(v, F.floor(n / 2).cast("int"))) / 2
+
+
 def running_z(value: str, half: int, w: Window) -> Column:
     """Value minus the mean of the rows around it, in their deviations."""
     around = w.rowsBetween(-half, half)
@@ -122,3 +129,25 @@ def interval_join(points: DataFrame, intervals: DataFrame, t: str, lo: str, hi:
     p = points.withColumn("__b", F.floor(F.col(t) / bucket))
     i = intervals.withColumn("__b", F.explode(F.sequence(F.floor(F.col(lo) / bucket), F.floor(F.col(hi) / bucket))))
     return p.join(i, "__b").where(F.col(t).between(F.col(lo), F.col(hi))).drop("__b")
+
+
+def nearest_value(left: DataFrame, right: DataFrame, x: str, bucket: float) -> DataFrame:
+    """For each left row (id, x) the right row (key, x) of the nearest value: the one below and the one above are looked up in order.
+
+    Rows are numbered by range: the last value of every bucket before and the
+    first of every bucket after are found over the buckets that hold any, so
+    windows are within a bucket and over the buckets, never over all rows.
+    """
+    b = lambda c: F.floor(F.col(c) / bucket)
+    best = right.groupBy(x).agg(F.min("key").alias("key")).withColumn("__b", b(x))
+    at = F.struct(F.col(x).alias("x"), F.col("key").alias("key"))
+    both = left.select("id", x, F.lit(1).alias("side"), F.lit(None).cast(right.schema["key"].dataType).alias("key"), b(x).alias("__b")).unionByName(best.select(F.lit(None).cast(left.schema["id"].dataType).alias("id"), x, F.lit(0).alias("side"), "key", "__b"))
+    known = F.when(F.col("side") == 0, at)
+    w = Window.partitionBy("__b").orderBy(x, "side")
+    d = both.withColumn("lo", F.last(known, True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("hi", F.first(known, True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    ends = both.groupBy("__b").agg(F.max(known).alias("top"), F.min(known).alias("bottom"))
+    over = Window.orderBy("__b")  # one row a bucket that holds any
+    ends = ends.select("__b", F.last("top", True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.first("bottom", True).over(over.rowsBetween(1, Window.unboundedFollowing)).alias("after"))
+    d = d.where("side = 1").join(ends, "__b").withColumn("lo", F.coalesce("lo", "before")).withColumn("hi", F.coalesce("hi", "after"))
+    above = F.col("lo").isNull() | (F.col("hi.x") - F.col(x) < F.col(x) - F.col("lo.x"))
+    return d.select("id", x, F.when(above, F.col("hi.key")).otherwise(F.col("lo.key")).alias("key"))

@@ -147,3 +147,14 @@ def surface_density(df: DataFrame, x: str, y: str) -> DataFrame:
     """Rows per area of the bounding box."""
     a = df.agg(F.count("*").alias("n"), ((F.max(x) - F.min(x)) * (F.max(y) - F.min(y))).alias("area"))
     return a.select((F.col("n") / F.col("area")).alias("density"), "area")
+
+
+def cone_by_longitude(df: DataFrame, ra0: float, dec0: float, radius: float) -> DataFrame:
+    """A cone for rows kept by longitude: a range of longitudes (two where it wraps, all near a pole), then the distance."""
+    edge = max(abs(dec0 - radius), abs(dec0 + radius))
+    if edge < 90:
+        half = math.degrees(math.asin(min(1.0, math.sin(math.radians(radius)) / math.cos(math.radians(dec0))))) if radius < 90 else 180.0
+        lo, hi = (ra0 - half) % 360, (ra0 + half) % 360
+        near = F.col("ra").between(lo, hi) if lo <= hi else (F.col("ra") >= lo) | (F.col("ra") <= hi)
+        df = df.where(near) if half < 180 else df
+    return cone(df, ra0, dec0, radius)

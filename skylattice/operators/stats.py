@@ -170,3 +170,18 @@ def mutual_information(df: DataFrame, x: str, y: str) -> DataFrame:
     n = xy.agg(F.sum("nxy").alias("n"))
     j = xy.join(nx, x).join(ny, y).join(F.broadcast(n))
     return j.agg(F.sum(F.col("nxy") / F.col("n") * F.log(F.col("nxy") * F.col("n") / (F.col("nx") * F.col("ny")))).alias("mi"))
+
+
+def median_sparse(df: DataFrame, value: str, by: Sequence[str], order: Sequence[str], every: int) -> DataFrame:
+    """Median of every k-th row of a group in an order, the first included."""
+    d = df.withColumn("__k", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    return d.where(F.col("__k") % every == 1 % every).groupBy(*by).agg(F.median(value).alias("med"))
+
+
+def mode_moments(df: DataFrame, value: str, by: Sequence[str], step: float, reach: int) -> DataFrame:
+    """Mean and deviation of the histogram within ``reach`` bins of its fullest one: the mode and width of a peak."""
+    b = df.groupBy(*by, F.floor(F.col(value) / step).alias("b")).agg(F.count("*").alias("c"))
+    top = b.groupBy(*by).agg(F.min_by("b", F.struct(-F.col("c"), F.col("b"))).alias("top"))
+    n = b.join(top, list(by)).where(F.abs(F.col("b") - F.col("top")) <= reach).withColumn("x", (F.col("b") + 0.5) * step)
+    mean = F.sum(F.col("c") * F.col("x")) / F.sum("c")
+    return n.groupBy(*by).agg(mean.alias("mode"), F.sqrt(F.greatest(F.lit(0.0), F.sum(F.col("c") * F.col("x") * F.col("x")) / F.sum("c") - mean * mean)).alias("std"))

@@ -171,3 +171,25 @@ def top_k(df: DataFrame, k: int, order: Sequence[Column], by: Sequence[str] = ()
     if not by:
         return df.orderBy(*order).limit(k)
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("__n") <= k).drop("__n")
+
+
+def select_by(df: DataFrame, tests: dict[str, list | tuple], every: bool = True) -> DataFrame:
+    """Rows by properties: a list of values, or an inclusive range as a pair."""
+    flags = [F.col(c).between(*v) if isinstance(v, tuple) else F.col(c).isin(v) for c, v in tests.items()]
+    return df.where(reduce((lambda a, b: a & b) if every else (lambda a, b: a | b), flags))
+
+
+def insert_at(df: DataFrame, rows: DataFrame, pos: str) -> DataFrame:
+    """Rows put before given places (0-based) of a table in the order of ``pos``; places are counted anew.
+
+    The rows to insert are few (their places and running counts are sent out
+    with a size check left to the planner); every place moves on by how many
+    of them come before it.
+    """
+    at = rows.groupBy(pos).agg(F.count("*").alias("__c")).withColumn("__n", F.sum("__c").over(Window.orderBy(pos)))
+    steps = at.agg(F.sort_array(F.collect_list(F.struct(pos, "__n"))).alias("__s"))
+    before = lambda c, strict: F.coalesce(F.array_max(F.transform(F.filter("__s", lambda x: x[pos] < c if strict else x[pos] <= c), lambda x: x["__n"])), F.lit(0))
+    moved = df.join(F.broadcast(steps)).withColumn(pos, F.col(pos) + before(F.col(pos), False)).drop("__s")
+    order = F.row_number().over(Window.partitionBy(pos).orderBy(*[c for c in rows.columns if c != pos])) - 1
+    new = rows.withColumn("__k", order).join(F.broadcast(steps)).withColumn(pos, F.col(pos) + before(F.col(pos), True) + F.col("__k")).drop("__s", "__k")
+    return moved.unionByName(new)

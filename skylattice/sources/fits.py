@@ -206,6 +206,11 @@ def read_table(spark: SparkSession, path: str, hdu: int = 1, glob: str = "*.fits
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
     first = files.select("path").orderBy("path").first()["path"]
+    return tables_in(files, spark.read.format("binaryFile").load(first), hdu)
+
+
+def tables_in(files: DataFrame, first: DataFrame, hdu: int = 1) -> DataFrame:
+    """read_table for files that are rows (path, content) already; ``first`` is the row whose headers name the columns."""
     cards = "key string, value string, comment string"
 
     def head(file, content):
@@ -213,7 +218,7 @@ def read_table(spark: SparkSession, path: str, hdu: int = 1, glob: str = "*.fits
         yield dict(zip(("key", "value", "comment"), map(list, zip(*rows, strict=True)), strict=True))
 
     # one file is one row, whose cards come in order
-    fields = table_fields([tuple(r) for r in _map(spark.read.format("binaryFile").load(first), head, cards).collect()])
+    fields = table_fields([tuple(r) for r in _map(first, head, cards).collect()])
     schema = "file string, " + ", ".join(f"`{f.name}` {f.spark_type}" for f in fields)
 
     def fn(file, content):

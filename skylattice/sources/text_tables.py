@@ -42,3 +42,37 @@ def read_header_text(spark: SparkSession, path: str) -> DataFrame:
 def grep(spark: SparkSession, path: str, text: str) -> DataFrame:
     """Lines that contain a text, with the file they are in."""
     return spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), "value").where(F.col("value").contains(text))
+
+
+def read_ini(spark: SparkSession, path: str) -> DataFrame:
+    """(file, section, key, value) of ``key = value`` lines under ``[section]`` lines; ``;`` and ``#`` begin a comment.
+
+    A section is one record (files are split before each opening bracket at
+    the start of a line), so its lines need no order between tasks.
+    """
+    blocks = spark.read.option("lineSep", "\n[").text(path).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("b"))
+    section = F.trim(F.regexp_extract(F.ltrim("b"), r"^\[?([^\]\n]*)\]", 1))
+    d = blocks.select("file", section.alias("section"), F.explode(F.split("b", "\n")).alias("line"))
+    pair = r"^\s*([^;#=\[\]\s][^=\[\]]*?)\s*=\s*(.*?)\s*$"
+    return d.where(F.col("line").rlike(pair)).select("file", "section", F.regexp_extract("line", pair, 1).alias("key"), F.regexp_extract("line", pair, 2).alias("value"))
+
+
+def read_object_blocks(spark: SparkSession, path: str, head: Sequence[tuple[str, str]], rows: Sequence[tuple[str, str]]) -> DataFrame:
+    """Light curves as text: a ``# ...`` line of an object's fields, then a line for each epoch.
+
+    An object is one record, split at the ``#``, so a file may be read by many
+    tasks; fields are (name, type), and what does not parse is null.
+    """
+    blocks = spark.read.option("lineSep", "\n#").text(path).select(F.split("value", "\n").alias("l"))
+    words = lambda c: F.split(F.trim(F.regexp_replace(c, "^#", "")), r"\s+")
+    d = blocks.select(words(F.get("l", F.lit(0))).alias("h"), F.explode(F.slice("l", 2, F.size("l"))).alias("line")).where(F.trim("line") != "")
+    d = d.withColumn("w", words(F.col("line")))
+    take = lambda a, fields: [F.get(a, F.lit(i)).try_cast(t).alias(n) for i, (n, t) in enumerate(fields)]
+    return d.select(*take("h", head), *take("w", rows))
+
+
+def file_list(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    """(name, path, bytes) of the files whose name matches a regular expression; no content is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    name = F.element_at(F.split("path", "/"), -1)
+    return files.select(name.alias("name"), "path", F.col("length").alias("bytes")).where(name.rlike(pattern))
