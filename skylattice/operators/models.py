@@ -132,17 +132,31 @@ def lag_correlation(df: DataFrame, by: str, t: str, v1: str, v2: str, max_lag: i
     return s.select("__key", "n", F.explode(rows).alias("r")).where(F.abs("r.lag") < F.col("n")).select(F.col("__key").alias(by), "r.lag", "r.corr")
 
 
-def gaussian_process(df: DataFrame, by: str, t: str, v: str, grid: Sequence[float], length: float, noise: float) -> DataFrame:
-    """Gaussian-process interpolation with a squared-exponential kernel at fixed times."""
-    at = np.asarray(grid, float)
+def gaussian_process(df: DataFrame, by: str, t: str, v: str, grid: Sequence[float], length: float, noise: float, reach: float = 6.0) -> DataFrame:
+    """Gaussian-process interpolation with a squared-exponential kernel at fixed times.
 
-    def fn(g):
-        x, y = g[t].to_numpy(), g[v].to_numpy()
-        scale, mean = max(float(np.var(y)), 1e-12), float(y.mean())
-        k = lambda a, b: scale * np.exp(-((a[:, None] - b[None, :]) ** 2) / (2 * length**2))
-        return {"t_new": at, "value": mean + k(at, x) @ np.linalg.solve(k(x, x) + noise**2 * np.eye(len(x)), y - mean)}
-
-    return per_series(df, by, [t, v], fn, "t_new double, value double")
+    The kernel is cut at ``reach`` lengths (where it is below 2e-8), so each
+    time of the grid is a group of the rows around it, not of a whole series;
+    a time without rows around it gets the mean of its series.
+    """
+    d = df.select(F.col(by).alias("__key"), F.col(t).cast("double").alias("x"), F.col(v).cast("double").alias("y")).dropna(subset=["x", "y"])
+    kind = d.schema["__key"].dataType.simpleString()
+    s = d.groupBy("__key").agg(F.avg("y").alias("m"), F.var_pop("y").alias("var"))
+    near = d.withColumn("g", F.explode(F.array(*[F.lit(float(g)) for g in grid]).cast("array<double>"))).where(F.abs(F.col("x") - F.col("g")) <= reach * length)
+    every = s.select("__key", "m", "var", F.explode(F.array(*[F.lit(float(g)) for g in grid]).cast("array<double>")).alias("g"))
+
+    def solve(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.dropna(subset=["x"]).sort_values(["x", "y"]) if g.x.notna().any() else g
+        at, mean, scale = float(g.g.iloc[0]), float(g.m.iloc[0]), max(float(g["var"].iloc[0]), 1e-12)
+        value = mean
+        if g.x.notna().any():
+            x, y = g.x.to_numpy(), g.y.to_numpy() - mean
+            k = lambda a, b: scale * np.exp(-((a[:, None] - b[None, :]) ** 2) / (2 * length**2))
+            value += float((k(np.array([at]), x) @ np.linalg.solve(k(x, x) + noise**2 * np.eye(len(x)), y))[0])
+        return pd.DataFrame({"__key": [g["__key"].iloc[0]], "t_new": [at], "value": [value]})
+
+    out = every.join(near, ["__key", "g"], "left").groupBy("__key", "g").applyInPandas(solve, f"__key {kind}, t_new double, value double")
+    return out.withColumnRenamed("__key", by)
 
 
 def savitzky_golay(df: DataFrame, by: str, t: str, v: str, frame: float) -> DataFrame:

@@ -28,8 +28,17 @@ def work_dir(spark, label: str) -> str:
 
 @R.query("zone_store_cone", f"WITH {CS}, z AS (SELECT 300.0 AS ra, 20.0 AS dec) SELECT c.id, round({DIST.format(a='c.', b='z.')}, 6) AS dist FROM c, z WHERE {DIST.format(a='c.', b='z.')} <= 9.0")
 def zone_store_cone(spark, d):
+    return zone_cone(spark, zone_store(spark, d))
+
+
+def zone_store(spark, d) -> str:
+    """Folder of the customers stored by sky zone."""
     path = work_dir(spark, "zones")
     mesh_store.write_zones(sky(table(spark, d, "customer").select(F.col("c_custkey").alias("id")), "id"), path, 2.0)
+    return path
+
+
+def zone_cone(spark, path):
     return rounded(mesh_store.read_cone(spark, path, 300.0, 20.0, 9.0, 2.0), "dist").select("id", "dist")
 
 

@@ -107,3 +107,39 @@ def test_no_query_keeps_a_subset_of_ids():
         assert not re.search(r"(source|custkey|suppkey|\bid|event_id) *(<=|BETWEEN)|WHERE [a-z_.]*id % \d+ = 0$", sql), name
     folder = inspect.getfile(plans).rsplit("/", 1)[0]
     assert "whole_table" not in "".join(open(f"{folder}/{m}_queries.py").read() for m in ("catalog", "series", "extended", "spatial", "table"))
+
+
+def test_fits_equal_numpy(spark):
+    """Sums against least squares on the rows themselves; the transform and the line against numpy."""
+    import numpy as np
+
+    series = defaultdict(list)
+    for source, t, v in connect(SF).sql("SELECT l_suppkey, epoch_us(l_shipdate)/86400000000.0, l_extendedprice FROM lineitem").fetchall():
+        series[source].append((t, v))
+    harmonic = {r.source: r for r in QUERIES["harmonic_fit"](spark, SF).collect()}
+    power = defaultdict(dict)
+    for r in QUERIES["fft_power"](spark, SF).where("source <= 3").collect():
+        power[r.source][round(r.freq, 9)] = r.power
+    for source in (1, 2, 3):
+        x, y = (np.array(c) for c in zip(*sorted(series[source]), strict=True))
+        a = np.column_stack([np.ones(len(x)), *[f(2 * np.pi * 0.05 * k * x) for k in (1, 2) for f in (np.cos, np.sin)]])
+        p = np.linalg.lstsq(a, y, rcond=None)[0]
+        assert np.allclose(harmonic[source].amplitude, np.hypot(p[1::2], p[2::2]), rtol=1e-6) and np.isclose(harmonic[source].resid_std, np.std(y - a @ p), rtol=1e-8)
+        f = np.fft.rfft(y - y.mean())
+        assert np.allclose(sorted(power[source].values()), sorted(np.abs(f) ** 2 / len(y)), rtol=1e-6, atol=1e-3)
+
+
+def test_gaussian_process_equals_a_dense_solve(spark):
+    import numpy as np
+
+    from skylattice.operators.models import gaussian_process
+
+    rng = np.random.default_rng(4)
+    x = np.sort(rng.uniform(0, 60, 80))
+    y = np.sin(x / 3) + rng.normal(size=80) * 0.01
+    d = spark.createDataFrame([(1, float(a), float(b)) for a, b in zip(x, y, strict=True)] + [(2, 0.0, 5.0)], "k long, t double, v double")
+    grid = [3.0, 30.5, 59.0]
+    got = {(r.k, r.t_new): r.value for r in gaussian_process(d, "k", "t", "v", grid, 2.0, 0.05).collect()}
+    kernel = lambda a, b: y.var() * np.exp(-((a[:, None] - b[None, :]) ** 2) / 8)
+    want = y.mean() + kernel(np.array(grid), x) @ np.linalg.solve(kernel(x, x) + 0.0025 * np.eye(80), y - y.mean())
+    assert np.allclose([got[1, g] for g in grid], want, atol=5e-3) and got[2, 59.0] == 5.0
