@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 from skylattice.functions.sphere import haversine
 from skylattice.operators.spatial import zone_pairs
 
+#: Times (16 bytes each) that may be sent to every executor.
+SMALL_LIST = 1 << 20
+
 
 def predicted(objects: DataFrame, times: DataFrame) -> DataFrame:
-    """Position (degrees) of objects (id, ra, dec, pm_ra, pm_dec a unit of time) at every time of a small list (t)."""
-    j = objects.join(F.broadcast(times))
+    """Position (degrees) of objects (id, ra, dec, pm_ra, pm_dec a unit of time) at every time of a list (t), sent out if it is small."""
+    few = times.count() <= SMALL_LIST
+    j = objects.crossJoin(F.broadcast(times) if few else times)
     ra = F.pmod(F.col("ra") + F.col("pm_ra") * F.col("t") / F.cos(F.radians("dec")), F.lit(360.0))
     return j.select("id", "t", ra.alias("ra"), (F.col("dec") + F.col("pm_dec") * F.col("t")).alias("dec"))
 

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
+from skylattice.plans.storage import checkpointed
+
 
 def nan_to_null(df: DataFrame) -> DataFrame:
     """NaN of every floating column becomes NULL."""
@@ -143,17 +145,25 @@ def header_table(headers: DataFrame, keys: Sequence[str]) -> DataFrame:
     return headers.where(F.col("key").isin(list(keys))).groupBy("file").agg(*[F.max(F.when(F.col("key") == k, F.col("value"))).alias(k) for k in keys])
 
 
-def dense_codes(df: DataFrame, value: str, name: str) -> DataFrame:
-    """Distinct values with their rank from 1 in sorted order.
+def numbered(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """Rows numbered from 1 in an order over all of them, without one task that gets them all.
 
-    Range partitions number their own values; counts of the partitions before
-    are added, so no task gets all values.
+    Range partitions are sorted one by one and number their own rows; the
+    counts of the partitions before are added.  The sorted rows are
+    checkpointed, so that counts and numbers come from the same ranges.
     """
-    d = df.select(value).distinct().repartitionByRange(F.col(value)).sortWithinPartitions(value)
+    d = df.repartitionByRange(*order).sortWithinPartitions(*order)
     # ids count up from 2^33 times the number of the partition
-    d = d.withColumn("__id", F.monotonically_increasing_id()).withColumn("__p", F.shiftright("__id", 33)).withColumn("__i", F.col("__id").bitwiseAND((1 << 33) - 1))
+    d = checkpointed(d.withColumn("__id", F.monotonically_increasing_id()))
+    d = d.withColumn("__p", F.shiftright("__id", 33)).withColumn("__i", F.col("__id").bitwiseAND((1 << 33) - 1))
     first = d.groupBy("__p").agg(F.count("*").alias("__c")).withColumn("__o", F.sum("__c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)))
-    return d.join(F.broadcast(first), "__p").select(value, (F.coalesce("__o", F.lit(0)) + F.col("__i") + 1).alias(name))
+    # a row a partition: as many as tasks
+    return d.join(F.broadcast(first), "__p").withColumn(name, F.coalesce("__o", F.lit(0)) + F.col("__i") + 1).drop("__id", "__p", "__i", "__c", "__o")
+
+
+def dense_codes(df: DataFrame, value: str, name: str) -> DataFrame:
+    """Distinct values with their rank from 1 in sorted order."""
+    return numbered(df.select(value).distinct(), [value], name)
 
 
 def alias_value(names: Sequence[str]) -> Column:
@@ -180,16 +190,7 @@ def select_by(df: DataFrame, tests: dict[str, list | tuple], every: bool = True)
 
 
 def insert_at(df: DataFrame, rows: DataFrame, pos: str) -> DataFrame:
-    """Rows put before given places (0-based) of a table in the order of ``pos``; places are counted anew.
-
-    The rows to insert are few (their places and running counts are sent out
-    with a size check left to the planner); every place moves on by how many
-    of them come before it.
-    """
-    at = rows.groupBy(pos).agg(F.count("*").alias("__c")).withColumn("__n", F.sum("__c").over(Window.orderBy(pos)))
-    steps = at.agg(F.sort_array(F.collect_list(F.struct(pos, "__n"))).alias("__s"))
-    before = lambda c, strict: F.coalesce(F.array_max(F.transform(F.filter("__s", lambda x: x[pos] < c if strict else x[pos] <= c), lambda x: x["__n"])), F.lit(0))
-    moved = df.join(F.broadcast(steps)).withColumn(pos, F.col(pos) + before(F.col(pos), False)).drop("__s")
-    order = F.row_number().over(Window.partitionBy(pos).orderBy(*[c for c in rows.columns if c != pos])) - 1
-    new = rows.withColumn("__k", order).join(F.broadcast(steps)).withColumn(pos, F.col(pos) + before(F.col(pos), True) + F.col("__k")).drop("__s", "__k")
-    return moved.unionByName(new)
+    """Rows put before given places (from 0) of a table in the order of ``pos``; all places are counted anew from 0."""
+    both = rows.withColumn("__side", F.lit(0)).unionByName(df.withColumn("__side", F.lit(1)))
+    rest = [c for c in df.columns if c != pos]
+    return numbered(both, [pos, "__side", *rest], "__n").withColumn(pos, F.col("__n") - 1).drop("__n", "__side")
