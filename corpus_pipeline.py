@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skylattice.llm import bpe, decision_list, decontaminate, line_suffix, minhash
-from skylattice.llm.common import shared_dir, table
+from skylattice.llm.common import scratch, shared_dir, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,11 +49,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table."""
+    """All stages over the documents table; what a stage stores on its way is removed once its result is written."""
     docs = table(spark, sf_dir, "documents")
     base = f"{shared_dir(spark)}/skylattice-pipeline-{uuid.uuid4().hex}"
     for i, (name, stage) in enumerate(STAGES):
         path = f"{base}/{i}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch(spark, name):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

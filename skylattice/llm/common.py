@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +15,8 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 16 << 20
 #: A key that holds more than 1/HOT_PARTS of the rows is hot; there are fewer than HOT_PARTS such keys.
 HOT_PARTS = 1024
+#: Folder of the ``scratch`` block that is open, if any.
+_SCRATCH: ContextVar[str | None] = ContextVar("scratch", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,11 +29,27 @@ def shared_dir(spark: SparkSession) -> str:
 
 def store(df: DataFrame, label: str) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/skylattice-{label}-{uuid.uuid4().hex}"
+    path = f"{_SCRATCH.get() or shared_dir(df.sparkSession)}/skylattice-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession, label: str) -> Iterator[str]:
+    """Keep the tables stored within the block in one shared folder, which is removed at its end.
+
+    What is made from them must be written by then: results are read lazily.
+    """
+    path = f"{shared_dir(spark)}/skylattice-scratch-{label}-{uuid.uuid4().hex}"
+    outer = _SCRATCH.set(path)
+    try:
+        yield path
+    finally:
+        _SCRATCH.reset(outer)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def rows_and_attach(left: DataFrame, right: DataFrame, key: str, weight: str, n_right: int, total: int, row_bytes: int, salt: Column) -> DataFrame:
     """Left join of ``right`` (unique, non-null ``key``) that no hot key can skew.
 

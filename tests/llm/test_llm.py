@@ -683,6 +683,17 @@ def test_one_row_for_each_document(spark, name):
     assert QUERIES[name](spark, SF).count() == spark.read.parquet(f"{SF}/documents.parquet").count()
 
 
+def test_scratch_folders_go_and_results_stay(spark, tmp_path):
+    with common.scratch(spark, "test") as folder:
+        common.store(spark.range(5), "inner").write.parquet(str(tmp_path / "result"))
+        held = spark.read.parquet(f"{folder}/*").count()
+    assert held == 5 and spark.read.parquet(str(tmp_path / "result")).count() == 5
+    fs = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    assert not fs.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs)
+    after = common.store(spark.range(3), "after")
+    assert after.count() == 3 and folder not in after.inputFiles()[0]
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     before = docs
