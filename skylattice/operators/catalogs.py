@@ -9,8 +9,9 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skylattice.operators.groups import largest_group, quantiles
 from skylattice.operators.spatial import plane_pairs
-from skylattice.operators.stats import half_open_bin, rstd
+from skylattice.operators.stats import IQR_TO_STD, half_open_bin
 
 
 def design_matrix(df: DataFrame, key: str, terms: Sequence[Column], y: str) -> DataFrame:
@@ -144,15 +145,20 @@ def residual_outliers(df: DataFrame, source: str, mag: str, step: float, sigma:
     """Flag of residuals (from the source mean) far from the median of their magnitude bin, in robust deviations."""
     m = df.groupBy(source).agg(F.avg(mag).alias("__a"))
     d = df.join(m, source).withColumn("__r", F.col(mag) - F.col("__a")).withColumn("__b", F.ceil(F.col(mag) / step))
-    s = d.groupBy("__b").agg(F.median("__r").alias("__med"), rstd("__r").alias("__sd"))
+    # bins are few, so each holds a large part of all rows
+    q = quantiles(d, ["__b"], "__r", {"__lo": 0.25, "__med": 0.5, "__hi": 0.75})
+    s = q.select("__b", "__med", ((F.col("__hi") - F.col("__lo")) / 2 * IQR_TO_STD).alias("__sd"))
     return d.join(s, "__b").withColumn("outlier", F.abs(F.col("__r") - F.col("__med")) > sigma * F.greatest(F.col("__sd"), F.lit(0.001)))
 
 
 def robust_zero_point(df: DataFrame, diff: str, by: Sequence[str], sigma: float) -> DataFrame:
     """Median, error of the mean and count of differences within sigma robust deviations of their median."""
-    c = df.groupBy(*by).agg(F.median(diff).alias("__m"), rstd(diff).alias("__s"))
+    large = largest_group(df, by)
+    q = quantiles(df, by, diff, {"__lo": 0.25, "__m": 0.5, "__hi": 0.75}, large)
+    c = q.select(*by, "__m", ((F.col("__hi") - F.col("__lo")) / 2 * IQR_TO_STD).alias("__s"))
     good = df.join(c, list(by)).where(F.abs(F.col(diff) - F.col("__m")) <= sigma * F.col("__s"))
-    return good.groupBy(*by).agg(F.median(diff).alias("zp"), (F.coalesce(F.stddev_samp(diff), F.lit(0.0)) / F.sqrt(F.count("*"))).alias("zp_err"), F.count("*").alias("n"))
+    mid = quantiles(good, by, diff, {"zp": 0.5}, large).drop("__n")
+    return mid.join(good.groupBy(*by).agg((F.coalesce(F.stddev_samp(diff), F.lit(0.0)) / F.sqrt(F.count("*"))).alias("zp_err"), F.count("*").alias("n")), list(by))
 
 
 def edges_below(value: Column, edges: Sequence[float]) -> Column:

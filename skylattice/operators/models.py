@@ -3,7 +3,7 @@
 Least-squares fits need only sums, which Spark combines before the shuffle;
 the small systems of those sums are solved with numpy, one row a series.
 Running filters are windows or joins through time buckets.  What has neither
-form (a transform, an interpolator, a consensus line) takes a series as a group.
+form (a transform, an interpolator) takes a series as a group.
 """
 
 from __future__ import annotations
@@ -18,6 +18,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import _parse_datatype_string
 
+from skylattice.operators.groups import spread_join
+
+#: Modulus of the hash that draws rows: squares of what is below it are 64-bit integers.
+PRIME = 2147483647
+
 
 def per_series(df: DataFrame, by: str, columns: Sequence[str], fn: Callable[[pd.DataFrame], dict[str, np.ndarray]], schema: str) -> DataFrame:
     """Apply a numpy function to each series; the key is kept, rows with missing values are left out."""
@@ -182,24 +187,33 @@ def savitzky_golay(df: DataFrame, by: str, t: str, v: str, frame: float) -> Data
     return out.drop("copy")
 
 
-def ransac_line(df: DataFrame, by: str, t: str, v: str, tolerance: float, n_sim: int = 100, seed: int = 1) -> DataFrame:
-    """Line with the most rows within a tolerance over seeded pairs, refitted to them."""
+def ransac_line(df: DataFrame, by: str, key: str, t: str, v: str, tolerance: float, n_sim: int = 100, seed: int = 1) -> DataFrame:
+    """Line with the most rows within a tolerance over seeded pairs, refitted to them: slope, intercept, n_in.
 
-    def fn(g):
-        x, y = g[t].to_numpy(), g[v].to_numpy()
-        rng, best = np.random.default_rng(seed), np.ones(len(x), bool)
-        most = 0
-        for _ in range(n_sim if len(x) > 2 else 0):
-            i, j = rng.choice(len(x), 2, replace=False)
-            if x[i] != x[j]:
-                b = (y[j] - y[i]) / (x[j] - x[i])
-                inside = np.abs(y - y[i] - b * (x - x[i])) <= tolerance
-                if inside.sum() > most:
-                    most, best = int(inside.sum()), inside
-        c = np.polyfit(x[best], y[best], min(1, len(np.unique(x[best])) - 1))
-        return {"slope": [float(c[0]) if len(c) > 1 else 0.0], "intercept": [float(c[-1])], "n_in": [int(best.sum())]}
-
-    return per_series(df, by, [t, v], fn, "slope double, intercept double, n_in long")
+    A hash of the integer ``key`` orders the rows of a series; its first
+    n_sim / 2 + 1 rows, each with the next and the one after that, are the
+    pairs.  Lines are counted as (series, line) with partial sums, so no task
+    gets a whole series.  A series without two different times has slope 0.
+    """
+    d = df.select(F.col(by).alias("__key"), F.col(key).alias("id"), F.col(t).cast("double").alias("x"), F.col(v).cast("double").alias("y")).dropna()
+    small = F.pmod(F.pmod("id", F.lit(PRIME)) * 48271 + seed, F.lit(PRIME))
+    d = d.withColumn("h", F.pmod(small * small, F.lit(PRIME)))
+    wanted = n_sim // 2 + 1
+    size = d.groupBy("__key").agg(F.count("*").alias("n"))
+    # about twice the rows that are wanted are put in order, however long the series
+    drawn = spread_join(d, size, "__key", F.col("id")).where(F.col("h") / PRIME <= F.lit(2.0 * wanted) / F.col("n"))
+    w = Window.partitionBy("__key").orderBy("h", "id", "x", "y")
+    drawn = drawn.withColumn("r", F.row_number().over(w)).where(F.col("r") <= wanted)
+    drawn = drawn.select("__key", F.col("x").alias("x0"), F.col("y").alias("y0"), *[F.struct((F.col("r") * 2 + k).alias("line"), F.lead("x", k).over(w).alias("x1"), F.lead("y", k).over(w).alias("y1")).alias(f"p{k}") for k in (1, 2)])
+    lines = drawn.select("__key", "x0", "y0", F.explode(F.array("p1", "p2")).alias("p")).where("p.x1 <> x0")
+    lines = lines.select("__key", "x0", "y0", "p.line", ((F.col("p.y1") - F.col("y0")) / (F.col("p.x1") - F.col("x0"))).alias("b"))
+    near = F.abs(F.col("y") - F.col("y0") - F.col("b") * (F.col("x") - F.col("x0"))) <= tolerance
+    votes = spread_join(d.select("__key", "id", "x", "y"), lines, "__key", F.col("id")).where(near)
+    votes = votes.groupBy("__key", "line").agg(F.count("*").alias("votes"), F.first(F.struct("x0", "y0", "b")).alias("of"))
+    best = votes.groupBy("__key").agg(F.max_by("of", F.struct("votes", -F.col("line"))).alias("of")).select("__key", "of.*")
+    inside = spread_join(d.select("__key", "id", "x", "y"), size.join(best, "__key", "left").drop("n"), "__key", F.col("id")).where(F.col("b").isNull() | near)
+    fit = inside.groupBy("__key").agg(F.coalesce(F.regr_slope("y", "x"), F.lit(0.0)).alias("slope"), F.avg("x").alias("xm"), F.avg("y").alias("ym"), F.count("*").alias("n_in"))
+    return fit.select(F.col("__key").alias(by), "slope", (F.col("ym") - F.col("slope") * F.col("xm")).alias("intercept"), "n_in")
 
 
 def matched_filter(df: DataFrame, by: str, t: str, v: str, template: Sequence[float]) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skylattice.operators.groups import ranked
+
 #: Rows of a range of hashes that one task numbers.
 PER_RANGE = 1 << 16
 
@@ -70,8 +72,7 @@ def weighted_sigma_clip(df: DataFrame, value: str, var: str, by: Sequence[str],
 
 def adaptive_bins(df: DataFrame, x: str, by: Sequence[str], per_bin: int) -> DataFrame:
     """Edges that put about the same number of rows in every bin."""
-    w = Window.partitionBy(*by)
-    d = df.withColumn("bin", F.floor((F.row_number().over(w.orderBy(x)) - 1) / per_bin))
+    d = ranked(df.select(*by, x), by, [x], "__i", "__n").withColumn("bin", F.floor((F.col("__i") - 1) / per_bin))
     return d.groupBy(*by, "bin").agg(F.min(x).alias("lo"), F.max(x).alias("hi"), F.count("*").alias("n"))
 
 

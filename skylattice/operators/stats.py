@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skylattice.operators.groups import ranked
+
 #: From the half interquartile range and the mean deviation to a standard deviation.
 IQR_TO_STD, L1_TO_STD = 1.4826, 1.1547
 
@@ -60,8 +62,7 @@ def std_w(df: DataFrame, value: str, err: str, by: Sequence[str]) -> DataFrame:
 
 def rmean(df: DataFrame, value: str, by: Sequence[str], low: float = 0.1, high: float = 0.1) -> DataFrame:
     """Mean of the sorted values from ceil(n low) + 1 to floor(n (1 - high))."""
-    w = Window.partitionBy(*by)
-    d = df.where(F.col(value).isNotNull()).withColumn("i", F.row_number().over(w.orderBy(value))).withColumn("n", F.count("*").over(w))
+    d = ranked(df.where(F.col(value).isNotNull()).select(*by, value), by, [value], "i", "n")
     return d.where((F.col("i") > F.ceil(F.col("n") * low)) & (F.col("i") <= F.floor(F.col("n") * (1 - high)))).groupBy(*by).agg(F.avg(value).alias("rmean"))
 
 
@@ -108,7 +109,7 @@ def binning(df: DataFrame, x: str, y: str, start: float, end: float, size: float
 
 def binning_npt(df: DataFrame, x: str, y: str, n_pt: int, by: Sequence[str]) -> DataFrame:
     """Bins of n_pt successive rows in order of x; an incomplete last bin is dropped."""
-    d = df.withColumn("bin", F.floor((F.row_number().over(Window.partitionBy(*by).orderBy(x, y)) - 1) / n_pt))
+    d = ranked(df.select(*by, x, y), by, [x, y], "__i", "__n").withColumn("bin", F.floor((F.col("__i") - 1) / n_pt))
     return d.groupBy(*by, "bin").agg(F.count("*").alias("n"), F.avg(x).alias("mean_x"), F.avg(y).alias("mean_y"), F.stddev_samp(y).alias("std_y")).where(F.col("n") == n_pt)
 
 
@@ -174,7 +175,7 @@ def mutual_information(df: DataFrame, x: str, y: str) -> DataFrame:
 
 def median_sparse(df: DataFrame, value: str, by: Sequence[str], order: Sequence[str], every: int) -> DataFrame:
     """Median of every k-th row of a group in an order, the first included."""
-    d = df.withColumn("__k", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    d = ranked(df.select(*dict.fromkeys([*by, *order, value])), by, order, "__k", "__n")
     return d.where(F.col("__k") % every == 1 % every).groupBy(*by).agg(F.median(value).alias("med"))
 
 

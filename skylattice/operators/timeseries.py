@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skylattice.operators.groups import largest_group, quantiles
 from skylattice.plans.storage import checkpointed
 
 
@@ -110,7 +111,10 @@ def clean_orphans(df: DataFrame, by: str, epoch: str, snr: str, max_epochs: int
 def zero_points(df: DataFrame, source: str, epoch: str, mag: str, ref_epoch: int) -> DataFrame:
     """Median over the sources of magnitude minus that in the reference epoch, by epoch."""
     ref = df.where(F.col(epoch) == ref_epoch).select(source, F.col(mag).alias("__r"))
-    return df.join(ref, source).groupBy(epoch).agg(F.median(F.col(mag) - F.col("__r")).alias("zp"), F.count("*").alias("n"))
+    both = df.join(ref, source).select(epoch, (F.col(mag) - F.col("__r")).alias("zp"))
+    # every row has at most one reference unless a source has several in its epoch
+    large = largest_group(df, [epoch])
+    return quantiles(both, [epoch], "zp", {"zp": 0.5}, large).withColumnRenamed("__n", "n")
 
 
 def relative_photometry(df: DataFrame, source: str, epoch: str, mag: str, rounds: int = 4) -> tuple[DataFrame, DataFrame]:

@@ -271,9 +271,20 @@ def savitzky_golay(spark, d):
     return rounded(mo.savitzky_golay(light_curve(spark, d), "source", "t", "flux", 60.0), "smooth", digits=2)
 
 
-@R.query("ransac_line")
+RANSAC_SQL = LC + """, d AS (SELECT source, id, t, flux, (id % 2147483647 * 48271 + 1) % 2147483647 AS x FROM lc),
+h AS (SELECT *, x*x % 2147483647 AS h, count(*) OVER (PARTITION BY source) AS n FROM d),
+s AS (SELECT source, t, flux, row_number() OVER (PARTITION BY source ORDER BY h, id, t, flux) AS r FROM h WHERE h / 2147483647 <= 102.0::DOUBLE / n QUALIFY r <= 51),
+l AS (SELECT a.source, a.r + b.r AS line, a.t AS t0, a.flux AS y0, (b.flux - a.flux)/(b.t - a.t) AS b FROM s a JOIN s b ON a.source = b.source AND b.r - a.r BETWEEN 1 AND 2 WHERE a.t <> b.t),
+c AS (SELECT source, line, any_value(t0) AS t0, any_value(y0) AS y0, any_value(b) AS b, count(*) AS votes FROM l JOIN d USING (source) WHERE abs(flux - y0 - b*(t - t0)) <= 5000 GROUP BY source, line),
+w AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY source ORDER BY votes DESC, line) = 1),
+f AS (SELECT d.source, coalesce(regr_slope(flux, t), 0) AS slope, avg(t) AS tm, avg(flux) AS ym, count(*) AS n_in FROM d LEFT JOIN w USING (source) WHERE b IS NULL OR abs(flux - y0 - b*(t - t0)) <= 5000 GROUP BY d.source)
+SELECT source, round(slope, 5) AS slope, round(ym - slope*tm, 2) AS intercept, n_in FROM f"""
+
+
+@R.query("ransac_line", RANSAC_SQL)
 def ransac_line(spark, d):
-    return mo.ransac_line(light_curve(spark, d), "source", "t", "flux", 5000.0)
+    line = mo.ransac_line(light_curve(spark, d), "source", "id", "t", "flux", 5000.0)
+    return rounded(rounded(line, "slope", digits=5), "intercept", digits=2)
 
 
 TAPS = "(-0.8*y + 0.2*lead(y, 1) OVER w + 1.2*lead(y, 2) OVER w + 0.2*lead(y, 3) OVER w - 0.8*lead(y, 4) OVER w)/sqrt(2.8)"

@@ -60,9 +60,10 @@ def test_models(spark):
     assert set(p) == {1, 2} and abs(p[1].coef[0] - 3) < 1e-6 and p[1].chi2 < 1e-6 and p[2].coef == [5.0]
     s = models.savitzky_golay(d.where("k = 1"), "k", "t", "v", 3.0).orderBy("t").collect()
     assert max(abs(r.smooth - (3 * r.t**2 - r.t + 2)) for r in s) < 1e-6
-    line = spark.createDataFrame([(1, float(x), float(2 * x + 1)) for x in range(30)] + [(1, float(x) + 0.5, 500.0) for x in range(5)], "k long, t double, v double")
-    r = models.ransac_line(line, "k", "t", "v", 0.1).first()
-    assert (round(r.slope, 6), round(r.intercept, 6), r.n_in) == (2.0, 1.0, 30)
+    line = [(1, x, float(x), float(2 * x + 1)) for x in range(30)] + [(1, 90 + x, float(x) + 0.5, 500.0) for x in range(5)] + [(2, 1, 4.0, 1.0), (2, 2, 4.0, 3.0), (3, 1, None, 1.0)]
+    r = {x.k: x for x in models.ransac_line(spark.createDataFrame(line, "k long, id long, t double, v double"), "k", "id", "t", "v", 0.1).collect()}
+    assert (round(r[1].slope, 6), round(r[1].intercept, 6), r[1].n_in) == (2.0, 1.0, 30)
+    assert set(r) == {1, 2} and (r[2].slope, r[2].intercept, r[2].n_in) == (0.0, 2.0, 2)
     w = models.fft_power(spark.createDataFrame([(1, float(x), float(np.sin(2 * np.pi * x / 8))) for x in range(64)], "k long, t double, v double"), "k", "t", "v")
     assert w.orderBy(F.desc("power")).first().freq == 0.125
     a = np.random.default_rng(1).normal(size=(9, 7))
