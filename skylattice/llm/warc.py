@@ -9,7 +9,11 @@ back into the payload that holds it.
 Defined results: a null payload counts as empty; among equal payloads the
 smallest id is the response (a null id never is one beside an id that is not
 null) and repeated rows of it are responses too; a file that does not begin
-with a record has none.
+with a record has none; a record whose name holds no page number has a null
+page_id beside its record_id; a revisit that states no size has none.
+
+Files named .gz, compressed whole or record by record, are read as the bytes
+they hold; such a file cannot be split, so one task reads it.
 """
 
 from __future__ import annotations
@@ -90,7 +94,7 @@ def base32_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-FRAGMENT = "file string, block long, rel long, size long, start long, succ long, body_at int, body_bytes long, complete boolean, record_type string, page_id long, url string, refers_to long, claimed string, claimed_bytes long, digest string, raw binary"
+FRAGMENT = "file string, block long, rel long, size long, start long, succ long, body_at int, body_bytes long, complete boolean, record_type string, page_id long, record_id string, url string, refers_to long, refers_to_id string, claimed string, claimed_bytes long, digest string, raw binary"
 
 
 def fragments(spark: SparkSession, paths: list[str], keep_raw: bool) -> DataFrame:
@@ -120,6 +124,7 @@ def fragments(spark: SparkSession, paths: list[str], keep_raw: bool) -> DataFram
                     body = value[body_at : body_at + n]
                     complete = len(body) == n and value[body_at + n :] in (b"", b"\r\n\r\n")
                     row |= {"succ": rel + body_at + n + len(END), "body_at": body_at, "body_bytes": n, "complete": complete, "record_type": head.get("warc-type"), "page_id": page_of(head.get("warc-record-id", "")), "url": head.get("warc-target-uri"), "refers_to": page_of(head.get("warc-refers-to", ""))}
+                    row |= {"record_id": head.get("warc-record-id"), "refers_to_id": head.get("warc-refers-to")}
                     row |= {"claimed": head.get("warc-payload-digest", "").removeprefix("sha1:"), "claimed_bytes": int(x) if (x := head.get("x-payload-bytes", "")).isdigit() else None, "digest": base32_of(body) if complete else None}
                 for k, v in row.items():
                     out[k].append(v)
@@ -217,7 +222,7 @@ def placed(f: DataFrame) -> DataFrame:
 
 
 def read_warc(spark: SparkSession, paths: list[str], with_payload: bool = False) -> DataFrame:
-    """Records of the archives: page_id, url, record_type, refers_to, payload_bytes, payload_digest, digest_ok (and payload)."""
+    """Records of the archives: page_id, record_id, url, record_type, refers_to, refers_to_id, payload_bytes, payload_digest, digest_ok (and payload)."""
     f = placed(store(fragments(spark, paths, with_payload), "warc-fragments"))
     true = reachable(f.where("succ is not null").select("file", "block", "start", "succ"))
     true = store(f.join(true, ["file", "start"], "left_semi"), "warc-records")
@@ -228,10 +233,10 @@ def read_warc(spark: SparkSession, paths: list[str], with_payload: bool = False)
         out = out.unionByName(stitched(spark, paths, true, f, with_payload))
     revisit = F.col("record_type") == "revisit"
     digest = F.when(revisit, F.col("claimed")).otherwise(F.col("digest"))
-    return out.select("page_id", "url", "record_type", F.when(revisit, F.col("refers_to")).alias("refers_to"), F.when(revisit, F.col("claimed_bytes")).otherwise(F.col("body_bytes")).alias("payload_bytes"), digest.alias("payload_digest"), (digest == F.col("claimed")).alias("digest_ok"), *(["payload"] if with_payload else []))
+    return out.select("page_id", "record_id", "url", "record_type", F.when(revisit, F.col("refers_to")).alias("refers_to"), F.when(revisit, F.col("refers_to_id")).alias("refers_to_id"), F.when(revisit, F.col("claimed_bytes")).otherwise(F.col("body_bytes")).alias("payload_bytes"), digest.alias("payload_digest"), (digest == F.col("claimed")).alias("digest_ok"), *(["payload"] if with_payload else []))
 
 
-RECORD = ("record_type", "page_id", "url", "refers_to", "claimed", "claimed_bytes", "digest", "body_bytes")
+RECORD = ("record_type", "page_id", "record_id", "url", "refers_to", "refers_to_id", "claimed", "claimed_bytes", "digest", "body_bytes")
 
 
 #: Files that may be named one by one to be read again; beyond that all are read and those needed are picked by a join.
@@ -250,7 +255,7 @@ def stitched(spark: SparkSession, paths: list[str], true: DataFrame, f: DataFram
     raw = placed(store(fragments(spark, again, True), "warc-pieces")).select("file", "start", "raw")  # splits may differ from those of the first reading
     got = raw.join(pieces, ["file", "start"]).groupBy("file", "owner").agg(F.array_sort(F.collect_list(F.struct("start", "raw"))).alias("pieces"))
     head = true.where("not complete").select("file", F.col("start").alias("owner"), "body_at", *RECORD)
-    schema = "record_type string, page_id long, url string, refers_to long, claimed string, claimed_bytes long, digest string, body_bytes long" + (", payload binary" if with_payload else "")
+    schema = "record_type string, page_id long, record_id string, url string, refers_to long, refers_to_id string, claimed string, claimed_bytes long, digest string, body_bytes long" + (", payload binary" if with_payload else "")
 
     def make():
         def fn(cols: dict[str, list]) -> dict[str, list]:

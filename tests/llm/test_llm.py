@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, with nulls, empty texts, ties, repeated rows, clashing columns."""
 
 import base64
+import gzip
 import hashlib
 import itertools
 import random
@@ -93,6 +94,30 @@ def test_warc_of_version_1_1_and_many_files(spark, tmp_path, monkeypatch):
     assert got == {**{2 * i: f"a{i}{inner}" for i in range(3)}, **{2 * i + 1: "tail" for i in range(3)}}
 
 
+@pytest.mark.parametrize("by_record", [True, False])
+def test_warc_of_compressed_files_and_foreign_names(spark, tmp_path, by_record):
+    inner = "a\r\n\r\nWARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:99>\r\nContent-Length: 1\r\n\r\nx\r\n\r\n"
+    head = lambda kind, name, n, more="": f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: {name}\r\n{more}Content-Length: {n}\r\n\r\n"
+    bodies, want = ["", "abc" * 300, inner, "tail\r\n\r\n", inner * 3], {}
+    for f in range(2):
+        records = [head("warcinfo", f"<urn:uuid:{f}-info>", 4) + "k: v"]
+        want[f"<urn:uuid:{f}-info>"] = ("warcinfo", None, b"k: v")
+        for i, body in enumerate(bodies):
+            records.append(head("response", f"<urn:uuid:{f}-{i}>", len(body)) + body)
+            want[f"<urn:uuid:{f}-{i}>"] = ("response", None, body.encode())
+        records.append(head("revisit", f"<urn:uuid:{f}-again>", 0, f"WARC-Refers-To: <urn:uuid:{f}-1>\r\n"))
+        want[f"<urn:uuid:{f}-again>"] = ("revisit", f"<urn:uuid:{f}-1>", b"")
+        raw = [(r + "\r\n\r\n").encode() for r in records]
+        (tmp_path / f"{f}.warc.gz").write_bytes(b"".join(map(gzip.compress, raw)) if by_record else gzip.compress(b"".join(raw)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "400")
+    try:
+        got = warc.read_warc(spark, [str(tmp_path)], with_payload=True).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(got) == len(want) and {r.record_id: (r.record_type, r.refers_to_id, bytes(r.payload)) for r in got} == want
+    assert {(r.page_id, r.refers_to) for r in got} == {(None, None)} and {r.payload_bytes for r in got if r.record_type == "revisit"} == {None}
+
+
 def test_warc_small_payloads_stay_and_empty_table(spark, tmp_path):
     pages = spark.createDataFrame([(1, None, "ab"), (2, None, "ab"), (2, None, "ab"), (3, None, "abcd"), (4, None, "abcd")], "page_id long, url string, html string")
     warc.write_warc(pages, str(tmp_path / "w"), min_payload=3)
