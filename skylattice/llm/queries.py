@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from skylattice.llm import bpe, decision_list, decontaminate, line_suffix, minhash, nbsvm, pii, secrets, toxicity, warc
+from skylattice.llm import bpe, decision_list, decontaminate, fill_middle, hard_negatives, line_suffix, minhash, nbsvm, pii, secrets, toxicity, url_filter, warc
 from skylattice.llm.common import crc_mod, shared_dir, table
 
 QUERIES: dict = {}
@@ -82,9 +82,28 @@ def op10_toxicity_gru(spark, d):
     return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+@_query
+def op11_hard_negatives(spark, d):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("bigint") + 1) % 10).otherwise(F.col("label").cast("bigint"))
+    rows = hard_negatives.quantised(table(spark, d, "embeddings"), "embedding", label)
+    return hard_negatives.mine(rows, F.col("vec_id") % 50 == 0)
+
+
+@_query
+def op12_url_filters(spark, d):
+    rules = spark.createDataFrame(url_filter.RULES, "host string, path string, verdict string")
+    return url_filter.judge(table(spark, d, "pages"), rules)
+
+
+@_query
+def op13_fill_middle(spark, d):
+    made = fill_middle.restore(fill_middle.transform(table(spark, d, "documents")))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
 @_query
 def pipeline(spark, d):
     return corpus_pipeline.run(spark, d)
 
 
-ORACLE |= {"op1_warc_boundary_chain": warc.ORACLE, "op5_secret_ownership": secrets.ORACLE, "op6_line_suffix_array": line_suffix.ORACLE, "op9_benchmark_decontamination": decontaminate.ORACLE}
+ORACLE |= {"op1_warc_boundary_chain": warc.ORACLE, "op5_secret_ownership": secrets.ORACLE, "op6_line_suffix_array": line_suffix.ORACLE, "op9_benchmark_decontamination": decontaminate.ORACLE, "op11_hard_negatives": hard_negatives.ORACLE, "op12_url_filters": url_filter.ORACLE, "op13_fill_middle": fill_middle.ORACLE}
