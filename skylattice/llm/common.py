@@ -74,6 +74,17 @@ def rows_and_attach(left: DataFrame, right: DataFrame, key: str, weight: str, n_
     return out.select(*[c for c in out.columns if c != "__v"], *[F.col("__v")[c].alias(c) for c in cols])
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that a table does not have: each name, with underscores added as needed (names differ in more than case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def let(value: Column, body) -> Column:
     """Bind an expression once inside a larger one: body(value), with value computed once per row."""
     return F.transform(F.array(value), body)[0]

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skylattice.llm.common import BROADCAST_BYTES, let, store
+from skylattice.llm.common import BROADCAST_BYTES, fresh, let, store
 
 WINDOW = 13
 #: Copies of a benchmark window where the benchmark is not broadcast.
@@ -130,10 +130,11 @@ def score_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIN
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs without the contaminated documents, columns unchanged.  Their ids are broadcast if they are few, so that no clean text is moved."""
-    bad = store(score_contamination(docs, benchmark, window).where("contaminated").select(F.col("doc_id").alias("__d"), F.col("kid").alias("__k")).distinct(), "contaminated")
+    d, k = fresh(docs, "__d", "__k")
+    bad = store(score_contamination(docs, benchmark, window).where("contaminated").select(F.col("doc_id").alias(d), F.col("kid").alias(k)).distinct(), "contaminated")
     bad = F.broadcast(bad) if bad.count() * 48 <= BROADCAST_BYTES else bad
     key = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("__d")) & (key == F.col("__k")), "left_anti")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col(d)) & (key == F.col(k)), "left_anti")
 
 
 def cut_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

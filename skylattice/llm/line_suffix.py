@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skylattice.llm.arrow import map_batches
-from skylattice.llm.common import BROADCAST_BYTES, let, rows_and_attach, store
+from skylattice.llm.common import BROADCAST_BYTES, fresh, let, rows_and_attach, store
 
 MIN_WORDS = 50
 
@@ -148,18 +148,22 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return store(copies.groupBy("doc_id", "kid").agg(F.array_sort(F.collect_set(F.struct("from", "to"))).alias("cuts")), "cuts")
 
 
-def without_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with the later copies cut out of text, other columns unchanged; one more column, __removed, counts the deleted lines."""
-    cuts = later_copies(docs, min_words).select(F.col("doc_id").alias("__d"), F.col("kid").alias("__k"), F.col("cuts").alias("__cuts"))
-    size = cuts.agg(F.coalesce(F.sum(F.size("__cuts") * 8 + 48), F.lit(0)).alias("b")).first()["b"]
+def without_copies(docs: DataFrame, min_words: int = MIN_WORDS, count: str | None = "__removed") -> DataFrame:
+    """docs with the later copies cut out of text, other columns unchanged; one more column counts the deleted lines.
+
+    That column is named ``count``, with underscores added where docs has one of that name; None leaves it out.
+    """
+    d, k, cut_list, removed = fresh(docs, "__d", "__k", "__cuts", count or "__removed")
+    cuts = later_copies(docs, min_words).select(F.col("doc_id").alias(d), F.col("kid").alias(k), F.col("cuts").alias(cut_list))
+    size = cuts.agg(F.coalesce(F.sum(F.size(cut_list) * 8 + 48), F.lit(0)).alias("b")).first()["b"]
     cuts = F.broadcast(cuts) if size <= BROADCAST_BYTES else cuts
     key = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    j = docs.join(cuts, docs["doc_id"].eqNullSafe(F.col("__d")) & (key == F.col("__k")), "left")
+    j = docs.join(cuts, docs["doc_id"].eqNullSafe(F.col(d)) & (key == F.col(k)), "left")
     lines = F.split(docs["text"], "\n", -1)
-    spared = let(F.col("__cuts"), lambda cut: F.filter(lines, lambda x, i: ~F.exists(cut, lambda c: (i >= c["from"]) & (i <= c["to"]))))
-    text = F.when(F.col("__cuts").isNull(), docs["text"]).otherwise(F.array_join(spared, "\n"))
-    removed = F.when(F.col("__cuts").isNull(), F.lit(0)).otherwise(F.size(lines) - F.size(spared))
-    return j.select(*[text.alias("text") if c == "text" else docs[c] for c in docs.columns], removed.cast("bigint").alias("__removed"))
+    spared = let(F.col(cut_list), lambda cut: F.filter(lines, lambda x, i: ~F.exists(cut, lambda c: (i >= c["from"]) & (i <= c["to"]))))
+    text = F.when(F.col(cut_list).isNull(), docs["text"]).otherwise(F.array_join(spared, "\n"))
+    gone = F.when(F.col(cut_list).isNull(), F.lit(0)).otherwise(F.size(lines) - F.size(spared)).cast("bigint")
+    return j.select(*[text.alias("text") if c == "text" else docs[c] for c in docs.columns], *([gone.alias(removed)] if count else []))
 
 
 ORACLE = r"""

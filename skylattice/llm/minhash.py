@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skylattice.llm.arrow import SLICE, map_batches
-from skylattice.llm.common import BROADCAST_BYTES, HOT_PARTS, attach_wide, rows_and_attach, store
+from skylattice.llm.common import BROADCAST_BYTES, HOT_PARTS, attach_wide, fresh, rows_and_attach, store
 from skylattice.llm.textkit import WORD, groups, mix, word_hashes
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -427,13 +427,14 @@ def per_row(found: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
     """docs with one row of each class, columns unchanged."""
-    gone = found.where("not first").select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__t"))
+    d, t = fresh(docs, "__d", "__t")
+    gone = found.where("not first").select(F.col("doc_id").alias(d), F.col("text_hash").alias(t))
     gone = store(gone, "dropped")
     gone = F.broadcast(gone) if gone.count() * 32 <= BROADCAST_BYTES else gone
     key: Column = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    left = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("__d")) & (key == F.col("__t")), "left_anti")
-    again = found.where("first and same_rows > 1").select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__t"))
+    left = docs.join(gone, docs["doc_id"].eqNullSafe(F.col(d)) & (key == F.col(t)), "left_anti")
+    again = found.where("first and same_rows > 1").select(F.col("doc_id").alias(d), F.col("text_hash").alias(t))
     if not again.limit(1).count():
         return left
-    match = left["doc_id"].eqNullSafe(F.col("__d")) & (F.xxhash64(F.coalesce(left["text"], F.lit(""))) == F.col("__t"))
+    match = left["doc_id"].eqNullSafe(F.col(d)) & (F.xxhash64(F.coalesce(left["text"], F.lit(""))) == F.col(t))
     return left.join(again, match, "left_anti").unionByName(left.join(again, match, "left_semi").dropDuplicates(["doc_id", "text"]))

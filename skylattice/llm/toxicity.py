@@ -2,9 +2,14 @@
 
 Every word enters as a hashed word vector, its class log-count ratio and the
 mean of hashed vectors of its character trigrams, with the highest ratio of
-its character four-grams.  Two gated recurrent passes
-and an attention pool turn a window of words into one probability; all
-overlapping windows of a whole text are scored and the highest one counts.
+its character four-grams.  Two gated recurrent passes give every word a state;
+an attention pool over the states of a window of words makes one probability.
+All overlapping windows of a whole text, one from every word on, are scored and
+the highest one counts.
+
+The passes run over blocks of words, each from CONTEXT words outside its block
+on, so their cost is linear in the text and long texts are worked on side by
+side; the windows then share the states, and differ in their pools alone.
 Training is plain numpy on a bounded sample of labelled texts.  The ratios are
 two of the inputs of a word; with them set to zero the network still learns
 from the vectors alone (a test), but needs more labelled texts for it.
@@ -27,14 +32,14 @@ from skylattice.llm.common import labelled, one_text_each, store
 from skylattice.llm.nbsvm import platt
 from skylattice.llm.textkit import LETTERS, groups, word_hashes
 
-#: Words of a window and words from one window to the next.
-WINDOW, STRIDE = 24, 16
+#: Words of a window; words that a pass runs over before it reaches a block; words of a block.
+WINDOW, CONTEXT, BODY = 12, 8, 40
 WORDS, TRIGRAMS = 1 << 15, 1 << 13
 D_WORD, D_CHAR, HIDDEN, ATTEND = 8, 8, 8, 8
 #: Inputs of a word: its vector, its ratio, the highest ratio of its four-grams, its character vector.
 RATIO, CHAR_RATIO, D_IN = D_WORD, D_WORD + 1, D_WORD + 2 + D_CHAR
-#: Windows that go through the network together.
-BLOCK = 8192
+#: Blocks of words that go through the network together.
+BLOCK = 4096
 RATIO_BITS = 18
 
 
@@ -68,11 +73,8 @@ def tokenize(buf: bytes, at: np.ndarray) -> Tokens:
 
 
 def windows(n: int) -> np.ndarray:
-    """Starts of the overlapping windows of n words; the last one reaches the end."""
-    if n <= WINDOW:
-        return np.zeros(1, np.int64)
-    s = np.arange(0, n - WINDOW + STRIDE, STRIDE, dtype=np.int64)
-    return np.minimum(s, n - WINDOW)
+    """Starts of the overlapping windows of n words: every word that has WINDOW words from it on."""
+    return np.arange(max(1, n - WINDOW + 1), dtype=np.int64)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -107,15 +109,15 @@ class Network:
         return x
 
     def forward(self, x: np.ndarray, ids: np.ndarray, keep: bool = False) -> tuple[np.ndarray, dict | None]:
-        """Logits of windows ``ids`` [n, WINDOW] of rows of ``x``; the last row of x is padding and passes the state on."""
+        """Logits of windows: ``ids`` [n, CONTEXT + WINDOW + CONTEXT] are rows of ``x``; the last row of x is padding and passes the state on."""
         n, steps = ids.shape
         real = (ids != len(x) - 1).T[:, :, None]
-        h_all = np.zeros((steps, n, 2 * HIDDEN), np.float32)
+        h_all = np.zeros((steps, n, 2 * HIDDEN), x.dtype)
         cache: dict = {"real": real}
-        for side, order in (("f", range(steps)), ("b", range(steps - 1, -1, -1))):
+        for side, order in (("f", range(steps - CONTEXT)), ("b", range(steps - 1, CONTEXT - 1, -1))):
             pre = x @ self.p[f"in_{side}"] + self.p[f"in_b_{side}"]
             rec, rb = self.p[f"rec_{side}"], self.p[f"rec_b_{side}"]
-            h = np.zeros((n, HIDDEN), np.float32)
+            h = np.zeros((n, HIDDEN), x.dtype)
             cut = slice(0, HIDDEN) if side == "f" else slice(HIDDEN, None)
             for t in order:
                 a, u = pre[ids[:, t]], h @ rec
@@ -128,30 +130,72 @@ class Network:
                     cache[side, t] = (h, z, r, un, c)
                 h_all[t, :, cut] = h = new
         e = np.tanh(h_all @ self.p["att"])
-        s = np.where(real[:, :, 0], e @ self.p["att_v"], np.float32(-30.0))
+        own = real[:, :, 0] & ((np.arange(steps) >= CONTEXT) & (np.arange(steps) < steps - CONTEXT))[:, None]
+        s = np.where(own, e @ self.p["att_v"], np.float32(-1e9))
         s = np.exp(s - s.max(0))
         s /= s.sum(0)
         pooled = np.einsum("tn,tnd->nd", s, h_all)
         logit = pooled @ self.p["out"] + self.p["out_b"]
         if keep:
-            cache |= {"h": h_all, "e": e, "s": s, "pooled": pooled}
+            cache |= {"h": h_all, "e": e, "s": s, "pooled": pooled, "own": own}
         return logit, cache if keep else None
 
+    def word_parts(self, t: Tokens, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Attention score and contribution to the logit of every word of some texts, both passes in one product a step."""
+        first = np.concatenate([np.arange(lo, hi, BODY) for lo, hi in zip(t.bounds[:-1], t.bounds[1:], strict=True)])
+        text = np.repeat(np.arange(len(t.bounds) - 1), -(-np.diff(t.bounds) // BODY))
+        score, value = np.zeros(len(t.ids)), np.zeros(len(t.ids))
+        pre = np.concatenate([x @ self.p[f"in_{side}"] + self.p[f"in_b_{side}"] for side in "fb"], 1).reshape(-1, 2, 3 * HIDDEN)
+        rec = np.stack([self.p["rec_f"], self.p["rec_b"]])
+        rb = np.stack([self.p["rec_b_f"], self.p["rec_b_b"]])[:, None]
+        for k in range(0, len(first), BLOCK):
+            at = first[k : k + BLOCK, None] + np.arange(-CONTEXT, BODY + CONTEXT)
+            lo, hi = (t.bounds[text[k : k + BLOCK] + i][:, None] for i in (0, 1))
+            real = (at >= lo) & (at < hi)
+            ids = np.where(real, t.ids[np.clip(at, 0, len(t.ids) - 1)], len(t.hashes))
+            h = np.zeros((2, len(at), HIDDEN), np.float32)
+            states = np.zeros((BODY, len(at), 2 * HIDDEN), np.float32)
+            for i in range(CONTEXT + BODY):
+                j = ids.shape[1] - 1 - i
+                a, u = np.stack([pre[ids[:, i], 0], pre[ids[:, j], 1]]), h @ rec
+                zr = sigmoid(a[:, :, : 2 * HIDDEN] + u[:, :, : 2 * HIDDEN])
+                c = np.tanh(a[:, :, 2 * HIDDEN :] + zr[:, :, HIDDEN:] * (u[:, :, 2 * HIDDEN :] + rb))
+                new = c + zr[:, :, :HIDDEN] * (h - c)
+                h = np.where(np.stack([real[:, i], real[:, j]])[:, :, None], new, h)
+                if i >= CONTEXT:
+                    states[i - CONTEXT, :, :HIDDEN] = h[0]
+                    states[j - CONTEXT, :, HIDDEN:] = h[1]
+            body = real[:, CONTEXT : CONTEXT + BODY].T
+            where = at[:, CONTEXT : CONTEXT + BODY].T[body]
+            states = states[body]
+            score[where] = np.tanh(states @ self.p["att"]) @ self.p["att_v"]
+            value[where] = states @ self.p["out"]
+        return score, value
+
+    def window_logits(self, score: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """Logits of all windows of one text from the parts of its words."""
+        if not len(score):
+            return self.p["out_b"].astype(float)
+        share = np.exp(score - score.max())
+        k = min(WINDOW, len(score))
+        over = lambda v: np.lib.stride_tricks.sliding_window_view(v, k).sum(1)
+        return over(share * value) / over(share) + self.p["out_b"][0]
+
     def backward(self, x: np.ndarray, ids: np.ndarray, cache: dict, d_logit: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
         """Gradients of the dense parameters and of the rows of ``x``."""
         p, g = self.p, {}
-        h_all, e, s, real = cache["h"], cache["e"], cache["s"], cache["real"]
+        h_all, e, s, real, own = cache["h"], cache["e"], cache["s"], cache["real"], cache["own"]
         steps = len(h_all)
         g["out"], g["out_b"] = cache["pooled"].T @ d_logit, d_logit.sum(keepdims=True)
         d_pool = d_logit[:, None] * p["out"]
         d_s = np.einsum("nd,tnd->tn", d_pool, h_all)
-        d_score = s * (d_s - (s * d_s).sum(0)) * real[:, :, 0]
+        d_score = s * (d_s - (s * d_s).sum(0)) * own
         d_e = d_score[:, :, None] * p["att_v"] * (1 - e * e)
         g["att_v"] = np.einsum("tn,tna->a", d_score, e)
         g["att"] = np.einsum("tnd,tna->da", h_all, d_e)
         d_h_all = s[:, :, None] * d_pool + d_e @ p["att"].T
         d_x = np.zeros_like(x)
-        for side, order in (("f", range(steps - 1, -1, -1)), ("b", range(steps))):
+        for side, order in (("f", range(steps - CONTEXT - 1, -1, -1)), ("b", range(CONTEXT, steps))):
             rec = p[f"rec_{side}"]
             cut = slice(0, HIDDEN) if side == "f" else slice(HIDDEN, None)
             d_pre = np.zeros((len(x), 3 * HIDDEN), np.float32)
@@ -174,22 +218,21 @@ class Network:
             d_x += d_pre @ p[f"in_{side}"].T
         return g, d_x
 
-    def window_ids(self, t: Tokens, k: int) -> np.ndarray:
-        """Word rows of all windows of text k."""
+    def window_ids(self, t: Tokens, k: int, starts: np.ndarray) -> np.ndarray:
+        """Word rows of windows of text k, with the words around them."""
         lo, hi = t.bounds[k], t.bounds[k + 1]
-        at = windows(hi - lo)[:, None] + np.arange(WINDOW)
-        return np.where(at < hi - lo, t.ids[np.minimum(lo + at, max(len(t.ids) - 1, 0))] if len(t.ids) else 0, len(t.hashes))
+        at = lo + starts[:, None] + np.arange(-CONTEXT, WINDOW + CONTEXT)
+        return np.where((at >= lo) & (at < hi), t.ids[np.clip(at, 0, len(t.ids) - 1)] if len(t.ids) else 0, len(t.hashes))
 
     def logits(self, texts: list[str | None]) -> np.ndarray:
         """The highest window logit of each text."""
         out = np.zeros(len(texts))
         for first, last, buf, at in groups([(x or "").lower() for x in texts]):
             t = tokenize(buf, at)
-            x = self.inputs(t)
-            per = [self.window_ids(t, k) for k in range(last - first)]
-            ids = np.concatenate(per)
-            z = np.concatenate([self.forward(x, ids[i : i + BLOCK])[0] for i in range(0, len(ids), BLOCK)])
-            out[first:last] = np.maximum.reduceat(z, np.concatenate([[0], np.cumsum([len(w) for w in per])[:-1]]))
+            score, value = self.word_parts(t, self.inputs(t))
+            for k in range(last - first):
+                own = slice(t.bounds[k], t.bounds[k + 1])
+                out[first + k] = self.window_logits(score[own], value[own]).max()
         return out
 
     def scores(self, texts: list[str | None]) -> list[float]:
@@ -245,17 +288,19 @@ def train(texts: list[str], y: np.ndarray, epochs: int = 6, seed: int = 11) -> N
                 net.ratio = ratios[fold[i]]
                 t = tokens[i]
                 x = net.inputs(t)
-                ids = net.window_ids(t, 0)
-                z = net.forward(x, ids)[0] if len(ids) > 1 else np.zeros(1)
+                starts = windows(len(t.ids))
                 if epoch == 0 and y[i]:  # before the network knows anything, the ratios point at the window
-                    z = x[ids, RATIO : CHAR_RATIO + 1].max((1, 2)) + 0.1 * x[ids, RATIO : CHAR_RATIO + 1].sum((1, 2))
-                chosen = [int(z.argmax())] + ([int(rng.integers(len(ids)))] if not y[i] and len(ids) > 1 else [])
+                    word = x[net.window_ids(t, 0, starts)[:, CONTEXT:-CONTEXT], RATIO : CHAR_RATIO + 1]
+                    z = word.max((1, 2)) + 0.1 * word.sum((1, 2))
+                else:
+                    z = net.window_logits(*net.word_parts(t, x)) if len(starts) > 1 else np.zeros(1)
+                chosen = np.array([int(z.argmax())] + ([int(rng.integers(len(starts)))] if not y[i] and len(starts) > 1 else []))
+                ids = net.window_ids(t, 0, chosen)
                 pads.append(base + len(x) - 1)
                 x_parts.append(x)
                 owners.append(t)
-                for w in chosen:
-                    ids_parts.append(ids[w] + base)
-                    label.append(y[i])
+                ids_parts.extend(ids + base)
+                label.extend([y[i]] * len(ids))
                 base += len(x)
             x, ids, target = np.concatenate(x_parts), np.array(ids_parts), np.array(label, np.float32)
             x = np.concatenate([x, np.zeros((1, x.shape[1]), np.float32)])
