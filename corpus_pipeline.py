@@ -23,7 +23,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without later copies of repeated line runs; n_chars follows the text."""
-    out = line_suffix.without_copies(docs).drop("__removed")
+    out = line_suffix.without_copies(docs, count=None)
     return out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.char_length("text").cast("bigint"))) if "n_chars" in out.columns else out
 
 
