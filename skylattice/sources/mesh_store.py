@@ -1,16 +1,25 @@
-"""A catalog stored by sky zone, and a triangular mesh index.
+"""Catalogs stored by sky zone or by a triangular mesh.
 
 Zones are partitions of the files, rows are sorted by latitude inside them: a
 cone reads a few folders and, in them, the row groups of its latitudes.
+
+A mesh store is partitioned by the triangle of a coarse level and sorted by
+that of a fine one.  Triangles nest, and so do their numbers: what a cone
+covers is a list of ranges of fine numbers, which picks folders by their
+coarse triangle and row groups by the statistics of the fine one.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skylattice.functions.sphere import haversine
 from skylattice.operators.spatial import cone, zone_cells
 
 
@@ -68,3 +77,145 @@ def mesh_id(lon: Column, lat: Column, level: int) -> Column:
         return pd.Series(mesh_ids(a.fillna(0).to_numpy(float), b.fillna(0).to_numpy(float), level)).astype("Int64").where(ok.to_numpy())
 
     return of(lon, lat)
+
+
+#: Levels of the triangles that rows of a mesh store are sorted and partitioned by; at the coarse one there are 8 * 4**CELLS of them.
+LEVEL, CELLS = 10, 3
+#: Ranges that a filter of a cone has at most (about); a cover that would take more is left coarser.
+RANGES = 64
+#: Slack (radians) of all tests of a cover, so that rows on an edge are found from both sides.
+SLACK = 1e-9
+
+
+def unit_vectors(lon: np.ndarray, lat: np.ndarray) -> np.ndarray:
+    return np.column_stack([np.cos(lat) * np.cos(lon), np.cos(lat) * np.sin(lon), np.sin(lat)])
+
+
+def sons_of(ids: np.ndarray, tri: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The four triangles (numbers, corners) within each triangle."""
+    mid = [tri[:, (i + 1) % 3] + tri[:, (i + 2) % 3] for i in range(3)]
+    mid = [m / np.linalg.norm(m, axis=1, keepdims=True) for m in mid]
+    sons = np.stack([np.stack(x, 1) for x in ((tri[:, 0], mid[2], mid[1]), (tri[:, 1], mid[0], mid[2]), (tri[:, 2], mid[1], mid[0]), mid)], 1)
+    return (ids[:, None] * 4 + np.arange(4)).ravel(), sons.reshape(-1, 3, 3)
+
+
+def touches(tri: np.ndarray, centre: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether cones (unit vectors, radians) touch triangles, and whether they hold them whole."""
+    to_corner = np.arccos(np.clip(np.einsum("nij,nj->ni", tri, centre), -1, 1)) <= radius[:, None] + SLACK
+    inside, near_edge = np.ones(len(tri), bool), np.zeros(len(tri), bool)
+    for i in range(3):
+        a, b = tri[:, i], tri[:, (i + 1) % 3]
+        normal = np.cross(a, b)
+        normal /= np.linalg.norm(normal, axis=1, keepdims=True)
+        height = np.einsum("ij,ij->i", normal, centre)
+        inside &= height >= -SLACK
+        # the foot of the centre on the edge's great circle lies between the corners
+        between = (np.einsum("ij,ij->i", np.cross(normal, a), centre) >= -SLACK) & (np.einsum("ij,ij->i", np.cross(b, normal), centre) >= -SLACK)
+        near_edge |= between & (np.arcsin(np.clip(np.abs(height), 0, 1)) <= radius + SLACK)
+    return to_corner.any(1) | inside | near_edge, to_corner.all(1) & (radius <= math.pi / 2)
+
+
+def cover(lon: np.ndarray, lat: np.ndarray, radius: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """(cone, triangle) of all triangles of a level that each cone (radians) touches, level by level for all cones at once."""
+    n = len(lon)
+    which, ids, tri = np.repeat(np.arange(n), 8), np.tile(np.arange(8, 16), n), np.tile(CORNERS[np.array(FACES)], (n, 1, 1))
+    centre = unit_vectors(lon, lat)
+    for k in range(level + 1):
+        keep = touches(tri, centre[which], radius[which])[0]
+        which, ids, tri = which[keep], ids[keep], tri[keep]
+        if k < level:
+            which = np.repeat(which, 4)
+            ids, tri = sons_of(ids, tri)
+    return which, ids
+
+
+def cone_ranges(lon: float, lat: float, radius: float, level: int, most: int = RANGES) -> list[tuple[int, int]]:
+    """Ranges (first, last) of the triangles of a level that a cone (radians) touches.
+
+    A triangle that lies in the cone is taken whole, one that the edge crosses
+    is split; splitting ends early where that would make over ``most`` ranges,
+    and the cover is a little wider then.
+    """
+    centre, r = unit_vectors(np.array([lon]), np.array([lat])), np.array([radius])
+    ids, tri, out = np.arange(8, 16), CORNERS[np.array(FACES)], []
+    for k in range(level + 1):
+        wide = 4 ** (level - k)
+        touched, whole = touches(tri, np.repeat(centre, len(tri), 0), np.repeat(r, len(tri)))
+        last = k == level or len(out) + 4 * int((touched & ~whole).sum()) > most
+        out += [(int(i) * wide, (int(i) + 1) * wide - 1) for i in ids[touched if last else whole]]
+        if last:
+            break
+        ids, tri = sons_of(ids[touched & ~whole], tri[touched & ~whole])
+    joined: list[tuple[int, int]] = []
+    for lo, hi in sorted(out):
+        if joined and lo <= joined[-1][1] + 1:
+            joined[-1] = (joined[-1][0], max(hi, joined[-1][1]))
+        else:
+            joined.append((lo, hi))
+    return joined
+
+
+def write_mesh(df: DataFrame, path: str, level: int = LEVEL, cells: int = CELLS) -> None:
+    """Store (.., ra, dec) in degrees, partitioned by coarse triangle (``mesh_cell``) and sorted by fine one (``mesh_id``).
+
+    Tasks write ranges of fine triangles, dealt further by a hash, so that a
+    position with very many rows is split too.  Rows without a position are
+    kept, in a partition that no search reads.
+    """
+    d = df.withColumn("mesh_id", mesh_id(F.radians("ra"), F.radians("dec"), level))
+    d = d.withColumn("mesh_cell", F.shiftright("mesh_id", 2 * (level - cells)))
+    d = d.withColumn("__deal", F.xxhash64(*df.columns))
+    d.repartitionByRange("mesh_id", "__deal").drop("__deal").sortWithinPartitions("mesh_cell", "mesh_id").write.partitionBy("mesh_cell").parquet(path)
+
+
+def read_mesh_cone(spark: SparkSession, path: str, ra0: float, dec0: float, radius: float, level: int = LEVEL, cells: int = CELLS) -> DataFrame:
+    """Rows of a mesh store within a cone (degrees), with their distance: folders by coarse triangle, row groups by ranges of fine ones, then the distance."""
+    ranges = cone_ranges(math.radians(ra0), math.radians(dec0), math.radians(radius), level)
+    shift = 2 * (level - cells)
+    folders = sorted({c for lo, hi in ranges for c in range(lo >> shift, (hi >> shift) + 1)})
+    near = F.lit(False)
+    for lo, hi in ranges:
+        near = near | F.col("mesh_id").between(lo, hi)
+    d = spark.read.parquet(path).where(F.col("mesh_cell").isin(folders)).where(near)
+    dist = F.degrees(haversine(F.radians("ra"), F.radians("dec"), F.lit(math.radians(ra0)), F.lit(math.radians(dec0))))
+    return d.withColumn("dist", dist).where(F.col("dist") <= radius)
+
+
+def cells_of_cone(counts: DataFrame, ra0: float, dec0: float, radius: float, level: int) -> DataFrame:
+    """Of an index of triangles (mesh_id of a level, n) those that a cone (degrees) touches and that hold rows."""
+    ids = cover(np.radians([ra0]), np.radians([dec0]), np.radians([radius]), level)[1]
+    return counts.where(F.col("mesh_id").isin([int(i) for i in ids]) & (F.col("n") > 0))
+
+
+def cell_names(base: Column, mesh: Column, per_file: int = 100) -> tuple[Column, Column]:
+    """File and table name of a triangle in stores that put ``per_file`` numbers in a file."""
+    return F.format_string("%s_htm_%06d", base, F.floor(mesh / per_file) * per_file), F.format_string("htm_%06d", mesh)
+
+
+def join_level(radius: float, level: int, cells: int) -> int:
+    """Level whose triangles are at least about as wide as a radius (degrees), so that a cone touches a few of them."""
+    return max(cells, min(level, math.floor(math.log2(45.0 / max(radius, 1e-6)))))
+
+
+def match_store(spark: SparkSession, path: str, probes: DataFrame, radius: float, columns: Sequence[str] = ("id",), level: int = LEVEL, cells: int = CELLS) -> DataFrame:
+    """Rows of a mesh store within a radius (degrees) of probes (id, ra, dec): probe_id, the stored columns named, dist.
+
+    Every probe names the triangles that its cone touches, and meets the stored
+    rows there by an equi-join.  The folders that the probes touch (no more
+    than there are coarse triangles) are known first and nothing else is read.
+    """
+    k = join_level(radius, level, cells)
+
+    @F.pandas_udf("array<long>")
+    def touched(ra: pd.Series, dec: pd.Series) -> pd.Series:
+        which, ids = cover(np.radians(ra.to_numpy(float)), np.radians(dec.to_numpy(float)), np.full(len(ra), math.radians(radius)), k)
+        order = np.argsort(which, kind="stable")
+        return pd.Series(np.split(ids[order], np.searchsorted(which[order], np.arange(1, len(ra)))))
+
+    p = probes.where("ra is not null and dec is not null").select(F.col("id").alias("probe_id"), F.col("ra").alias("__pra"), F.col("dec").alias("__pdec"))
+    p = p.withColumn("__mesh", F.explode(touched("__pra", "__pdec")))
+    folders = [r[0] for r in p.select(F.shiftright("__mesh", 2 * (k - cells))).distinct().collect()]
+    stored = spark.read.parquet(path).where(F.col("mesh_cell").isin(folders)).withColumn("__at", F.shiftright("mesh_id", 2 * (level - k)))
+    dist = F.degrees(haversine(F.radians("__pra"), F.radians("__pdec"), F.radians("ra"), F.radians("dec")))
+    j = p.join(stored, F.col("__mesh") == F.col("__at")).withColumn("dist", dist).where(F.col("dist") <= radius)
+    return j.select("probe_id", *columns, "dist")

@@ -1,8 +1,12 @@
 import numpy as np
+import pytest
+from oracle import SF, compare
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skylattice.operators.spatial import cone
+from skylattice.operators.spatial import cone, zone_pairs
+from skylattice.queries import ORACLE, QUERIES
 from skylattice.sources import fits, mesh_store, text_tables
 from skylattice.streaming import events as stream
 
@@ -53,6 +57,51 @@ def test_mesh_ids_cover_the_sphere():
         assert n.max() < 6 * max(1, n.mean())
 
 
+def test_cover_loses_no_row_and_is_tight():
+    rng = np.random.default_rng(6)
+    for k in range(300):
+        lon, lat = rng.uniform(0, 2 * np.pi), np.arcsin(rng.uniform(-1, 1)) if k % 4 else rng.choice([-np.pi / 2, 0.0, np.pi / 2])
+        lon = lon if k % 3 else rng.choice([0.0, np.pi / 2, np.pi])
+        radius, level = float(10 ** rng.uniform(-5, 0.3)), int(rng.integers(0, 8))
+        # points within the cone, many of them near its edge
+        d, a = radius * np.sqrt(rng.uniform(0, 1, 200)) ** 0.2, rng.uniform(0, 2 * np.pi, 200)
+        y = np.arcsin(np.clip(np.sin(lat) * np.cos(d) + np.cos(lat) * np.sin(d) * np.cos(a), -1, 1))
+        x = lon + np.arctan2(np.sin(a) * np.sin(d) * np.cos(lat), np.cos(d) - np.sin(lat) * np.sin(y))
+        ids = mesh_store.mesh_ids(x % (2 * np.pi), y, level)
+        for most in (8, 64, 10**6):
+            ranges = mesh_store.cone_ranges(lon, lat, radius, level, most)
+            assert all(any(lo <= i <= hi for lo, hi in ranges) for i in ids) and len(ranges) <= max(most, 8)
+        which, cells = mesh_store.cover(np.array([lon, lon]), np.array([lat, -lat]), np.array([radius, radius]), level)
+        assert set(ids) <= set(cells[which == 0]) == {i for lo, hi in ranges for i in range(lo, hi + 1)}
+    # a cone much smaller than a triangle touches few of them
+    which, cells = mesh_store.cover(rng.uniform(0, 6.28, 500), np.arcsin(rng.uniform(-1, 1, 500)), np.full(500, 1e-4), 5)
+    assert len(cells) < 1.2 * 500
+
+
+def test_mesh_store_reads_what_it_needs(spark, tmp_path):
+    d = spark.range(20000).select("id", (F.rand(3) * 360).alias("ra"), F.degrees(F.asin(F.rand(4) * 2 - 1)).alias("dec"))
+    d = d.union(spark.createDataFrame([(-1, None, 3.0), (-2, 0.0, 90.0), (-3, 90.0, 0.0), (-4, 180.0, -90.0)], d.schema)).union(spark.range(30).select(F.col("id") + 50000, F.lit(12.5), F.lit(-3.25)))
+    path = str(tmp_path / "m")
+    mesh_store.write_mesh(d, path, cells=2)
+    stored = spark.read.parquet(path)
+    assert stored.count() == 20034
+    for ra, dec, r in ((120.0, 10.0, 7.0), (0.0, 90.0, 3.0), (359.9, -2.0, 1.0), (12.5, -3.25, 0.01), (45.0, 45.0, 0.0), (10.0, 0.0, 170.0)):
+        got = mesh_store.read_mesh_cone(spark, path, ra, dec, r, cells=2)
+        # the latitude band of cone() is right for all radii
+        assert {x.id for x in got.collect()} == {x.id for x in cone(d, ra, dec, r).collect()}
+    small = mesh_store.read_mesh_cone(spark, path, 120.0, 10.0, 2.0, cells=2)
+    plan = small._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [mesh_cell" in plan and "GreaterThanOrEqual(mesh_id" in plan and len(small.inputFiles()) < 0.1 * len(stored.inputFiles())
+    probes = d.where("id % 997 = 0 or id < 0 or id > 50000").unionByName(d.where("id = 997"))
+    got = mesh_store.match_store(spark, path, probes, 1.5, cells=2)
+    want = zone_pairs(probes, d, 1.5)
+    key = lambda x, b: sorted((r.probe_id, r[b], round(r.dist, 9)) for r in x.collect())
+    assert key(got, "id") == key(want, "cat_id") and len(key(got, "id")) > 900
+    few = mesh_store.match_store(spark, path, probes.where("id = 997").limit(1), 0.5, cells=2)
+    assert len(few.inputFiles()) < 0.1 * len(stored.inputFiles())
+    assert mesh_store.match_store(spark, path, probes.limit(0), 0.5, cells=2).count() == 0
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rows = [(i, f"2024-01-01 00:{i % 60:02d}:00", ("a", "b")[i % 2], float(i)) for i in range(200)] + [(999, "2024-01-03 00:00:00", "a", 0.0)]
     d = spark.createDataFrame(rows, "event_id long, ts string, event_type string, value double").withColumn("ts", F.to_timestamp("ts"))
@@ -73,10 +122,60 @@ def test_whole_stream_equals_unfiltered_batch(spark, tmp_path):
         d.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     d = spark.read.schema(schema).parquet(str(tmp_path / "in"))
     key = lambda x: sorted((str(r.window.start), str(r.window.end), r.event_type, r.n) for r in x.collect())
-    for k, f in enumerate((lambda x: stream.tumbling(x, "10 minutes", None, "event_type"), lambda x: stream.sessions(x, "5 minutes", None, "event_type"))):
-        files = stream.folder_stream(spark, str(tmp_path / "in"), d.schema, files_at_a_time=1)
-        out = stream.run_whole(f(files), str(tmp_path / f"out{k}"), str(tmp_path / f"ck{k}"))
+    files = lambda: stream.folder_stream(spark, str(tmp_path / "in"), d.schema, files_at_a_time=1)
+    paths = lambda k: (str(tmp_path / f"out{k}"), str(tmp_path / f"ck{k}"))
+    for k, f in enumerate((lambda x: stream.tumbling(x, "10 minutes", None, "event_type"), lambda x: stream.sliding(x, "10 minutes", "5 minutes", None, "event_type"))):
+        out = stream.run_latest(f(files()), ["window", "event_type"], *paths(k))
         assert key(out) == key(f(d)) and out.count() > 0
+    out = stream.run_sessions(files(), "5 minutes", "event_type", *paths("s"))
+    assert key(out) == key(stream.sessions(d, "5 minutes", None, "event_type")) and out.count() > 0
+
+
+@pytest.fixture(scope="module")
+def split_tables(spark, tmp_path_factory):
+    """The tables with events as one file and as six part files that are out of order of time."""
+    one, many = tmp_path_factory.mktemp("one"), tmp_path_factory.mktemp("many")
+    e = spark.read.parquet(f"{SF}/events.parquet")
+    (one / "events.parquet").symlink_to(f"{SF}/events.parquet")
+    for k, share in enumerate((5, 2, 0, 4, 1, 3)):
+        rows = e.withColumn("place", F.percent_rank().over(Window.orderBy("ts"))).where(F.floor(F.col("place") * 5.999) == share).drop("place")
+        rows.unionByName(rows.limit(3) if k % 2 else rows.limit(0)).coalesce(1).write.mode("append").parquet(str(many / "events.parquet"))
+    return str(one), str(many)
+
+
+@pytest.mark.parametrize("name", ["stream_tumbling", "stream_sliding", "stream_sessions", "stream_dedup", "stream_visits"])
+def test_streams_over_part_files_out_of_order(spark, split_tables, name):
+    one, many = split_tables
+    f, sql = QUERIES[name], ORACLE[name]
+    compare(spark, f, sql, one, ["events"])
+    compare(spark, lambda s, d: f(s, d, files_at_a_time=1), sql, many, ["events"])
+
+
+def test_visits_go_on_from_the_checkpoint(spark, tmp_path):
+    rows = lambda ids, day: spark.createDataFrame([(i, f"2024-01-{day:02d} 00:00:00") for i in ids], "user_id long, ts string").withColumn("ts", F.to_timestamp("ts")).coalesce(1)
+    schema = rows([1], 1).schema
+    for n, (ids, day) in enumerate((([1, 1, 2], 5), ([2, 3, None], 2), ([1, 4], 9))):
+        rows(ids, day).write.mode("append").parquet(str(tmp_path / "in"))
+        s = stream.folder_stream(spark, str(tmp_path / "in"), schema)  # started anew after every file
+        out = {r.key: (r.n, r["first"].day, r["last"].day) for r in stream.run_visits(s, "user_id", str(tmp_path / "out"), str(tmp_path / "ck")).collect()}
+        assert len(out) == (2, 3, 4)[n]
+    assert out == {1: (3, 5, 9), 2: (2, 2, 5), 3: (1, 2, 2), 4: (1, 9, 9)}
+
+
+def test_idle_visits_end_by_timer(spark, tmp_path):
+    at = lambda ids, ts: spark.createDataFrame([(i, ts) for i in ids], "user_id long, ts string").withColumn("ts", F.to_timestamp("ts")).coalesce(1)
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    seen = []
+    try:
+        for ids, ts in (([1, 2], "2024-01-01 00:00:00"), ([2], "2024-01-01 03:00:00"), ([2], "2024-01-01 03:10:00"), ([1], "2024-01-01 03:20:00")):
+            at(ids, ts).write.mode("append").parquet(str(tmp_path / "in"))
+            s = stream.visits(stream.folder_stream(spark, str(tmp_path / "in"), at([1], ts).schema), "user_id", ("0 seconds", 3_600_000))
+            stream.ingest(s, lambda b, _: seen.extend((r.key, r.n, r.ended) for r in b.collect()), str(tmp_path / "ck"), "update")
+    finally:
+        spark.conf.set(name, before)
+    assert (1, 1, True) in seen and seen.count((1, 1, False)) == 2 and (2, 3, False) in seen
 
 
 def test_ingest_processes_each_file_once(spark, tmp_path):
