@@ -1,13 +1,19 @@
 """Line dedup: a suffix array over line sequences, built by distributed prefix doubling.
 
 Lines that occur once cannot be in a repeated run, so only stretches of
-repeated lines with MIN_WORDS words or more take part.  Level k ranks the
+repeated lines with MIN_WORDS words or more take part.  Level k ranks all
 suffixes of these stretches by their first 2^k lines: the ranks of level k-1 at
-a place and 2^(k-1) lines on are sorted over all machines.  Two ranks that
-overlap name the suffixes that share a prefix of any length (an interval of
-common prefixes of the suffix array).  Every run of MIN_WORDS words that lies
-in a maximal repeat is named so, at each of its starts and ends; all but the
-first of an interval are later copies, and their lines are deleted.
+a place and 2^(k-1) lines on are sorted over all machines.  Levels are added
+until no rank splits any more, and the ranks are the order of the suffix array.
+
+The array lies in range partitions.  Each suffix is compared with the one
+before it (that of the partition before, for a first one), which gives the
+longest common prefix; where that is shorter than the lines that make MIN_WORDS
+words, an interval begins.  The suffixes of an interval share a run of at least
+MIN_WORDS words; those that share further lines, up to where the next suffix
+takes over, are its sub-intervals.  All but the first place of an interval are
+later copies, and their lines are deleted: together these runs are the maximal
+repeats.
 
 Defined results: lines are compared without the white space around them; lines
 without a word neither match nor interrupt a run; null and empty texts stay as
@@ -18,10 +24,8 @@ result; a document all of whose lines are later copies keeps an empty text.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skylattice.llm.arrow import map_batches
@@ -52,23 +56,16 @@ def line_rows(docs: DataFrame) -> DataFrame:
     return store(map_batches(d, make, "doc_id long, kid long, p int, li int, h long, nw int"), "lines")
 
 
-def ranked(rows: DataFrame, key: str) -> DataFrame:
-    """Stored: each value of ``key`` that several rows have, with a rank in the order of the values and its count.
+def ranked(rows: DataFrame, key: str, salt: Column) -> tuple[DataFrame, int]:
+    """Stored: rows with the place of their key among the sorted distinct keys (``rank``; key dropped), and how many keys there are.
 
     Range partitions are sorted one by one; the ids Spark then counts up
     follow that order over all of them.
     """
-    keys = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
-    keys = store(keys, "suffix-keys")
-    return store(keys.repartitionByRange(key).sortWithinPartitions(key).select(key, "n", F.monotonically_increasing_id().alias("rank")), "suffix-ranks")
-
-
-def attach_ranks(rows: DataFrame, key: str, level: int, salt) -> tuple[DataFrame, int]:
-    """rows with column r{level} (null where the key occurs once), and how many keys were ranked."""
-    ranks = ranked(rows, key)
+    keys = store(rows.groupBy(key).agg(F.count("*").alias("n")), "suffix-keys")
+    ranks = store(keys.repartitionByRange(key).sortWithinPartitions(key).select(key, "n", F.monotonically_increasing_id().alias("rank")), "suffix-ranks")
     size = ranks.agg(F.count("*").alias("k"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-    out = rows_and_attach(rows, ranks, key, "n", size["k"], size["n"], 64, salt)
-    return store(out.drop(key).withColumnRenamed("rank", f"r{level}"), "suffixes"), size["k"]
+    return store(rows_and_attach(rows, ranks, key, "n", size["k"], size["n"], 64, salt).drop(key), "suffixes"), size["k"]
 
 
 def stretches(lines: DataFrame, min_words: int) -> DataFrame:
@@ -83,68 +80,105 @@ def stretches(lines: DataFrame, min_words: int) -> DataFrame:
     return d.where(F.col("words") >= min_words).drop("words")
 
 
-def minimal_runs(nw: list[int], min_words: int) -> set[tuple[int, int]]:
-    """(start, lines) of the shortest runs of min_words words, from every start and to every end."""
-    runs, end, total = set(), 0, 0
+def suffix_ranks(rows: DataFrame) -> DataFrame:
+    """Stored: rows (doc_id, kid, island, p, h, ..) with ``line`` (the rank of the line) and ``rank`` (that of the suffix from it on); h dropped."""
+    salt = F.xxhash64("doc_id", "kid", "p")
+    rows, classes = ranked(rows, "h", salt)
+    rows, ahead, before = rows.withColumn("line", F.col("rank")), 1, 0
+    along = Window.partitionBy("doc_id", "kid", "island").orderBy("p")
+    while classes > before:
+        # behind the end of a stretch comes what is less than any line
+        pair = F.struct(F.col("rank").alias("a"), F.coalesce(F.lead("rank", ahead).over(along), F.lit(-1).cast("bigint")).alias("b"))
+        before = classes
+        rows, classes = ranked(rows.withColumn("key", pair).drop("rank"), "key", F.struct(salt.alias("a"), F.xxhash64("p", "kid", "doc_id").alias("b")))
+        ahead *= 2
+    return rows
+
+
+def prefix_sizes(nw: list[int], min_words: int) -> list[tuple[int, int]]:
+    """For every start the least lines that hold min_words words, and the most that the next start does not cover.
+
+    Starts too near to the end for min_words words are left out.
+    """
+    out, least, most, total, behind = [], 0, 0, 0, 0
     for start in range(len(nw)):
-        while end < len(nw) and total < min_words:
-            total += nw[end]
-            end += 1
+        while least < len(nw) and total < min_words:
+            total += nw[least]
+            least += 1
         if total < min_words:
             break
-        runs.add((start, end - start))
+        if most <= start:
+            most, behind = start + 1, 0
+        while most < len(nw) and behind + nw[most] < min_words:
+            behind += nw[most]
+            most += 1
+        out.append((least - start, max(least, most) - start))
         total -= nw[start]
-    start, total = len(nw), 0
-    for end in range(len(nw), 0, -1):
-        while start > 0 and total < min_words:
-            start -= 1
-            total += nw[start]
-        if total < min_words:
-            break
-        runs.add((start, end - start))
-        total -= nw[end - 1]
-    return runs
+        behind -= nw[start + 1] if most > start + 1 else 0
+    return out
 
 
-def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, kid and cuts [{from, to}] (line numbers, both deleted) of the documents that hold later copies."""
-    salt = F.xxhash64("doc_id", "kid", "p")
-    rows, ranked_keys = attach_ranks(stretches(line_rows(docs), min_words), "h", 0, salt)
-    levels, along = 1, Window.partitionBy("doc_id", "kid", "island").orderBy("p")
-    while ranked_keys and 2**levels <= min_words:
-        ahead = F.lead(f"r{levels - 1}", 2 ** (levels - 1)).over(along)
-        both = F.col(f"r{levels - 1}").isNotNull() & F.col("ahead").isNotNull()
-        pair = F.when(both, F.struct(F.col(f"r{levels - 1}").alias("a"), F.col("ahead").alias("b")))
-        rows = rows.withColumn("ahead", ahead).withColumn("key", pair).drop("ahead")
-        pair_salt = F.struct(salt.alias("a"), F.xxhash64("p", "kid", "doc_id").alias("b"))
-        rows, ranked_keys = attach_ranks(rows, "key", levels, pair_salt)
-        levels += 1
-    ranks = F.array(*[F.col(f"r{k}") for k in range(levels)])
-    whole = rows.groupBy("doc_id", "kid", "island").agg(F.array_sort(F.collect_list(F.struct("p", "li", "nw", ranks.alias("r")))).alias("s"))
+def suffixes(rows: DataFrame, min_words: int) -> DataFrame:
+    """Every suffix of min_words words or more: doc_id, kid, p, rank, least, lines and ends (line numbers) of the lines that it may need."""
+    whole = rows.groupBy("doc_id", "kid", "island").agg(F.array_sort(F.collect_list(F.struct("p", "li", "nw", "line", "rank"))).alias("s"))
 
     def make():
         def fn(c: dict[str, list]) -> dict[str, list]:
-            out: dict[str, list] = {k: [] for k in ("doc_id", "kid", "p", "from", "to", "size", "a", "b")}
+            out: dict[str, list] = {k: [] for k in ("doc_id", "kid", "p", "rank", "least", "lines", "ends")}
             for doc_id, kid, s in zip(c["doc_id"], c["kid"], c["s"], strict=True):
-                for start, size in minimal_runs([x["nw"] for x in s], min_words):
-                    k = size.bit_length() - 1
-                    if k >= levels:
-                        continue
-                    a, b = s[start]["r"][k], s[start + size - 2**k]["r"][k]
-                    if a is not None and b is not None:
-                        for name, v in zip(out, (doc_id, kid, s[start]["p"], s[start]["li"], s[start + size - 1]["li"], size, a, b), strict=True):
-                            out[name].append(v)
+                for start, (least, most) in enumerate(prefix_sizes([x["nw"] for x in s], min_words)):
+                    own = s[start : start + most]
+                    for k, v in zip(out, (doc_id, kid, own[0]["p"], own[0]["rank"], least, [x["line"] for x in own], [x["li"] for x in own]), strict=True):
+                        out[k].append(v)
             return out
 
         return fn
 
-    runs = map_batches(whole.select("doc_id", "kid", "s"), make, "doc_id long, kid long, p int, from int, to int, size int, a long, b long")
-    runs = store(runs.withColumn("name", F.struct("size", "a", "b")).drop("size", "a", "b"), "runs")
+    return map_batches(whole.select("doc_id", "kid", "s"), make, "doc_id long, kid long, p int, rank long, least int, lines array<long>, ends array<int>")
+
+
+def suffix_array(found: DataFrame) -> DataFrame:
+    """Stored: suffixes with their place in the array (``pos``), the common prefix with the one before (``lcp``, in lines) and whether an interval begins."""
+    order = ["rank", "doc_id", "kid", "p"]
+    d = store(found.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "suffix-array")
+    # a row for each partition of the sort
+    ends = d.groupBy("part").agg(F.max_by("lines", F.struct(*order)).alias("end"))
+    ends = ends.select("part", F.lag("end").over(Window.orderBy("part")).alias("end"))
+    w = Window.partitionBy("part").orderBy(*order)
+    d = d.withColumn("pos", F.shiftleft(F.col("part").cast("bigint"), 33) + F.row_number().over(w)).withColumn("before", F.lag("lines").over(w))
+    d = d.join(F.broadcast(ends), "part").withColumn("before", F.coalesce("before", "end")).drop("end")
+    differ = F.array_position(F.zip_with("lines", "before", lambda a, b: a.eqNullSafe(b)), False)
+    d = d.withColumn("lcp", F.when(F.col("before").isNull(), 0).when(differ == 0, F.size("lines")).otherwise(differ - 1).cast("int"))
+    return store(d.withColumn("begins", F.col("lcp") < F.col("least")).drop("before"), "common-prefixes")
+
+
+def intervals(array: DataFrame) -> DataFrame:
+    """Suffixes with the place where their interval begins (``interval``)."""
+    w = Window.partitionBy("part").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    last = array.groupBy("part").agg(F.max(F.when(F.col("begins"), F.col("pos"))).alias("last"))
+    last = last.select("part", F.max("last").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("last"))
+    own = F.max(F.when(F.col("begins"), F.col("pos"))).over(w)
+    return array.withColumn("own", own).join(F.broadcast(last), "part").withColumn("interval", F.coalesce("own", "last")).drop("own", "last")
+
+
+def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id, kid and cuts [{from, to}] (line numbers, both deleted) of the documents that hold later copies."""
+    found = suffixes(suffix_ranks(stretches(line_rows(docs), min_words)), min_words)
+    d = intervals(suffix_array(found))
+    # a suffix alone in its interval shares nothing
+    several = store(d.groupBy("interval").agg(F.count("*").alias("n")).where("n > 1"), "shared-intervals")
+    size = several.agg(F.count("*").alias("k"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    d = rows_and_attach(d, several.withColumn("shared", F.lit(True)), "interval", "n", size["k"], size["n"], 32, F.xxhash64("pos")).where("shared")
+    d = d.withColumn("size", F.explode(F.sequence("least", F.size("lines"))))
+    more = F.slice("lines", F.col("least") + 1, F.col("size") - F.col("least"))
+    runs = d.select("doc_id", "kid", "p", F.col("ends")[0].alias("from"), F.col("ends")[F.col("size") - 1].alias("to"), F.struct("interval", "size", more.alias("more")).alias("name"))
+    runs = store(runs, "runs")
     place = F.struct("doc_id", "kid", "p")
     first = store(runs.groupBy("name").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1"), "intervals")
     size = first.agg(F.count("*").alias("k"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-    salt = F.struct(F.lit(0).alias("size"), F.xxhash64("doc_id", "kid", "p").alias("a"), F.xxhash64("p", "kid").alias("b"))
-    copies = rows_and_attach(runs, first, "name", "n", size["k"], size["n"], 96, salt).where(F.col("first").isNotNull() & ~place.eqNullSafe(F.col("first")))
+    salt = F.struct(F.lit(-1).cast("bigint").alias("interval"), F.lit(0).alias("size"), F.array(F.xxhash64("doc_id", "kid", "p"), F.xxhash64("p", "kid")).alias("more"))
+    # of the lines that name a sub-interval there are MIN_WORDS at most
+    copies = rows_and_attach(runs, first, "name", "n", size["k"], size["n"], 96 + 8 * min_words, salt).where(F.col("first").isNotNull() & ~place.eqNullSafe(F.col("first")))
     return store(copies.groupBy("doc_id", "kid").agg(F.array_sort(F.collect_set(F.struct("from", "to"))).alias("cuts")), "cuts")
 
 
