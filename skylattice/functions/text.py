@@ -58,6 +58,16 @@ def camel(name: str) -> str:
     return "".join(p.capitalize() for p in name.split("_"))
 
 
+def snake_column(name: Column) -> Column:
+    """camelCase to snake_case, for a column of names."""
+    return F.lower(F.regexp_replace(F.regexp_replace(name, "(?<=.)([A-Z])", "_$1"), "__", "_"))
+
+
+def camel_column(name: Column) -> Column:
+    """snake_case to CamelCase, for a column of names."""
+    return F.array_join(F.transform(F.split(name, "_"), lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.lower(F.substr(x, F.lit(2))))), "")
+
+
 def lines(s: Column) -> Column:
     return F.split(s, r"\r?\n")
 

@@ -119,10 +119,10 @@ def mask_bits(mask: DataFrame, sources: DataFrame, half: int) -> DataFrame:
 def filter_snr(pixels: DataFrame, template: list[list[float]]) -> DataFrame:
     """Correlation of images (img, r, c, v) with a symmetric template over its noise, at the pixels they have; background and noise are robust and of the whole image."""
     s = pixels.groupBy("img").agg(F.median("v").alias("__m"), rstd("v").alias("__s"))
-    d = pixels.join(F.broadcast(s), "img").select("img", "r", "c", (F.col("v") - F.col("__m")).alias("v"))
+    d = pixels.join(s, "img").select("img", "r", "c", (F.col("v") - F.col("__m")).alias("v"))
     noise = sum(x * x for row in template for x in row) ** 0.5
     f = convolved(d, template).join(pixels.select("img", F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c")), ["img", "r", "c"], "left_semi")
-    return f.join(F.broadcast(s), "img").select("img", "r", "c", F.try_divide(F.col("v"), F.col("__s") * noise).alias("sn"))
+    return f.join(s, "img").select("img", "r", "c", F.try_divide(F.col("v"), F.col("__s") * noise).alias("sn"))
 
 
 def propagate_unary(op: str, a: Column, var: Column) -> tuple[Column, Column]:

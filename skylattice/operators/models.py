@@ -24,18 +24,6 @@ from skylattice.operators.groups import spread_join
 PRIME = 2147483647
 
 
-def per_series(df: DataFrame, by: str, columns: Sequence[str], fn: Callable[[pd.DataFrame], dict[str, np.ndarray]], schema: str) -> DataFrame:
-    """Apply a numpy function to each series; the key is kept, rows with missing values are left out."""
-    kind = df.schema[by].dataType.simpleString()
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame(fn(g.sort_values(list(columns))))
-        out.insert(0, by, g[by].iloc[0])
-        return out
-
-    return df.select(by, *columns).dropna(subset=list(columns)).groupBy(by).applyInPandas(run, f"{by} {kind}, {schema}")
-
-
 def solved(sums: DataFrame, by: str, fn: Callable[[dict], list[dict]], schema: str) -> DataFrame:
     """Rows that a numpy function makes of each row of sums (key ``__key``); the key is named ``by``."""
     kind = sums.schema["__key"].dataType.simpleString()
@@ -113,18 +101,6 @@ def harmonics(df: DataFrame, by: str, t: str, v: str, freq: float, n: int = 2) -
     return solved(d.join(mean, "__key").groupBy("__key").agg(*sums), by, fn, "amplitude array<double>, resid_std double")
 
 
-def fft_power(df: DataFrame, by: str, t: str, v: str) -> DataFrame:
-    """Power spectrum of an evenly spaced series."""
-
-    def fn(g):
-        x, y = g[t].to_numpy(), g[v].to_numpy()
-        step = (x[-1] - x[0]) / max(1, len(x) - 1) or 1.0
-        f = np.fft.rfft(y - y.mean())
-        return {"freq": np.fft.rfftfreq(len(y), step), "power": (np.abs(f) ** 2) / len(y)}
-
-    return per_series(df, by, [t, v], fn, "freq double, power double")
-
-
 def lag_correlation(df: DataFrame, by: str, t: str, v1: str, v2: str, max_lag: int) -> DataFrame:
     """Correlation of two evenly spaced columns of a series at every lag up to max_lag; 0 where one of them is constant."""
     d = df.select(F.col(by).alias("__key"), F.col(t).alias("t"), F.col(v1).cast("double").alias("a"), F.col(v2).cast("double").alias("b")).dropna()

@@ -44,7 +44,30 @@ def conjunctions(a: DataFrame, b: DataFrame, min_sep: float) -> DataFrame:
 def match_tagged(objects: DataFrame, catalog: DataFrame, radius: float) -> DataFrame:
     """Rows of a catalog (id, ra, dec, t) where an object (id, ra, dec, pm_ra, pm_dec) was at their times.
 
-    Objects are predicted for the times that the catalog has, and meet rows of
-    the same time through sky cells.
+    A track is cut into spans of time in which the object moves a radius at
+    most; each span meets the rows of its time in the sky cells around its
+    middle, and the position at the time of a row decides.  Objects are put in
+    classes of speed, a factor of two each, so that slow ones have few spans;
+    their number grows with the length of the tracks, not with the rows.
     """
-    return zone_pairs(predicted(objects, catalog.select("t").distinct()), catalog, radius, also=["t"]).select(F.col("probe_id").alias("obj_id"), "cat_id", "dist")
+    span = catalog.agg(F.min("t").alias("t0"), F.max("t").alias("t1")).first()
+    if span.t0 is None:
+        return catalog.limit(0).select(F.col("id").alias("obj_id"), F.col("id").alias("cat_id"), F.lit(0.0).alias("dist"))
+    speed = F.hypot(F.col("pm_ra") / F.cos(F.radians("dec")), F.col("pm_dec"))
+    # a span so long that none of its objects leaves it needs no longer one
+    o = objects.where(speed.isNotNull()).withColumn("__class", F.greatest(F.lit(-30), F.ceil(F.log2(F.greatest(speed / radius, F.lit(1e-12)))).cast("int")))
+    classes = [r[0] for r in o.select("__class").distinct().collect()]  # one for each power of two
+    length = lambda c: F.pow(F.lit(2.0), -c)
+    bucket = lambda t, c: F.floor(t / length(c)).cast("long")
+    o = o.withColumn("__bucket", F.explode(F.sequence(bucket(F.lit(float(span.t0)), F.col("__class")), bucket(F.lit(float(span.t1)), F.col("__class")))))
+    mid = (F.col("__bucket") + 0.5) * length(F.col("__class"))
+    ra = lambda o, t: F.pmod(o["ra"] + o["pm_ra"] * t / F.cos(F.radians(o["dec"])), F.lit(360.0))
+    dec = lambda o, t: o["dec"] + o["pm_dec"] * t
+    track = F.struct("id", "ra", "dec", "pm_ra", "pm_dec")
+    p = o.select("__class", "__bucket", track.alias("id"), ra(track, mid).alias("ra"), dec(track, mid).alias("dec"))
+    c = catalog.where("t is not null").withColumn("__class", F.explode(F.array(*[F.lit(x) for x in classes]).cast("array<int>")))
+    c = c.select("__class", bucket(F.col("t"), F.col("__class")).alias("__bucket"), F.struct("id", "ra", "dec", "t").alias("id"), "ra", "dec")
+    near = zone_pairs(p, c, 1.6 * radius, also=["__class", "__bucket"])
+    a, b = F.col("probe_id"), F.col("cat_id")
+    dist = F.degrees(haversine(F.radians(ra(a, b["t"])), F.radians(dec(a, b["t"])), F.radians(b["ra"]), F.radians(b["dec"])))
+    return near.select(a["id"].alias("obj_id"), b["id"].alias("cat_id"), dist.alias("dist")).where(F.col("dist") <= radius)

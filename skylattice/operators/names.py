@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -59,6 +59,30 @@ def compared(df: DataFrame, reference: Sequence[str]) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "pos long, name string, reference string, same boolean")
 
 
+def synonym_table(spark: SparkSession, table: Mapping[str, Sequence[str]] = SYNONYMS) -> DataFrame:
+    """The dictionary as rows (alias, key)."""
+    return spark.createDataFrame([(a, k) for k, names in table.items() for a in names], "alias string, key string")
+
+
+def with_canonical(df: DataFrame, alias: str, key: str, table: Mapping[str, Sequence[str]] = SYNONYMS) -> DataFrame:
+    """Rows with the canonical key of the name that they carry, null for an unknown one; the dictionary is small and sent out."""
+    t = synonym_table(df.sparkSession, table).select(F.col("alias").alias("__alias"), F.col("key").alias(key))
+    return df.join(F.broadcast(t), F.col(alias) == F.col("__alias"), "left").drop("__alias")
+
+
+def coordinate_types(columns: DataFrame, by: str, name: str) -> DataFrame:
+    """Coordinate kind of many tables given as rows (table, column name): (by, kind), by the rule of coordinate_type."""
+    k = with_canonical(columns.select(by, name), name, "__key")
+    has = {c: F.coalesce(F.bool_or(F.col("__key") == c), F.lit(False)) for c in ("RA", "Dec", "X", "Y")}
+    return k.groupBy(by).agg(F.when(has["RA"] & has["Dec"], "sphere").when(has["X"] & has["Y"], "pix").alias("kind"))
+
+
+def filled(df: DataFrame) -> DataFrame:
+    """(name, pos, n): position and number of non-null values of every column, in one pass."""
+    counts = [F.struct(F.lit(c).alias("name"), F.lit(i + 1).cast("long").alias("pos"), F.count(F.col(f"`{c}`")).alias("n")) for i, c in enumerate(df.columns)]
+    return df.agg(F.array(*counts).alias("c")).select(F.inline("c"))
+
+
 def default_names(n: int) -> list[str]:
     return [f"Var{i}" for i in range(1, n + 1)]
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skylattice.operators.groups import ranked
+from skylattice.operators.resampling import normal_draw
 
 #: Rows of a range of hashes that one task numbers.
 PER_RANGE = 1 << 16
@@ -54,10 +55,11 @@ def correlation_significance(df: DataFrame, key: str, x: str, y: str, n_sim: int
     return sims.join(F.broadcast(true)).groupBy("corr", "n").agg(F.avg((F.abs("r") >= F.abs("corr")).cast("double")).alias("prob"))
 
 
-def error_ensemble(df: DataFrame, key: str, value: str, err: str, fn, n_sim: int, seed: int = 1) -> DataFrame:
-    """Mean and deviation of a function of the value when it is drawn from its error."""
+def error_ensemble(df: DataFrame, key: str, value: str, err: str, fn, n_sim: int) -> DataFrame:
+    """Mean and deviation of a function of the value when it is drawn n_sim times from its error; ``key`` is an integer id of a row."""
     d = df.select(key, value, err).withColumn("sim", F.explode(F.sequence(F.lit(1), F.lit(n_sim))))
-    return d.groupBy(key).agg(F.avg(fn(F.col(value) + F.col(err) * normal(seed, key, "sim"))).alias("mean"), F.stddev_samp(fn(F.col(value) + F.col(err) * normal(seed, key, "sim"))).alias("std"))
+    d = d.select(key, fn(F.col(value) + F.col(err) * normal_draw(F.col(key).cast("bigint"), F.col("sim"))).alias("__v"))
+    return d.groupBy(key).agg(F.avg("__v").alias("mean"), F.stddev_samp("__v").alias("std"))
 
 
 def weighted_sigma_clip(df: DataFrame, value: str, var: str, by: Sequence[str], sigma: float = 5.0, max_iter: int = 2) -> DataFrame:

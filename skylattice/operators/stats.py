@@ -150,15 +150,11 @@ def jackknife_mean(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.avg(value).alias("mean"), (F.stddev_samp(value) / F.sqrt(F.count(value))).alias("jack_std"))
 
 
-def bootstrap_mean(df: DataFrame, key: str, value: str, by: Sequence[str], n_sim: int, seed: int = 1) -> DataFrame:
-    """Deviation of the means of n_sim Poisson resamples; weights come from a hash, so a rerun draws the same ones."""
-    u = (F.pmod(F.xxhash64(key, "sim", F.lit(seed)), F.lit(1 << 30)) + 0.5) / (1 << 30)
-    weight, mass, total = F.lit(0), 0.36787944117144233, 0.0
-    for k in range(1, 9):
-        total += mass
-        weight = F.when(u > total, F.lit(k)).otherwise(weight)
-        mass /= k
-    d = df.select(key, *by, value).withColumn("sim", F.explode(F.sequence(F.lit(1), F.lit(n_sim)))).withColumn("w", weight)
+def bootstrap_mean(df: DataFrame, key: str, value: str, by: Sequence[str], n_sim: int) -> DataFrame:
+    """Deviation of the means of n_sim Poisson resamples; weights come from an integer key, so a rerun draws the same ones."""
+    from skylattice.operators.resampling import poisson_weight
+
+    d = df.select(F.col(key).cast("bigint").alias("__key"), *by, value).withColumn("sim", F.explode(F.sequence(F.lit(1), F.lit(n_sim)))).withColumn("w", poisson_weight(F.col("__key"), F.col("sim")))
     m = d.groupBy(*by, "sim").agg(F.try_divide(F.sum(F.col(value) * F.col("w")), F.sum("w")).alias("m"))
     return m.groupBy(*by).agg(F.avg("m").alias("boot_mean"), F.stddev_samp("m").alias("boot_std"))
 

@@ -50,14 +50,19 @@ def periodogram(df: DataFrame, t: str, value: str, by: Sequence[str], freqs: Seq
 
 
 def scargle(df: DataFrame, t: str, value: str, by: Sequence[str], freqs: Sequence[float]) -> DataFrame:
-    """Lomb-Scargle power: the time offset of each frequency first, the projections then."""
-    d = with_frequencies(centred(df, value, by), freqs)
-    w = 2 * math.pi * F.col("freq")
-    tau = d.groupBy(*by, "freq").agg((F.atan2(F.sum(F.sin(2 * w * F.col(t))), F.sum(F.cos(2 * w * F.col(t)))) / (2 * w)).alias("tau"))
-    j = d.join(tau, [*by, "freq"])
-    c, s = F.cos(w * (F.col(t) - F.col("tau"))), F.sin(w * (F.col(t) - F.col("tau")))
-    a = j.groupBy(*by, "freq").agg(F.coalesce(F.try_divide(F.pow(F.sum(F.col("m") * c), F.lit(2)), F.sum(c * c)), F.lit(0.0)).alias("pc"), F.coalesce(F.try_divide(F.pow(F.sum(F.col("m") * s), F.lit(2)), F.sum(s * s)), F.lit(0.0)).alias("ps"), F.first("var").alias("var"))
-    return a.select(*by, "freq", F.try_divide(0.5 * (F.col("pc") + F.col("ps")), F.col("var")).alias("power"))
+    """Lomb-Scargle power in one pass: the sums about the time offset of a frequency follow from those about the first time."""
+    first = df.groupBy(*by).agg(F.min(t).alias("__t0"))
+    d = with_frequencies(centred(df, value, by).join(first, list(by)), freqs)
+    a = 2 * math.pi * F.col("freq") * (F.col(t) - F.col("__t0"))
+    sums = {"mc": F.col("m") * F.cos(a), "ms": F.col("m") * F.sin(a), "c2": F.cos(2 * a), "s2": F.sin(2 * a)}
+    s = d.groupBy(*by, "freq").agg(*[F.sum(x).alias(k) for k, x in sums.items()], F.count(t).alias("k"), F.first("var").alias("var"))
+    turn = F.atan2("s2", "c2") / 2
+    c, w = F.cos(turn), F.sin(turn)
+    half = F.hypot(F.col("c2"), F.col("s2")) / 2
+    # of an angle that is the same at all times, what is left of the sum of squared sines is rounding
+    part = lambda p, q: F.when(q > 1e-9 * F.col("k"), p * p / q).otherwise(0.0)
+    power = part(F.col("mc") * c + F.col("ms") * w, F.col("k") / 2 + half) + part(F.col("ms") * c - F.col("mc") * w, F.col("k") / 2 - half)
+    return s.select(*by, "freq", F.try_divide(0.5 * power, F.col("var")).alias("power"))
 
 
 def pdm(df: DataFrame, t: str, value: str, by: Sequence[str], freqs: Sequence[float], n_bin: int) -> DataFrame:

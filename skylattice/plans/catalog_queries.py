@@ -9,6 +9,7 @@ from skylattice.functions import sphere
 from skylattice.operators import catalogs as ca
 from skylattice.operators import imaging as im
 from skylattice.operators import models as mo
+from skylattice.operators import transforms as tf
 from skylattice.operators import spatial as sp
 from skylattice.plans.common import LC_SQL, day, light_curve, rounded
 from skylattice.plans.series_queries import MAG, _mags
@@ -253,9 +254,10 @@ def harmonic_fit(spark, d):
     return mo.harmonics(light_curve(spark, d), "source", "t", "flux", 0.05)
 
 
-@R.query("fft_power")
+@R.query("fft_power", LC + ", n AS (SELECT source, flux - avg(flux) OVER s AS y, row_number() OVER (PARTITION BY source ORDER BY t, flux) - 1 AS i, count(*) OVER s AS n, coalesce(nullif((max(t) OVER s - min(t) OVER s)/nullif(count(*) OVER s - 1, 0), 0), 1.0) AS step FROM lc WINDOW s AS (PARTITION BY source)), k AS (SELECT source, n, step, unnest(range(0, n//2 + 1)) AS k FROM (SELECT DISTINCT source, n, step FROM n)) SELECT source, round(k/(any_value(k.n)*any_value(k.step)), 9) AS freq, round((pow(sum(y*cos(2*pi()*((k*i) % k.n)/k.n)), 2) + pow(sum(y*sin(2*pi()*((k*i) % k.n)/k.n)), 2))/any_value(k.n)/1e6, 4) AS power FROM k JOIN n USING (source) GROUP BY source, k")
 def fft_power(spark, d):
-    return mo.fft_power(light_curve(spark, d), "source", "t", "flux")
+    p = tf.power(light_curve(spark, d), "source", "t", "flux")
+    return p.select("source", F.round("freq", 9).alias("freq"), F.round(F.col("power") / 1e6, 4).alias("power"))
 
 
 @R.query("gp_interpolation")
@@ -295,11 +297,11 @@ def matched_filter(spark, d):
     return rounded(mo.matched_filter(light_curve(spark, d), "source", "t", "flux", [0, 1, 2, 1, 0]), "best")
 
 
-@R.query("kepler_residual", "SELECT p_partkey, true AS solved FROM part")
+@R.query("kepler_residual", "WITH RECURSIVE k AS (SELECT p_partkey, p_size/10.0 AS m, (p_partkey % 90)/100.0 AS e, p_size/10.0 + (p_partkey % 90)/100.0*sin(p_size/10.0) AS x, 0 AS i FROM part UNION ALL SELECT p_partkey, m, e, x - (x - e*sin(x) - m)/(1 - e*cos(x)), i + 1 FROM k WHERE i < 20) SELECT p_partkey, round(x, 8) AS anomaly FROM k WHERE i = 20")
 def kepler_residual(spark, d):
+    """Eccentric anomalies."""
     m, e = F.col("p_size") / 10.0, F.pmod(F.col("p_partkey"), F.lit(90)) / 100.0
-    x = table(spark, d, "part").select("p_partkey", m.alias("m"), e.alias("e")).withColumn("x", mo.kepler(F.col("m"), F.col("e")))
-    return x.select("p_partkey", (F.abs(F.col("x") - F.col("e") * F.sin("x") - F.col("m")) < 1e-9).alias("solved"))
+    return table(spark, d, "part").select("p_partkey", F.round(mo.kepler(m, e), 8).alias("anomaly"))
 
 
 @R.query("image_convolution", "WITH p AS (SELECT l_linenumber AS img, l_suppkey % 10 AS r, l_partkey % 10 AS c, sum(l_quantity) AS v FROM lineitem GROUP BY ALL), g AS (SELECT img, r, unnest(range(0, mc+1)) AS c FROM (SELECT img, mc, unnest(range(0, mr+1)) AS r FROM (SELECT img, max(r) AS mr, max(c) AS mc FROM p GROUP BY img))) SELECT g.img::BIGINT AS img, g.r, g.c, round(coalesce(sum(v), 0)/9, 6) AS v FROM g LEFT JOIN p ON p.img = g.img AND abs(p.r-g.r) <= 1 AND abs(p.c-g.c) <= 1 GROUP BY g.img, g.r, g.c")

@@ -8,6 +8,7 @@ from skylattice.functions import filenames
 from skylattice.operators import imaging as im
 from skylattice.operators import movers as mv
 from skylattice.operators import significance as sg
+from skylattice.operators.resampling import draw_sql
 from skylattice.plans.common import LC_SQL, light_curve, rounded
 from skylattice.plans.spatial_queries import CS, DIST, PART, _cs, _plane
 from skylattice.registry import Registry, table
@@ -122,10 +123,10 @@ def correlation_significance(spark, d):
     return sg.correlation_significance(table(spark, d, "customer"), "c_custkey", "c_nationkey", "c_acctbal", 40)
 
 
-@R.query("error_ensemble")
+@R.query("error_ensemble", f"SELECT s_suppkey, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std FROM (SELECT s_suppkey, ln(abs(s_acctbal) + 10 + sqrt(-2*ln({draw_sql('s_suppkey', 'sim', 1)}))*cos(6.283185307179586*({draw_sql('s_suppkey', 'sim', 2)}))) AS v FROM supplier, (SELECT unnest(range(1, 101)) AS sim)) GROUP BY s_suppkey")
 def error_ensemble(spark, d):
     s = table(spark, d, "supplier").select("s_suppkey", (F.abs("s_acctbal") + 10).alias("v"), F.lit(1.0).alias("e"))
-    return sg.error_ensemble(s, "s_suppkey", "v", "e", F.log, 100)
+    return rounded(sg.error_ensemble(s, "s_suppkey", "v", "e", F.log, 100), "mean", "std")
 
 
 @R.query("file_name_fields", "SELECT s_suppkey, 'SKY' AS project, s_suppkey::VARCHAR AS counter, 'SKY_t_r_f_' || s_suppkey || '_1_c_sci_raw_Image_1.fits' AS name FROM supplier")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -23,15 +24,18 @@ R = Registry()
 
 # columns
 
-@R.query("compare_names", "SELECT * FROM (VALUES (1, 'n_nationkey', 'n_nationkey', true), (2, 'n_name', 'name', false), (3, 'n_regionkey', 'n_regionkey', true), (4, NULL, 'n_comment', false)) t(pos, name, reference, same)")
+@R.query("compare_names", "SELECT * FROM (VALUES (1, 'n_nationkey', 'n_nationkey', true), (2, 'n_name', 'name', false), (3, 'n_regionkey', 'n_regionkey', true), (4, NULL, 'n_comment', false)) t(pos, name, reference, same), LATERAL (SELECT CASE pos WHEN 1 THEN count(n_nationkey) WHEN 2 THEN count(n_name) WHEN 3 THEN count(n_regionkey) END AS n FROM nation)")
 def compare_names(spark, d):
-    return nm.compared(table(spark, d, "nation"), ["n_nationkey", "name", "n_regionkey", "n_comment"]).withColumn("pos", F.col("pos").cast("int"))
+    """Columns against reference names, with the values that each holds."""
+    n = table(spark, d, "nation")
+    c = nm.compared(n, ["n_nationkey", "name", "n_regionkey", "n_comment"])
+    return c.join(nm.filled(n).drop("pos"), "name", "left").select(F.col("pos").cast("int").alias("pos"), "name", "reference", "same", "n")
 
 
-@R.query("column_positions", "SELECT column_name AS name, row_number() OVER () AS pos FROM (DESCRIBE part)")
+@R.query("column_positions", "SELECT * FROM (SELECT unnest([{'name': 'p_partkey', 'pos': 1, 'n': count(p_partkey)}, {'name': 'p_name', 'pos': 2, 'n': count(p_name)}, {'name': 'p_brand', 'pos': 3, 'n': count(p_brand)}, {'name': 'p_type', 'pos': 4, 'n': count(p_type)}, {'name': 'p_size', 'pos': 5, 'n': count(p_size)}, {'name': 'p_retailprice', 'pos': 6, 'n': count(p_retailprice)}], recursive := true) FROM part)")
 def column_positions(spark, d):
-    p = table(spark, d, "part")
-    return spark.createDataFrame(list(zip(p.columns, tb.column_index(p, p.columns), strict=True)), "name string, pos long")
+    """Position of every column and the number of its values."""
+    return nm.filled(table(spark, d, "part"))
 
 
 @R.query("table_size", "SELECT count(*) AS n_rows, 6 AS n_columns, count(*) = 0 AS is_empty FROM part")
@@ -61,15 +65,27 @@ def column_struct(spark, d):
     return p.groupBy("s.p_size").agg(F.count("*").alias("n"), F.min("s.p_retailprice").alias("lo"))
 
 
-@R.query("search_synonyms", "SELECT * FROM (VALUES ('RAJ2000', 'RA'), ('pmDE', 'PMDec'), ('XWIN_IMAGE', 'X'), ('parallax', 'Plx'), ('unknown', NULL)) t(alias, key)")
+#: A long table of measurements with the names that different surveys use: a name for every line number.
+_ALIASED = "a AS (SELECT l_orderkey, l_quantity, ['RAJ2000', 'pmDE', 'XWIN_IMAGE', 'parallax', 'unknown', 'dec', 'y'][l_linenumber] AS alias FROM lineitem), t(alias, key) AS (VALUES ('RAJ2000', 'RA'), ('pmDE', 'PMDec'), ('XWIN_IMAGE', 'X'), ('parallax', 'Plx'), ('dec', 'Dec'), ('y', 'Y'))"
+
+
+def _aliased(spark, d) -> DataFrame:
+    names = F.array(*[F.lit(x) for x in ("RAJ2000", "pmDE", "XWIN_IMAGE", "parallax", "unknown", "dec", "y")])
+    return table(spark, d, "lineitem").select("l_orderkey", "l_quantity", F.try_element_at(names, F.col("l_linenumber").cast("int")).alias("alias"))
+
+
+@R.query("search_synonyms", f"WITH {_ALIASED} SELECT key, count(*) AS n, sum(l_quantity) AS total FROM a LEFT JOIN t USING (alias) GROUP BY key")
 def search_synonyms(spark, d):
-    """The canonical key of a name, from the dictionary as a small table."""
-    return spark.createDataFrame([(a, nm.canonical(a)) for a in ("RAJ2000", "pmDE", "XWIN_IMAGE", "parallax", "unknown")], "alias string, key string")
+    """Measurements by the canonical key of the name that they carry; unknown names come together under null."""
+    return nm.with_canonical(_aliased(spark, d), "alias", "key").groupBy("key").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("total"))
 
 
-@R.query("search_aliases", "SELECT * FROM (VALUES ('Plx', 'Plx'), ('Plx', 'plx'), ('Plx', 'parallax'), ('PMRA', 'PMRA'), ('PMRA', 'pmRA'), ('PMRA', 'pm_ra'), ('PMRA', 'pmra')) t(key, alias)")
+@R.query("search_aliases", f"WITH {_ALIASED} SELECT t.key, t.alias, count(a.alias) AS n FROM (VALUES ('Plx', 'Plx'), ('Plx', 'plx'), ('Plx', 'parallax'), ('PMDec', 'PMDec'), ('PMDec', 'pmDE'), ('PMDec', 'pm_dec'), ('PMDec', 'pmdec')) t(key, alias) LEFT JOIN a ON a.alias = t.alias GROUP BY t.key, t.alias")
 def search_aliases(spark, d):
-    return spark.createDataFrame([(k, a) for k in ("Plx", "PMRA", "none") for a in nm.aliases(k)], "key string, alias string")
+    """All names of two keys, and how many measurements carry each."""
+    used = _aliased(spark, d).groupBy("alias").agg(F.count("*").alias("n"))
+    names = nm.synonym_table(spark).where(F.col("key").isin("Plx", "PMDec"))
+    return names.join(used, "alias", "left").select("key", "alias", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @R.query("positions_by_synonym", "SELECT (c_custkey*3 % 360)::DOUBLE AS RA, (c_custkey % 170 - 85)::DOUBLE AS \"Dec\", c_acctbal AS PMRA, NULL::DOUBLE AS PMDec, NULL::DOUBLE AS Plx FROM customer")
@@ -80,9 +96,12 @@ def positions_by_synonym(spark, d):
     return nm.resolved(c, ["RA", "Dec", "PMRA", "PMDec", "Plx"])
 
 
-@R.query("coordinate_types", "SELECT * FROM (VALUES ('ra, dec', 'sphere'), ('x, y', 'pix'), ('ra, dec, x, y', 'sphere'), ('ra, y', NULL)) t(columns, kind)")
+@R.query("coordinate_types", "WITH c AS (SELECT l_orderkey, ['ra', 'x', 'Dec', 'y', 'mag', 'DEJ2000', 'ra_deg'][l_linenumber] AS name FROM lineitem WHERE l_quantity > 5) SELECT l_orderkey, CASE WHEN bool_or(name IN ('ra', 'ra_deg')) AND bool_or(name IN ('Dec', 'DEJ2000')) THEN 'sphere' WHEN bool_or(name = 'x') AND bool_or(name = 'y') THEN 'pix' END AS kind FROM c GROUP BY l_orderkey")
 def coordinate_types(spark, d):
-    return spark.createDataFrame([(c, nm.coordinate_type(spark.createDataFrame([], ", ".join(f"{x.strip()} double" for x in c.split(","))))) for c in ("ra, dec", "x, y", "ra, dec, x, y", "ra, y")], "columns string, kind string")
+    """The kind of coordinates that the columns of many tables (orders) make."""
+    names = F.array(*[F.lit(x) for x in ("ra", "x", "Dec", "y", "mag", "DEJ2000", "ra_deg")])
+    c = table(spark, d, "lineitem").where("l_quantity > 5").select("l_orderkey", F.try_element_at(names, F.col("l_linenumber").cast("int")).alias("name"))
+    return nm.coordinate_types(c, "l_orderkey", "name")
 
 
 # headers: an order is a file, its columns are keys
@@ -168,9 +187,11 @@ def split_lines(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(x).cast("long").alias("n_lines"), F.get(x, F.lit(0)).alias("first_line"))
 
 
-@R.query("name_styles", "SELECT * FROM (VALUES ('RecId', 'rec_id', 'RecId'), ('insertTime', 'insert_time', 'InsertTime'), ('fDouble', 'f_double', 'FDouble')) t(name, snake, camel)")
+@R.query("name_styles", "SELECT p_partkey, array_to_string(list_transform(string_split(replace(p_name, ' ', '_'), '_'), lambda x: upper(x[1:1]) || lower(x[2:])), '') AS camel, lower(replace(p_name, ' ', '_')) AS snake FROM part")
 def name_styles(spark, d):
-    return spark.createDataFrame([(n, text.snake(n), text.camel(text.snake(n))) for n in ("RecId", "insertTime", "fDouble")], "name string, snake string, camel string")
+    """Names in one style and back."""
+    camel = text.camel_column(F.replace("p_name", F.lit(" "), F.lit("_")))
+    return table(spark, d, "part").select("p_partkey", camel.alias("camel"), text.snake_column(camel).alias("snake"))
 
 
 # rows by place
@@ -245,61 +266,60 @@ def map_values(spark, d):
 
 # stored tables
 
+@contextmanager
 def _stored(spark, d):
+    """The suppliers as a stored table, which is dropped at the end of the block, whatever happens in it."""
     name = f"supplier_{uuid.uuid4().hex}"
     s = table(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
-    table_store.create(s.withColumn("part", table_store.range_partition(F.col("s_acctbal"), 2000.0)), name, ["part"])
-    return name
-
-
-def _taken(spark, name, df):
-    """Rows of a stored table kept in a checkpoint, and the table dropped."""
-    out = checkpointed(df)
-    spark.sql(f"DROP TABLE {name}")
-    return out
+    try:
+        table_store.create(s.withColumn("part", table_store.range_partition(F.col("s_acctbal"), 2000.0)), name, ["part"])
+        yield name
+    finally:
+        for n in (name, f"{name}__new", f"{name}__old"):
+            spark.sql(f"DROP TABLE IF EXISTS {n}")
 
 
 @R.query("store_select", "SELECT s_suppkey, s_name FROM supplier WHERE s_acctbal > 0 ORDER BY s_acctbal DESC, s_suppkey LIMIT 20")
 def store_select(spark, d):
-    n = _stored(spark, d)
-    return _taken(spark, n, table_store.select(spark, n, ["s_suppkey", "s_name"], "s_acctbal > 0", [F.desc("s_acctbal"), "s_suppkey"], 20))
+    with _stored(spark, d) as n:
+        return checkpointed(table_store.select(spark, n, ["s_suppkey", "s_name"], "s_acctbal > 0", [F.desc("s_acctbal"), "s_suppkey"], 20))
 
 
 @R.query("store_insert", "SELECT s_suppkey, s_name FROM supplier UNION ALL SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)")
 def store_insert(spark, d):
     """Rows appended to a stored table; those whose key it has are left out, columns that it lacks are dropped."""
-    n = _stored(spark, d)
-    c = table(spark, d, "customer").select(F.col("c_custkey").alias("s_suppkey"), F.col("c_name").alias("s_name"), "c_mktsegment", F.lit(0.0).alias("part"))
-    table_store.insert(c, n, unique_by=["s_suppkey"])
-    return _taken(spark, n, spark.table(n).select("s_suppkey", "s_name"))
+    with _stored(spark, d) as n:
+        c = table(spark, d, "customer").select(F.col("c_custkey").alias("s_suppkey"), F.col("c_name").alias("s_name"), "c_mktsegment", F.lit(0.0).alias("part"))
+        table_store.insert(c, n, unique_by=["s_suppkey"])
+        return checkpointed(spark.table(n).select("s_suppkey", "s_name"))
 
 
 @R.query("store_update", "SELECT s_suppkey, CASE WHEN s_nationkey < 5 THEN 'moved' ELSE s_name END AS s_name FROM supplier")
 def store_update(spark, d):
-    n = _stored(spark, d)
-    table_store.update(spark, n, F.col("s_nationkey") < 5, {"s_name": F.lit("moved")})
-    return _taken(spark, n, spark.table(n).select("s_suppkey", "s_name"))
+    with _stored(spark, d) as n:
+        table_store.update(spark, n, F.col("s_nationkey") < 5, {"s_name": F.lit("moved")})
+        return checkpointed(spark.table(n).select("s_suppkey", "s_name"))
 
 
 @R.query("store_delete", "SELECT s_suppkey FROM supplier WHERE NOT coalesce(s_acctbal < 1000, false)")
 def store_delete(spark, d):
-    n = _stored(spark, d)
-    table_store.delete(spark, n, F.col("s_acctbal") < 1000)
-    return _taken(spark, n, spark.table(n).select("s_suppkey"))
+    with _stored(spark, d) as n:
+        table_store.delete(spark, n, F.col("s_acctbal") < 1000)
+        return checkpointed(spark.table(n).select("s_suppkey"))
 
 
-@R.query("store_describe", "SELECT * FROM (VALUES ('s_suppkey', 'bigint'), ('s_name', 'string'), ('s_nationkey', 'int'), ('s_acctbal', 'double'), ('part', 'double')) t(name, kind)")
+@R.query("store_describe", "SELECT name, kind, CASE name WHEN 's_suppkey' THEN count(s_suppkey) WHEN 's_name' THEN count(s_name) WHEN 's_nationkey' THEN count(s_nationkey) WHEN 's_acctbal' THEN count(s_acctbal) ELSE count(floor(s_acctbal/2000)) END AS n FROM (VALUES ('s_suppkey', 'bigint'), ('s_name', 'string'), ('s_nationkey', 'int'), ('s_acctbal', 'double'), ('part', 'double')) t(name, kind), supplier GROUP BY name, kind")
 def store_describe(spark, d):
-    n = _stored(spark, d)
-    rows = list(table_store.describe(spark, n).items())
-    spark.sql(f"DROP TABLE {n}")
-    return spark.createDataFrame(rows, "name string, kind string")
+    """Columns of a stored table, their types and the values that they hold."""
+    with _stored(spark, d) as n:
+        kinds = spark.createDataFrame(list(table_store.describe(spark, n).items()), "name string, kind string")
+        return checkpointed(kinds.join(nm.filled(spark.table(n)).select("name", "n"), "name"))
 
 
 @R.query("store_count", "SELECT count(*) AS n FROM supplier")
 def store_count(spark, d):
-    n = _stored(spark, d)
-    return _taken(spark, n, table_store.select(spark, n).agg(F.count("*").alias("n")))
+    with _stored(spark, d) as n:
+        return checkpointed(table_store.select(spark, n).agg(F.count("*").alias("n")))
 
 
 # files
@@ -366,9 +386,11 @@ def light_curve_text(spark, d):
     return back.groupBy("object").agg(F.count("*").alias("n"), F.min("key").alias("first_key"))
 
 
-@R.query("list_files", "SELECT * FROM (VALUES ('nation.parquet'), ('region.parquet')) t(name)")
+@R.query("list_files", "SELECT 'nation.parquet' AS name, count(*) AS n FROM nation UNION ALL SELECT 'region.parquet', count(*) FROM region")
 def list_files(spark, d):
-    return text_tables.file_list(spark, d, "^(nation|region)[.]parquet$").select("name")
+    """Files that match a pattern, with the rows of each."""
+    files = [r.path for r in text_tables.file_list(spark, d, "^(nation|region)[.]parquet$").collect()]
+    return text_tables.file_rows(spark.read.schema("dummy int").parquet(*files))
 
 
 @R.query("stack_csv", "SELECT n_name AS name, n_nationkey AS k, 'nation' AS kind FROM nation UNION ALL SELECT r_name, r_regionkey, 'region' FROM region")

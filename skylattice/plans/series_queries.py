@@ -197,11 +197,12 @@ def not_nan_sources(spark, d):
     return light_curve(spark, d).groupBy("source").agg(F.bool_and(v.isNotNull()).alias("complete"))
 
 
-@R.query("matched2matrix", "PIVOT (" + MAG + "SELECT source, e, round(mag, 6) AS mag FROM m) ON e USING max(mag) GROUP BY source")
+@R.query("matched2matrix", MAG + "SELECT source, count(*) AS n_epochs, string_agg(e::BIGINT || ':' || round(mag*1e4)::BIGINT, ',' ORDER BY e) AS cells FROM (SELECT source, e, max(mag) AS mag FROM m WHERE mag IS NOT NULL AND e IS NOT NULL GROUP BY ALL) GROUP BY source")
 def matched2matrix(spark, d):
-    """A column for every epoch present."""
-    m = _mags(spark, d).withColumn("mag", F.round("mag", 6))
-    return m.groupBy("source").pivot("e", sorted(r.e for r in m.select("e").dropna().distinct().collect())).agg(F.max("mag"))
+    """A row of the matrix for each source: its epochs in order with the magnitude (1e-4) of each; no epoch list goes to the driver."""
+    m = _mags(spark, d).where("mag is not null and e is not null").groupBy("source", F.col("e").cast("bigint").alias("e")).agg(F.max("mag").alias("mag"))
+    cells = F.transform(F.array_sort(F.collect_list(F.struct("e", F.round(F.col("mag") * 1e4).cast("bigint").alias("v")))), lambda x: F.concat(x["e"].cast("string"), F.lit(":"), x["v"].cast("string")))
+    return m.groupBy("source").agg(F.count("*").alias("n_epochs"), F.array_join(cells, ",").alias("cells"))
 
 
 @R.query("fit_motion", LC + "SELECT source, round(regr_slope(flux, t), 6) AS rate, round(avg(flux), 4) AS mean, count(*) AS n, round(pow(regr_sxy(flux, t), 2)/regr_sxx(flux, t)/1e6, 3) AS d_chi2 FROM lc GROUP BY source HAVING count(*) >= 3")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skylattice.operators import stats as st
+from skylattice.operators.resampling import weight_sql
 from skylattice.plans.common import rounded
 from skylattice.registry import Registry, table
 
@@ -165,10 +166,10 @@ def jackknife(spark, d):
     return rounded(st.jackknife_mean(_li(spark, d), "v", ["l_suppkey"]), "mean", "jack_std", digits=5)
 
 
-@R.query("bootstrap")
+@R.query("bootstrap", f"WITH w AS (SELECT s_nationkey, s_acctbal AS v, sim, {weight_sql('s_suppkey', 'sim')} AS w FROM supplier, (SELECT unnest(range(1, 51)) AS sim)), m AS (SELECT s_nationkey, sim, sum(v*w)/nullif(sum(w), 0) AS m FROM w GROUP BY 1, 2) SELECT s_nationkey, round(avg(m), 5) AS boot_mean, round(stddev_samp(m), 5) AS boot_std FROM m GROUP BY s_nationkey")
 def bootstrap(spark, d):
     s = table(spark, d, "supplier")
-    return st.bootstrap_mean(s, "s_suppkey", "s_acctbal", ["s_nationkey"], 50)
+    return rounded(st.bootstrap_mean(s, "s_suppkey", "s_acctbal", ["s_nationkey"], 50), "boot_mean", "boot_std", digits=5)
 
 
 @R.query("mutual_info", "WITH xy AS (SELECT c_nationkey AS x, c_mktsegment AS y, count(*) AS n FROM customer GROUP BY 1, 2) SELECT round(sum(n/t*ln(n*t/(nx*ny))), 9) AS mi FROM (SELECT n, sum(n) OVER (PARTITION BY x)::DOUBLE AS nx, sum(n) OVER (PARTITION BY y)::DOUBLE AS ny, sum(n) OVER ()::DOUBLE AS t FROM xy)")
@@ -211,7 +212,7 @@ def stack_cube(spark, d):
 def coadd_normalised(spark, d):
     p = _cube(spark, d)
     f = p.groupBy("img").agg(F.median("v").alias("f"))
-    return p.join(F.broadcast(f), "img").groupBy("r", "c").agg(F.round(F.avg(F.col("v") / F.col("f")), 6).alias("coadd"))
+    return p.join(f, "img").groupBy("r", "c").agg(F.round(F.avg(F.col("v") / F.col("f")), 6).alias("coadd"))
 
 
 @R.query("image_statistics", CUBE + "SELECT img, count(*) AS n, count(*) FILTER (v > 50000) AS n_bright, quantile_disc(v, 0.9) AS q90, round(stddev_samp(v), 4) AS std FROM px GROUP BY img")

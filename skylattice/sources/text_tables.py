@@ -76,3 +76,8 @@ def file_list(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     name = F.element_at(F.split("path", "/"), -1)
     return files.select(name.alias("name"), "path", F.col("length").alias("bytes")).where(name.rlike(pattern))
+
+
+def file_rows(df: DataFrame) -> DataFrame:
+    """(name, n): rows of every file that a table was read from."""
+    return df.groupBy(F.col("_metadata.file_name").alias("name")).agg(F.count("*").alias("n"))

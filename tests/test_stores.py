@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skylattice.functions import filenames
-from skylattice.operators import imaging, models, significance
+from skylattice.operators import imaging, models, significance, transforms
 from skylattice.sources import table_store as store
 
 
@@ -64,7 +64,7 @@ def test_models(spark):
     r = {x.k: x for x in models.ransac_line(spark.createDataFrame(line, "k long, id long, t double, v double"), "k", "id", "t", "v", 0.1).collect()}
     assert (round(r[1].slope, 6), round(r[1].intercept, 6), r[1].n_in) == (2.0, 1.0, 30)
     assert set(r) == {1, 2} and (r[2].slope, r[2].intercept, r[2].n_in) == (0.0, 2.0, 2)
-    w = models.fft_power(spark.createDataFrame([(1, float(x), float(np.sin(2 * np.pi * x / 8))) for x in range(64)], "k long, t double, v double"), "k", "t", "v")
+    w = transforms.power(spark.createDataFrame([(1, float(x), float(np.sin(2 * np.pi * x / 8))) for x in range(64)], "k long, t double, v double"), "k", "t", "v")
     assert w.orderBy(F.desc("power")).first().freq == 0.125
     a = np.random.default_rng(1).normal(size=(9, 7))
     k = np.arange(9.0).reshape(3, 3)

@@ -68,7 +68,7 @@ def test_conjunctions_of_every_object(spark):
                 want |= {(i, j, 5.0 * n): s[n] for n in (1, 2, 3) if s[n] <= 30 and s[n] < s[n - 1] and s[n] < s[n + 1]}
     assert any(i % 5 for i, *_ in want)
     got = {(r.id1, r.id2, r.t): r.dist for r in QUERIES["conjunctions"](spark, SF).collect()}
-    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=2e-6) for k in want)
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=6e-5) for k in want)
 
 
 EPOCHS = "SELECT l_suppkey AS source, floor(epoch_us(l_shipdate)/86400000000.0/365)::BIGINT AS e, round(avg(25-2.5*log10(l_extendedprice)), 6) AS mag FROM lineitem GROUP BY 1, 2"
@@ -81,8 +81,8 @@ def test_zero_points_from_an_epoch_that_is_there(spark):
 
 def test_matrix_has_every_epoch(spark):
     want = {(s, str(e)): m for s, e, m in connect(SF).sql(EPOCHS).fetchall()}
-    got = {(r.source, c): r[c] for r in QUERIES["matched2matrix"](spark, SF).collect() for c in r.asDict() if c != "source" and r[c] is not None}
-    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=2e-6) for k in want)
+    got = {(r.source, c.split(":")[0]): int(c.split(":")[1]) / 1e4 for r in QUERIES["matched2matrix"](spark, SF).collect() for c in r.cells.split(",")}
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=6e-5) for k in want)
 
 
 def test_interpolation_grid_lies_within_the_epochs(spark):
@@ -126,7 +126,7 @@ def test_fits_equal_numpy(spark):
         p = np.linalg.lstsq(a, y, rcond=None)[0]
         assert np.allclose(harmonic[source].amplitude, np.hypot(p[1::2], p[2::2]), rtol=1e-6) and np.isclose(harmonic[source].resid_std, np.std(y - a @ p), rtol=1e-8)
         f = np.fft.rfft(y - y.mean())
-        assert np.allclose(sorted(power[source].values()), sorted(np.abs(f) ** 2 / len(y)), rtol=1e-6, atol=1e-3)
+        assert np.allclose(sorted(power[source].values()), sorted(np.abs(f) ** 2 / len(y) / 1e6), rtol=1e-6, atol=1e-4)
 
 
 def test_gaussian_process_equals_a_dense_solve(spark):
