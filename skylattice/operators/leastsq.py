@@ -30,14 +30,16 @@ def regress(df: DataFrame, by: str, terms: Sequence[str], y: str, err: str | Non
     std (of y and of the residuals).  Errors get sys_err in quadrature; without
     them all weigh the same.  Rows with a missing value, or an error that is
     not positive, are left out.  Where terms depend on each other, the
-    parameters are those of the least norm in scaled terms.
+    parameters are those of the least norm in scaled terms.  Sums are about
+    the mean only with a constant; without one chi2 and std lose the digits by
+    which y exceeds its residuals.
     """
     sigma = F.lit(1.0) if err is None else F.sqrt(F.pow(F.col(err).cast("double"), F.lit(2)) + sys_err**2)
     d = df.select(F.col(by).alias("__key"), *[F.col(c).cast("double").alias(f"f{i}") for i, c in enumerate(terms)], F.col(y).cast("double").alias("y"), sigma.alias("s")).dropna().where("s > 0")
     k = len(terms)
-    scale = d.groupBy("__key").agg(F.avg("y").alias("ym"), *[x for i in range(k) for x in (F.avg(f"f{i}").alias(f"m{i}"), F.stddev_pop(f"f{i}").alias(f"d{i}"))])
+    scale = d.groupBy("__key").agg(F.avg("y").alias("ym"), *[x for i in range(k) for x in (F.avg(f"f{i}").alias(f"m{i}"), (F.stddev_pop(f"f{i}") if const else F.sqrt(F.avg(F.col(f"f{i}") * F.col(f"f{i}")))).alias(f"d{i}"))])
     d = d.join(scale, "__key")
-    # terms about their mean and by their deviation, so that the sums lose no digits
+    # terms about their mean and by their deviation (size, without a constant), so that the sums lose no digits
     u = [F.coalesce(F.try_divide(F.col(f"f{i}") - (F.col(f"m{i}") if const else F.lit(0.0)), F.col(f"d{i}")), F.lit(0.0)) for i in range(k)] + ([F.lit(1.0)] if const else [])
     v, w = F.col("y") - (F.col("ym") if const else F.lit(0.0)), 1 / (F.col("s") * F.col("s"))
     pairs = [(i, j) for i in range(len(u)) for j in range(i, len(u))]

@@ -71,7 +71,7 @@ def split_length(n: int) -> int:
 def _columns(d: DataFrame, by: str, group: str, place: str, length: str, out: str, inverse: bool) -> DataFrame:
     """Transform of every group (by, group) along ``place`` (of ``length`` points, missing ones zero): column ``out`` counts the result."""
     kind = d.schema[by].dataType.simpleString()
-    rest = [c for c in ("n", "n1", "n2") if c in d.columns]
+    rest = [c for c in ("n", "__n1", "__n2") if c in d.columns]
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         x = np.zeros(int(g[length].iloc[0]), complex)
@@ -79,19 +79,19 @@ def _columns(d: DataFrame, by: str, group: str, place: str, length: str, out: st
         y = np.fft.ifft(x) if inverse else np.fft.fft(x)
         return pd.DataFrame({by: g[by].iloc[0], group: g[group].iloc[0], out: np.arange(len(y)), "re": y.real, "im": y.imag, **{c: g[c].iloc[0] for c in rest}})
 
-    return d.groupBy(by, group).applyInPandas(run, f"{by} {kind}, {group} long, {out} long, re double, im double, " + ", ".join(f"{c} long" for c in rest))
+    return d.groupBy(by, group).applyInPandas(run, f"`{by}` {kind}, {group} long, {out} long, re double, im double, " + ", ".join(f"{c} long" for c in rest))
 
 
 def four_step(d: DataFrame, by: str, inverse: bool = False) -> DataFrame:
-    """Fourier transforms of series (by, i, re, im, n, n1) of n points, with n1 a divisor of n: (by, i, re, im, n); points not there are zero."""
-    d = d.withColumn("n2", (F.col("n") / F.col("n1")).cast("long"))
+    """Fourier transforms of series (by, i, re, im, n, __n1) of n points, with __n1 a divisor of n: (by, i, re, im, n); points not there are zero."""
+    d = d.withColumn("__n2", (F.col("n") / F.col("__n1")).cast("long"))
     # i = n2 * a + b: transform along a for every b
-    d = d.select(by, "n", "n1", "n2", "re", "im", F.floor(F.col("i") / F.col("n2")).alias("a"), (F.col("i") % F.col("n2")).alias("b"))
-    d = _columns(d, by, "b", "a", "n1", "k1", inverse)
-    turn = (2.0 if inverse else -2.0) * math.pi * ((F.col("b") * F.col("k1")) % F.col("n")) / F.col("n")
-    d = d.withColumn("x", F.col("re") * F.cos(turn) - F.col("im") * F.sin(turn)).withColumn("y", F.col("re") * F.sin(turn) + F.col("im") * F.cos(turn))
-    d = _columns(d.drop("re", "im").withColumnsRenamed({"x": "re", "y": "im"}), by, "k1", "b", "n2", "k2", inverse)
-    return d.select(by, (F.col("k1") + F.col("n1") * F.col("k2")).alias("i"), "re", "im", "n")
+    d = d.select(by, "n", "__n1", "__n2", "re", "im", F.floor(F.col("i") / F.col("__n2")).alias("__a"), (F.col("i") % F.col("__n2")).alias("__b"))
+    d = _columns(d, by, "__b", "__a", "__n1", "__k1", inverse)
+    turn = (2.0 if inverse else -2.0) * math.pi * ((F.col("__b") * F.col("__k1")) % F.col("n")) / F.col("n")
+    d = _product(d, F.cos(turn), F.sin(turn))
+    d = _columns(d, by, "__k1", "__b", "__n2", "__k2", inverse)
+    return d.select(by, (F.col("__k1") + F.col("__n1") * F.col("__k2")).alias("i"), "re", "im", "n")
 
 
 def _product(d: DataFrame, re, im) -> DataFrame:
@@ -103,18 +103,18 @@ def chirp_transform(d: DataFrame, by: str) -> DataFrame:
     # i^2 modulo 2n keeps the angle exact; i is below 2^31
     angle = math.pi * ((F.col("i") * F.col("i")) % (2 * F.col("n"))) / F.col("n")
     d = _product(d, F.cos(angle), -F.sin(angle))
-    sizes = checkpointed(d.select(by, F.col("n").alias("size")).distinct())
-    power = F.ceil(F.log2(2 * F.col("size") - 1)).cast("int")
-    sizes = sizes.withColumn("n", F.expr("cast(1 as bigint)") * F.pow(F.lit(2.0), power).cast("bigint")).withColumn("n1", F.pow(F.lit(2.0), F.floor(power / 2)).cast("bigint"))
-    x = four_step(d.drop("n").join(sizes, by).select(by, "i", "re", "im", "n", "n1"), by)
-    blocks = sizes.withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("size") - 1) / BLOCK))))
-    j = blocks.withColumn("j", F.explode(F.sequence(F.col("k") * BLOCK, F.least((F.col("k") + 1) * BLOCK, F.col("size")) - 1)))
-    turn = math.pi * ((F.col("j") * F.col("j")) % (2 * F.col("size"))) / F.col("size")
-    h = j.select(by, "n", "n1", F.explode(F.array_distinct(F.array(F.col("j"), (F.col("n") - F.col("j")) % F.col("n")))).alias("i"), F.cos(turn).alias("re"), F.sin(turn).alias("im"))
-    h = four_step(h, by).select(by, "i", F.col("re").alias("hr"), F.col("im").alias("hi"))
-    y = _product(x.join(h, [by, "i"]), F.col("hr"), F.col("hi")).join(sizes.select(by, "n1", "size"), by)
-    z = four_step(y.select(by, "i", "re", "im", "n", "n1"), by, inverse=True)
-    z = z.join(sizes.select(by, "size"), by).where(F.col("i") < F.col("size")).select(by, "i", "re", "im", F.col("size").alias("n"))
+    sizes = checkpointed(d.select(by, F.col("n").alias("__size")).distinct())
+    power = F.ceil(F.log2(2 * F.col("__size") - 1)).cast("int")
+    sizes = sizes.withColumn("n", F.pow(F.lit(2.0), power).cast("bigint")).withColumn("__n1", F.pow(F.lit(2.0), F.floor(power / 2)).cast("bigint"))
+    x = four_step(d.drop("n").join(sizes, by).select(by, "i", "re", "im", "n", "__n1"), by)
+    blocks = sizes.withColumn("__k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("__size") - 1) / BLOCK))))
+    j = blocks.withColumn("__j", F.explode(F.sequence(F.col("__k") * BLOCK, F.least((F.col("__k") + 1) * BLOCK, F.col("__size")) - 1)))
+    turn = math.pi * ((F.col("__j") * F.col("__j")) % (2 * F.col("__size"))) / F.col("__size")
+    h = j.select(by, "n", "__n1", F.explode(F.array_distinct(F.array(F.col("__j"), (F.col("n") - F.col("__j")) % F.col("n")))).alias("i"), F.cos(turn).alias("re"), F.sin(turn).alias("im"))
+    h = four_step(h, by).select(by, "i", F.col("re").alias("__hr"), F.col("im").alias("__hi"))
+    y = _product(x.join(h, [by, "i"]), F.col("__hr"), F.col("__hi")).join(sizes.select(by, "__n1"), by)
+    z = four_step(y.select(by, "i", "re", "im", "n", "__n1"), by, inverse=True)
+    z = z.join(sizes.select(by, "__size"), by).where(F.col("i") < F.col("__size")).select(by, "i", "re", "im", F.col("__size").alias("n"))
     return _product(z, F.cos(angle), -F.sin(angle))
 
 
@@ -126,13 +126,13 @@ def numbered(df: DataFrame, by: str, order: Sequence[str], values: Sequence[str]
 
 def fourier(d: DataFrame, by: str) -> DataFrame:
     """Fourier transform of numbered series (by, i, n, re, im): (by, i, re, im, n)."""
-    sizes = d.groupBy("n").agg(F.lit(1)).select("n").where(F.col("n") > BLOCK)
+    sizes = d.select("n").distinct().where(F.col("n") > BLOCK)
     long = {r.n: split_length(r.n) for r in sizes.collect()}  # lengths of long series: fewer than rows / BLOCK
-    out = _columns(d.where(F.col("n") <= BLOCK).withColumn("g", F.lit(0).cast("long")), by, "g", "i", "n", "k", False).select(by, F.col("k").alias("i"), "re", "im", "n")
+    out = _columns(d.where(F.col("n") <= BLOCK).withColumn("__g", F.lit(0).cast("long")), by, "__g", "i", "n", "__k", False).select(by, F.col("__k").alias("i"), "re", "im", "n")
     well = {n: k for n, k in long.items() if n // k <= BLOCK}
     if well:
         n1 = F.create_map(*[F.lit(x) for p in well.items() for x in p])[F.col("n")].cast("long")
-        out = out.unionByName(four_step(d.where(F.col("n").isin(list(well))).withColumn("n1", n1), by))
+        out = out.unionByName(four_step(d.where(F.col("n").isin(list(well))).withColumn("__n1", n1), by))
     if len(well) < len(long):
         out = out.unionByName(chirp_transform(d.where(F.col("n").isin([n for n in long if n not in well])).select(by, "i", "re", "im", "n"), by))
     return out
@@ -145,18 +145,18 @@ def circular_correlation(df: DataFrame, by: str, t: str, v1: str, v2: str) -> Da
     deviations; null where one of them is constant.
     """
     d = checkpointed(numbered(df, by, [t], [v1, v2]))
-    m = d.groupBy(by).agg(F.avg(v1).alias("ma"), F.avg(v2).alias("mb"), F.stddev_samp(v1).alias("sa"), F.stddev_samp(v2).alias("sb"))
+    m = d.groupBy(by).agg(F.avg(v1).alias("__ma"), F.avg(v2).alias("__mb"), F.stddev_samp(v1).alias("__sa"), F.stddev_samp(v2).alias("__sb"))
     d = d.join(m, by)
     # both at once: the transform of a + i b holds those of a and of b
-    f = checkpointed(fourier(d.select(by, "i", "n", (F.col(v1) - F.col("ma")).alias("re"), (F.col(v2) - F.col("mb")).alias("im")), by))
+    f = checkpointed(fourier(d.select(by, "i", "n", (F.col(v1) - F.col("__ma")).alias("re"), (F.col(v2) - F.col("__mb")).alias("im")), by))
     g = f.select(by, ((F.col("n") - F.col("i")) % F.col("n")).alias("i"), F.col("re").alias("cr"), (-F.col("im")).alias("ci"))
     p = f.join(g, [by, "i"])
     ar, ai = (F.col("re") + F.col("cr")) / 2, (F.col("im") + F.col("ci")) / 2
     br, bi = (F.col("im") - F.col("ci")) / 2, (F.col("cr") - F.col("re")) / 2
     # the product of A and of B conjugate; its transform read backwards is the inverse one
     p = p.select(by, "i", "n", (ar * br + ai * bi).alias("re"), (ai * br - ar * bi).alias("im"))
-    c = fourier(p, by).select(by, ((F.col("n") - F.col("i")) % F.col("n")).alias("lag"), (F.col("re") / F.col("n")).alias("c"), "n")
-    return c.join(m, by).select(by, "lag", F.try_divide(F.col("c"), F.col("n") * F.col("sa") * F.col("sb")).alias("corr"))
+    c = fourier(p, by).select(by, ((F.col("n") - F.col("i")) % F.col("n")).alias("lag"), (F.col("re") / F.col("n")).alias("__c"), "n")
+    return c.join(m, by).select(by, "lag", F.try_divide(F.col("__c"), F.col("n") * F.col("__sa") * F.col("__sb")).alias("corr"))
 
 
 def power(df: DataFrame, by: str, t: str, v: str) -> DataFrame:
@@ -177,7 +177,7 @@ def lag_sums(df: DataFrame, by: str, i: str, v1: str, v2: str, most: int, block:
     """
     kind = df.schema[by].dataType.simpleString()
     block = max(block, 4 * most)
-    d = df.select(by, F.col(i).cast("long").alias("i"), F.col(v1).cast("double").alias("a"), F.col(v2).cast("double").alias("b")).where("i is not null")
+    d = df.select(F.col(by).alias("__by"), F.col(i).cast("long").alias("i"), F.col(v1).cast("double").alias("a"), F.col(v2).cast("double").alias("b")).where("i is not null")
     at = F.floor(F.col("i") / block)
     d = d.withColumn("k", F.explode(F.array_distinct(F.array(at, F.floor((F.col("i") - most) / block), F.floor((F.col("i") + most) / block)))))
 
@@ -192,6 +192,7 @@ def lag_sums(df: DataFrame, by: str, i: str, v1: str, v2: str, most: int, block:
         b[place[ok]], two[place[ok]] = g["b"].to_numpy()[ok], 1.0
         f = lambda x, y: np.fft.irfft(np.conj(np.fft.rfft(x)) * np.fft.rfft(y), size)
         lags = np.arange(-most, most + 1)
-        return pd.DataFrame({by: g[by].iloc[0], "lag": lags, "s": f(a, b)[lags], "n": np.rint(f(one, two)[lags]).astype(np.int64)})
+        return pd.DataFrame({"__by": g["__by"].iloc[0], "lag": lags, "s": f(a, b)[lags], "n": np.rint(f(one, two)[lags]).astype(np.int64)})
 
-    return d.groupBy(by, "k").applyInPandas(run, f"{by} {kind}, lag long, s double, n long").groupBy(by, "lag").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).where("n > 0")
+    sums = d.groupBy("__by", "k").applyInPandas(run, f"__by {kind}, lag long, s double, n long")
+    return sums.groupBy(F.col("__by").alias(by), "lag").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).where("n > 0")
