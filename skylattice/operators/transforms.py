@@ -13,7 +13,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skylattice.operators.groups import ranked
@@ -196,3 +196,41 @@ def lag_sums(df: DataFrame, by: str, i: str, v1: str, v2: str, most: int, block:
 
     sums = d.groupBy("__by", "k").applyInPandas(run, f"__by {kind}, lag long, s double, n long")
     return sums.groupBy(F.col("__by").alias(by), "lag").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).where("n > 0")
+
+
+def lagged_chi2(a: DataFrame, b: DataFrame, by: str, lags: Sequence[float]) -> DataFrame:
+    """Chi-square and correlation of two unevenly spaced series (by, t, m, e) at lags: (by, lag, chi2, dof, corr).
+
+    The second series is interpolated linearly, errors too, at the times of
+    the first plus the lag, nowhere beyond its ends.  The difference is taken
+    about its mean at each lag; deviations are of samples, that of the first
+    series over all of its times.  Rows of the second of one time count as
+    their mean.  Both series are sorted together once, whatever the number of lags.
+    """
+    point = F.struct("t", "m", "e")
+    known = b.dropna(subset=["t", "m", "e"]).groupBy(by, "t").agg(F.avg("m").alias("m"), F.avg("e").alias("e")).select(by, "t", point.alias("known"), F.lit(None).cast("double").alias("lag"), F.lit(None).cast("double").alias("m1"), F.lit(None).cast("double").alias("e1"))
+    asked = a.dropna(subset=["t", "m", "e"]).withColumn("lag", F.explode(F.array(*[F.lit(float(x)) for x in lags])))
+    asked = asked.select(by, (F.col("t") + F.col("lag")).alias("t"), F.lit(None).cast(known.schema["known"].dataType).alias("known"), "lag", F.col("m").alias("m1"), F.col("e").alias("e1"))
+    d = known.unionByName(asked)
+    up, down = Window.partitionBy(by).orderBy("t"), Window.partitionBy(by).orderBy(F.desc("t"))
+    # frames of values, so that points of the same time are seen from both sides
+    d = d.withColumn("p", F.last("known", ignorenulls=True).over(up)).withColumn("q", F.last("known", ignorenulls=True).over(down)).where("lag is not null")
+    share = F.coalesce(F.try_divide(F.col("t") - F.col("p.t"), F.col("q.t") - F.col("p.t")), F.lit(0.0))
+    d = d.select(by, "lag", "m1", "e1", (F.col("p.m") + share * (F.col("q.m") - F.col("p.m"))).alias("m2"), (F.col("p.e") + share * (F.col("q.e") - F.col("p.e"))).alias("e2"))
+    diff, w = F.col("m2") - F.col("m1"), 1 / (F.col("e1") * F.col("e1") + F.col("e2") * F.col("e2"))
+    s = d.groupBy(by, "lag").agg(F.count("m2").alias("dof"), F.avg(diff).alias("mean"), F.sum(w).alias("w"), F.sum(w * diff).alias("wd"), F.sum(w * diff * diff).alias("wdd"), F.avg("m1").alias("a1"), F.stddev_samp("m1").alias("s1"), F.avg("m2").alias("a2"), F.stddev_samp("m2").alias("s2"), F.sum(F.col("m1") * F.col("m2")).alias("s12"), F.sum(F.when(F.col("m2").isNotNull(), F.col("m1"))).alias("t1"))
+    chi2 = F.col("wdd") - 2 * F.col("mean") * F.col("wd") + F.col("mean") * F.col("mean") * F.col("w")
+    cross = F.col("s12") - F.col("a2") * F.col("t1")
+    return s.select(by, "lag", F.greatest(F.lit(0.0), F.coalesce(chi2, F.lit(0.0))).alias("chi2"), "dof", F.try_divide(F.try_divide(cross, F.col("s1") * F.col("s2")), F.col("dof")).alias("corr"))
+
+
+def difference_interpolation(df: DataFrame, by: str, t: str, v: str, share: float) -> DataFrame:
+    """Values of evenly spaced series a ``share`` of a step after each time, by the polynomial through five points: (by, at, v).
+
+    Times that lack one of the two neighbours on either side have no value.
+    """
+    weights = {i: math.prod((share - j) / (i - j) for j in range(-2, 3) if j != i) for i in range(-2, 3)}
+    w = Window.partitionBy(by).orderBy(t)
+    value = sum((F.lit(x) * (F.lag(v, -i).over(w) if i < 0 else F.lead(v, i).over(w) if i else F.col(v)) for i, x in weights.items()), F.lit(0.0))
+    d = df.select(by, (F.col(t) + share).alias("at"), value.alias("v"), (F.lead(t, 2).over(w) - F.lag(t, 2).over(w)).alias("__wide"))
+    return d.where("__wide = 4").drop("__wide")

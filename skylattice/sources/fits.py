@@ -78,19 +78,33 @@ def _map(files: DataFrame, fn, schema: str) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, schema)
 
 
+def binary_files(spark: SparkSession, path: str, glob: str = "*.fits") -> DataFrame:
+    """(path, content, ..) of the files of a folder."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
+
+
 def read_headers(spark: SparkSession, path: str, glob: str = "*.fits") -> DataFrame:
     """Long table (file, hdu, key, value, comment) of all headers."""
+    return headers_in(binary_files(spark, path, glob))
+
+
+def headers_in(files: DataFrame) -> DataFrame:
+    """read_headers for files that are rows (path, content) already."""
 
     def fn(file, content):
         rows = [(file, n, *c) for n, cards, _, _ in hdus(content) for c in cards]
         yield dict(zip(("file", "hdu", "key", "value", "comment"), map(list, zip(*rows, strict=True)) if rows else ([],) * 5, strict=True))
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
     return _map(files, fn, "file string, hdu int, key string, value string, comment string")
 
 
 def read_images(spark: SparkSession, path: str, glob: str = "*.fits") -> DataFrame:
     """Long table (file, hdu, r, c, v) of all two-dimensional images; NaN becomes null."""
+    return images_in(binary_files(spark, path, glob))
+
+
+def images_in(files: DataFrame) -> DataFrame:
+    """read_images for files that are rows (path, content) already."""
 
     def fn(file, content):
         for n, cards, at, size in hdus(content):
@@ -103,7 +117,6 @@ def read_images(spark: SparkSession, path: str, glob: str = "*.fits") -> DataFra
             for r in range(ny):
                 yield {"file": [file] * nx, "hdu": [n] * nx, "r": [r] * nx, "c": list(range(nx)), "v": [None if np.isnan(x) else x for x in v[r].tolist()]}
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
     return _map(files, fn, "file string, hdu int, r int, c int, v double")
 
 

@@ -78,6 +78,22 @@ def file_list(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     return files.select(name.alias("name"), "path", F.col("length").alias("bytes")).where(name.rlike(pattern))
 
 
+def read_delimited(spark: SparkSession, file: str, head_line: int = 2, start_line: int = 4, sep: str = "|", comment: str = "(", text: Sequence[str] = ()) -> DataFrame:
+    """A delimited file whose names are in one of its first lines, as database clients print tables.
+
+    Columns whose name holds one of the ``text`` parts stay text, all others
+    are numbers (null where they do not parse).  Lines that begin with the
+    comment mark, and those before start_line, are not rows.
+    """
+    lines = spark.read.text(file)
+    top = [r.value for r in lines.limit(start_line - 1).collect()]  # the first lines of one file
+    names = [x.strip() for x in top[head_line - 1].strip().strip(sep).split(sep)]
+    trim = F.regexp_replace(F.trim("value"), f"^[{sep}]|[{sep}]$", "")
+    rows = lines.where(~F.col("value").isin(top) & ~F.ltrim("value").startswith(comment) & F.col("value").contains(sep))
+    parts = rows.select(F.split(trim, f"[{sep}]", -1).alias("p"))
+    return parts.select(*[F.trim(F.get("p", F.lit(i))).alias(n) if any(t in n for t in text) else F.trim(F.get("p", F.lit(i))).try_cast("double").alias(n) for i, n in enumerate(names)])
+
+
 def file_rows(df: DataFrame) -> DataFrame:
     """(name, n): rows of every file that a table was read from."""
     return df.groupBy(F.col("_metadata.file_name").alias("name")).agg(F.count("*").alias("n"))

@@ -92,3 +92,31 @@ def test_registration_finds_rotation_and_scale(spark):
     b = spark.createDataFrame([(i, float(1.25 * (c * x - s * y)) + 7, float(1.25 * (s * x + c * y)) - 3) for i, (x, y) in enumerate(p)], "id long, x double, y double")
     r = rotation_and_scale(a, b, 25.0).first()
     assert abs(r.angle - 40) <= 1 and abs(r.scale - 1.25) < 0.03
+
+
+def test_fields_of_matched_sources(spark, tmp_path):
+    from skylattice.sources import matrix_store as ms
+
+    path = str(tmp_path / "m")
+    d = spark.createDataFrame([(1, 1, 10.0, 0.1), (1, 2, None, 0.2), (2, 1, 12.0, None)], "source long, e long, mag double, err double")
+    ms.write(d, path)
+    assert ms.fields(spark, path) == ["err", "mag"]
+    ms.add(d.where("source = 1").withColumn("sky", F.col("e") * 2.5), path, "sky")
+    ms.add(d.withColumn("mag", F.lit(1.0)), path, "mag")  # in the place of one of the base
+    ms.delete(spark, path, "err")
+    assert ms.fields(spark, path) == ["mag", "sky"]
+    got = ms.read(spark, path, ["sky", "mag"]).orderBy("source", "e").collect()
+    assert [tuple(r) for r in got] == [(1, 1, 2.5, 1.0), (1, 2, 5.0, 1.0), (2, 1, None, 1.0)]
+    ms.delete(spark, path, "sky")
+    with pytest.raises(ValueError, match="sky"):
+        ms.read(spark, path, ["sky"])
+    plan = ms.read(spark, path, [])._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<source:bigint,e:bigint>" in plan
+
+
+def test_lines_of_a_database_client(spark, tmp_path):
+    from skylattice.sources import text_tables
+
+    (tmp_path / "t.txt").write_text("----\n id | fits_x | v\n----\n 1 | a | 2.5\n 2 |  | x\n(2 rows)\n")
+    got = text_tables.read_delimited(spark, str(tmp_path / "t.txt"), text=["fits_"]).orderBy("id").collect()
+    assert [tuple(r) for r in got] == [(1.0, "a", 2.5), (2.0, "", None)]
