@@ -54,14 +54,14 @@ def scargle(df: DataFrame, t: str, value: str, by: Sequence[str], freqs: Sequenc
     first = df.groupBy(*by).agg(F.min(t).alias("__t0"))
     d = with_frequencies(centred(df, value, by).join(first, list(by)), freqs)
     a = 2 * math.pi * F.col("freq") * (F.col(t) - F.col("__t0"))
-    sums = {"mc": F.col("m") * F.cos(a), "ms": F.col("m") * F.sin(a), "c2": F.cos(2 * a), "s2": F.sin(2 * a)}
-    s = d.groupBy(*by, "freq").agg(*[F.sum(x).alias(k) for k, x in sums.items()], F.count(t).alias("k"), F.first("var").alias("var"))
-    turn = F.atan2("s2", "c2") / 2
+    sums = {"__mc": F.col("m") * F.cos(a), "__ms": F.col("m") * F.sin(a), "__c2": F.cos(2 * a), "__s2": F.sin(2 * a)}
+    s = d.groupBy(*by, "freq").agg(*[F.sum(x).alias(k) for k, x in sums.items()], F.count(t).alias("__k"), F.first("var").alias("var"))
+    turn = F.atan2("__s2", "__c2") / 2
     c, w = F.cos(turn), F.sin(turn)
-    half = F.hypot(F.col("c2"), F.col("s2")) / 2
+    half = F.hypot(F.col("__c2"), F.col("__s2")) / 2
     # of an angle that is the same at all times, what is left of the sum of squared sines is rounding
-    part = lambda p, q: F.when(q > 1e-9 * F.col("k"), p * p / q).otherwise(0.0)
-    power = part(F.col("mc") * c + F.col("ms") * w, F.col("k") / 2 + half) + part(F.col("ms") * c - F.col("mc") * w, F.col("k") / 2 - half)
+    part = lambda p, q: F.when(q > 1e-9 * F.col("__k"), p * p / q).otherwise(0.0)
+    power = part(F.col("__mc") * c + F.col("__ms") * w, F.col("__k") / 2 + half) + part(F.col("__ms") * c - F.col("__mc") * w, F.col("__k") / 2 - half)
     return s.select(*by, "freq", F.try_divide(0.5 * power, F.col("var")).alias("power"))
 
 

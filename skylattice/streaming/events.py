@@ -106,7 +106,7 @@ class VisitCounter(StatefulProcessor):
         self.handle = handle
         self.visits = handle.getValueState("visits", "n long, first timestamp, last timestamp")
 
-    def handleInputRows(self, key, rows, timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         n, first, last = self.visits.get() if self.visits.exists() else (0, None, None)
         for part in rows:
             n += len(part)
@@ -120,7 +120,7 @@ class VisitCounter(StatefulProcessor):
             self.handle.registerTimer(int(pd.Timestamp(last).timestamp() * 1000) + self.idle_ms)
         yield pd.DataFrame({"key": [key[0]], "n": [n], "first": [first], "last": [last], "ended": [False]})
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         n, first, last = self.visits.get()
         self.visits.clear()
         yield pd.DataFrame({"key": [key[0]], "n": [n], "first": [first], "last": [last], "ended": [True]})

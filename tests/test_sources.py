@@ -80,7 +80,7 @@ def test_cover_loses_no_row_and_is_tight():
 
 def test_mesh_store_reads_what_it_needs(spark, tmp_path):
     d = spark.range(20000).select("id", (F.rand(3) * 360).alias("ra"), F.degrees(F.asin(F.rand(4) * 2 - 1)).alias("dec"))
-    d = d.union(spark.createDataFrame([(-1, None, 3.0), (-2, 0.0, 90.0), (-3, 90.0, 0.0), (-4, 180.0, -90.0)], d.schema)).union(spark.range(30).select(F.col("id") + 50000, F.lit(12.5), F.lit(-3.25)))
+    d = d.union(spark.createDataFrame([(-1, None, 3.0), (-2, 0.0, 90.0), (-3, 90.0, 0.0), (-4, 180.0, -90.0)], "id long, ra double, dec double")).union(spark.range(30).select(F.col("id") + 50000, F.lit(12.5), F.lit(-3.25)))
     path = str(tmp_path / "m")
     mesh_store.write_mesh(d, path, cells=2)
     stored = spark.read.parquet(path)
