@@ -145,7 +145,7 @@ def split_tables(spark, tmp_path_factory):
     return str(one), str(many)
 
 
-@pytest.mark.parametrize("name", ["stream_tumbling", "stream_sliding", "stream_sessions", "stream_dedup", "stream_visits"])
+@pytest.mark.parametrize("name", ["stream_tumbling", "stream_sliding", "stream_sessions", "stream_dedup", "stream_visits", "stream_ingest"])
 def test_streams_over_part_files_out_of_order(spark, split_tables, name):
     one, many = split_tables
     f, sql = QUERIES[name], ORACLE[name]
