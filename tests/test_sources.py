@@ -93,14 +93,14 @@ def test_mesh_store_reads_what_it_needs(spark, tmp_path):
         assert {x.id for x in got.collect()} == {x.id for x in cone(d, ra, dec, r).collect()}
     small = mesh_store.read_mesh_cone(spark, path, 120.0, 10.0, 2.0, cells=2)
     plan = small._jdf.queryExecution().executedPlan().toString()
-    assert re.search(r"PartitionFilters: [[][^]]*mesh_cell#\d+ (=|IN)", plan) and "GreaterThanOrEqual(mesh_id" in plan
+    assert re.search(r"PartitionFilters: \[[^]]*mesh_cell#\d+ (=|IN)", plan) and "GreaterThanOrEqual(mesh_id" in plan
     probes = d.where("id % 997 = 0 or id < 0 or id > 50000").unionByName(d.where("id = 997"))
     got = mesh_store.match_store(spark, path, probes, 1.5, cells=2)
     want = zone_pairs(probes, d, 1.5)
     key = lambda x, b: sorted((r.probe_id, r[b], round(r.dist, 9)) for r in x.collect())
     assert key(got, "id") == key(want, "cat_id") and len(key(got, "id")) > 900
     few = mesh_store.match_store(spark, path, probes.where("id = 997").limit(1), 0.5, cells=2)
-    assert re.search(r"PartitionFilters: [[][^]]*mesh_cell#\d+ (=|IN)", few._jdf.queryExecution().executedPlan().toString())
+    assert re.search(r"PartitionFilters: \[[^]]*mesh_cell#\d+ (=|IN)", few._jdf.queryExecution().executedPlan().toString())
     assert mesh_store.match_store(spark, path, probes.limit(0), 0.5, cells=2).count() == 0
 
 
