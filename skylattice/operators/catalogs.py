@@ -9,7 +9,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skylattice.operators.groups import largest_group, quantiles
+from skylattice.operators.groups import largest_group, own, quantiles, row_windows, running
 from skylattice.operators.spatial import plane_pairs
 from skylattice.operators.stats import IQR_TO_STD, half_open_bin
 
@@ -86,7 +86,8 @@ def strict_ranges(df: DataFrame, ranges: dict[str, tuple[float, float]], every:
 
 def mode_density(df: DataFrame, value: str, by: Sequence[str], k: int) -> DataFrame:
     """Middle of the shortest stretch of k + 1 sorted values."""
-    d = df.withColumn("__up", F.lead(value, k).over(Window.partitionBy(*by).orderBy(value))).where("__up is not null")
+    d, w = row_windows(df.select(*by, value), by, [value], 0, k)
+    d = own(d.withColumn("__up", F.lead(value, k).over(w))).where("__up is not null")
     return d.groupBy(*by).agg(F.min_by((F.col(value) + F.col("__up")) / 2, F.struct(F.col("__up") - F.col(value), F.col(value))).alias("mode"))
 
 
@@ -120,17 +121,16 @@ def kernel_mean(df: DataFrame, key: str, t: str, value: str, by: Sequence[str],
 
 def integral_limits(df: DataFrame, t: str, value: str, by: Sequence[str], share: float, order: Sequence[str] = ()) -> DataFrame:
     """Times at which the running sum passes the tails outside a central share."""
-    w = Window.partitionBy(*by).orderBy(t, *order)
-    d = df.withColumn("__c", F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0)) / F.sum(value).over(Window.partitionBy(*by)))
+    d = running(df, by, [t, *order], value, "__s", "__t").withColumn("__c", F.col("__s") / F.col("__t"))
     tail = round((1 - share) / 2, 12)
     return d.groupBy(*by).agg(F.min(F.when(F.col("__c") >= tail, F.col(t))).alias("left_limit"), F.min(F.when(F.col("__c") >= 1 - tail, F.col(t))).alias("right_limit"))
 
 
 def trapezoid_error(df: DataFrame, t: str, err: str, by: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
     """Error of the trapezoid integral from independent errors."""
-    w = Window.partitionBy(*by).orderBy(t, *order)
+    d, w = row_windows(df, by, [t, *order], 0, 1)
     e = F.lead(err).over(w)
-    d = df.withColumn("__s", F.pow((F.lead(t).over(w) - F.col(t)) / 2, F.lit(2)) * (F.col(err) * F.col(err) + e * e))
+    d = own(d.withColumn("__s", F.pow((F.lead(t).over(w) - F.col(t)) / 2, F.lit(2)) * (F.col(err) * F.col(err) + e * e)))
     return d.groupBy(*by).agg(F.sqrt(F.coalesce(F.sum("__s"), F.lit(0.0))).alias("int_err"))
 
 

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from skylattice.plans.storage import checkpointed
 
@@ -19,6 +20,19 @@ from skylattice.plans.storage import checkpointed
 GROUP_ROWS = 1 << 22
 
 
+def _in_ranges(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Stored rows in the order of group and columns: ``__id`` counts them up within the range ``__p``.
+
+    A digest of the row splits those that are equal in group and order.
+    """
+    plain = [c for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+    d = df.withColumn("__tie", F.xxhash64(*plain))
+    d = d.repartitionByRange(*by, *order, "__tie").sortWithinPartitions(*by, *order, "__tie").drop("__tie")
+    # ids count up from 2^33 times the number of the partition
+    d = checkpointed(d.withColumn("__id", F.monotonically_increasing_id()))
+    return d.withColumn("__p", F.shiftright("__id", 33))
+
+
 def largest_group(df: DataFrame, by: Sequence[str]) -> int:
     """Rows of the largest group (0 for an empty table)."""
     return df.groupBy(*by).agg(F.count("*").alias("__c")).agg(F.max("__c")).first()[0] or 0
@@ -33,10 +47,7 @@ def ranked(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str, si
     if (largest_group(df, by) if largest is None else largest) <= GROUP_ROWS:
         w = Window.partitionBy(*by)
         return df.withColumn(name, F.row_number().over(w.orderBy(*order)).cast("bigint")).withColumn(size, F.count("*").over(w))
-    d = df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order)
-    # ids count up from 2^33 times the number of the partition
-    d = checkpointed(d.withColumn("__id", F.monotonically_increasing_id()))
-    d = d.withColumn("__p", F.shiftright("__id", 33))
+    d = _in_ranges(df, by, order)
     parts = d.groupBy(*by, "__p").agg(F.min("__id").alias("__f"), F.count("*").alias("__c"))
     w = Window.partitionBy(*by)
     before = F.coalesce(F.sum("__c").over(w.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -47,6 +58,46 @@ def ranked(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str, si
     return d.join(parts, same).withColumn(name, F.col("__id") + F.col("__shift")).select(*df.columns, name, size)
 
 
+def running(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, name: str, total: str, largest: int | None = None) -> DataFrame:
+    """Sum of a value up to and with every row of a group in an order (``name``), and the sum of the group (``total``); nulls count nothing."""
+    if (largest_group(df, by) if largest is None else largest) <= GROUP_ROWS:
+        w = Window.partitionBy(*by)
+        return df.withColumn(name, F.sum(value).over(w.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))).withColumn(total, F.sum(value).over(w))
+    d = _in_ranges(df, by, order)
+    d = d.withColumn("__s", F.sum(value).over(Window.partitionBy(*by, "__p").orderBy("__id").rowsBetween(Window.unboundedPreceding, 0)))
+    w = Window.partitionBy(*by)
+    parts = d.groupBy(*by, "__p").agg(F.sum(value).alias("__c"))
+    parts = parts.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(by)], F.col("__p").alias("__q"), F.sum("__c").over(w.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)).alias("__before"), F.sum("__c").over(w).alias(total))
+    same = F.col("__p") == F.col("__q")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"__k{i}"))
+    return d.join(parts, same).withColumn(name, F.coalesce(F.col("__before") + F.col("__s"), "__s", "__before")).select(*df.columns, name, total)
+
+
+def row_windows(df: DataFrame, by: Sequence[str], order: Sequence[str], before: int, after: int, largest: int | None = None) -> tuple[DataFrame, WindowSpec]:
+    """Rows and a window of their group in an order, for functions that look at most so many rows back and on.
+
+    Rows get their number from 1 (``__i``) and ``__own``: the caller keeps rows
+    that have it set once the window's columns are there, then drops both
+    (:func:`own`).  Where a group is large, the window runs over blocks of it
+    that hold copies of their neighbours' edges.
+    """
+    if (largest_group(df, by) if largest is None else largest) <= GROUP_ROWS:
+        w = Window.partitionBy(*by).orderBy(*order)
+        return df.withColumn("__i", F.row_number().over(w).cast("bigint")).withColumn("__own", F.lit(True)), w
+    size = max(GROUP_ROWS, before, after)
+    d = ranked(df, by, order, "__i", "__n", GROUP_ROWS + 1).drop("__n")
+    place, block = (F.col("__i") - 1) % size, F.floor((F.col("__i") - 1) / size)
+    copies = F.array_compact(F.array(block, F.when(place >= size - before, block + 1), F.when(place < after, block - 1)))
+    d = d.withColumn("__home", block).withColumn("__block", F.explode(copies)).withColumn("__own", F.col("__block") == F.col("__home")).drop("__home")
+    return d, Window.partitionBy(*by, "__block").orderBy("__i")
+
+
+def own(df: DataFrame) -> DataFrame:
+    """The rows themselves of :func:`row_windows`, without its columns."""
+    return df.where("__own").drop("__own", "__i", "__block")
+
+
 def quantiles(df: DataFrame, by: Sequence[str], value: str, shares: dict[str, float], largest: int | None = None) -> DataFrame:
     """Exact quantiles (linear interpolation, nulls left out) of every group; a column for each name of ``shares``, and the count ``__n``."""
     d = df.where(F.col(value).isNotNull()).select(*by, value)

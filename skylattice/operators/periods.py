@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skylattice.operators.groups import largest_group, ranked
 from skylattice.operators.timeseries import centred, phase, with_frequencies
 
 
@@ -46,16 +47,16 @@ def shuffled_power(df: DataFrame, key: str, t: str, value: str, by: Sequence[str
 
     The order of a shuffle is that of a digest of the unique key and its
     number, so every run draws the same.  Digests name the rows, ranks pair
-    them: one window a shuffle and series.
+    them within every shuffle and series.
     """
     d = centred(df, value, by).select(*by, key, t, "m", "n", "var")
-    w = Window.partitionBy(*by, "sim")
+    large, keys = largest_group(df, by), [*by, "sim"]
     sims = d.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(n_sim))))
     drawn = F.when(F.col("sim") == 0, F.lpad(F.col(key).cast("string"), 32, "0")).otherwise(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.col("sim").cast("string"))))
-    a = sims.select(*by, "sim", F.col(t).alias("t"), "n", "var", F.row_number().over(w.orderBy(key)).alias("k"))
-    b = sims.select(*by, "sim", "m", F.row_number().over(w.orderBy(drawn, key)).alias("k"))
+    a = ranked(sims.select(*keys, F.col(t).alias("t"), "n", "var", F.col(key).alias("__id_")), keys, ["__id_"], "k", "__size", large).select(*keys, "t", "n", "var", "k")
+    b = ranked(sims.select(*keys, "m", drawn.alias("__drawn"), F.col(key).alias("__id_")), keys, ["__drawn", "__id_"], "k", "__size", large).select(*keys, "m", "k")
     x = 2 * math.pi * freq * F.col("t")
-    s = a.join(b, [*by, "sim", "k"]).groupBy(*by, "sim").agg(F.sum(F.col("m") * F.cos(x)).alias("c"), F.sum(F.col("m") * F.sin(x)).alias("s"), F.first("n").alias("n"), F.first("var").alias("var"))
+    s = a.join(b, [*keys, "k"]).groupBy(*by, "sim").agg(F.sum(F.col("m") * F.cos(x)).alias("c"), F.sum(F.col("m") * F.sin(x)).alias("s"), F.first("n").alias("n"), F.first("var").alias("var"))
     p = s.select(*by, "sim", F.try_divide((F.col("c") * F.col("c") + F.col("s") * F.col("s")) / F.col("n"), F.col("var")).alias("p"))
     true = p.where("sim = 0").select(*by, F.col("p").alias("power"))
     return p.where("sim > 0").join(true, list(by)).groupBy(*by, "power").agg(F.count_if(F.col("p") >= F.col("power")).alias("n_above"))

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skylattice.operators.groups import own, row_windows
+
 
 def counter_runs(df: DataFrame, counter: str, by: Sequence[str], min_size: int = 1, max_size: int | None = None) -> DataFrame:
     """Runs of counters that go up by one; long ones are cut at max_size, short ones dropped."""
@@ -54,29 +56,30 @@ def running_z(value: str, half: int, w: Window) -> Column:
 
 def von_neumann(df: DataFrame, t: str, value: str, by: Sequence[str]) -> DataFrame:
     """n sum(step^2) / ((n-1) sum(deviation^2)) per series; NULL for constant or single values."""
-    d = df.withColumn("step", F.col(value) - F.lag(value).over(Window.partitionBy(*by).orderBy(*t.split(","))))
+    d, w = row_windows(df, by, t.split(","), 1, 0)
+    d = own(d.withColumn("step", F.col(value) - F.lag(value).over(w)))
     a = d.groupBy(*by).agg(F.count(value).alias("n"), F.sum(F.col("step") * F.col("step")).alias("ss"), F.var_samp(value).alias("v"))
     return a.select(*by, F.when(F.col("v") > 0, F.col("n") * F.col("ss") / ((F.col("n") - 1) * F.col("v") * (F.col("n") - 1))).alias("von_neumann"))
 
 
 def trapezoid(df: DataFrame, x: str, y: str, by: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
     """Integral by the trapezoid rule."""
-    w = Window.partitionBy(*by).orderBy(x, *order)
-    d = df.withColumn("a", F.abs(F.lead(x).over(w) - F.col(x)) * (F.col(y) + F.lead(y).over(w)) / 2)
+    d, w = row_windows(df, by, [x, *order], 0, 1)
+    d = own(d.withColumn("a", F.abs(F.lead(x).over(w) - F.col(x)) * (F.col(y) + F.lead(y).over(w)) / 2))
     return d.groupBy(*by).agg(F.coalesce(F.sum("a"), F.lit(0.0)).alias("integral"))
 
 
 def curve_length(df: DataFrame, x: str, y: str, by: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
     """Length of the line through the points."""
-    w = Window.partitionBy(*by).orderBy(x, *order)
-    d = df.withColumn("dx", F.col(x) - F.lag(x).over(w)).withColumn("dy", F.col(y) - F.lag(y).over(w))
+    d, w = row_windows(df, by, [x, *order], 1, 0)
+    d = own(d.withColumn("dx", F.col(x) - F.lag(x).over(w)).withColumn("dy", F.col(y) - F.lag(y).over(w)))
     return d.groupBy(*by).agg(F.coalesce(F.sum(F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))), F.lit(0.0)).alias("length"))
 
 
 def local_extrema(df: DataFrame, x: str, y: str, by: Sequence[str]) -> DataFrame:
     """Rows higher or lower than both neighbours, with the vertex of the parabola through the three."""
-    w = Window.partitionBy(*by).orderBy(x)
-    d = df.withColumn("y0", F.lag(y).over(w)).withColumn("y2", F.lead(y).over(w)).withColumn("x0", F.lag(x).over(w)).withColumn("x2", F.lead(x).over(w))
+    d, w = row_windows(df, by, [x], 1, 1)
+    d = own(d.withColumn("y0", F.lag(y).over(w)).withColumn("y2", F.lead(y).over(w)).withColumn("x0", F.lag(x).over(w)).withColumn("x2", F.lead(x).over(w)))
     kind = F.when((F.col(y) > F.col("y0")) & (F.col(y) > F.col("y2")), "max").when((F.col(y) < F.col("y0")) & (F.col(y) < F.col("y2")), "min")
     d = d.withColumn("kind", kind).where("kind is not null")
     a, b = F.col(x) - F.col("x0"), F.col(x) - F.col("x2")
@@ -86,8 +89,8 @@ def local_extrema(df: DataFrame, x: str, y: str, by: Sequence[str]) -> DataFrame
 
 def zero_crossings(df: DataFrame, x: str, y: str, by: Sequence[str]) -> DataFrame:
     """Linear roots between rows of opposite sign."""
-    w = Window.partitionBy(*by).orderBy(x)
-    d = df.withColumn("x0", F.lag(x).over(w)).withColumn("y0", F.lag(y).over(w)).where(F.col("y0") * F.col(y) < 0)
+    d, w = row_windows(df, by, [x], 1, 0)
+    d = own(d.withColumn("x0", F.lag(x).over(w)).withColumn("y0", F.lag(y).over(w))).where(F.col("y0") * F.col(y) < 0)
     return d.select(*by, (F.col("x0") - F.col("y0") * (F.col(x) - F.col("x0")) / (F.col(y) - F.col("y0"))).alias("root"))
 
 

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skylattice.operators.groups import ranked
+from skylattice.operators.groups import largest_group, own, ranked, row_windows, running
 
 #: From the half interquartile range and the mean deviation to a standard deviation.
 IQR_TO_STD, L1_TO_STD = 1.4826, 1.1547
@@ -42,12 +42,13 @@ def wmean(value: str, err: str) -> list[Column]:
 
 def wmedian(df: DataFrame, value: str, err: str, by: Sequence[str]) -> DataFrame:
     """Value at which the cumulative weight (1/err^2) reaches one half, linear in between; the first weight counts as one half at most."""
-    w = Window.partitionBy(*by).orderBy(value, err)
-    d = df.where(F.col(value).isNotNull() & F.col(err).isNotNull()).withColumn("w", 1 / (F.col(err) * F.col(err)))
-    d = d.withColumn("c", F.sum("w").over(w.rowsBetween(Window.unboundedPreceding, 0)) / F.sum("w").over(Window.partitionBy(*by)))
-    d = d.withColumn("n", F.row_number().over(w)).withColumn("c", F.when(F.col("n") == 1, F.least(F.col("c"), F.lit(0.5))).otherwise(F.col("c")))
+    d = df.where(F.col(value).isNotNull() & F.col(err).isNotNull()).select(*by, value, err).withColumn("w", 1 / (F.col(err) * F.col(err)))
+    large = largest_group(d, by)
+    d = running(d, by, [value, err], "w", "__c", "__t", large).withColumn("c", F.col("__c") / F.col("__t"))
+    d, w = row_windows(d, by, [value, err, "__c"], 1, 0, large)
+    d = d.withColumn("c", F.when(F.col("__i") == 1, F.least(F.col("c"), F.lit(0.5))).otherwise(F.col("c")))
     d = d.withColumn("c0", F.lag("c").over(w)).withColumn("v0", F.lag(value).over(w))
-    hit = d.where((F.col("c") >= 0.5) & (F.col("c0").isNull() | (F.col("c0") < 0.5)))
+    hit = own(d).where((F.col("c") >= 0.5) & (F.col("c0").isNull() | (F.col("c0") < 0.5)))
     at = F.when(F.col("c0").isNull(), F.col(value)).otherwise(F.col("v0") + (F.col(value) - F.col("v0")) * (0.5 - F.col("c0")) / (F.col("c") - F.col("c0")))
     return hit.select(*by, at.alias("wmedian"))
 

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from skylattice.operators.groups import largest_group, quantiles
 from skylattice.plans.storage import checkpointed
 
+#: Slices of phase of a folded curve.
+SLICES = 64
+
 
 def phase(t: Column, t0: Column | float, period: float) -> Column:
     """Phase in [0, 1)."""
@@ -84,11 +87,19 @@ def phase_entropy(df: DataFrame, t: str, value: str, by: Sequence[str], freqs: S
 
 
 def string_length(df: DataFrame, t: str, value: str, by: Sequence[str], freqs: Sequence[float]) -> DataFrame:
-    """Length of the folded curve."""
-    d = with_frequencies(df, freqs).withColumn("ph", phase(F.col(t) * F.col("freq"), F.lit(0.0), 1.0))
-    w = Window.partitionBy(*by, "freq").orderBy("ph", value)
-    d = d.withColumn("l", F.sqrt(F.pow(F.col("ph") - F.lag("ph").over(w), F.lit(2)) + F.pow(F.col(value) - F.lag(value).over(w), F.lit(2))))
-    return d.groupBy(*by, "freq").agg(F.sum("l").alias("length"))
+    """Length of the folded curve.
+
+    The points are put in order within slices of phase, so a long series is
+    many groups at every frequency; the slices are then linked by their ends.
+    """
+    d = with_frequencies(df.select(*by, t, value), freqs).withColumn("ph", phase(F.col(t) * F.col("freq"), F.lit(0.0), 1.0))
+    d = d.withColumn("slice", F.floor(F.col("ph") * SLICES)).withColumn("at", F.struct("ph", F.col(value).alias("v")))
+    far = lambda a, b: F.sqrt(F.pow(a["ph"] - b["ph"], F.lit(2)) + F.pow(a["v"] - b["v"], F.lit(2)))
+    d = d.withColumn("l", far(F.col("at"), F.lag("at").over(Window.partitionBy(*by, "freq", "slice").orderBy("at"))))
+    s = d.groupBy(*by, "freq", "slice").agg(F.sum("l").alias("l"), F.min("at").alias("first"), F.max("at").alias("last"))
+    link = far(F.col("first"), F.lag("last").over(Window.partitionBy(*by, "freq").orderBy("slice")))
+    s = s.withColumn("link", link).withColumn("l", F.coalesce(F.col("l") + F.col("link"), "l", "link"))
+    return s.groupBy(*by, "freq").agg(F.sum("l").alias("length"))
 
 
 def dcf(a: DataFrame, b: DataFrame, t: str, value: str, bin_size: float, max_lag: float) -> DataFrame:

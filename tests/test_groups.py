@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skylattice.operators import catalogs, groups, significance, stats, timeseries
+from skylattice.operators import catalogs, groups, models, periods, sequence, significance, stats, timeseries
 
 
 @pytest.fixture
@@ -52,3 +52,51 @@ def test_joins_of_hot_keys(spark):
     few = spark.createDataFrame([(1, "a"), (1, "b"), (950, "c")], "k long, x string")
     assert groups.spread_join(d, few, "k", F.col("id")).count() == 1801
     assert groups.spread_join(d, few, "k", F.col("id"), "left").count() == 1900
+
+
+def test_windows_of_large_groups(spark, rows, monkeypatch):
+    d = rows.where("k is not null and v is not null").withColumn("x", F.col("id") % 97 + F.col("id") / 1000).withColumn("e", 1 + F.col("id") % 4).withColumn("y", F.col("v") - 0.5)
+    calls = [
+        lambda: stats.wmedian(d, "v", "e", ["k"]), lambda: catalogs.mode_density(d, "v", ["k"], 12), lambda: catalogs.integral_limits(d, "x", "v", ["k"], 0.9, ["id"]), lambda: catalogs.trapezoid_error(d, "x", "e", ["k"]),
+        lambda: sequence.von_neumann(d, "x,id", "v", ["k"]), lambda: sequence.trapezoid(d, "x", "v", ["k"]), lambda: sequence.curve_length(d, "x", "v", ["k"]), lambda: sequence.local_extrema(d, "x", "v", ["k"]), lambda: sequence.zero_crossings(d, "x", "y", ["k"]),
+        lambda: models.lag_correlation(d, "k", "x", "v", "y", 12), lambda: models.matched_filter(d, "k", "x", "v", [0, 1, 3, 1, 0]), lambda: periods.shuffled_power(d, "id", "x", "v", ["k"], 0.3, 3),
+    ]
+    plain = lambda df: sorted(tuple(round(x, 7) if isinstance(x, float) else x for x in (r[c] for c in sorted(df.columns))) for r in df.fillna(-99).collect())
+    small = [plain(c()) for c in calls]
+    monkeypatch.setattr(groups, "GROUP_ROWS", 10)
+    for i, c in enumerate(calls):
+        assert plain(c()) == small[i], i
+    assert all(small)
+
+
+def test_running_sums(spark, monkeypatch):
+    some = [(i % 2, i, None if i < 6 or i % 5 == 0 else float(i)) for i in range(90)] + [(5, 1, None), (None, 1, 2.0), (None, 0, 3.0)]
+    d = spark.createDataFrame(some, "k long, id long, v double")
+    one = {tuple(r) for r in groups.running(d, ["k"], ["id"], "v", "s", "t").collect()}
+    monkeypatch.setattr(groups, "GROUP_ROWS", 10)
+    assert {tuple(r) for r in groups.running(d, ["k"], ["id"], "v", "s", "t").collect()} == one and len(one) == 93
+
+
+def test_equal_rows_of_a_large_group_spread(spark, monkeypatch):
+    monkeypatch.setattr(groups, "GROUP_ROWS", 10)
+    d = spark.range(4000).select(F.lit(1).alias("k"), F.lit(2.0).alias("v"), "id").repartition(8)
+    # small ranges are put together at run time otherwise
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert groups._in_ranges(d, ["k"], ["v"]).groupBy("__p").count().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = groups.ranked(d, ["k"], ["v"], "i", "n").agg(F.count_distinct("i").alias("c"), F.max("i").alias("m"), F.max("n").alias("n")).first()
+    assert tuple(got) == (4000, 4000, 4000)
+
+
+def test_folded_length_across_slices(spark):
+    r = random.Random(5)
+    some = [(k, r.uniform(0, 50), r.choice([1.0, 2.0, r.random()])) for k in (1, 2) for _ in range(60)] + [(3, 0.4, 1.0), (4, None, 1.0), (4, 0.1, 2.0), (4, 0.2, None)]
+    d = spark.createDataFrame(some, "k long, t double, v double")
+    got = {(x.k, x.freq): x.length for x in timeseries.string_length(d, "t", "v", ["k"], [0.01, 0.37]).collect()}
+    for k in (1, 2):
+        for f in (0.01, 0.37):
+            p = sorted((t * f - np.floor(t * f), v) for q, t, v in some if q == k)
+            assert np.isclose(got[k, f], sum(np.hypot(a[0] - b[0], a[1] - b[1]) for a, b in zip(p, p[1:])))
+    assert len(got) == 8 and got[3, 0.37] is None and got[4, 0.37] is None
