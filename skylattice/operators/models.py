@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import _parse_datatype_string
 
-from skylattice.operators.groups import row_windows, spread_join
+from skylattice.operators.groups import largest_group, row_windows, spread_join
 
 #: Modulus of the hash that draws rows: squares of what is below it are 64-bit integers.
 PRIME = 2147483647
@@ -104,10 +104,11 @@ def harmonics(df: DataFrame, by: str, t: str, v: str, freq: float, n: int = 2) -
 def lag_correlation(df: DataFrame, by: str, t: str, v1: str, v2: str, max_lag: int) -> DataFrame:
     """Correlation of two evenly spaced columns of a series at every lag up to max_lag; 0 where one of them is constant."""
     d = df.select(F.col(by).alias("__key"), F.col(t).alias("t"), F.col(v1).cast("double").alias("a"), F.col(v2).cast("double").alias("b")).dropna()
+    large = largest_group(d, ["__key"])
     m = d.groupBy("__key").agg(F.avg("a").alias("am"), F.avg("b").alias("bm"), F.count("*").alias("n"))
     d = d.join(m, "__key").withColumn("a", F.col("a") - F.col("am")).withColumn("b", F.col("b") - F.col("bm"))
     lags = list(range(-max_lag, max_lag + 1))
-    d, w = row_windows(d, ["__key"], ["t"], max_lag, max_lag)
+    d, w = row_windows(d, ["__key"], ["t"], max_lag, max_lag, large)
     d = d.select("__key", "n", "a", "b", "__own", *[F.lead("b", k).over(w).alias(f"b{i}") for i, k in enumerate(lags)]).where("__own")
     s = d.groupBy("__key", "n").agg(F.sqrt(F.sum(F.col("a") * F.col("a")) * F.sum(F.col("b") * F.col("b"))).alias("norm"), *[F.coalesce(F.sum(F.col("a") * F.col(f"b{i}")), F.lit(0.0)).alias(f"c{i}") for i in range(len(lags))])
     rows = F.array(*[F.struct(F.lit(k).cast("long").alias("lag"), F.coalesce(F.try_divide(F.col(f"c{i}"), F.col("norm")), F.lit(0.0)).alias("corr")) for i, k in enumerate(lags)])
@@ -198,9 +199,10 @@ def matched_filter(df: DataFrame, by: str, t: str, v: str, template: Sequence[fl
     w = np.asarray(template, float)
     w = (w - w.mean()) / np.linalg.norm(w - w.mean())
     d = df.select(F.col(by).alias("__key"), F.col(t).alias("t"), F.col(v).cast("double").alias("v")).dropna(subset=["t", "v"])
+    large = largest_group(d, ["__key"])
     m = d.groupBy("__key").agg(F.avg("v").alias("vm"), F.stddev_pop("v").alias("vs"))
     d = d.join(m, "__key").withColumn("y", F.coalesce(F.try_divide(F.col("v") - F.col("vm"), F.col("vs")), F.lit(0.0)))
-    d, over = row_windows(d, ["__key"], ["t", "v"], 0, len(w) - 1)
+    d, over = row_windows(d, ["__key"], ["t", "v"], 0, len(w) - 1, large)
     corr = reduce(lambda a, b: a + b, [F.lead("y", k).over(over) * float(x) if k else F.col("y") * float(x) for k, x in enumerate(w)])
     c = d.select("__key", corr.alias("c"), (F.col("__i") - 1).alias("i"), "__own").where("__own")
     best = c.groupBy("__key").agg(F.max("c").alias("best"), F.min_by("i", F.struct(F.col("c").isNull(), -F.col("c"), F.col("i"))).alias("at"))

@@ -53,10 +53,10 @@ def shuffled_power(df: DataFrame, key: str, t: str, value: str, by: Sequence[str
     large, keys = largest_group(df, by), [*by, "sim"]
     sims = d.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(n_sim))))
     drawn = F.when(F.col("sim") == 0, F.lpad(F.col(key).cast("string"), 32, "0")).otherwise(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.col("sim").cast("string"))))
-    a = ranked(sims.select(*keys, F.col(t).alias("t"), "n", "var", F.col(key).alias("__id_")), keys, ["__id_"], "k", "__size", large).select(*keys, "t", "n", "var", "k")
-    b = ranked(sims.select(*keys, "m", drawn.alias("__drawn"), F.col(key).alias("__id_")), keys, ["__drawn", "__id_"], "k", "__size", large).select(*keys, "m", "k")
-    x = 2 * math.pi * freq * F.col("t")
-    s = a.join(b, [*keys, "k"]).groupBy(*by, "sim").agg(F.sum(F.col("m") * F.cos(x)).alias("c"), F.sum(F.col("m") * F.sin(x)).alias("s"), F.first("n").alias("n"), F.first("var").alias("var"))
+    a = ranked(sims.select(*keys, F.col(t).alias("__x"), "n", "var", F.col(key).alias("__id_")), keys, ["__id_"], "__i", "__size", large).select(*keys, "__x", "n", "var", "__i")
+    b = ranked(sims.select(*keys, F.col("m").alias("__m"), drawn.alias("__drawn"), F.col(key).alias("__id_")), keys, ["__drawn", "__id_"], "__i", "__size", large).select(*keys, "__m", "__i")
+    x = 2 * math.pi * freq * F.col("__x")
+    s = a.join(b, [*keys, "__i"]).groupBy(*keys).agg(F.sum(F.col("__m") * F.cos(x)).alias("c"), F.sum(F.col("__m") * F.sin(x)).alias("s"), F.first("n").alias("n"), F.first("var").alias("var"))
     p = s.select(*by, "sim", F.try_divide((F.col("c") * F.col("c") + F.col("s") * F.col("s")) / F.col("n"), F.col("var")).alias("p"))
     true = p.where("sim = 0").select(*by, F.col("p").alias("power"))
     return p.where("sim > 0").join(true, list(by)).groupBy(*by, "power").agg(F.count_if(F.col("p") >= F.col("power")).alias("n_above"))

@@ -93,9 +93,11 @@ def string_length(df: DataFrame, t: str, value: str, by: Sequence[str], freqs: S
     many groups at every frequency; the slices are then linked by their ends.
     """
     d = with_frequencies(df.select(*by, t, value), freqs).withColumn("ph", phase(F.col(t) * F.col("freq"), F.lit(0.0), 1.0))
-    d = d.withColumn("slice", F.floor(F.col("ph") * SLICES)).withColumn("at", F.struct("ph", F.col(value).alias("v")))
     far = lambda a, b: F.sqrt(F.pow(a["ph"] - b["ph"], F.lit(2)) + F.pow(a["v"] - b["v"], F.lit(2)))
-    d = d.withColumn("l", far(F.col("at"), F.lag("at").over(Window.partitionBy(*by, "freq", "slice").orderBy("at"))))
+    w = Window.partitionBy(*by, "freq", "slice").orderBy("ph", value)
+    d = d.withColumn("slice", F.floor(F.col("ph") * SLICES)).withColumns({"__p": F.lag("ph").over(w), "__v": F.lag(value).over(w)})
+    at = F.struct("ph", F.col(value).alias("v"))
+    d = d.select(*by, "freq", "slice", at.alias("at"), far(at, F.struct(F.col("__p").alias("ph"), F.col("__v").alias("v"))).alias("l"))
     s = d.groupBy(*by, "freq", "slice").agg(F.sum("l").alias("l"), F.min("at").alias("first"), F.max("at").alias("last"))
     link = far(F.col("first"), F.lag("last").over(Window.partitionBy(*by, "freq").orderBy("slice")))
     s = s.withColumn("link", link).withColumn("l", F.coalesce(F.col("l") + F.col("link"), "l", "link"))
