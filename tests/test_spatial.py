@@ -94,3 +94,11 @@ def test_conjunctions_meet_within_reach_only(spark):
     out = movers.conjunctions(*frames, 6.0)
     assert want and {(r.id1, r.id2, r.t) for r in out.collect()} == want
     assert "cell" in out._jdf.queryExecution().optimizedPlan().toString()  # the lists meet through cells, not on the time alone
+
+
+def test_an_angle_just_below_zero_is_just_below_a_turn(spark):
+    from skylattice.functions import sphere
+
+    r = spark.createDataFrame([(-1e-17,), (-0.5,), (7.0,), (0.0,)], "a double").select(sphere.wrap_2pi(F.col("a")).alias("w")).collect()
+    assert round(r[0].w, 6) == 6.283185 and r[0].w < 2 * math.pi
+    assert [round(x.w, 9) for x in r[1:]] == [round(2 * math.pi - 0.5, 9), round(7 - 2 * math.pi, 9), 0.0]
