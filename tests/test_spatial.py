@@ -102,3 +102,10 @@ def test_an_angle_just_below_zero_is_just_below_a_turn(spark):
     r = spark.createDataFrame([(-1e-17,), (-0.5,), (7.0,), (0.0,)], "a double").select(sphere.wrap_2pi(F.col("a")).alias("w")).collect()
     assert round(r[0].w, 6) == 6.283185 and r[0].w < 2 * math.pi
     assert [round(x.w, 9) for x in r[1:]] == [round(2 * math.pi - 0.5, 9), round(7 - 2 * math.pi, 9), 0.0]
+
+
+def test_shuffled_pairs_are_not_sent_out(spark):
+    from skylattice.operators import significance as sg
+
+    d = spark.createDataFrame([(i, float(i % 7), float(i % 5)) for i in range(200)], "k long, x double, y double")
+    assert "strategy=merge" in sg.correlation_significance(d, "k", "x", "y", 5)._jdf.queryExecution().analyzed().toString()
