@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skylattice.operators.groups import largest_group, own, quantiles, row_windows, running
-from skylattice.operators.spatial import plane_pairs
+from skylattice.operators.spatial import plane_place_pairs
 from skylattice.operators.stats import IQR_TO_STD, half_open_bin
 
 
@@ -47,10 +47,14 @@ def from_array(df: DataFrame, names: Sequence[str], keep: Sequence[str]) -> Data
 
 def residuals(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
     """Offsets of nearest planar matches: count, means, deviation."""
-    near = plane_pairs(a, b, radius).groupBy("probe_id").agg(F.min(F.struct("dist", "cat_id")).alias("m")).select("probe_id", "m.cat_id")
-    j = near.join(a.select(F.col("id").alias("probe_id"), "x", "y"), "probe_id").join(b.select(F.col("id").alias("cat_id"), F.col("x").alias("bx"), F.col("y").alias("by")), "cat_id")
-    dx, dy = F.col("bx") - F.col("x"), F.col("by") - F.col("y")
-    return j.agg(F.count("*").alias("n"), F.avg(dx).alias("mean_dx"), F.avg(dy).alias("mean_dy"), F.stddev_samp(dx).alias("std_dx"))
+    near = plane_place_pairs(a, b, radius).groupBy("p").agg(F.min_by("q", F.struct("dist", "q.lo")).alias("q"))
+    # points of one place have one partner, so the moments of places are added with the number of their points
+    j = near.select(F.col("p.n").alias("n"), (F.col("q.x") - F.col("p.x")).alias("dx"), (F.col("q.y") - F.col("p.y")).alias("dy"))
+    m = j.groupBy("dx").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("dy")).alias("sy"))
+    mean = m.agg(F.sum("n").alias("k"), F.try_divide(F.sum(F.col("n") * F.col("dx")), F.sum("n")).alias("mx"), F.try_divide(F.sum("sy"), F.sum("n")).alias("my"))
+    off = F.col("dx") - F.col("mx")
+    s = m.crossJoin(F.broadcast(mean)).agg(F.sum(F.col("n") * off * off).alias("ss"))
+    return mean.crossJoin(F.broadcast(s)).select(F.coalesce("k", F.lit(0)).alias("n"), F.col("mx").alias("mean_dx"), F.col("my").alias("mean_dy"), F.sqrt(F.try_divide("ss", F.nullif(F.col("k") - 1, F.lit(0)))).alias("std_dx"))
 
 
 def sky_tile(ra: Column, dec: Column, size: float) -> tuple[Column, Column]:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skylattice.functions.sphere import haversine
-from skylattice.operators.spatial import zone_pairs
+from skylattice.operators.spatial import each_pair, ids_by_place, zone_pairs
 
 #: Times (16 bytes each) that may be sent to every executor.
 SMALL_LIST = 1 << 20
@@ -23,7 +23,7 @@ def predicted(objects: DataFrame, times: DataFrame) -> DataFrame:
 def match_moving(objects: DataFrame, times: DataFrame, catalog: DataFrame, radius: float) -> DataFrame:
     """Catalog rows (id, ra, dec) within a radius of an object at a time: (obj_id, t, cat_id, dist)."""
     p = predicted(objects, times).select(F.struct(F.col("id").alias("obj"), "t").alias("id"), "ra", "dec")
-    return zone_pairs(p, catalog, radius).select(F.col("probe_id.obj").alias("obj_id"), F.col("probe_id.t").alias("t"), "cat_id", "dist")
+    return each_pair(zone_pairs(p.withColumn("id", F.array("id")), ids_by_place(catalog, ["ra", "dec"]), radius)).select(F.col("probe_id.obj").alias("obj_id"), F.col("probe_id.t").alias("t"), "cat_id", "dist")
 
 
 def conjunctions(a: DataFrame, b: DataFrame, min_sep: float) -> DataFrame:

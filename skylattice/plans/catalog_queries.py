@@ -73,7 +73,7 @@ def match_residuals(spark, d):
 @R.query("external_orphans", PAIRS + "SELECT id FROM c WHERE id NOT IN (SELECT probe_id FROM p WHERE dist <= 3.0)")
 def external_orphans(spark, d):
     c, s = _cs(spark, d)
-    return sp.unmatched(c, sp.zone_pairs(c, s, 3.0), "probe_id").select("id")
+    return sp.unmatched(c, sp.matched(c, s, 3.0), "probe_id").select("id")
 
 
 @R.query("half_space", f"WITH {CS} SELECT id FROM c WHERE 0.6*cos(radians(dec))*cos(radians(ra)) - 0.64*cos(radians(dec))*sin(radians(ra)) + 0.48*sin(radians(dec)) > 0.3001")

@@ -300,7 +300,7 @@ def source_photons(spark, d):
 def photon_background(spark, d):
     """Poisson rate a square degree of events away from all sources, their circles taken off the sphere."""
     s, e = _cs(spark, d)[1], _event_sky(spark, d)
-    n = sp.unmatched(e, sp.zone_pairs(s, e, 2.0), "cat_id").agg(F.count("*").alias("n")).join(F.broadcast(s.agg(F.count("*").alias("k"))))
+    n = sp.unmatched(e, sp.matched(e, s, 2.0), "probe_id").agg(F.count("*").alias("n")).join(F.broadcast(s.agg(F.count("*").alias("k"))))
     area = 41252.96124941928 - F.col("k") * 360.0 * math.degrees(1 - math.cos(math.radians(2.0)))
     return n.select("n", F.round(F.col("n") / area, 9).alias("per_degree"), F.round(F.sqrt("n") / area, 9).alias("error"))
 
@@ -364,7 +364,7 @@ def select_target(spark, d):
 def matched_columns(spark, d):
     """Columns of the nearest row of another catalog, null without one."""
     c, s = _cs(spark, d)
-    n = sp.nearest(sp.zone_pairs(c, s, 4.0)).select(F.col("probe_id").alias("id"), F.col("cat_id").alias("s_suppkey"))
+    n = sp.nearest_partner(c, s, 4.0).select(F.col("probe_id").alias("id"), F.col("cat_id").alias("s_suppkey"))
     return c.select("id").join(n, "id", "left").join(table(spark, d, "supplier"), "s_suppkey", "left").select("id", "s_name", "s_acctbal")
 
 
@@ -374,7 +374,7 @@ def match_many_catalogs(spark, d):
     c, s = _cs(spark, d)
     out = s.select("id")
     for name, other in (("n_customers", c), ("n_events", _event_sky(spark, d))):
-        n = sp.zone_pairs(s, other, 3.0).groupBy(F.col("probe_id").alias("id")).agg(F.count("*").alias(name))
+        n = sp.matched(s, other, 3.0).select(F.col("probe_id").alias("id"), F.col("n_match").alias(name))
         out = out.join(n, "id", "left").withColumn(name, F.coalesce(name, F.lit(0)))
     return out
 

@@ -96,6 +96,59 @@ def test_conjunctions_meet_within_reach_only(spark):
     assert "cell" in out._jdf.queryExecution().optimizedPlan().toString()  # the lists meet through cells, not on the time alone
 
 
+def test_a_latitude_beyond_the_pole_is_a_place_on_the_other_side(spark):
+    a, b = [(40.0, 93.0), (10.0, -95.0)], [(220.0, 58.5), (40.0, 58.5), (190.0, -60.0), (10.0, -62.0), (100.0, 0.0)]
+    got = {(x.probe_id, x.cat_id) for x in sp.zone_pairs(points(spark, a), points(spark, b), 30.0).collect()}
+    assert got == {(i, j) for i, p in enumerate(a) for j, q in enumerate(b) if angle(p, q) <= 30.0} and (0, 0) in got
+
+
+def test_polar_rows_are_dealt_over_cells(spark):
+    a = points(spark, [(i * 3.6, 84.0 + i % 50 / 10) for i in range(100)])
+    left = sp.zone_pairs(a, a, 5.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=merge" in left  # explode() makes a side larger than its estimate: it is never sent out
+    got = sp.zone_pairs(a, a, 5.0).count()
+    rows = [(r.ra, r.dec) for r in a.collect()]
+    assert got == sum(angle(p, q) <= 5.0 for p in rows for q in rows)
+
+
+def test_copies_of_a_place_count_and_are_partners(spark):
+    rng = np.random.default_rng(8)
+    spots = [(float(x), float(y)) for x, y in zip(rng.uniform(0, 360, 30), rng.uniform(-90, 90, 30), strict=True)]
+    rows = [spots[i] for i in rng.integers(0, 30, 120)]
+    a = points(spark, rows)
+    want, other = {}, {}
+    for i, p in enumerate(rows):
+        d = sorted((angle(p, q), j) for j, q in enumerate(rows) if angle(p, q) <= 20.0)
+        want[i] = (len(d), min(j for _, j in d), max(j for _, j in d))
+        if len(d) > 1:
+            other[i] = min((x, j) for x, j in d if j != i)[1]
+    assert {r.probe_id: (r.n_match, r.first_id, r.last_id) for r in sp.matched(a, a, 20.0).collect()} == want
+    assert {r.probe_id: r.cat_id for r in sp.nearest_other(a, 20.0).collect()} == other
+    assert {r.id: r.n_near for r in sp.with_neighbours(a, 20.0).collect()} == {i: n - 1 for i, (n, _, _) in want.items()}
+    assert all(rows[r.cat_id] == rows[r.probe_id] for r in sp.nearest_partner(a, a, 20.0).collect())
+
+
+def test_plane_lists_with_copies(spark, monkeypatch):
+    rows = [(i, float(i % 5), float(i % 3)) for i in range(200)]
+    a = spark.createDataFrame(rows, "id long, x double, y double")
+    monkeypatch.setattr(sp, "COPIES", 4)
+    want = sorted((i, j) for i, *p in rows for j, *q in rows if math.dist(p, q) <= 1.1)
+    assert sorted((r.probe_id, r.cat_id) for r in sp.plane_matches(a, a, 1.1).collect()) == want
+    m = sp.plane_place_pairs(a, a, 1.1)
+    assert m.count() < 200 and m.agg(F.sum(F.col("p.n") * F.col("q.n"))).first()[0] == len(want)
+    assert sp.best_shift(a, a, 1.1, 0.5).first().n == sum(p == q for _, *p in rows for _, *q in rows)
+
+
+def test_score_of_rotation_passes_a_long(spark):
+    from unittest import mock
+
+    from skylattice.operators import registration as rg
+
+    h = spark.createDataFrame([(0, 0, 1 << 33), (3, 5, 1 << 32)], "ld int, an int, n long")
+    with mock.patch.object(rg, "pair_histogram", return_value=h):
+        assert rg.rotation_and_scale(h, h, 1.0).first().score == (1 << 66) + (1 << 64)
+
+
 def test_an_angle_just_below_zero_is_just_below_a_turn(spark):
     from skylattice.functions import sphere
 
