@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skylattice.operators.groups import largest_group, ranked
+from skylattice.operators.groups import by_series, largest_group, ranked
 from skylattice.operators.timeseries import centred, phase, with_frequencies
 
 
@@ -31,6 +31,7 @@ def fourier_sums(df: DataFrame, t: str, value: str, by: Sequence[str], freqs: Se
 
 def phase_information(df: DataFrame, t: str, value: str, by: Sequence[str], freqs: Sequence[float], cells: int) -> DataFrame:
     """Mutual information (nats) of the phase and the scaled value, each in a number of cells."""
+    df = by_series(df.select(*by, t, value), by, len(freqs))
     r = df.groupBy(*by).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
     d = with_frequencies(df.join(r, list(by)).where("__hi > __lo"), freqs)
     i = F.floor(phase(F.col(t) * F.col("freq"), F.lit(0.0), 1.0) * cells)

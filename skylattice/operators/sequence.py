@@ -146,8 +146,9 @@ def nearest_value(left: DataFrame, right: DataFrame, x: str, bucket: float) -> D
     at = F.struct(F.col(x).alias("x"), F.col("key").alias("key"))
     both = left.select("id", x, F.lit(1).alias("side"), F.lit(None).cast(right.schema["key"].dataType).alias("key"), b(x).alias("__b")).unionByName(best.select(F.lit(None).cast(left.schema["id"].dataType).alias("id"), x, F.lit(0).alias("side"), "key", "__b"))
     known = F.when(F.col("side") == 0, at)
-    w = Window.partitionBy("__b").orderBy(x, "side")
-    d = both.withColumn("lo", F.last(known, True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("hi", F.first(known, True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    # a frame that ends with its group is summed anew for every row: the first one after is the last one of the way back
+    w, back = Window.partitionBy("__b").orderBy(x, "side"), Window.partitionBy("__b").orderBy(F.desc(x), F.desc("side"))
+    d = both.withColumn("lo", F.last(known, True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("hi", F.last(known, True).over(back.rowsBetween(Window.unboundedPreceding, 0)))
     ends = both.groupBy("__b").agg(F.max(known).alias("top"), F.min(known).alias("bottom"))
     over = Window.orderBy("__b")  # one row a bucket that holds any
     ends = ends.select("__b", F.last("top", True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.first("bottom", True).over(over.rowsBetween(1, Window.unboundedFollowing)).alias("after"))

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skylattice.operators.groups import largest_group, quantiles
+from skylattice.operators.groups import by_series, largest_group, quantiles
 from skylattice.plans.storage import checkpointed
 
 #: Slices of phase of a folded curve.
@@ -70,7 +70,7 @@ def scargle(df: DataFrame, t: str, value: str, by: Sequence[str], freqs: Sequenc
 
 def pdm(df: DataFrame, t: str, value: str, by: Sequence[str], freqs: Sequence[float], n_bin: int) -> DataFrame:
     """Phase dispersion: variance around the means of phase bins over the whole variance."""
-    d = with_frequencies(df, freqs).withColumn("bin", F.floor(phase(F.col(t) * F.col("freq"), F.lit(0.0), 1.0) * n_bin))
+    d = with_frequencies(by_series(df.select(*by, t, value), by, len(freqs)), freqs).withColumn("bin", F.floor(phase(F.col(t) * F.col("freq"), F.lit(0.0), 1.0) * n_bin))
     b = d.groupBy(*by, "freq", "bin").agg(F.count(value).alias("n"), F.coalesce(F.var_samp(value), F.lit(0.0)).alias("v"), F.avg(value).alias("a"))
     s = b.groupBy(*by, "freq").agg(F.sum((F.col("n") - 1) * F.col("v")).alias("inside"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("a")).alias("sa"), F.sum(F.col("n") * F.col("a") * F.col("a")).alias("saa"))
     whole = F.col("inside") + F.col("saa") - F.col("sa") * F.col("sa") / F.col("n")
@@ -79,6 +79,7 @@ def pdm(df: DataFrame, t: str, value: str, by: Sequence[str], freqs: Sequence[fl
 
 def phase_entropy(df: DataFrame, t: str, value: str, by: Sequence[str], freqs: Sequence[float], cells: int) -> DataFrame:
     """Entropy of the grid of phases and scaled values."""
+    df = by_series(df.select(*by, t, value), by, len(freqs))
     r = df.groupBy(*by).agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count(value).alias("n"))
     d = with_frequencies(df.join(r, list(by)).where("hi > lo"), freqs)
     d = d.withColumn("i", F.floor(phase(F.col(t) * F.col("freq"), F.lit(0.0), 1.0) * cells)).withColumn("j", F.least(F.lit(cells - 1), F.floor((F.col(value) - F.col("lo")) / (F.col("hi") - F.col("lo")) * cells)))
@@ -92,7 +93,7 @@ def string_length(df: DataFrame, t: str, value: str, by: Sequence[str], freqs: S
     The points are put in order within slices of phase, so a long series is
     many groups at every frequency; the slices are then linked by their ends.
     """
-    d = with_frequencies(df.select(*by, t, value), freqs).withColumn("ph", phase(F.col(t) * F.col("freq"), F.lit(0.0), 1.0))
+    d = with_frequencies(by_series(df.select(*by, t, value), by, len(freqs)), freqs).withColumn("ph", phase(F.col(t) * F.col("freq"), F.lit(0.0), 1.0))
     far = lambda a, b: F.sqrt(F.pow(a["ph"] - b["ph"], F.lit(2)) + F.pow(a["v"] - b["v"], F.lit(2)))
     w = Window.partitionBy(*by, "freq", "slice").orderBy("ph", value)
     d = d.withColumn("slice", F.floor(F.col("ph") * SLICES)).withColumns({"__p": F.lag("ph").over(w), "__v": F.lag(value).over(w)})

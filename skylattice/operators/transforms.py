@@ -182,9 +182,10 @@ def lag_sums(df: DataFrame, by: str, i: str, v1: str, v2: str, most: int, block:
     d = d.withColumn("k", F.explode(F.array_distinct(F.array(at, F.floor((F.col("i") - most) / block), F.floor((F.col("i") + most) / block)))))
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        first = int(g["k"].iloc[0]) * block
-        place, own = g["i"].to_numpy() - first + most, (g["i"].to_numpy() >= first) & (g["i"].to_numpy() < first + block)
-        size = 1 << (block + 4 * most).bit_length()
+        first, i = int(g["k"].iloc[0]) * block, g["i"].to_numpy()
+        place, own = i - i.min(), (i >= first) & (i < first + block)
+        # as long as its rows and the lags need: a short series costs a short transform
+        size = 1 << (int(place.max()) + most + 1).bit_length()
         a, b, one, two = (np.zeros(size) for _ in range(4))
         ok = own & g["a"].notna().to_numpy()
         a[place[ok]], one[place[ok]] = g["a"].to_numpy()[ok], 1.0

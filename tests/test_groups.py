@@ -100,3 +100,22 @@ def test_folded_length_across_slices(spark):
             p = sorted((t * f - np.floor(t * f), v) for q, t, v in some if q == k)
             assert np.isclose(got[k, f], sum(np.hypot(a[0] - b[0], a[1] - b[1]) for a, b in zip(p, p[1:])))
     assert len(got) == 8 and got[3, 0.37] is None and got[4, 0.37] is None
+
+
+def test_copies_of_short_series_are_not_shuffled(spark, monkeypatch):
+    from skylattice.operators import groups, periods, timeseries
+
+    d = spark.createDataFrame([(k, float(i * 7 % 31), float(i * i % 13)) for k in range(20) for i in range(40)], "k long, t double, v double")
+    runs = {
+        "pdm": lambda: timeseries.pdm(d, "t", "v", ["k"], [0.01, 0.37], 8), "entropy": lambda: timeseries.phase_entropy(d, "t", "v", ["k"], [0.01, 0.37], 5),
+        "information": lambda: periods.phase_information(d, "t", "v", ["k"], [0.01, 0.37], 6), "length": lambda: timeseries.string_length(d, "t", "v", ["k"], [0.01, 0.37]),
+    }
+    for run in runs.values():
+        q = run()
+        plan = q._jdf.queryExecution().executedPlan().toString()
+        assert not [x for x in plan.splitlines() if "Exchange" in x and "freq" in x]
+        few = sorted(map(tuple, q.collect()))
+        with monkeypatch.context() as m:
+            m.setattr(groups, "GROUP_ROWS", 10)
+            many = sorted(map(tuple, run().collect()))
+        assert [x[:2] for x in few] == [x[:2] for x in many] and all(abs(a[2] - b[2]) < 1e-9 for a, b in zip(few, many, strict=True))

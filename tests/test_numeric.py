@@ -245,3 +245,25 @@ def test_name_styles_of_columns(spark):
     names = ["RecId", "insertTime", "fDouble", "a_b", "ABC", ""]
     got = spark.createDataFrame([(n,) for n in names], "n string").select("n", text.snake_column(F.col("n")).alias("s"), text.camel_column(text.snake_column(F.col("n"))).alias("c")).collect()
     assert [(r.s, r.c) for r in got] == [(text.snake(n), text.camel(text.snake(n))) for n in names]
+
+
+def test_lag_sums_of_short_series_take_short_transforms(spark, monkeypatch):
+    d = spark.createDataFrame([(1, 70_000 + i, float(i), float(i % 3)) for i in range(30)], "k long, i long, a double, b double")
+    rows = [(i, float(i), float(i % 3)) for i in range(30)]
+    got = {r["lag"]: (r.s, r.n) for r in transforms.lag_sums(d, "k", "i", "a", "b", 6).collect()}
+    for lag in range(-6, 7):
+        both = [a * rows[i + lag][2] for i, a, _ in rows if 0 <= i + lag < 30]
+        assert abs(got[lag][0] - sum(both)) < 1e-6 and got[lag][1] == len(both)
+    assert "1 << (block + 4" not in __import__("inspect").getsource(transforms.lag_sums)
+
+
+def test_nearest_value_looks_back_only(spark):
+    from skylattice.operators import sequence
+
+    a = spark.createDataFrame([(i, float(i * 37 % 101)) for i in range(60)], "id long, x double")
+    b = spark.createDataFrame([(i, float(i * 53 % 97) + i % 2 / 2) for i in range(15)], "key long, x double")
+    q = sequence.nearest_value(a, b, "x", 10.0)
+    rows = b.collect()
+    assert {r.id: r.key for r in q.collect()} == {r.id: min(rows, key=lambda s: (abs(s.x - r.x), s.x, s.key)).key for r in a.collect()}
+    # but the frame over the ends of buckets, no frame ends with its group: such frames are summed anew for every row
+    assert q._jdf.queryExecution().analyzed().toString().count("unboundedfollowing$()") <= 2
