@@ -66,6 +66,33 @@ def test_sparse_system_equals_numpy(spark, monkeypatch, whole, small):
     assert np.allclose([got[f"c{c:02d}"].par_err for c in range(m.shape[1])], err) if whole else all(r.par_err is None for r in got.values())
 
 
+@pytest.mark.parametrize(("whole", "small", "wide"), [(512, 1 << 18, 1024), (0, 1 << 18, 1024), (0, 0, 1024), (0, 1 << 18, 1)])
+def test_sparse_system_of_rows_measured_several_times(spark, monkeypatch, whole, small, wide):
+    for k, v in {"WHOLE": whole, "SMALL": small, "WIDE": wide}.items():
+        monkeypatch.setattr(leastsq, k, v)
+    m = np.array([[1.0, 0], [1, 2], [0, 3]])
+    of, y, e = np.array([0, 0, 1, 1, 1, 2]), np.array([1.0, 3, 4, 5, 9, 2]), np.array([1.0, 2, 1, 0.5, 1, 1])
+    entries = spark.createDataFrame([(int(r), f"c{c}", float(m[r, c])) for r, c in zip(*np.nonzero(m), strict=True)], "row long, col string, value double")
+    par, seen = leastsq.sparse_solve(entries, spark.createDataFrame([(int(a), float(b), float(c)) for a, b, c in zip(of, y, e, strict=True)], "row long, y double, err double"))
+    p = np.linalg.lstsq(m[of] / e[:, None], y / e, rcond=None)[0]
+    got = {r["col"]: r.par for r in par.collect()}
+    assert np.allclose([got["c0"], got["c1"]], p) and np.isclose(seen["chi2"], (((y - m[of] @ p) / e) ** 2).sum()) and seen["dof"] == 4
+
+
+def test_sparse_fit_takes_every_price_as_one_measurement(spark, monkeypatch):
+    import duckdb
+    from skylattice.queries import QUERIES
+
+    monkeypatch.setattr(leastsq, "WHOLE", 0)
+    sf = "/root/testdata/sf0.001"
+    rows = duckdb.sql(f"SELECT 's' || l_suppkey, 'm' || strftime(l_shipdate, '%Y-%m'), ln(l_extendedprice), 0.1 + l_tax FROM '{sf}/lineitem.parquet'").fetchall()
+    names = sorted({r[0] for r in rows} | {r[1] for r in rows} - {min(r[1] for r in rows)})
+    m = np.array([[(c in r[:2]) / r[3] for c in names] for r in rows])
+    want = dict(zip(names, np.linalg.lstsq(m, np.array([r[2] / r[3] for r in rows]), rcond=None)[0], strict=True))
+    got = {r["col"]: r.par for r in QUERIES["sparse_fit"](spark, sf).collect()}
+    assert got.keys() == want.keys() and all(abs(got[c] - want[c]) < 2e-6 for c in want)
+
+
 def shear(image, dy):
     """Sum along one line of the fast transform, by halves."""
     rows, cols = image.shape
