@@ -8,7 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skylattice.operators.groups import by_series, largest_group, ranked
+from skylattice.operators import groups
+from skylattice.operators.groups import by_series, in_one_task, ranked
 from skylattice.operators.timeseries import centred, phase, with_frequencies
 
 
@@ -48,16 +49,30 @@ def shuffled_power(df: DataFrame, key: str, t: str, value: str, by: Sequence[str
 
     The order of a shuffle is that of a digest of the unique key and its
     number, so every run draws the same.  Digests name the rows, ranks pair
-    them within every shuffle and series.
+    them within every shuffle and series.  Short series go to one task each
+    before they multiply.
     """
-    d = centred(df, value, by).select(*by, key, t, "m", "n", "var")
-    large, keys = largest_group(df, by), [*by, "sim"]
-    sims = d.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(n_sim))))
-    drawn = F.when(F.col("sim") == 0, F.lpad(F.col(key).cast("string"), 32, "0")).otherwise(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.col("sim").cast("string"))))
-    a = ranked(sims.select(*keys, F.col(t).alias("__x"), "n", "var", F.col(key).alias("__id_")), keys, ["__id_"], "__i", "__size", large).select(*keys, "__x", "n", "var", "__i")
-    b = ranked(sims.select(*keys, F.col("m").alias("__m"), drawn.alias("__drawn"), F.col(key).alias("__id_")), keys, ["__drawn", "__id_"], "__i", "__size", large).select(*keys, "__m", "__i")
-    x = 2 * math.pi * freq * F.col("__x")
-    s = a.join(b, [*keys, "__i"]).groupBy(*keys).agg(F.sum(F.col("__m") * F.cos(x)).alias("c"), F.sum(F.col("__m") * F.sin(x)).alias("s"), F.first("n").alias("n"), F.first("var").alias("var"))
+    df, keys, x = df.select(*by, key, t, value), [*by, "sim"], 2 * math.pi * freq * F.col("__x")
+    sims = lambda df: df.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(n_sim))))
+    drawn = F.when(F.col("sim") == 0, F.lpad(F.col("__id_").cast("string"), 32, "0")).otherwise(F.md5(F.concat_ws(":", F.col("__id_").cast("string"), F.col("sim").cast("string"))))
+    dealt = in_one_task(df, by, 2 * (n_sim + 1))
+    if dealt is not None:
+        # a row has its place in time once; times and values of a shuffle meet at their number within the task
+        w, v = Window.partitionBy(*by), F.col(value)
+        d = dealt.dropna(subset=list(by)).withColumn("__i", F.row_number().over(w.orderBy(key)))
+        d = d.select(*by, "__i", F.col(key).alias("__id_"), F.col(t).cast("double").alias("__x"), (v - F.avg(v).over(w)).alias("__m"), F.count(v).over(w).alias("n"), F.var_samp(v).over(w).alias("var"))
+        d = sims(d).withColumn("__j", F.row_number().over(Window.partitionBy(*keys).orderBy(drawn, "__id_")))
+        none = F.lit(None).cast("double")
+        pair = F.array(F.struct(F.col("__i").alias("i"), F.col("__x").alias("x"), none.alias("m")), F.struct(F.col("__j").alias("i"), none.alias("x"), F.col("__m").alias("m")))
+        d = d.select(*keys, "n", "var", F.explode(pair).alias("__p"))
+        met = d.groupBy(*keys, "__p.i").agg(F.max("__p.x").alias("__x"), F.max("__p.m").alias("__m"), F.max("n").alias("n"), F.max("var").alias("var"))
+    else:
+        d, large = centred(df, value, by).select(*by, F.col(key).alias("__id_"), F.col(t).alias("__x"), F.col("m").alias("__m"), "n", "var"), groups.GROUP_ROWS + 1
+        a = ranked(d.drop("__m"), by, ["__id_"], "__i", "__size", large)
+        b = ranked(sims(d.drop("__x", "n", "var")).withColumn("__drawn", drawn), keys, ["__drawn", "__id_"], "__i", "__size", large)
+        met = sims(a.drop("__id_", "__size")).join(b.select(*keys, "__m", "__i"), [*keys, "__i"])
+    s = met.groupBy(*keys).agg(F.sum(F.col("__m") * F.cos(x)).alias("c"), F.sum(F.col("__m") * F.sin(x)).alias("s"), F.first("n").alias("n"), F.first("var").alias("var"))
     p = s.select(*by, "sim", F.try_divide((F.col("c") * F.col("c") + F.col("s") * F.col("s")) / F.col("n"), F.col("var")).alias("p"))
-    true = p.where("sim = 0").select(*by, F.col("p").alias("power"))
-    return p.where("sim > 0").join(true, list(by)).groupBy(*by, "power").agg(F.count_if(F.col("p") >= F.col("power")).alias("n_above"))
+    # powers of the shuffles of a series are few: they are put beside the true one in its row
+    powers = p.groupBy(*by).agg(F.max(F.when(F.col("sim") == 0, F.col("p"))).alias("power"), F.collect_list(F.when(F.col("sim") > 0, F.col("p"))).alias("__all"))
+    return powers.select(*by, "power", F.size(F.filter("__all", lambda q: q >= F.col("power"))).cast("bigint").alias("n_above"))

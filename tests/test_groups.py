@@ -119,3 +119,14 @@ def test_copies_of_short_series_are_not_shuffled(spark, monkeypatch):
             m.setattr(groups, "GROUP_ROWS", 10)
             many = sorted(map(tuple, run().collect()))
         assert [x[:2] for x in few] == [x[:2] for x in many] and all(abs(a[2] - b[2]) < 1e-9 for a, b in zip(few, many, strict=True))
+
+
+def test_shuffles_of_short_series_do_not_shuffle_their_copies(spark, monkeypatch):
+    d = spark.createDataFrame([(k if k else None, 1000 * k + i, float(i * 7 % 31), None if i == 5 else float(i * i % 13)) for k in range(12) for i in range(1 if k == 3 else 40)], "k long, id long, t double, v double")
+    q = periods.shuffled_power(d, "id", "t", "v", ["k"], 0.3, 4)
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Exchange" in x and "sim" in x]
+    rows = lambda q: sorted((r.k, None if r.power is None else round(r.power, 9), r.n_above) for r in q.collect())
+    few = rows(q)
+    monkeypatch.setattr(groups, "GROUP_ROWS", 10)
+    assert rows(periods.shuffled_power(d, "id", "t", "v", ["k"], 0.3, 4)) == few and len(few) == 11 and few[2] == (3, None, 0)
