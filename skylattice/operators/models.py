@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import _parse_datatype_string
 
-from skylattice.operators.groups import largest_group, row_windows, spread_join
+from skylattice.operators.groups import by_series, largest_group, row_windows, spread_join
 
 #: Modulus of the hash that draws rows: squares of what is below it are 64-bit integers.
 PRIME = 2147483647
@@ -142,20 +142,40 @@ def gaussian_process(df: DataFrame, by: str, t: str, v: str, grid: Sequence[floa
     return out.withColumnRenamed("__key", by)
 
 
+#: Half frames of a stretch of :func:`savitzky_golay`, and the sums that a parabola takes.
+BLOCK, _SUMS = 16, ("s0", "s1", "s2", "s3", "s4", "y0", "y1", "y2")
+
+
 def savitzky_golay(df: DataFrame, by: str, t: str, v: str, frame: float) -> DataFrame:
     """Local parabola at every row from the rows within half a frame, also for uneven spacing.
 
-    Rows meet through time buckets of half a frame; a frame with fewer than
-    three different times gives the line or the mean that they allow.
+    Rows of a time are one, with their count and sum; windows over stretches
+    of BLOCK half frames, with copies of the neighbours' edges, list the times
+    of every frame.  A frame with fewer than three different times gives the
+    line or the mean that they allow.
     """
     half = frame / 2
-    d = df.select(F.col(by).alias("__key"), F.col(t).cast("double").alias("t"), F.col(v).cast("double").alias("v")).dropna(subset=["t", "v"])
+    d = df.select(F.col(by).alias("__key"), F.col(t).cast("double").alias("t"), F.col(v).cast("double").alias("v")).dropna()
+    d = by_series(d, ["__key"], 2).groupBy("__key", "t").agg(F.count("*").alias("rows"), F.sum("v").alias("y"))
     bucket = F.floor(F.col("t") / half)
-    a = d.groupBy("__key", F.col("t").alias("ta")).agg(F.count("*").alias("rows"), F.first(bucket).alias("k")).withColumn("k", F.explode(F.array(*[F.col("k") + i for i in (-1, 0, 1)])))
-    j = a.join(d.withColumn("k", bucket), ["__key", "k"]).withColumn("u", (F.col("t") - F.col("ta")) / half).where(F.abs("u") <= 1)
-    u = F.col("u")
-    sums = [F.sum(F.pow(u, F.lit(k))).alias(f"s{k}") for k in range(5)] + [F.sum(F.pow(u, F.lit(k)) * F.col("v")).alias(f"y{k}") for k in range(3)]
-    m = j.groupBy("__key", "ta", "rows").agg(*sums, F.size(F.collect_set("t")).alias("times"))
+    block, place = F.floor(bucket / BLOCK), F.pmod(bucket, F.lit(BLOCK))
+    # one bucket more than a frame reaches on either side, for times on an edge
+    d = d.withColumn("__home", block).withColumn("__block", F.explode(F.array_compact(F.array(block, F.when(place < 2, block - 1), F.when(place >= BLOCK - 2, block + 1)))))
+    # the frame is a little wider than what is taken of it
+    over = Window.partitionBy("__key", "__block").orderBy(F.col("t") / (half * (1 + 1e-9))).rangeBetween(-1, 1)
+    d = d.withColumn("__near", F.collect_list(F.struct("t", "rows", "y")).over(over)).where(F.col("__block") == F.col("__home"))
+    u = lambda x: (x["t"] - F.col("t")) / half
+    near = F.filter("__near", lambda x: F.abs(u(x)) <= 1)
+    near = F.transform(near, lambda x: F.struct(u(x).alias("u"), x["rows"].cast("double").alias("n"), x["y"].alias("y")))
+    d = d.select("__key", F.col("t").alias("ta"), "rows", near.alias("__near"))
+    zero = F.struct(*[F.lit(0.0).alias(c) for c in _SUMS])
+
+    def add(s: Column, x: Column) -> Column:
+        u, n, y = x["u"], x["n"], x["y"]
+        terms = [n, n * u, n * u * u, n * u * u * u, n * u * u * u * u, y, y * u, y * u * u]
+        return F.struct(*[(s[c] + term).alias(c) for c, term in zip(_SUMS, terms, strict=True)])
+
+    m = d.select("__key", "ta", "rows", F.aggregate("__near", zero, add).alias("s"), F.size("__near").alias("times")).select("__key", "ta", "rows", "times", "s.*")
     s0, s1, s2, s3, s4, y0, y1, y2 = (F.col(c) for c in ("s0", "s1", "s2", "s3", "s4", "y0", "y1", "y2"))
     minor = s2 * s4 - s3 * s3
     parabola = (y0 * minor - y1 * (s1 * s4 - s2 * s3) + y2 * (s1 * s3 - s2 * s2)) / (s0 * minor - s1 * (s1 * s4 - s2 * s3) + s2 * (s1 * s3 - s2 * s2))

@@ -130,3 +130,18 @@ def test_shuffles_of_short_series_do_not_shuffle_their_copies(spark, monkeypatch
     few = rows(q)
     monkeypatch.setattr(groups, "GROUP_ROWS", 10)
     assert rows(periods.shuffled_power(d, "id", "t", "v", ["k"], 0.3, 4)) == few and len(few) == 11 and few[2] == (3, None, 0)
+
+
+def test_frames_of_a_parabola_are_not_shuffled(spark, monkeypatch):
+    some = [(k, float(i * 7 % 31) + (i % 3) / 10, float(i * i % 13)) for k in (1, 2) for i in range(90)] + [(3, -400.0, 2.0), (3, -398.5, 3.0), (4, 8.0, 5.0), (4, 8.0, 6.0), (4, None, 1.0), (5, -1.5, 0.0), (5, 0.0, 4.0), (5, 1.5, 1.0)]
+    d = spark.createDataFrame(some, "k long, t double, v double")
+    run = lambda: models.savitzky_golay(d, "k", "t", "v", 3.0)
+    plan = run()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    for bound in (1 << 22, 10):
+        monkeypatch.setattr(groups, "GROUP_ROWS", bound)
+        got = {(r.k, r.t): (r.smooth, r.n) for r in run().groupBy("k", "t").agg(F.max("smooth").alias("smooth"), F.count("*").alias("n")).collect()}
+        assert sum(n for _, n in got.values()) == len([1 for r in some if r[1] is not None])
+        for k, t in got:
+            u, v = np.array([((b - t) / 1.5, c) for a, b, c in some if a == k and b is not None and abs(b - t) <= 1.5]).T
+            assert abs(np.polyfit(u, v, min(2, len(set(u)) - 1))[-1] - got[k, t][0]) < 1e-6
