@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from skylattice.operators.spatial import nearest, sky
+from skylattice.operators.spatial import sky
 from skylattice.plans import series_queries as series
 from skylattice.plans.common import catalog, rounded
 from skylattice.plans.spatial_queries import CS, DIST
@@ -121,7 +121,7 @@ def match_stored(spark, d):
 @R.query("match_stored_nearest", _STORED + "SELECT s.id, cat_id, round(dist, 6) AS dist, coalesce(n_match, 0) AS n_match FROM s LEFT JOIN (SELECT probe_id, arg_min(cat_id, (dist, cat_id)) AS cat_id, min(dist) AS dist, count(*) AS n_match FROM p WHERE dist <= 2.0 GROUP BY probe_id) ON probe_id = s.id")
 def match_stored_nearest(spark, d):
     s = catalog(spark, d, "supplier", "s_suppkey")
-    m = nearest(mesh_store.match_store(spark, mesh_table(spark, d), s, 2.0, cells=2).withColumnRenamed("id", "cat_id"))
+    m = mesh_store.nearest_stored(spark, mesh_table(spark, d), s, 2.0, cells=2)
     return rounded(s.join(m, s["id"] == m["probe_id"], "left").select("id", "cat_id", "dist", F.coalesce("n_match", F.lit(0)).alias("n_match")), "dist")
 
 

@@ -213,3 +213,32 @@ def test_table_after_a_large_image_with_scaled_and_variable_columns(spark, tmp_p
     assert [x.C for x in r] == [[1.0, 2.0], [3.0, -4.0]] and [x.P for x in r] == [[1.5, 2.5, 3.5], [4.5]]
     assert [x["T"] for x in r] == ["ab", "wxyz"] and [x.L for x in r] == [True, False] and [int(x.K) for x in r] == [0, 2**64 - 1]
     assert fits.parse_card("KEY     = 'not closed") == ("KEY", "not closed", "")
+
+
+def test_nearest_rows_of_a_mesh_store_by_place(spark, tmp_path):
+    import math
+
+    from skylattice.sources import mesh_store
+
+    at = [(10.0, 20.0), (10.1, 20.0), (11.9, 20.0), (359.9, -5.0), (0.4, -5.0), (77.0, 89.5), (257.0, 89.9), (150.0, 40.0)]
+    rows = [(i, *at[i * 5 % 8]) for i in range(40)] + [(90, None, 1.0)]
+    probes = [(1, 10.0, 20.0), (2, 10.0, 20.0), (3, 10.04, 20.0), (4, 0.0, -5.0), (5, 80.0, 89.9), (6, 200.0, 0.0), (7, 13.7, 20.0), (8, None, None), (9, 10.0, 18.3)]
+    stars, asked = spark.createDataFrame(rows, "id long, ra double, dec double"), spark.createDataFrame(probes, "id long, ra double, dec double")
+    mesh_store.write_mesh(stars, str(tmp_path / "m"), cells=2)
+    q = mesh_store.nearest_stored(spark, str(tmp_path / "m"), asked, 2.0, cells=2)
+
+    def far(a, b, c, d):
+        a, b, c, d = map(math.radians, (a, b, c, d))
+        return math.degrees(2 * math.asin(math.sqrt(math.sin((d - b) / 2) ** 2 + math.cos(b) * math.cos(d) * math.sin((c - a) / 2) ** 2)))
+
+    want = {}
+    for i, ra, dec in probes:
+        near = sorted((round(far(ra, dec, c, d), 9), k) for k, c, d in rows if None not in (ra, c) and far(ra, dec, c, d) <= 2.0)
+        if near:
+            want[i] = (near[0][1], near[0][0], len(near))
+    assert set(want) == {1, 2, 3, 4, 5, 7, 9} and {r.probe_id: (r.cat_id, round(r.dist, 9), r.n_match) for r in q.collect()} == want
+    # pairs of the whole circle are hashed, and none is sorted where a place has a partner close by
+    plan = mesh_store.nearest_stored(spark, str(tmp_path / "m"), asked.where("id <= 2"), 2.0, cells=2)
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert any("HashAggregate" in x and "sum(n#" in x and "SortAggregate" not in x for x in text.splitlines())
+    assert [r.n_match for r in plan.collect()] == [want[1][2]] * 2
