@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import _parse_datatype_string
 
-from skylattice.operators.groups import by_series, largest_group, row_windows, spread_join
+from skylattice.operators.groups import by_series, in_one_task, largest_group, row_windows, spread_join
 
 #: Modulus of the hash that draws rows: squares of what is below it are 64-bit integers.
 PRIME = 2147483647
@@ -214,15 +214,24 @@ def ransac_line(df: DataFrame, by: str, key: str, t: str, v: str, tolerance: flo
     return fit.select(F.col("__key").alias(by), "slope", (F.col("ym") - F.col("slope") * F.col("xm")).alias("intercept"), "n_in")
 
 
+def _scaled() -> Column:
+    return F.coalesce(F.try_divide(F.col("v") - F.col("vm"), F.col("vs")), F.lit(0.0))
+
+
 def matched_filter(df: DataFrame, by: str, t: str, v: str, template: Sequence[float]) -> DataFrame:
     """Highest correlation of a series with a unit-energy template, in deviations of the series, and its place from 0 (the first of equal ones)."""
     w = np.asarray(template, float)
     w = (w - w.mean()) / np.linalg.norm(w - w.mean())
-    d = df.select(F.col(by).alias("__key"), F.col(t).alias("t"), F.col(v).cast("double").alias("v")).dropna(subset=["t", "v"])
-    large = largest_group(d, ["__key"])
-    m = d.groupBy("__key").agg(F.avg("v").alias("vm"), F.stddev_pop("v").alias("vs"))
-    d = d.join(m, "__key").withColumn("y", F.coalesce(F.try_divide(F.col("v") - F.col("vm"), F.col("vs")), F.lit(0.0)))
-    d, over = row_windows(d, ["__key"], ["t", "v"], 0, len(w) - 1, large)
+    d = df.select(F.col(by).alias("__key"), F.col(t).alias("t"), F.col(v).cast("double").alias("v")).dropna()
+    dealt, last = in_one_task(d, ["__key"], 2), len(w) - 1
+    if dealt is not None:
+        # one order serves all windows of a series, and tasks are as many as keep them small
+        d, over = row_windows(dealt, ["__key"], ["t", "v"], 0, last, 0)
+        whole = Window.partitionBy("__key")
+        d = d.withColumn("vm", F.avg("v").over(whole)).withColumn("vs", F.stddev_pop("v").over(whole)).withColumn("y", _scaled())
+    else:
+        m = d.groupBy("__key").agg(F.avg("v").alias("vm"), F.stddev_pop("v").alias("vs"))
+        d, over = row_windows(d.join(m, "__key").withColumn("y", _scaled()), ["__key"], ["t", "v"], 0, last)
     corr = reduce(lambda a, b: a + b, [F.lead("y", k).over(over) * float(x) if k else F.col("y") * float(x) for k, x in enumerate(w)])
     c = d.select("__key", corr.alias("c"), (F.col("__i") - 1).alias("i"), "__own").where("__own")
     best = c.groupBy("__key").agg(F.max("c").alias("best"), F.min_by("i", F.struct(F.col("c").isNull(), -F.col("c"), F.col("i"))).alias("at"))

@@ -145,3 +145,17 @@ def test_frames_of_a_parabola_are_not_shuffled(spark, monkeypatch):
         for k, t in got:
             u, v = np.array([((b - t) / 1.5, c) for a, b, c in some if a == k and b is not None and abs(b - t) <= 1.5]).T
             assert abs(np.polyfit(u, v, min(2, len(set(u)) - 1))[-1] - got[k, t][0]) < 1e-6
+
+
+def test_tasks_of_a_matched_filter_grow_with_its_rows(spark, monkeypatch):
+    d = spark.createDataFrame([(k if k else None, float(i * 7 % 31), float(i * i % 13)) for k in range(30) for i in range(40)], "k long, t double, v double")
+    run = lambda: models.matched_filter(d, "k", "t", "v", [0, 1, 3, 1, 0])
+    rows = lambda q: sorted((r.k, round(r.best, 9), r["at"]) for r in q.collect())
+    want = rows(run())
+    monkeypatch.setattr(groups, "COPY_ROWS", 100)
+    q = run()
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "hashpartitioning(__key" in plan and ", 24)" in plan and "Join" not in plan
+    assert rows(q) == want and len(want) == 29
+    monkeypatch.setattr(groups, "GROUP_ROWS", 10)
+    assert rows(run()) == want
