@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skylattice.functions.sphere import haversine
@@ -10,6 +12,8 @@ from skylattice.operators.spatial import each_pair, ids_by_place, zone_pairs
 
 #: Times (16 bytes each) that may be sent to every executor.
 SMALL_LIST = 1 << 20
+#: Cosines of angles this close may be out of order, as far as their error goes.
+ERROR = 1e-12
 
 
 def predicted(objects: DataFrame, times: DataFrame) -> DataFrame:
@@ -26,21 +30,78 @@ def match_moving(objects: DataFrame, times: DataFrame, catalog: DataFrame, radiu
     return each_pair(zone_pairs(p.withColumn("id", F.array("id")), ids_by_place(catalog, ["ra", "dec"]), radius)).select(F.col("probe_id.obj").alias("obj_id"), F.col("probe_id.t").alias("t"), "cat_id", "dist")
 
 
-def conjunctions(a: DataFrame, b: DataFrame, min_sep: float) -> DataFrame:
-    """Local minima of the distance of two moving lists (id, t, ra, dec) at common times, below min_sep degrees.
+def _flanked(track: DataFrame) -> DataFrame:
+    """Rows of moving objects with time and place of the same object before (0) and after (2)."""
+    w = Window.partitionBy("id").orderBy("t")
+    d = track.where("id is not null and t is not null").select("id", "t", "ra", "dec")
+    return d.withColumns({f"{c}{s}": f(c).over(w) for s, f in (("0", F.lag), ("2", F.lead)) for c in ("t", "ra", "dec")})
+
+
+def _odd(p: DataFrame, q: DataFrame) -> DataFrame:
+    """Objects (list, id) that at a time of theirs have other times around it than most, or that time twice."""
+    rows = p.select(F.lit(1).alias("list"), "id", "t", F.struct("t0", "t2").alias("s")).unionByName(q.select(F.lit(2).alias("list"), "id", "t", F.struct("t0", "t2").alias("s")))
+    most = rows.groupBy("t", "s").agg(F.count("*").alias("n")).groupBy("t").agg(F.max(F.struct("n", "s"))["s"].alias("most"))
+    return rows.join(most, "t").where(~F.col("s").eqNullSafe(F.col("most")) | (F.col("s.t0") == F.col("t")) | (F.col("s.t2") == F.col("t"))).select("list", "id").distinct()
 
-    Only pairs within reach at some time meet; the tracks of those pairs are
-    then joined to them, for the distances before and after.
+
+def _minima(p: DataFrame, q: DataFrame, min_sep: float) -> DataFrame:
+    """Conjunctions of lists whose times before and after are the same: decided where two rows meet.
+
+    The sine and cosine of a distance cost more than the pair, so cosines of
+    angles, sums of three products, decide first; where they are closer
+    than their error, the distances decide.
     """
-    near = zone_pairs(a, b, min_sep, also=["t"]).select(F.col("probe_id").alias("id1"), F.col("cat_id").alias("id2")).distinct()
-    x = a.select(F.col("id").alias("id1"), "t", F.radians("ra").alias("r1"), F.radians("dec").alias("d1"))
-    y = b.select(F.col("id").alias("id2"), "t", F.radians("ra").alias("r2"), F.radians("dec").alias("d2"))
+
+    def vectors(d: DataFrame) -> DataFrame:
+        d = d.where(" and ".join(f"{c}{s} is not null" for c in ("t", "ra", "dec") for s in "02"))
+        for s in ("", "0", "2"):
+            ra, dec = F.radians(f"ra{s}"), F.radians(f"dec{s}")
+            d = d.withColumns({f"x{s}": F.cos(dec) * F.cos(ra), f"y{s}": F.cos(dec) * F.sin(ra), f"z{s}": F.sin(dec)})
+        return d
+
+    def cosine(s: str) -> Column:
+        return F.col(f"p_x{s}") * F.col(f"c_x{s}") + F.col(f"p_y{s}") * F.col(f"c_y{s}") + F.col(f"p_z{s}") * F.col(f"c_z{s}")
+
+    def nearer_than(s: str) -> Column:
+        far = F.degrees(haversine(F.radians(f"p_ra{s}"), F.radians(f"p_dec{s}"), F.radians(f"c_ra{s}"), F.radians(f"c_dec{s}")))
+        return (cosine(s) < cosine("") - ERROR) | ((cosine(s) < cosine("") + ERROR) & (F.col("dist") < far))
+
+    least = math.cos(math.radians(min(min_sep, 180.0)))
+    within = cosine("").between(least + ERROR, 1 - ERROR) | ((cosine("") >= least - ERROR) & (F.col("dist") <= min_sep))
+    carry = [f"{c}{s}" for s in ("", "0", "2") for c in "xyz"] + ["ra0", "dec0", "ra2", "dec2"]
+    m = zone_pairs(vectors(p), vectors(q), min_sep, also=["t"], carry=carry, near=within & nearer_than("0") & nearer_than("2"))
+    return m.select(F.col("probe_id").alias("id1"), F.col("cat_id").alias("id2"), "t", "dist")
+
+
+def _minima_of_pairs(near: DataFrame, p: DataFrame, q: DataFrame, min_sep: float) -> DataFrame:
+    """Conjunctions of pairs of objects (id1, id2): their tracks are joined to them, for the distances before and after."""
+    x = p.select(F.col("id").alias("id1"), "t", F.radians("ra").alias("r1"), F.radians("dec").alias("d1"))
+    y = q.select(F.col("id").alias("id2"), "t", F.radians("ra").alias("r2"), F.radians("dec").alias("d2"))
     d = near.join(x, "id1").join(y, ["id2", "t"]).withColumn("dist", F.degrees(haversine(F.col("r1"), F.col("d1"), F.col("r2"), F.col("d2"))))
     w = Window.partitionBy("id1", "id2").orderBy("t")
     d = d.withColumn("before", F.lag("dist").over(w)).withColumn("after", F.lead("dist").over(w))
     return d.where((F.col("dist") <= min_sep) & (F.col("dist") < F.col("before")) & (F.col("dist") < F.col("after"))).select("id1", "id2", "t", "dist")
 
 
+def conjunctions(a: DataFrame, b: DataFrame, min_sep: float) -> DataFrame:
+    """Local minima of the distance of two moving lists (id, t, ra, dec) at common times, below min_sep degrees.
+
+    Rows carry their object's places before and after, so pairs need not be
+    shuffled. Only those of objects whose times are not those of the others
+    (looked for by a job first) meet within reach at some time, and then
+    have the tracks joined to them.
+    """
+    p, q = _flanked(a), _flanked(b)
+    odd = _odd(p, q)
+    if odd.isEmpty():
+        return _minima(p, q, min_sep)
+    odd1, odd2 = (odd.where(F.col("list") == k).select("id") for k in (1, 2))
+    usual1, usual2 = p.join(odd1, "id", "left_anti"), q.join(odd2, "id", "left_anti")
+    near = zone_pairs(p.join(odd1, "id", "left_semi"), q, min_sep, also=["t"]).unionByName(zone_pairs(usual1, q.join(odd2, "id", "left_semi"), min_sep, also=["t"]))
+    near = near.select(F.col("probe_id").alias("id1"), F.col("cat_id").alias("id2")).distinct()
+    return _minima(usual1, usual2, min_sep).unionByName(_minima_of_pairs(near, p, q, min_sep))
+
+
 def match_tagged(objects: DataFrame, catalog: DataFrame, radius: float) -> DataFrame:
     """Rows of a catalog (id, ra, dec, t) where an object (id, ra, dec, pm_ra, pm_dec) was at their times.
 

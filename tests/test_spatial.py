@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+from oracle import connect
 from pyspark.sql import functions as F
 
 from skylattice.operators import spatial as sp
@@ -96,6 +97,39 @@ def test_conjunctions_meet_within_reach_only(spark):
     assert "cell" in out._jdf.queryExecution().optimizedPlan().toString()  # the lists meet through cells, not on the time alone
 
 
+def test_conjunctions_of_common_times_shuffle_no_pairs(spark):
+    """Lists of the same times, then lists in which a few objects lack times, have one twice or lack a place."""
+    from skylattice.operators import movers
+
+    rng = np.random.default_rng(11)
+    lists = []
+    for _ in range(2):
+        ra, dec, va, vd = rng.uniform(0, 360, 50), rng.uniform(-88, 88, 50), rng.uniform(-3, 3, 50), rng.uniform(-1, 1, 50)
+        lists.append([(i, float(t), float((ra[i] + va[i] * t) % 360), float(dec[i] + vd[i] * t)) for i in range(50) for t in range(9)])
+
+    def want(a, b):
+        c = connect(tables=[])
+        for name, rows in (("a", a), ("b", b)):
+            c.execute(f"CREATE TABLE {name} (id BIGINT, t DOUBLE, ra DOUBLE, dec DOUBLE)")
+            c.executemany(f"INSERT INTO {name} VALUES (?, ?, ?, ?)", rows)
+        h = "degrees(2*asin(sqrt(least(1.0, pow(sin(radians(b.dec-a.dec)/2),2)+cos(radians(a.dec))*cos(radians(b.dec))*pow(sin(radians(b.ra-a.ra)/2),2)))))"
+        sql = f"WITH p AS (SELECT a.id AS i, b.id AS j, a.t, {h} AS dist FROM a JOIN b ON a.t = b.t), w AS (SELECT *, lag(dist) OVER o AS before, lead(dist) OVER o AS after FROM p WINDOW o AS (PARTITION BY i, j ORDER BY t)) SELECT i, j, t, round(dist, 6) FROM w WHERE dist <= 40 AND dist < before AND dist < after"
+        return sorted(c.sql(sql).fetchall())
+
+    def got(a, b):
+        out = movers.conjunctions(*(spark.createDataFrame(x, "id long, t double, ra double, dec double") for x in (a, b)), 40.0)
+        return out, sorted((r.id1, r.id2, r.t, round(r.dist, 6)) for r in out.collect())
+
+    out, rows = got(*lists)
+    assert len(rows) > 40 and rows == want(*lists)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Window" in x and "id1" in x for x in plan.splitlines()) and "Aggregate" not in plan
+    a = [(i, t, None if (i, t) == (3, 4.0) else ra, dec) for i, t, ra, dec in lists[0] if not (i < 8 and (i + t) % 4 == 0)]
+    b = [x for x in lists[1] if not (20 < x[0] < 25 and x[1] == 5.0)] + [x for x in lists[1] if x[0] == 30 and x[1] == 4.0]
+    assert got(a, b)[1] == want(a, b)
+    assert got(a, a[:0])[1] == []
+
+
 def test_a_latitude_beyond_the_pole_is_a_place_on_the_other_side(spark):
     a, b = [(40.0, 93.0), (10.0, -95.0)], [(220.0, 58.5), (40.0, 58.5), (190.0, -60.0), (10.0, -62.0), (100.0, 0.0)]
     got = {(x.probe_id, x.cat_id) for x in sp.zone_pairs(points(spark, a), points(spark, b), 30.0).collect()}
