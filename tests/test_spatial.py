@@ -1,7 +1,7 @@
 import math
 
 import numpy as np
-from oracle import connect
+from oracle import SF, compare, connect
 from pyspark.sql import functions as F
 
 from skylattice.operators import spatial as sp
@@ -173,6 +173,20 @@ def test_plane_lists_with_copies(spark, monkeypatch):
     assert sp.best_shift(a, a, 1.1, 0.5).first().n == sum(p == q for _, *p in rows for _, *q in rows)
 
 
+def test_plane_pairs_are_rounded_once_and_made_a_list_at_a_time(spark, monkeypatch):
+    from skylattice.queries import ORACLE, QUERIES
+
+    steps = [x.strip(" :+-") for x in QUERIES["match_plane"](spark, SF)._jdf.queryExecution().optimizedPlan().toString().splitlines()]
+    first = lambda text: next(i for i, x in enumerate(steps) if text in x)
+    # from the result down: second list, its own generated code, first list, distance rounded for all copies
+    assert first("Generate explode(cat_id") < first("Repartition") < first("Generate explode(probe_id") < first("round(")
+    monkeypatch.setattr(sp, "COPIES", 1)
+    compare(spark, QUERIES["match_plane"], ORACLE["match_plane"], "/root/testdata/sf0.01")
+    a = spark.createDataFrame([(i, i % 3 / 3, 0.0) for i in range(30)], "id long, x double, y double")
+    got = sorted(tuple(r) for r in sp.plane_matches(a, a, 0.5, digits=2).collect())
+    assert got == sorted((i, j, round(abs(i % 3 - j % 3) / 3, 2)) for i in range(30) for j in range(30) if abs(i % 3 - j % 3) < 2)
+
+
 def test_score_of_rotation_passes_a_long(spark):
     from unittest import mock
 
