@@ -47,29 +47,32 @@ def _odd(p: DataFrame, q: DataFrame) -> DataFrame:
 def _minima(p: DataFrame, q: DataFrame, min_sep: float) -> DataFrame:
     """Conjunctions of lists whose times before and after are the same: decided where two rows meet.
 
-    The sine and cosine of a distance cost more than the pair, so cosines of
+    The sines and cosines of a distance cost more than the pair, so cosines of
     angles, sums of three products, decide first; where they are closer
-    than their error, the distances decide.
+    than their error, the distances decide.  Numbers are marked as never null:
+    the test of a pair is short enough to be compiled then.
     """
 
     def vectors(d: DataFrame) -> DataFrame:
-        d = d.where(" and ".join(f"{c}{s} is not null" for c in ("t", "ra", "dec") for s in "02"))
+        d = d.where(" and ".join(f"{c}{s} is not null" for c in ("t", "ra", "dec") for s in ("", "0", "2")))
+        known = lambda c: F.coalesce(c, F.lit(float("nan")))
         for s in ("", "0", "2"):
             ra, dec = F.radians(f"ra{s}"), F.radians(f"dec{s}")
-            d = d.withColumns({f"x{s}": F.cos(dec) * F.cos(ra), f"y{s}": F.cos(dec) * F.sin(ra), f"z{s}": F.sin(dec)})
+            d = d.withColumns({f"x{s}": known(F.cos(dec) * F.cos(ra)), f"y{s}": known(F.cos(dec) * F.sin(ra)), f"z{s}": known(F.sin(dec))})
         return d
 
     def cosine(s: str) -> Column:
         return F.col(f"p_x{s}") * F.col(f"c_x{s}") + F.col(f"p_y{s}") * F.col(f"c_y{s}") + F.col(f"p_z{s}") * F.col(f"c_z{s}")
 
-    def nearer_than(s: str) -> Column:
-        far = F.degrees(haversine(F.radians(f"p_ra{s}"), F.radians(f"p_dec{s}"), F.radians(f"c_ra{s}"), F.radians(f"c_dec{s}")))
-        return (cosine(s) < cosine("") - ERROR) | ((cosine(s) < cosine("") + ERROR) & (F.col("dist") < far))
+    def far(s: str) -> Column:
+        return F.degrees(haversine(F.radians(f"p_ra{s}"), F.radians(f"p_dec{s}"), F.radians(f"c_ra{s}"), F.radians(f"c_dec{s}")))
 
-    least = math.cos(math.radians(min(min_sep, 180.0)))
-    within = cosine("").between(least + ERROR, 1 - ERROR) | ((cosine("") >= least - ERROR) & (F.col("dist") <= min_sep))
+    least, now, before, after = math.cos(math.radians(min(min_sep, 180.0))), cosine(""), cosine("0"), cosine("2")
+    may_be = (now >= least - ERROR) & (before < now + ERROR) & (after < now + ERROR)
+    sure = (now >= least + ERROR) & (now <= 1 - ERROR) & (before < now - ERROR) & (after < now - ERROR)
+    exact = (F.col("dist") <= min_sep) & (F.col("dist") < F.least(far("0"), far("2")))
     carry = [f"{c}{s}" for s in ("", "0", "2") for c in "xyz"] + ["ra0", "dec0", "ra2", "dec2"]
-    m = zone_pairs(vectors(p), vectors(q), min_sep, also=["t"], carry=carry, near=within & nearer_than("0") & nearer_than("2"))
+    m = zone_pairs(vectors(p), vectors(q), min_sep, also=["t"], carry=carry, near=may_be & (sure | exact))
     return m.select(F.col("probe_id").alias("id1"), F.col("cat_id").alias("id2"), "t", "dist")
 
 
